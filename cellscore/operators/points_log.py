@@ -23,3 +23,10 @@ def latest_points(attempts: DataFrame, payload: Sequence[str]) -> DataFrame:
         .select("run_id", "idx", "attempts", F.col("_last.updated_at").alias("updated_at"),
                 *[F.col(f"_last.{c}").alias(c) for c in payload])
     )
+
+
+def comparison_members(saved: DataFrame) -> DataFrame:
+    """Runs of every comparison in position order; the last save under a name counts."""
+    last = saved.groupBy("name").agg(F.max_by("run_ids", "saved_at").alias("run_ids"))
+    d = last.select(F.col("name").alias("comparison"), F.posexplode("run_ids").alias("position", "run_id"))
+    return d.groupBy("comparison", "run_id").agg(F.min("position").alias("position"))

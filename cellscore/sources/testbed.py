@@ -154,3 +154,33 @@ def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.lit("mask").alias("mask_id"), "r", "c", (base_land(F.col("r"), F.col("c")) != F.col("turned")).alias("land")
     )
+
+
+# Comparisons as stored: name, ordered runs, when saved. Re-using a name replaces the earlier set.
+COMPARISONS = [
+    ("all", ["r0", "r1", "r2", "r3", "r4", "r5", "r6", "r7"], "2025-10-01 10:00:00"),
+    ("sampled", ["r3", "r7"], "2025-10-02 10:00:00"),
+    ("sampled", ["r3", "r1", "r2", "r0"], "2025-10-03 10:00:00"),
+    ("late", ["r5", "r2", "r4", "r7"], "2025-10-04 10:00:00"),
+]
+
+
+def comparisons(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(COMPARISONS, "name string, run_ids array<string>, saved_at string")
+
+
+def comparison_runs(spark: SparkSession) -> DataFrame:
+    from cellscore.operators.points_log import comparison_members
+
+    return comparison_members(comparisons(spark))
+
+
+def attempt_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with their price: NULL where the run has no price."""
+    priced = runs(spark).select("run_id", "price_in", "price_out")
+    cost = (F.col("input_tokens") * F.col("price_in") + F.col("output_tokens") * F.col("price_out")) / 1e6
+    return attempts(spark, sf_dir).join(priced, "run_id").withColumn("cost_usd", cost)
+
+
+def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempt_costs(spark, sf_dir).groupBy("run_id").agg(F.sum("cost_usd").alias("cost_usd"))
