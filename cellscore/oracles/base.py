@@ -5,6 +5,7 @@ from __future__ import annotations
 from cellscore.sources.testbed import RUNS
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
+KEPT = {"pts", "fl", "pdiff", "ranked", "mask"}  # evaluated once per statement
 
 
 def cte(name: str, body: str, *needs: str) -> None:
@@ -24,7 +25,7 @@ def sql(body: str, *needs: str, r: str | list[str] = "", extra: str = "") -> str
 
     for n in needs:
         add(n)
-    parts = [f"{n} as ({CTES[n][0]})" for n in order]
+    parts = [f"{n} as {'materialized ' if n in KEPT else ''}({CTES[n][0]})" for n in order]
     if extra:
         parts.append(extra.strip())
     parts.append(f"result as ({body.strip()})")
@@ -79,7 +80,7 @@ select 'r' || k as run_id, k, idx, r, c, lat, lon, cos(radians(lat)) as weight,
   case when (ls='F' and ln=1 and rf='R') or (rf='N' and ln=7) then 0 when k < 4 then 4 else 1 end as n_valid,
   case when k in (4,5) and not ((ls='F' and ln=1 and rf='R') or (rf='N' and ln=7)) then round(0.3 + q*0.014, 4) end as validity_mass,
   case when ln=6 then 'length' when ln=5 and rf='A' then 'MAX_TOKENS' else 'stop' end as finish_reason,
-  round(ep/100000, 4) as latency_s, (50+ln)::int as input_tokens, q::int+2 as output_tokens,
+  ((cast(round(ep*100) as bigint) + 500) // 1000) / 10000 as latency_s, (50+ln)::int as input_tokens, q::int+2 as output_tokens,
   case when k in (0,1,3,7) then ln*10 else 0 end as thinking_tokens
 from placed""",
     "placed",

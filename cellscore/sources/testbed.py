@@ -90,7 +90,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((F.col("l_linenumber") == 5) & (F.col("l_returnflag") == "A"), F.lit("MAX_TOKENS"))
         .otherwise(F.lit("stop"))
         .alias("finish_reason"),
-        F.round(F.col("l_extendedprice") / 100000, 4).alias("latency_s"),
+        (F.floor((F.round(F.col("l_extendedprice") * 100).cast("bigint") + 500) / 1000) / 10000).alias("latency_s"),
         (F.lit(50) + F.col("l_linenumber")).cast("int").alias("input_tokens"),
         (F.col("l_quantity").cast("int") + 2).alias("output_tokens"),
         F.when(F.col("run_no").isin(0, 1, 3, 7), F.col("l_linenumber") * 10)
