@@ -184,3 +184,85 @@ def attempt_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attempt_costs(spark, sf_dir).groupBy("run_id").agg(F.sum("cost_usd").alias("cost_usd"))
+
+
+GRAY_SIZE = 128
+
+
+def rgba_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square colour image made from the log; pixels nobody wrote are black."""
+    n = GRAY_SIZE * GRAY_SIZE
+    pix = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber")) % n
+    seen = table(spark, sf_dir, "lineitem").groupBy(pix.alias("pix")).agg(
+        F.max("l_quantity").alias("q"), F.count("*").alias("n"), F.max("l_linenumber").alias("ln")
+    )
+    d = spark.range(n).withColumnRenamed("id", "pix").join(seen, "pix", "left")
+    r = F.floor(F.col("pix") / GRAY_SIZE).cast("int")
+    land = F.when(((r + F.col("pix") % GRAY_SIZE) % 64) < 24, F.lit(80)).otherwise(F.lit(0))
+    return d.select(
+        F.lit("upload").alias("image_id"),
+        r.alias("r"),
+        (F.col("pix") % GRAY_SIZE).cast("int").alias("c"),
+        (F.coalesce(F.col("q") * 3, F.lit(0.0)) + land).cast("int").alias("red"),
+        (F.coalesce(F.col("n") * 5 % 100, F.lit(0)) + land).cast("int").alias("green"),
+        (F.coalesce(F.col("ln") * 10, F.lit(0)) + land).cast("int").alias("blue"),
+        (F.lit(255) - F.coalesce(F.col("ln") * 4, F.lit(0))).cast("int").alias("alpha"),
+    )
+
+
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon per customer: three or four corners, every fourth with a hole, in key order."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    x0 = (F.lit(-165) + k * 37 % 330).cast("double") + 0.25
+    y0 = (F.lit(-75) + k * 53 % 150).cast("double") + 0.125
+    size = (F.lit(2) + F.abs(F.col("c_acctbal")).cast("bigint") % 9).cast("double")
+
+    def ring(s: Column) -> Column:
+        pt = lambda dx, dy: F.struct((x0 + dx * s).alias("x"), (y0 + dy * s).alias("y"))
+        square = F.array(pt(-1, -1), pt(1, -1), pt(1, 1), pt(-1, 1))
+        diamond = F.array(pt(0, -1), pt(1, 0), pt(0, 1), pt(-1, 0))
+        triangle = F.array(pt(-1, -1), pt(1, -1), pt(0, 1))
+        line = F.array(pt(-1, -1), pt(1, 1))
+        kind = F.col("c_nationkey") % 4
+        return F.when(kind == 0, square).when(kind == 1, diamond).when(kind == 2, triangle).otherwise(
+            F.when(k % 8 == 3, line).otherwise(square)
+        )
+
+    outer = c.select(k.cast("int").alias("layer_pos"), (k % 3 != 0).cast("int").alias("burn"), k.cast("int").alias("shape_id"),
+                     F.lit(0).alias("ring_no"), ring(size).alias("ring"))
+    hole = c.where(k % 4 == 0).select(
+        k.cast("int").alias("layer_pos"), (k % 3 != 0).cast("int").alias("burn"), k.cast("int").alias("shape_id"),
+        F.lit(1).alias("ring_no"), ring(size / 2).alias("ring"))
+    return outer.unionByName(hole)
+
+
+N_MODELS_IN_LOG = 300
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History of runs, one per order."""
+    o, k, m = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey") % N_MODELS_IN_LOG
+    status = F.element_at(
+        F.array(*[F.lit(s) for s in ("queued", "running", "paused", "complete", "failed")]), (k % 5 + 1).cast("int")
+    )
+
+    def key(rep: Column) -> Column:
+        return F.md5(F.concat_ws(":", F.lit("h"), m.cast("string"), rep.cast("string")))
+
+    done = k % 5 == 3
+    return o.select(
+        F.md5(F.concat(F.lit("run:"), k.cast("string"))).alias("run_id"),
+        key(k % 4).alias("run_hash"),
+        key((k + 1) % 4).alias("plan_hash"),
+        F.concat(F.lit("s"), (k % 3).cast("string")).alias("spec_id"),
+        F.concat(F.lit("m"), m.cast("string")).alias("model_id"),
+        F.element_at(F.array(F.lit("logprobs"), F.lit("sample"), F.lit("greedy")), (k % 3 + 1).cast("int")).alias("extraction_mode"),
+        status.alias("status"),
+        F.col("o_orderdate").alias("created_at"),
+        F.when(done, F.date_add("o_orderdate", (k % 50).cast("int")).cast("timestamp_ntz")).alias("ended_at"),
+        F.when(k % 3 != 0, F.concat(F.lit("v"), (k % 11).cast("string"))).alias("resolved_version"),
+        F.when(k % 13 != 0, F.col("o_totalprice") / 100000).alias("cost_usd"),
+        (k % 4).cast("int").alias("repeat_idx"),
+        (k * 7 % (N_CELLS + 1)).cast("int").alias("n_points_done"),
+    )
