@@ -8,6 +8,9 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 KEPT = {"pts", "fl", "pdiff", "ranked", "mask"}  # evaluated once per statement
 
 
+HEADS: dict[str, str] = {}  # where an expression needs more than its name
+
+
 def cte(name: str, body: str, *needs: str) -> None:
     CTES[name] = (body.strip(), needs)
 
@@ -25,7 +28,7 @@ def sql(body: str, *needs: str, r: str | list[str] = "", extra: str = "") -> str
 
     for n in needs:
         add(n)
-    parts = [f"{n} as {'materialized ' if n in KEPT else ''}({CTES[n][0]})" for n in order]
+    parts = [f"{HEADS.get(n, n)} as {'materialized ' if n in KEPT else ''}({CTES[n][0]})" for n in order]
     if extra:
         parts.append(extra.strip())
     parts.append(f"result as ({body.strip()})")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from cellscore.functions.geo import ANCHORS, EARTH_RADIUS_KM, KM_PER_DEG, LAND_RULES, rule_case
 from cellscore.oracles import masks, scoring, uncertainty  # noqa: F401  (shared expressions)
-from cellscore.oracles.base import KEPT, cte, sql
+from cellscore.oracles.base import HEADS, KEPT, cte, sql
 from cellscore.plans.raster import HIGHER, LOWER
 
-KEPT.update({"gridv", "bimg", "pimg", "pbnd", "tbnd", "bscore", "gseg", "greach", "treach", "tlab", "glab"})
+KEPT.update({"gridv", "bimg", "pimg", "pbnd", "tbnd", "bscore", "gseg", "tedge", "gedge", "tlab", "glab"})
 
 cte(
     "gridv",
@@ -43,8 +43,9 @@ join mask on mask.r = pr and mask.c = pc group by 1, 2, 3""",
 
 def boundary(src: str, key: str, val: str, w: int) -> str:
     """Cells joined to each of their four neighbours."""
-    return f"""select distinct a.{key}, a.r, a.c, a.{val} from {src} a, (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc)
-join {src} b on b.{key} = a.{key} and b.r = a.r + dr and b.c = (a.c + dc + {w}) % {w} where b.{val} <> a.{val}"""
+    return f"""select distinct a.{key}, a.r, a.c, a.{val} from (
+ select {key}, r, c, {val}, r + dr as nr, (c + dc + {w}) % {w} as nc from {src}, (values (0, 1), (0, -1), (1, 0), (-1, 0)) d(dr, dc)) a
+join {src} b on b.{key} = a.{key} and b.r = nr and b.c = nc where b.{val} <> a.{val}"""
 
 
 cte("vgrid", "select run_id, r::int as r, c::int as c, pred_land from fl where valid", "fl")
@@ -112,8 +113,16 @@ cte("tseg", "select r, c0, c1, r * 360 + c0 as id from rle", "rle")
 TOUCH = """abs(a.r - b.r) <= 1 and a.id <> b.id and ((a.r <> b.r and a.c0 <= b.c1 + 1 and b.c0 <= a.c1 + 1)
  or (a.c1 = {last} and b.c0 = 0) or (b.c1 = {last} and a.c0 = 0))"""
 cte("tedge", f"select a.id as a, b.id as b from tseg a join tseg b on {TOUCH.format(last=359)}", "tseg")
-cte("treach", "select id as a, id as b from tseg union select t.a, e.b from treach t join tedge e on e.a = t.b", "tseg", "tedge")
-cte("tlab", "select tseg.*, label from tseg join (select b as id, min(a) as label from treach group by 1) using (id)", "tseg", "treach")
+HEADS["treach"] = "treach(id, label) using key (id)"
+HEADS["greach"] = "greach(run_id, id, label) using key (run_id, id)"
+cte(
+    "treach",
+    """select id, id as label from tseg union select e.b, min(t.label) from treach t join tedge e on e.a = t.id
+join recurring.treach k on k.id = e.b where t.label < k.label group by e.b""",
+    "tseg",
+    "tedge",
+)
+cte("tlab", "select tseg.*, label from tseg join treach using (id)", "tseg", "treach")
 cte(
     "gseg",
     """select run_id, r, min(c)::int as c0, max(c)::int as c1, r * 90 + min(c) as id from (
@@ -121,10 +130,16 @@ select *, c - row_number() over (partition by run_id, r order by c) as g from gr
     "gridv",
 )
 cte("gedge", f"select a.run_id, a.id as a, b.id as b from gseg a join gseg b on a.run_id = b.run_id and {TOUCH.format(last=89)}", "gseg")
-cte("greach", "select run_id, id as a, id as b from gseg union select t.run_id, t.a, e.b from greach t join gedge e on e.run_id = t.run_id and e.a = t.b", "gseg", "gedge")
+cte(
+    "greach",
+    """select run_id, id, id as label from gseg union select e.run_id, e.b, min(t.label) from greach t join gedge e on e.run_id = t.run_id and e.a = t.id
+join recurring.greach k on k.run_id = e.run_id and k.id = e.b where t.label < k.label group by e.run_id, e.b""",
+    "gseg",
+    "gedge",
+)
 cte(
     "glab",
-    "select gseg.*, label from gseg join (select run_id, b as id, min(a) as label from greach group by 1, 2) using (run_id, id)",
+    "select gseg.*, label from gseg join greach using (run_id, id)",
     "gseg",
     "greach",
 )
@@ -176,7 +191,7 @@ join (select label, avg(lat) as centroid_lat, degrees(atan2(avg(sin(radians(lon)
 )
 cte(
     "miou",
-    f"""select run_id, name, coalesce(iou, 0) as iou from (select distinct run_id from gridv), mass left join (
+    f"""select run_id, name, coalesce(iou, 0) as iou from (select g.run_id, mass.* from (select distinct run_id from gridv) g, mass) left join (
  select run_id, label, wi / (wt + wp - wi) as iou from (
   select g.run_id, t.label, g.label as pl, sum({W.replace('(r ', '(t.r ')}) as wi, row_number() over (partition by g.run_id, t.label order by count(*) desc, g.label) as rn
   from tpix t join gpix g on g.r = t.r and g.c = t.c group by 1, 2, 3)
@@ -234,9 +249,9 @@ ORACLES = {
         "select run_id, r, count(*) as n, count(*) filter (pred) as n_land, sum(c * pred::int)::bigint as sum_c from bimg group by 1, 2", "bimg"
     ),
     "render_bilinear": sql(
-        "select run_id, r, count(*) as n, avg(prob) as mean_p, avg(prob * c) as mean_pc, max(prob) as max_p from pimg group by 1, 2",
+        "select run_id, r, count(*) as n, avg(prob * sqrt(c + 2)) as mean_p_sqrt, avg(prob * ln(c + 2)) as mean_p_log, max(prob) * sqrt(2) as max_p_sqrt2 from pimg group by 1, 2",
         "pimg",
-        r="mean_p mean_pc max_p",
+        r="mean_p_sqrt mean_p_log max_p_sqrt2",
     ),
     "error_overlay": sql(
         """select run_id, r, case when pred and truth then 'land' when pred then 'false_land' when truth then 'false_water' else 'water' end as pixel_class, count(*) as n

@@ -15,6 +15,7 @@ from cellscore.operators import uncertainty as un
 from cellscore.operators.regions import region_accuracy
 from cellscore.plans.masks import SHAPE, mask_rle
 from cellscore.plans.scoring import flags
+from cellscore.session import cut_lineage
 from cellscore.sources import masks as mk
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import cells_of, full_grid, with_cell
@@ -41,12 +42,14 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
     return d.unionByName(top)
 
 
-def binary_images(spark: SparkSession, sf: str) -> DataFrame:
-    return ra.render_nearest(grids(spark, sf).select("run_id", "r", "c", F.col("b").alias("pred")), tb.STEP, SHAPE)
+def binary_images(spark: SparkSession, sf: str, g: DataFrame | None = None) -> DataFrame:
+    g = grids(spark, sf) if g is None else g
+    return ra.render_nearest(g.select("run_id", "r", "c", F.col("b").alias("pred")), tb.STEP, SHAPE)
 
 
-def prob_images(spark: SparkSession, sf: str) -> DataFrame:
-    return ra.render_bilinear(grids(spark, sf).withColumnRenamed("p", "prob"), ["run_id"], "prob", tb.STEP, SHAPE)
+def prob_images(spark: SparkSession, sf: str, g: DataFrame | None = None) -> DataFrame:
+    g = grids(spark, sf) if g is None else g
+    return ra.render_bilinear(g.withColumnRenamed("p", "prob"), ["run_id"], "prob", tb.STEP, SHAPE)
 
 
 def truth_image(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +75,9 @@ def render_bilinear(spark, sf):
     return rounded(
         d.groupBy("run_id", "r").agg(
             F.count("*").alias("n"),
-            F.avg("prob").alias("mean_p"),
-            F.avg(F.col("prob") * F.col("c")).alias("mean_pc"),
-            F.max("prob").alias("max_p"),
+            F.avg(F.col("prob") * F.sqrt(F.col("c") + 2.0)).alias("mean_p_sqrt"),
+            F.avg(F.col("prob") * F.log(F.col("c") + 2.0)).alias("mean_p_log"),
+            (F.max("prob") * F.sqrt(F.lit(2.0))).alias("max_p_sqrt2"),
         )
     )
 
@@ -101,14 +104,15 @@ def coastline_error(spark, sf):
     return rounded(ra.coastline_error(flags(spark, sf), tb.STEP))
 
 
-def boundaries(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    pred = ra.boundary_cells(binary_images(spark, sf), ["run_id"], "pred", SHAPE[1])
+def boundaries(spark: SparkSession, sf: str, g: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Boundary pixels of the images and of the mask; written once, as several steps read them."""
+    pred = ra.boundary_cells(binary_images(spark, sf, g), ["run_id"], "pred", SHAPE[1])
     true = ra.boundary_cells(tb.mask_pixels(spark, sf), ["mask_id"], "land", SHAPE[1])
-    return pred, true
+    return cut_lineage(pred), cut_lineage(true)
 
 
-def _boundary_scores(spark, sf):
-    pred, true = boundaries(spark, sf)
+def _boundary_scores(spark, sf, g=None):
+    pred, true = boundaries(spark, sf, g)
     return ra.boundary_scores(pred, true, run_list(spark), SHAPE)
 
 
@@ -122,12 +126,12 @@ def contour_distance(spark, sf):
     return rounded(d.select("run_id", *[c for c in d.columns if c.startswith("contour")]))
 
 
-def _binary_with_truth(spark, sf):
-    return binary_images(spark, sf).join(truth_image(spark, sf), ["r", "c"])
+def _binary_with_truth(spark, sf, g=None):
+    return binary_images(spark, sf, g).join(truth_image(spark, sf), ["r", "c"])
 
 
-def _prob_with_truth(spark, sf):
-    return prob_images(spark, sf).join(truth_image(spark, sf), ["r", "c"])
+def _prob_with_truth(spark, sf, g=None):
+    return prob_images(spark, sf, g).join(truth_image(spark, sf), ["r", "c"])
 
 
 def pixel_iou_dice(spark, sf):
@@ -138,10 +142,10 @@ def ssim(spark, sf):
     return rounded(ra.ssim(_prob_with_truth(spark, sf), SHAPE))
 
 
-def _rmse(spark, sf):
+def _rmse(spark, sf, g=None):
     """Only for runs with real probabilities; the ceiling has them."""
     prob = sc.is_probabilistic(tb.points(spark, sf, "n_samples"), tb.runs(spark)).select("run_id", "probabilistic")
-    d = ra.prob_rmse(_prob_with_truth(spark, sf), SHAPE[0]).join(prob, "run_id", "left")
+    d = ra.prob_rmse(_prob_with_truth(spark, sf, g), SHAPE[0]).join(prob, "run_id", "left")
     keep = F.coalesce("probabilistic", F.lit(True))
     return d.select("run_id", F.when(keep, F.col("prob_rmse")).alias("prob_rmse"))
 
@@ -196,12 +200,13 @@ def image_coverage(spark, sf):
 
 
 def _image_scores(spark, sf):
+    g = cut_lineage(grids(spark, sf))  # the grids are far smaller than the images made from them
     return (
         run_list(spark)
-        .join(ra.pixel_overlap(_binary_with_truth(spark, sf), SHAPE[0]), "run_id", "left")
-        .join(ra.ssim(_prob_with_truth(spark, sf), SHAPE), "run_id", "left")
-        .join(_boundary_scores(spark, sf), "run_id", "left")
-        .join(_rmse(spark, sf), "run_id", "left")
+        .join(ra.pixel_overlap(_binary_with_truth(spark, sf, g), SHAPE[0]), "run_id", "left")
+        .join(ra.ssim(_prob_with_truth(spark, sf, g), SHAPE), "run_id", "left")
+        .join(_boundary_scores(spark, sf, g), "run_id", "left")
+        .join(_rmse(spark, sf, g), "run_id", "left")
     )
 
 
