@@ -266,3 +266,117 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 4).cast("int").alias("repeat_idx"),
         (k * 7 % (N_CELLS + 1)).cast("int").alias("n_points_done"),
     )
+
+
+# Answer texts and first tokens that exercise every parsing rule.
+ANSWERS = [
+    "Land",
+    "Water",
+    "land",
+    "WATER.",
+    "  'Land'  ",
+    "**Water**",
+    "- Land",
+    "Land, because it is Brazil.",
+    "<think>hmm, ocean?</think>\nWater",
+    "<thinking>a</thinking> <thinking>b</thinking> Land",
+    "<think>still thinking about whether it is Land",
+    "<|channel|>analysis<|message|>coast...<|end|><|start|>assistant<|channel|>final<|message|>Land<|return|>",
+    "Answer: Land",
+    "Land/Water",
+    "Landmass",
+    "I can't determine that.",
+    "",
+    "   ",
+]
+TOKENS = ["Land", " Land", "land", " LAND", "La", " La", "Lan", "ĠLand", "▁Water", "Wa", "Water", "Land.", "'Land", "L", "W",
+          "Lands", "Lo", "I", "", " "]
+PIECES = ["Land", "ĠLand", " Land", "▁Water", " Water", "Ċ"]
+SHORT_ANSWERS = ["Land", "Water", " Water.", "land, yes"]
+MODES = ["sample", "sample", "sample", "sample", "logprobs", "logprobs", "greedy", "auto"]
+
+
+def _pick(values: list[str], i: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response log: texts, first-token alternatives, usage, HTTP errors."""
+    e, k, run = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id") % 8
+    bad = F.col("event_type") == "error"
+    has_lp = run.isin(4, 5) | ((run == 7) & (k % 2 == 0))
+    alts = F.map_from_arrays(
+        F.array(*[_pick(TOKENS, k * 3 + j * 4) for j in range(5)]), F.array(*[F.lit(-(0.5 + 0.25 * j)) for j in range(5)])
+    )
+    return e.select(
+        k.alias("event_id"),
+        F.concat(F.lit("r"), run.cast("string")).alias("run_id"),
+        ((k * 131 + F.col("user_id")) % N_CELLS).cast("int").alias("idx"),
+        "ts",
+        _pick(MODES, run).alias("mode"),
+        F.when(~bad, F.array(*[_pick(ANSWERS, k * 7 + j * 5) for j in range(4)])).alias("texts"),
+        F.when(~bad & has_lp, alts).alias("logprobs"),
+        F.when(bad, F.when(k % 3 == 0, 429).when(k % 3 == 1, 500).otherwise(404)).alias("status"),
+        F.when(bad, F.concat(F.lit("HTTP "), F.when(k % 3 == 0, "429").when(k % 3 == 1, "500").otherwise("404"))).alias("error"),
+        (50 + k % 9).cast("int").alias("input_tokens"),
+        (2 + k % 5).cast("int").alias("output_tokens"),
+    )
+
+
+def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw response documents with think blocks that are closed, absent, stray or cut off."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    word, tok, kind = _pick(SHORT_ANSWERS, k), _pick(TOKENS, k * 5 + 1), k % 4
+    tops = F.array(
+        *[F.struct(_pick(TOKENS, k * 3 + j * 4).alias("token"), F.lit(-(0.5 + 0.25 * j)).alias("logprob")) for j in range(5)]
+    )
+    none = F.slice(tops, 1, 0)
+    plain = lambda t: F.struct(F.lit(t).alias("token"), F.lit(-0.01).alias("logprob"), none.alias("top_logprobs"))
+    own = F.struct(tok.alias("token"), F.lit(-0.1).alias("logprob"), tops.alias("top_logprobs"))
+    tokens = (
+        F.when(kind == 0, F.array(plain("<think>"), plain("hm"), plain("</"), plain("think>"), plain(" "), own))
+        .when(kind == 1, F.array(own))
+        .when(kind == 2, F.array(plain("hm "), plain("</think>"), plain("\n"), own))
+        .otherwise(F.array(plain("<think>"), plain("hm")))
+    )
+    content = (
+        F.when(kind == 0, F.concat(F.lit("<think>hm</think>"), word))
+        .when(kind == 1, word)
+        .when(kind == 2, F.concat(F.lit("hm </think>\n"), word))
+        .otherwise(F.lit("<think>hm"))
+    )
+    choice = F.struct(
+        F.struct(content.alias("content")).alias("message"),
+        F.lit("stop").alias("finish_reason"),
+        F.struct(tokens.alias("content")).alias("logprobs"),
+    )
+    usage = F.struct(
+        (50 + k % 9).alias("prompt_tokens"),
+        (2 + k % 5).alias("completion_tokens"),
+        F.struct((k % 3).alias("reasoning_tokens")).alias("completion_tokens_details"),
+    )
+    doc = F.struct(F.concat(F.lit("v"), (k % 3).cast("string")).alias("model"), F.array(choice).alias("choices"), usage.alias("usage"))
+    return e.select("event_id", F.to_json(doc).alias("raw"))
+
+
+SPECS = [
+    ("s0", "hemisphere", "Is {coord} land or water? Keep {this}."),
+    ("s1", "signed_decimal", "At {lat}, {lon} ({lat:.2f} | {lon:.0f}): {coord}"),
+    ("s2", "dms", "Place {coord}"),
+    ("s3", "dms", "No place at all, {lat} only"),
+]
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One place per order; some latitudes are out of range, some longitudes have to be wrapped."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        k.alias("place_id"),
+        F.concat(F.lit("s"), (k % 4).cast("string")).alias("spec_id"),
+        ((k * 3700 % 18201 - 9050) / 100.0).alias("lat"),
+        ((F.col("o_custkey") * 2500 % 43000 - 21500) / 100.0).alias("lon"),
+    )
+
+
+def specs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SPECS, "spec_id string, coord_format string, template string")
