@@ -189,15 +189,7 @@ def batch_budget_fit(spark, sf):
 
 
 def event_calls(spark: SparkSession, sf: str) -> DataFrame:
-    e = tb.table(spark, sf, "events")
-    return e.select(
-        F.concat(F.lit("r"), (F.col("user_id") % 8).cast("string")).alias("run_id"),
-        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"),
-        "ts",
-        F.col("event_id").alias("seq"),
-        (F.col("event_type") != "error").alias("ok"),
-        (F.lit(52) + F.col("event_id") % 9 + F.col("event_id") % 5).alias("tokens"),
-    )
+    return tb.calls_of(tb.table(spark, sf, "events"))
 
 
 def failure_bursts(spark, sf):

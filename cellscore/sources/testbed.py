@@ -49,7 +49,11 @@ def true_class(idx: Column, lat: Column, lon: Column) -> Column:
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempt log: one row per call, several per cell."""
-    li = table(spark, sf_dir, "lineitem")
+    return attempts_of(table(spark, sf_dir, "lineitem"))
+
+
+def attempts_of(li: DataFrame) -> DataFrame:
+    """Attempts from line items, batch or stream."""
     run_no = (F.col("l_suppkey") % N_RUNS).cast("int")
     d = li.select(
         F.concat(F.lit("r"), run_no.cast("string")).alias("run_id"),
@@ -380,3 +384,107 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def specs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SPECS, "spec_id string, coord_format string, template string")
+
+
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model registry, one per part; many share a name."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.concat_ws(
+        "-", F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit(""))), F.lower("p_type"), F.col("p_size").cast("string")
+    )
+    provider = F.concat(F.lit("p"), (k % 7).cast("string"))
+    model_id = F.concat(F.lit("m"), k.cast("string"))
+    return p.select(
+        model_id.alias("model_id"),
+        provider.alias("provider"),
+        F.when(k % 7 == 6, F.lit("ollama")).otherwise(F.concat(F.lit("kind"), (k % 3).cast("string"))).alias("kind"),
+        name.alias("name"),
+        F.when(k % 4 == 0, F.concat(F.lit("rv"), (k % 9).cast("string"))).alias("resolved_version"),
+        F.when(F.col("p_size") % 10 == 0, F.lit("q4")).alias("quant"),
+        F.when(k % 50 == 3, F.lit(1.5)).alias("own_input"),
+        F.when(k % 50 == 3, F.lit(6.0)).alias("own_output"),
+        F.concat(provider, F.lit("/"), model_id, F.lit("#"), F.substring(F.md5(name), 1, 8)).alias("store_id"),
+    )
+
+
+def price_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(override, default) price entries: full names, name families and provider-bound names."""
+    p, k = models(spark, sf_dir), F.substring("model_id", 2, 20).cast("bigint")
+    family, brand = F.substring_index("name", "-", 2), F.substring_index("name", "-", 1)
+    key = F.when(k % 4 == 0, F.col("name")).when(k % 4 == 1, family).when(k % 4 == 2, F.concat_ws("/", "provider", "name")).otherwise(brand)
+    rows = (
+        p.select(key.alias("key"), (k % 4 >= 2).alias("over"), k.alias("k"))
+        .groupBy("key", "over")
+        .agg((F.min("k") % 90 / 10 + 0.1).alias("input_per_m"), (F.max("k") % 90 / 2 + 0.5).alias("output_per_m"))
+        .withColumn("batch_discount", F.lit(0.5))
+    )
+    return rows.where("over").drop("over"), rows.where(~F.col("over")).drop("over")
+
+
+def model_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References as users write them, one per customer, in five forms."""
+    m = models(spark, sf_dir)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    d = c.withColumn("model_id", F.concat(F.lit("m"), F.col("k").cast("string"))).join(m, "model_id")
+    ref = (
+        F.when(F.col("k") % 5 == 0, F.col("model_id"))
+        .when(F.col("k") % 5 == 1, F.concat_ws("/", "provider", "model_id"))
+        .when(F.col("k") % 5 == 2, F.concat_ws("/", "provider", "name"))
+        .when(F.col("k") % 5 == 3, F.col("name"))
+        .otherwise(F.concat(F.lit("unknown-"), F.col("k").cast("string")))
+    )
+    return d.select("k", ref.alias("ref"))
+
+
+def asked_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run ids as typed: whole, prefixes of three letters and more, and some that do not exist."""
+    k = F.col("c_custkey")
+    h = F.md5(F.concat(F.lit("run:"), k.cast("string")))
+    text = F.when(k % 11 == 0, h).when(k % 13 == 0, F.concat(F.lit("zz"), h)).otherwise(F.expr("substring(_h, 1, 3 + cast(c_custkey % 6 as int))"))
+    return table(spark, sf_dir, "customer").withColumn("_h", h).select(text.alias("prefix")).distinct()
+
+
+def plan_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with the configuration each customer asks for; one row per repeat."""
+    c = table(spark, sf_dir, "customer")
+    seg, n, k = F.col("c_mktsegment"), F.col("c_nationkey"), F.col("c_custkey")
+    d = c.select(
+        k.alias("k"),
+        F.concat(F.lit("m"), k.cast("string")).alias("model_id"),
+        F.when(seg == "BUILDING", "low").when(seg == "AUTOMOBILE", "high").when(seg == "HOUSEHOLD", "off").when(seg == "FURNITURE", "xhigh").alias("effort"),
+        F.when(n % 2 == 1, F.lit(0.7)).alias("temperature"),
+        F.when(n % 3 == 0, F.lit(3)).alias("n_samples"),
+        F.lit(None).cast("int").alias("top_logprobs"),
+        F.when(n == 5, F.lit(5000)).alias("max_output_tokens"),
+        _pick(["auto", "logprobs", "sample", "greedy"], n).alias("requested"),
+        F.when(n % 2 == 0, F.lit("Answer in one word.")).alias("system_prompt"),
+        (k % 17 == 0).alias("forced_thinking"),
+        F.explode(F.sequence(F.lit(0), n % 3)).alias("repeat_idx"),
+    )
+    d = d.join(models(spark, sf_dir), "model_id")
+    prov = F.col("provider")
+    return d.withColumns(
+        {
+            "position": F.col("k") * 10 + F.col("repeat_idx"),
+            "label": F.concat(F.col("model_id"), F.lit("#"), F.col("repeat_idx").cast("string")),
+            "cell_hash": F.md5(F.concat_ws(":", F.lit("h"), (F.col("k") % N_MODELS_IN_LOG).cast("string"), F.col("repeat_idx").cast("string"))),
+            "has_logprobs": F.when(prov.isin("p0", "p1", "p2"), True).when(prov.isin("p3", "p4"), False),
+            "top_logprobs_cap": F.when(prov == "p1", F.lit(5)),
+            "use_batch": prov == "p2",
+            "thinking": F.col("forced_thinking") | (F.col("effort").isNotNull() & (F.col("effort") != "off")),
+            "spec_temperature": F.lit(1.0),
+            "spec_n_samples": F.lit(4),
+        }
+    )
+
+
+def calls_of(e: DataFrame) -> DataFrame:
+    """Calls with provider, outcome and tokens from events, batch or stream."""
+    return e.select(
+        F.concat(F.lit("r"), (F.col("user_id") % 8).cast("string")).alias("run_id"),
+        F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")).alias("provider"),
+        "ts",
+        F.col("event_id").alias("seq"),
+        (F.col("event_type") != "error").alias("ok"),
+        (F.lit(52) + F.col("event_id") % 9 + F.col("event_id") % 5).alias("tokens"),
+    )
