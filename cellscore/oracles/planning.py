@@ -136,6 +136,7 @@ from asked left join (select prefix, count(*) as n, min(run_id) as m, count(*) f
         "rlog",
     ),
     "price_table": sql("select * from prices", "prices", r="input_per_m output_per_m batch_discount"),
+    "price_union": sql("select precedence, source, count(*) as n, count(distinct key) as n_keys from prices group by 1, 2", "prices"),
     "price_lookup": sql("select * from priced", "priced", r="input_per_m output_per_m batch_discount"),
     "effective_config": sql("select * from eff", "eff", r="temperature"),
     "work_plan": sql(

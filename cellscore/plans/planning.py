@@ -46,6 +46,12 @@ def price_table(spark, sf):
     return rounded(wl.price_table(*tb.price_rows(spark, sf)))
 
 
+def price_union(spark, sf):
+    """How many entries of each source the lookup goes through, in order of precedence."""
+    d = wl.price_table(*tb.price_rows(spark, sf))
+    return d.groupBy("precedence", "source").agg(F.count("*").alias("n"), F.countDistinct("key").alias("n_keys"))
+
+
 def price_lookup(spark, sf):
     d = wl.price_lookup(tb.models(spark, sf), wl.price_table(*tb.price_rows(spark, sf)))
     return rounded(d.select("model_id", "name", "input_per_m", "output_per_m", "batch_discount", "source"))
@@ -201,6 +207,7 @@ QUERIES = {
     "model_ref_resolve": model_ref_resolve,
     "run_prefix_resolve": run_prefix_resolve,
     "price_table": price_table,
+    "price_union": price_union,
     "price_lookup": price_lookup,
     "effective_config": effective_config,
     "work_plan": work_plan,
