@@ -31,12 +31,17 @@ def half_cell(placement: str) -> float:
     return 0.5 if placement == CELL_CENTER else 0.0
 
 
+def round9(x: Column) -> Column:
+    """Nine decimals, no -0.0 (in doubles; ``round`` would go through decimals row by row)."""
+    return F.rint(x * 1e9) / 1e9 + F.lit(0.0)
+
+
 def row_lat(r: Column, step: float, placement: str = CELL_CENTER) -> Column:
-    return F.round(F.lit(90.0) - (r + F.lit(half_cell(placement))) * step, 9) + F.lit(0.0)
+    return round9(F.lit(90.0) - (r + F.lit(half_cell(placement))) * step)
 
 
 def col_lon(c: Column, step: float, placement: str = CELL_CENTER) -> Column:
-    return F.round(F.lit(-180.0) + (c + F.lit(half_cell(placement))) * step, 9) + F.lit(0.0)
+    return round9(F.lit(-180.0) + (c + F.lit(half_cell(placement))) * step)
 
 
 def cos_weight(lat: Column) -> Column:
@@ -80,12 +85,11 @@ def block_id(lat: Column, lon: Column, block: float = 10.0) -> Column:
 def cell_bounds(lat: Column, lon: Column, step: float, placement: str = CELL_CENTER) -> dict[str, Column]:
     """west, south, east, north of the cell of a point; latitudes clipped, longitudes not wrapped."""
     back = step * half_cell(placement)  # a corner point is the north-west corner
-    tidy = lambda x: F.round(x, 9) + F.lit(0.0)
     return {
-        "west": tidy(lon - back),
-        "south": tidy(F.greatest(F.lit(-90.0), lat - (step - back))),
-        "east": tidy(lon + (step - back)),
-        "north": tidy(F.least(F.lit(90.0), lat + back)),
+        "west": round9(lon - back),
+        "south": round9(F.greatest(F.lit(-90.0), lat - (step - back))),
+        "east": round9(lon + (step - back)),
+        "north": round9(F.least(F.lit(90.0), lat + back)),
     }
 
 

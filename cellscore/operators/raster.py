@@ -152,7 +152,8 @@ def nearest_distance(
 
     types = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
     schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "r", "c"]) + ", distance double"
-    found = both.groupBy(*keys, "r").applyInPandas(row_pass, schema)
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: keep all tasks
+    found = both.repartition(parts, *keys, "r").groupBy(*keys, "r").applyInPandas(row_pass, schema)
     return found.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
 
 

@@ -14,7 +14,7 @@ from cellscore.operators import truth as tr
 from cellscore.operators import uncertainty as un
 from cellscore.operators.regions import region_accuracy
 from cellscore.plans.masks import SHAPE, mask_rle
-from cellscore.plans.scoring import flags
+from cellscore.plans.scoring import flags, kept_flags, kept_points
 from cellscore.session import cut_lineage
 from cellscore.sources import masks as mk
 from cellscore.sources import testbed as tb
@@ -94,14 +94,14 @@ def boundary_cells(spark, sf):
 
 def distance_transform(spark, sf):
     """Distance of every evaluated cell to the predicted coast of its run."""
-    f = flags(spark, sf)
+    f = kept_flags(spark, sf)
     b = ra.boundary_cells(f.where("valid"), ["run_id"], "pred_land", 90)
     d = ra.nearest_distance(f, b, ["run_id"], geo.grid_dims(tb.STEP), tb.STEP, tb.STEP)
     return rounded(d)
 
 
 def coastline_error(spark, sf):
-    return rounded(ra.coastline_error(flags(spark, sf), tb.STEP))
+    return rounded(ra.coastline_error(kept_flags(spark, sf), tb.STEP))
 
 
 def boundaries(spark: SparkSession, sf: str, g: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,7 @@ def pixel_iou_dice(spark, sf):
 
 
 def ssim(spark, sf):
-    return rounded(ra.ssim(_prob_with_truth(spark, sf), SHAPE))
+    return rounded(ra.ssim(_prob_with_truth(spark, sf, cut_lineage(grids(spark, sf))), SHAPE))
 
 
 def _rmse(spark, sf, g=None):
@@ -247,9 +247,7 @@ def image_metrics(spark, sf):
 
 def score_all(spark, sf):
     """Stored record per run at two thresholds: cell scores, interval, regions as counts, coast, partial."""
-    p = tb.points(
-        spark, sf, "p_land", "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens"
-    )
+    p = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
     fp = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE).select("mask_hash")
     out = None
     for t in (0.5, 0.7):

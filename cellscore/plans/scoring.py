@@ -9,6 +9,7 @@ from cellscore.functions import geo
 from cellscore.functions.common import rounded
 from cellscore.operators import regions as rg
 from cellscore.operators import score as sc
+from cellscore.session import cut_lineage
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import cells_of
 
@@ -19,6 +20,15 @@ def flags(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
     return sc.point_flags(tb.points(spark, sf, "p_land", *payload))
 
 
+def kept_points(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
+    """Points written once, for jobs that pass over them several times: the log is read once."""
+    return cut_lineage(tb.points(spark, sf, "p_land", *payload))
+
+
+def kept_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return sc.point_flags(kept_points(spark, sf))
+
+
 def accuracy_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: runs by area-weighted accuracy, with skill over the all-water answer."""
     d = sc.metrics_by(flags(spark, sf), ["run_id"], ["acc_area", "baseline_area", "skill", "n_points"])
@@ -58,14 +68,12 @@ def is_probabilistic(spark, sf):
 
 
 def volume_latency(spark, sf):
-    p = tb.points(spark, sf, "p_land", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
+    p = kept_points(spark, sf, "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
     return rounded(sc.volume_latency(p))
 
 
 def cell_metrics(spark, sf):
-    p = tb.points(
-        spark, sf, "p_land", "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens"
-    )
+    p = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
     d = sc.cell_metrics(p, tb.runs(spark))
     n_bins = F.when(F.col("calibration_bins").isNotNull(), F.size("calibration_bins"))
     return rounded(d.withColumn("n_calibration_bins", n_bins).drop("calibration_bins"))
@@ -137,7 +145,7 @@ def repeat_spread(spark, sf):
 
 
 def run_health(spark, sf):
-    p = tb.points(spark, sf, "p_land", "error", "finish_reason", "validity_mass", "latency_s")
+    p = kept_points(spark, sf, "error", "finish_reason", "validity_mass", "latency_s")
     return rounded(sc.run_health(p))
 
 

@@ -10,18 +10,18 @@ from cellscore.functions.common import rounded
 from cellscore.operators import compare as cp
 from cellscore.operators import score as sc
 from cellscore.operators import uncertainty as un
-from cellscore.plans.scoring import flags
+from cellscore.plans.scoring import flags, kept_flags, kept_points
 from cellscore.sources import testbed as tb
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
+def scores(spark: SparkSession, sf: str, f: DataFrame | None = None) -> DataFrame:
     """comparison, run_id, acc_area for every member of every comparison."""
-    acc = sc.metrics_by(flags(spark, sf), ["run_id"], ["acc_area"])
+    acc = sc.metrics_by(flags(spark, sf) if f is None else f, ["run_id"], ["acc_area"])
     return tb.comparison_runs(spark).join(acc, "run_id", "left")
 
 
-def report_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = un.ranked_runs(scores(spark, sf).where(F.col("comparison") == "all"))
+def report_pairs(spark: SparkSession, sf: str, f: DataFrame | None = None) -> DataFrame:
+    ranked = un.ranked_runs(scores(spark, sf, f).where(F.col("comparison") == "all"))
     return cp.top_pairs(ranked).select("run_a", "run_b")
 
 
@@ -60,22 +60,25 @@ def bootstrap_median_confidence(spark, sf):
 
 
 def paired_align(spark, sf):
-    return un.paired_align(flags(spark, sf), report_pairs(spark, sf))
+    f = kept_flags(spark, sf)
+    return un.paired_align(f, report_pairs(spark, sf, f))
 
 
 def paired_difference(spark, sf):
-    d = un.paired_difference(flags(spark, sf), report_pairs(spark, sf))
+    f = kept_flags(spark, sf)
+    d = un.paired_difference(f, report_pairs(spark, sf, f))
     return rounded(d.drop("error"))
 
 
 def pair_matrix(spark, sf):
-    d = un.pair_matrix(un.paired_difference(flags(spark, sf), report_pairs(spark, sf)))
+    f = kept_flags(spark, sf)
+    d = un.pair_matrix(un.paired_difference(f, report_pairs(spark, sf, f)))
     return rounded(d.drop("error"))
 
 
-def _ranks(spark, sf):
-    f = flags(spark, sf)
-    return un.rank_with_ties(scores(spark, sf), lambda p: un.paired_difference(f, p))
+def _ranks(spark, sf, f=None):
+    f = kept_flags(spark, sf) if f is None else f
+    return un.rank_with_ties(scores(spark, sf, f), lambda p: un.paired_difference(f, p))
 
 
 def rank_with_ties(spark, sf):
@@ -83,12 +86,10 @@ def rank_with_ties(spark, sf):
 
 
 def leaderboard(spark, sf):
-    p = tb.points(
-        spark, sf, "p_land", "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens"
-    )
+    p = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
     ci = un.block_bootstrap_ci(sc.point_flags(p)).select("run_id", "lo", "hi")
     m = sc.cell_metrics(p, tb.runs(spark)).join(ci, "run_id").join(tb.run_costs(spark, sf), "run_id", "left")
-    d = cp.leaderboard(_ranks(spark, sf), m, cp.with_variant(tb.runs(spark)))
+    d = cp.leaderboard(_ranks(spark, sf, sc.point_flags(p)), m, cp.with_variant(tb.runs(spark)))
     return rounded(
         d.select(
             "comparison", "run_id", "label", "vendor", "rank_label", "acc_area", "lo", "hi", "acc_valid_only",
@@ -111,25 +112,27 @@ def leaderboard_filters(spark, sf):
 
 
 def diff_pairs_topk(spark, sf):
-    f = flags(spark, sf)
-    pairs = report_pairs(spark, sf)
+    f = kept_flags(spark, sf)
+    pairs = report_pairs(spark, sf, f)
     stats = cp.disagreement(cp.disagreement_rows(f, pairs))
     d = un.paired_difference(f, pairs).drop("error").join(stats, ["run_a", "run_b"], "left")
     return rounded(d.drop("acc_a", "acc_b"))
 
 
 def disagreement(spark, sf):
-    f = flags(spark, sf)
-    return rounded(cp.disagreement(cp.disagreement_rows(f, report_pairs(spark, sf))))
+    f = kept_flags(spark, sf)
+    return rounded(cp.disagreement(cp.disagreement_rows(f, report_pairs(spark, sf, f))))
 
 
 def disagreement_map(spark, sf):
-    rows = cp.disagreement_rows(flags(spark, sf), report_pairs(spark, sf))
+    f = kept_flags(spark, sf)
+    rows = cp.disagreement_rows(f, report_pairs(spark, sf, f))
     return rows.select("run_a", "run_b", "idx", "cell_class")
 
 
 def points_common(spark, sf):
-    return un.pair_rows(flags(spark, sf), report_pairs(spark, sf), []).select("run_a", "run_b", "idx")
+    f = kept_flags(spark, sf)
+    return un.pair_rows(f, report_pairs(spark, sf, f), []).select("run_a", "run_b", "idx")
 
 
 def pareto_frontier(spark, sf):
