@@ -169,9 +169,8 @@ def landmass_iou(
     hit = best.select("run_id", "label", F.col("b.label_a").alias("label_a"), F.col("b.w").alias("wi")).join(
         size, ["run_id", "label_a"]
     )
-    every = masses.select("label", "name", F.col("weight").alias("wt"), F.lit(1).alias("_one")).join(
-        runs.select("run_id", F.lit(1).alias("_one")), "_one"  # a dozen landmasses a run
-    )
+    few = F.broadcast(masses.select("label", "name", F.col("weight").alias("wt")))  # MAX_LANDMASSES rows at most
+    every = runs.select("run_id").crossJoin(few)
     d = every.join(hit, ["run_id", "label"], "left")
     iou = safe_div(F.col("wi"), F.col("wt") + F.col("wp") - F.col("wi"))
     return d.select("run_id", "name", F.coalesce(iou, F.lit(0.0)).alias("iou"))

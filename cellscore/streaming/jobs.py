@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cellscore.functions.common import bucketed_running_sum, count_if
-from cellscore.operators.points_log import latest_points
 
 
 def read_table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 100) -> DataFrame:
