@@ -165,7 +165,8 @@ def coastline_error(flags: DataFrame, step: float, placement: str = geo.CELL_CEN
     pred = boundary_cells(d.where("valid"), ["run_id"], "pred_land", shape[1])
     true = boundary_cells(d.where("known"), ["run_id"], "t_land", shape[1])
     dist = nearest_distance(pred, true, ["run_id"], shape, step, step)
-    return dist.groupBy("run_id").agg(F.avg("distance").alias("coastline_error_deg"))
+    mean = dist.groupBy("run_id").agg(F.avg("distance").alias("coastline_error_deg"))
+    return flags.select("run_id").distinct().join(mean, "run_id", "left")  # NULL without either boundary
 
 
 def boundary_scores(

@@ -213,8 +213,8 @@ COVER = "select run_id, count(*) filter (valid) / 4050 as coverage from fl group
 
 
 def coast(flags: str) -> str:
-    return f"""select run_id, avg(d) as coastline_error_deg from (
-select a.run_id, a.r, a.c, {NEAR} as d from {flags[0]} a join {flags[1]} b on a.run_id = b.run_id group by 1, 2, 3) group by 1"""
+    return f"""select run_id, coastline_error_deg from (select distinct run_id from fl) left join (select run_id, avg(d) as coastline_error_deg from (
+select a.run_id, a.r, a.c, {NEAR} as d from {flags[0]} a join {flags[1]} b on a.run_id = b.run_id group by 1, 2, 3) group by 1) using (run_id)"""
 
 
 cte("fl7", """select * replace (coalesce(p_land > 0.7, false) as pred_land, coalesce(p_land is not null and (p_land > 0.7) = (truth = 1), false) as correct) from fl""", "fl")
@@ -227,8 +227,8 @@ cte("regmin", "select run_id, count(*) as n_regions, min(acc) as worst_region_ac
 cte("reg7", f"""select run_id, count(*) as n_regions, min(acc) as worst_region_acc from (
  select run_id, region, sum(w * (case when coalesce(p_land is not null and (p_land > 0.7) = (truth = 1), false) then 1 else 0 end)) / sum(w) as acc
  from labelled where known group by 1, 2 having sum(w) > 0) group by 1""", "labelled")
-cte("coast5", coast(("gpb", "gtb")), "gpb", "gtb")
-cte("coast7", coast(("gpb7", "gtb")), "gpb7", "gtb")
+cte("coast5", coast(("gpb", "gtb")), "gpb", "gtb", "fl")
+cte("coast7", coast(("gpb7", "gtb")), "gpb7", "gtb", "fl")
 PLAIN = [n for n in scoring.M if n not in ("brier", "log_loss")]
 
 
