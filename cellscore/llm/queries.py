@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from cellscore.llm.decontaminate import op8_benchmark_decontamination
 from cellscore.llm.jaccard import op7_ngram_jaccard_join
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
