@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from cellscore.llm.bpe import op1_byte_bpe
 from cellscore.llm.decontaminate import op8_benchmark_decontamination
 from cellscore.llm.jaccard import op7_ngram_jaccard_join
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_ngram_jaccard_join, op8_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
