@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from cellscore.llm.bpe import op1_byte_bpe
 from cellscore.llm.decontaminate import op8_benchmark_decontamination
+from cellscore.llm.exact import op10_exact_dedup
 from cellscore.llm.jaccard import op7_ngram_jaccard_join
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_ngram_jaccard_join, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
