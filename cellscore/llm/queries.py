@@ -6,6 +6,7 @@ from cellscore.llm.bpe import op1_byte_bpe
 from cellscore.llm.decontaminate import op8_benchmark_decontamination
 from cellscore.llm.exact import op10_exact_dedup
 from cellscore.llm.jaccard import op7_ngram_jaccard_join
+from cellscore.llm.repair import op3_token_id_repair
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_id_repair, op7_ngram_jaccard_join, op8_benchmark_decontamination, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
