@@ -6,8 +6,9 @@ from cellscore.llm.bpe import op1_byte_bpe
 from cellscore.llm.decontaminate import op8_benchmark_decontamination
 from cellscore.llm.exact import op10_exact_dedup
 from cellscore.llm.jaccard import op7_ngram_jaccard_join
+from cellscore.llm.licenses import op4_license_scan
 from cellscore.llm.lines import op9_line_templates
 from cellscore.llm.repair import op3_token_id_repair
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_id_repair, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_line_templates, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_id_repair, op4_license_scan, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_line_templates, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
