@@ -66,7 +66,7 @@ def gram_order(docs: DataFrame, n: int) -> np.ndarray:
         for batch in slices(batches):
             words = Words(batch.column("text"), SPACE)
             grams, whole = words.shingles(n)
-            total += np.bincount(bucket_of(grams[whole]).astype(np.int64), minlength=BUCKETS)
+            np.add.at(total, bucket_of(grams[whole]), 1)
         for chunk in np.flatnonzero(total.reshape(-1, CHUNK).any(axis=1)).tolist():
             part = pa.array([total[chunk * CHUNK : (chunk + 1) * CHUNK]], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), part], ["chunk", "counts"])
@@ -147,8 +147,10 @@ def suffix_bound(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough. Only texts in ``pairs`` are exchanged."""
+    pairs = written(pairs, "pairs")
+    sets = written(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "sets")
     b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     both = b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb"))
@@ -187,7 +189,6 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     postings = reps.select("id", "size", F.posexplode("prefix").alias("at", "gram"))
     common = postings.groupBy("gram").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("gram", "lead")
     postings = written(postings.join(common, "gram"), "postings")
-    sets = written(sets_of(docs, postings.select("id").distinct(), n), "sets")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Length and suffix filters; adds both sizes."""
@@ -197,7 +198,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         return pairs.where(fits)
 
     near = sized(postings.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    first = written(verified(near.select("a", "b"), sets, percent), "links")
+    first = written(verified(docs, near.select("a", "b"), n, percent), "links")
     roots = components(first)
 
     placed = postings.join(roots, "id", "left").select("id", "size", "gram", "at", F.coalesce("root", "id").alias("comp"))
@@ -211,7 +212,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     cross = cross.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
     left_over = 1 + F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib"))
     cross = cross.where(enough(left_over, F.col("na"), F.col("nb"), percent)).select("a", "b")
-    second = verified(sized(cross).select("a", "b"), sets, percent)
+    second = verified(docs, sized(cross).select("a", "b"), n, percent)
     roots = components(first.unionByName(second))
 
     member = classes.join(roots, "id", "left").select("s1", "s2", "size", F.coalesce("root", "id").alias("component_id"))
