@@ -6,13 +6,15 @@ a slice at once. Hashes are 64 bits wide: rows of ``TABLE`` weighted by powers o
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +76,25 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray], None], chunk: int = 1 << 12) -> np.ndarray:
+    """``size`` counters over all rows of ``df``: each task lets ``count`` add its slices to a vector of its own, and
+    the vectors are summed in chunks. Only the sums come to the driver."""
+
+    def run(batches):
+        total = np.zeros(size, dtype=np.int64)
+        for batch in slices(batches):
+            count(batch, total)
+        for k in range(0, size, chunk):
+            if total[k : k + chunk].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + chunk]], pa.list_(pa.int64()))], ["k", "counts"])
+
+    spread = df.mapInArrow(run, "k int, counts array<bigint>").repartition("k").select("k", F.posexplode("counts").alias("at", "n"))
+    rows = spread.groupBy("k", "at").agg(F.sum("n").alias("n")).where("n > 0").select((F.col("k") + F.col("at")).alias("at"), "n").toArrow()
+    total = np.zeros(size, dtype=np.int64)
+    total[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return total
+
+
 class Words:
     """All words of a column of texts, A-Z lower-cased.
 

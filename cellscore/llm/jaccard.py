@@ -32,11 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellscore.llm.arrow import SPACE, Words, mix, sequence_hash, slices
+from cellscore.llm.arrow import SPACE, Words, mix, sequence_hash, slices, summed
 from cellscore.llm.store import read_table, written
 
 BUCKETS = 1 << 20
-CHUNK = 1 << 12
 PARTS = 16
 
 
@@ -61,23 +60,12 @@ def bucket_of(grams: np.ndarray) -> np.ndarray:
 def gram_order(docs: DataFrame, n: int) -> np.ndarray:
     """How often each bucket's n-grams occur in the whole corpus: 8 log2(count), at most 255."""
 
-    def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in slices(batches):
-            words = Words(batch.column("text"), SPACE)
-            grams, whole = words.shingles(n)
-            np.add.at(total, bucket_of(grams[whole]), 1)
-        for chunk in np.flatnonzero(total.reshape(-1, CHUNK).any(axis=1)).tolist():
-            part = pa.array([total[chunk * CHUNK : (chunk + 1) * CHUNK]], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), part], ["chunk", "counts"])
-
-    counts = docs.select("text").mapInArrow(count, "chunk int, counts array<bigint>")
-    spread = counts.repartition("chunk").select("chunk", F.posexplode("counts").alias("at", "n"))
-    got = spread.groupBy("chunk", "at").agg(F.sum("n").alias("n")).where("n > 0")
-    rows = got.select((F.col("chunk") * CHUNK + F.col("at")).alias("b"), F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("short").alias("o")).toArrow()
-    order = np.zeros(BUCKETS, dtype=np.uint8)  # at most BUCKETS rows come here
-    order[rows["b"].to_numpy()] = rows["o"].to_numpy()
-    return order
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        grams, whole = Words(batch.column("text"), SPACE).shingles(n)
+        np.add.at(total, bucket_of(grams[whole]), 1)
+
+    total = summed(docs.select("text"), BUCKETS, count)
+    return np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
 
 
 def signatures(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:

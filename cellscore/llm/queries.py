@@ -11,6 +11,7 @@ from cellscore.llm.lines import op9_line_templates
 from cellscore.llm.pii import op6_personal_data
 from cellscore.llm.quality import op5_quality_crf
 from cellscore.llm.repair import op3_token_id_repair
+from cellscore.llm.secrets import op2_secret_forest
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_id_repair, op4_license_scan, op5_quality_crf, op6_personal_data, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_line_templates, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_secret_forest, op3_token_id_repair, op4_license_scan, op5_quality_crf, op6_personal_data, op7_ngram_jaccard_join, op8_benchmark_decontamination, op9_line_templates, op10_exact_dedup)}
 ORACLES: dict[str, str] = {}
