@@ -96,15 +96,15 @@ def summed(df: DataFrame, size: int, count: Callable[[pa.RecordBatch, np.ndarray
 
 
 class Words:
-    """All words of a column of texts, A-Z lower-cased.
+    """All words of a column of texts, A-Z lower-cased (or as ``fold`` maps bytes).
 
     ``hash``: of each word; ``first``: index of each text's first word, with the end; ``start``, ``end``: bytes.
     """
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray):
+    def __init__(self, texts: pa.Array, separators: np.ndarray, fold: np.ndarray = LOWER):
         data, off = flat(texts)
         n = len(data)
-        low = LOWER[data]
+        low = fold[data]
         inside = ~separators[low]
         before = np.empty(n, dtype=bool)
         after = np.empty(n, dtype=bool)
@@ -121,7 +121,7 @@ class Words:
         np.cumsum(TABLE[low] * _powers[:n], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * _inverses[self.start])
         self.first = np.searchsorted(self.start, off)
-        self.low, self.off = low, off
+        self.data, self.off = data, off
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -1,6 +1,6 @@
 """Token-id output compressed by a Re-Pair grammar per shard, with random access.
 
-Documents are put in ascending doc_id order, their ids (with an end id after each) cut into shards of about
+Documents are put in ascending doc_id order, their ids (with an end id after each) cut into shards of at least
 ``SHARD_IDS`` ids, and in each shard frequent neighbouring pairs are replaced by nonterminals, again and again, until
 no pair is frequent or ``ROUNDS`` is reached. A pair never spans two documents, so each document is a stretch of the
 compressed sequence. Rules and the number of ids that each nonterminal stands for are stored with it, so a stretch of
@@ -17,6 +17,7 @@ columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import cache
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellscore.llm.arrow import slices
+from cellscore.llm.arrow import SPACE, Words, slices
 from cellscore.llm.store import read_table, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,14 +35,42 @@ END_ID = 1
 SHARD_IDS = 1 << 19
 ROUNDS = 6
 LEAST = 6
-TABLE = 1 << 20
+TABLE = 1 << 18
 MAGIC = 0x31505252
-REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 48
+REMEMBERED, RECENT, TOGETHER = 2_000_000, 100_000, 500
+SALT = np.uint64(0x632BE59BD9B4E019)
+SAME = np.arange(256, dtype=np.uint8)
+#: A piece that is a word of letters below U+0250 (whose lower case and normal form are single steps), already in lower
+#: case, with symbols behind it; or anything else.
+SPLIT = re.compile(r"""^(?:([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)|.*)$""", re.MULTILINE).findall
 
 
-class WordEncoder(dict):
-    """A piece between spaces -> its ids as 16 or 32-bit integers, by the tokenizers library. No token spans a space and
-    none depends on what lies beyond one, so pieces seen before need not be encoded again."""
+class Known:
+    """Sorted piece hashes with the place and number of their ids in a pool."""
+
+    def __init__(self):
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each of the sorted ``keys``, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return i, self.keys[i] == keys
+
+    def add(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        keys, at, n = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.n, n)))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at, self.n = keys[order], at[order], n[order]
+
+
+class WordEncoder:
+    """Ids of whole columns of texts, by the tokenizers library.
+
+    No token spans ASCII white space and none depends on what lies beyond it, so texts are cut there and a piece that
+    was seen before (known by its 64-bit hash, A-Z lower-cased) is not encoded again. Pieces of plain letters with
+    symbols behind them are encoded many in a call and told apart by the tokens that end a word or a run of symbols.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,23 +78,81 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self[""] = b""
-
-    def learn(self, pieces: list[str]) -> None:
-        if len(self) + len(pieces) > REMEMBERED:
-            self.clear()
-            self[""] = b""
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else () for t in texts]
-        new = {p for s in split for p in s if p not in self}
-        self.learn([p for p in new if len(p) <= LONGEST_REMEMBERED])
-        long = {p: np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in new if len(p) > LONGEST_REMEMBERED}
-        if long:
-            return [b"".join([self[p] if p in self else long[p] for p in s]) for s in split]
-        return [b"".join(map(self.__getitem__, s)) for s in split]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.terminals = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(self.terminals, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.old, self.new = Known(), Known()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        parts: list[np.ndarray] = []
+        sizes = np.zeros(len(pieces), np.int64)
+        kinds = SPLIT("\n".join(pieces).lower())
+        units = np.array([bool(w) + bool(m) for w, m in kinds] if len(kinds) == len(pieces) else [0] * len(pieces))
+        plain, order = np.flatnonzero(units), []
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for g, ids in zip(groups, self._whole([" ".join([pieces[i] for i in g.tolist()]) for g in groups])):
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(units[g])
+            if len(ends) == last[-1]:
+                sizes[g] = np.diff(ends[last - 1], prepend=0)
+                parts.append(ids)
+                order.append(g)
+            else:
+                units[g] = 0
+        odd = np.flatnonzero(units == 0)
+        single = self._whole([pieces[i] for i in odd.tolist()]) if len(odd) else []
+        sizes[odd] = [len(x) for x in single]
+        ids, order = np.concatenate([*parts, *single, np.zeros(0, np.uint32)]), np.concatenate([*order, odd])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        at = np.empty(len(pieces), np.int64)
+        at[order] = self.used + np.cumsum(sizes[order]) - sizes[order]
+        self.used += len(ids)
+        if len(self.new.keys) > RECENT:
+            self.old.add(self.new.keys, self.new.at, self.new.n)
+            self.new = Known()
+        self.new.add(keys, at, sizes)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with ``end`` behind it, and how many each has."""
+        words = Words(texts, SPACE)
+        keys, data = words.hash, words.data
+        wide = (data > 0xC9) | ((data == 0xC9) & (np.append(data[1:], 0) >= 0x90)) if len(data) else np.zeros(0, bool)
+        if wide.any():  # there, case is the library's business
+            some = np.concatenate(([0], np.cumsum(wide)))
+            keys = np.where(some[words.end] > some[words.start], Words(texts, SPACE, SAME).hash ^ SALT, keys)
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.old.keys) + len(self.new.keys) + len(keys) > REMEMBERED:
+            self._forget()
+        unseen = np.flatnonzero(~(self.old.find(keys)[1] | self.new.find(keys)[1]))
+        if len(unseen):
+            raw = data.tobytes()
+            self._learn(keys[unseen], [raw[s:e].decode("utf-8") for s, e in zip(words.start[first[unseen]].tolist(), words.end[first[unseen]].tolist())])
+        at, n = np.zeros(len(keys) + 1, np.int64), np.zeros(len(keys) + 1, np.int64)
+        for known in (self.old, self.new):
+            i, there = known.find(keys)
+            k = np.flatnonzero(there)
+            at[k], n[k] = known.at[i[k]], known.n[i[k]]
+        counts, first = words.counts(), words.first
+        if end is not None:
+            at[-1], n[-1] = len(self.pool), 1
+            inverse = np.insert(inverse, first[1:], len(keys))
+            counts, first = counts + 1, first + np.arange(len(first))
+        sizes = n[inverse]
+        before = np.concatenate(([0], np.cumsum(sizes)))
+        place = np.repeat(at[inverse] - before[:-1], sizes) + np.arange(before[-1])
+        ids = self.pool[np.minimum(place, len(self.pool) - 1)]
+        ids[place == len(self.pool)] = end or 0
+        return ids, np.diff(before[first])
 
 
 @cache
@@ -101,11 +188,17 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int =
         odd = (np.arange(len(at)) - group[np.cumsum(~joined) - 1]) & 1
         at, s = at[odd == 0], s[odd == 0]
         key = count[s] * TABLE + s
-        better = np.ones(len(at), dtype=bool)
-        touch = at[1:] == at[:-1] + 1
-        better[1:] &= ~touch | (key[1:] > key[:-1])
-        better[:-1] &= ~touch | (key[:-1] > key[1:])
-        at, s = at[better], s[better]
+        taken = np.zeros(len(x) + 1, dtype=bool)
+        for _ in range(2):  # the second time, places between those taken
+            better = np.ones(len(at), dtype=bool)
+            touch = at[1:] == at[:-1] + 1
+            better[1:] &= ~touch | (key[1:] > key[:-1])
+            better[:-1] &= ~touch | (key[:-1] > key[1:])
+            taken[at[better]] = True
+            free = ~(taken[at - 1] | taken[at] | taken[at + 1])
+            at, key = at[free], key[free]
+        at = np.flatnonzero(taken)
+        s = slot[at]
         used = np.bincount(s, minlength=TABLE)
         often = used[s] >= 3
         at, s = at[often], s[often]
@@ -179,30 +272,29 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     """Encodes ``docs`` (doc_id, text) and writes the shards, in ascending doc_id order, as a Parquet table at ``path``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    end = np.array([end_id], "<u4").tobytes()
 
-    def shard(part, number, doc_ids, parts, terminals):
-        sizes = [len(x) // 4 for x in parts]
+    def shard(part, number, doc_ids, sizes, held, terminals):
         starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
-        payload = pack(np.frombuffer(b"".join(parts), "<u4"), starts, terminals)
+        payload = pack(np.concatenate(held), starts, terminals)
         row = [pa.array([part], pa.int32()), pa.array([number], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([payload], pa.binary())]
         return pa.RecordBatch.from_arrays(row, ["part", "shard", "n_ids", "doc_ids", "payload"])
 
     def run(batches):
         encoder = _encoder(tokenizer)
-        terminals = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
-        part, number, doc_ids, held, size = 0, 0, [], [], 0
+        terminals = max(encoder.terminals, end_id + 1)
+        part, number, doc_ids, sizes, held, size = 0, 0, [], [], [], 0
         for batch in slices(batches):
             part = batch.column("part")[0].as_py()
-            for i, x in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                doc_ids.append(i)
-                held.append(x + end)
-                size += len(x) // 4 + 1
-                if size >= shard_ids:
-                    yield shard(part, number, doc_ids, held, terminals)
-                    number, doc_ids, held, size = number + 1, [], [], 0
+            ids, counts = encoder.encode(batch.column("text"), end_id)
+            doc_ids += batch.column("doc_id").to_pylist()
+            sizes += counts.tolist()
+            held.append(ids)
+            size += len(ids)
+            if size >= shard_ids:
+                yield shard(part, number, doc_ids, sizes, held, terminals)
+                number, doc_ids, sizes, held, size = number + 1, [], [], [], 0
         if doc_ids:
-            yield shard(part, number, doc_ids, held, terminals)
+            yield shard(part, number, doc_ids, sizes, held, terminals)
 
     ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(SHARD).parquet(path)

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -36,7 +37,10 @@ def got(df):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.characters(exclude_categories=("Cs",)), max_size=60) | st.text("ab '\n\t ̧́eéç,1Σς", max_size=80))
 def test_same_ids_as_the_library(text):
-    assert OWN.encode([text])[0] == ids(text).tobytes()
+    got, n = OWN.encode(pa.array([text, None, text]), 7)
+    want = [*ids(text).tolist(), 7]
+    assert got.tolist() == [*want, 7, *want] and n.tolist() == [len(want), 1, len(want)]
+    assert OWN.encode(pa.array([text]))[0].tolist() == want[:-1]
 
 
 @settings(max_examples=200, deadline=None)
