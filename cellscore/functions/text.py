@@ -14,7 +14,9 @@ ERROR_TEXT_MAX = 500
 MIN_LOGPROB = -745.0
 
 _P = "".join("\\" + ch if ch in "\\^]-[&~#" else ch for ch in PUNCTUATION)
-FIRST_WORD = rf"^[\s{_P}]*([^\s{_P}](?:\S*[^\s{_P}])?)"
+_W = r"\s\x1c-\x1f"
+# What separates words (any Unicode white space) and what marks thinking.
+FIRST_WORD = rf"(?U)^[{_W}{_P}]*([^{_W}{_P}](?:[^{_W}]*[^{_W}{_P}])?)"
 FINAL_MARK = r"(?is)^.*<\|channel\|>\s*final\s*<\|message\|>"
 ANY_MARK = r"(?i)<\|[a-z_]+\|>"
 UP_TO_CLOSE = rf"(?is)^.*</\s*(?:{THINK_TAGS})\s*>"
@@ -38,9 +40,9 @@ def parse_answer(text: Column) -> Column:
 def token_class(token: Column) -> Column:
     """Which answer a first token starts: at least two letters of it, or the word and punctuation."""
     t = F.lower(F.ltrim(token, F.lit(TOKEN_PREFIX)))
-    tail = rf"[\s{_P}]*"
-    return F.when(t.rlike(rf"^(la|lan|land{tail})$"), F.lit("land")).when(
-        t.rlike(rf"^(wa|wat|wate|water{tail})$"), F.lit("water")
+    tail = rf"[{_W}{_P}]*"
+    return F.when(t.rlike(rf"(?U)^(la|lan|land{tail})\z"), F.lit("land")).when(
+        t.rlike(rf"(?U)^(wa|wat|wate|water{tail})\z"), F.lit("water")
     )
 
 
@@ -49,32 +51,37 @@ def surface(piece: Column) -> Column:
     return F.translate(piece, "Ġ▁Ċ", "  \n")
 
 
-def _trimmed(x: Column) -> Column:
-    return F.regexp_replace(F.format_string("%.4f", x), r"\.?0+$", "")
+def _degrees(n: Column) -> Column:
+    """A count of 1/10000 degrees: whole degrees, and what is left without trailing zeros."""
+    rest = F.rtrim(F.lpad((n % 10_000).cast("string"), 4, "0"), F.lit("0"))
+    return F.concat(F.floor(n / 10_000), F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(F.lit("")), F.lit("°"))
 
 
-def signed_decimal(x: Column) -> Column:
-    """-12.0, 12.5, 0.0: at least one and at most four decimals."""
-    s = F.regexp_replace(F.format_string("%.4f", F.round(x, 4) + F.lit(0.0)), "0{1,3}$", "")
-    return F.when(F.round(x, 4) == 0, F.lit("0.0")).otherwise(s)
+def _sixtieths(n: Column) -> Column:
+    """A count of seconds of arc: degrees, minutes, seconds."""
+    return F.format_string("%d°%02d'%02d\"", F.floor(n / 3600), F.floor(n / 60) % 60, n % 60)
 
 
-def _letter(x: Column, pos: str, neg: str, is_lon: bool) -> Column:
-    a = F.round(F.abs(x), 4)
-    none = (a == 0) | (a == 180) if is_lon else a == 0
-    return F.when(none, F.lit("")).when(x > 0, F.lit(f" {pos}")).otherwise(F.lit(f" {neg}"))
+# Styles with a letter for the side: steps in a degree, and the text of a count of steps. Axes: letters, and the degrees
+# at which (besides 0) there is no side.
+LETTERED = {"hemisphere": (10_000, _degrees), "dms": (3_600, _sixtieths)}
+AXES = {"lat": ("N", "S", 0), "lon": ("E", "W", 180)}
 
 
-def _hemisphere(x: Column, pos: str, neg: str, is_lon: bool) -> Column:
-    return F.concat(_trimmed(F.round(F.abs(x), 4)), F.lit("°"), _letter(x, pos, neg, is_lon))
+def lettered(x: Column, axis: str, style: str) -> Column:
+    steps, show = LETTERED[style]
+    plus, minus, seam = AXES[axis]
+    n = F.rint(F.abs(x) * steps).cast("bigint")
+    side = F.when(n.isin(0, seam * steps), F.lit("")).when(x > 0, F.lit(" " + plus)).otherwise(F.lit(" " + minus))
+    return F.concat(show(n), side)
 
 
-def _dms(x: Column, pos: str, neg: str, is_lon: bool) -> Column:
-    total = F.rint(F.abs(x) * 3600).cast("bigint")
-    none = (total == 0) | (total == 180 * 3600) if is_lon else total == 0
-    letter = F.when(none, F.lit("")).when(x > 0, F.lit(f" {pos}")).otherwise(F.lit(f" {neg}"))
-    d, m, s = F.floor(total / 3600), F.floor(total / 60) % 60, total % 60
-    return F.concat(F.format_string("%d°%02d'%02d\"", d, m, s), letter)
+def signed_decimal(x: Column) -> Column:
+    """-12.0, 12.5, 0.0: at least one and at most four decimals, ties to even."""
+    n = F.rint(F.abs(x) * 10_000).cast("bigint")
+    rest = F.rtrim(F.lpad((n % 10_000).cast("string"), 4, "0"), F.lit("0"))
+    sign = F.when((x < 0) & (n > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, F.floor(n / 10_000), F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
 
 
 def wrapped_lon(lon: Column) -> Column:
@@ -84,25 +91,45 @@ def wrapped_lon(lon: Column) -> Column:
 
 def coordinate(lat: Column, lon: Column, fmt: Column) -> Column:
     """The point in one of the three styles; NULL for a latitude outside [-90, 90]."""
-    lo = wrapped_lon(lon)
-    text = (
-        F.when(fmt == "hemisphere", F.concat(_hemisphere(lat, "N", "S", False), F.lit(", "), _hemisphere(lo, "E", "W", True)))
-        .when(fmt == "signed_decimal", F.concat(signed_decimal(lat), F.lit(", "), signed_decimal(lo)))
-        .when(fmt == "dms", F.concat(_dms(lat, "N", "S", False), F.lit(", "), _dms(lo, "E", "W", True)))
-    )
-    return F.when(lat.between(-90, 90), text)
+    at = {"lat": lat, "lon": wrapped_lon(lon)}
+    pair = F.when(fmt == "signed_decimal", F.concat_ws(", ", *[signed_decimal(x) for x in at.values()]))
+    for style in LETTERED:
+        pair = pair.when(fmt == style, F.concat_ws(", ", *[lettered(x, axis, style) for axis, x in at.items()]))
+    return F.when(lat.between(-90, 90), pair)
+
+
+# A place in a template: nothing, or a fixed-point format with sign, width and 0 to 6 decimals.
+NUMBER = r"(?::([+]?)(0?)([0-9]{0,2})\.([0-6])f)?"
 
 
 def valid_template(template: Column) -> Column:
-    lat, lon = template.rlike(r"\{lat(:[^{}]*)?\}"), template.rlike(r"\{lon(:[^{}]*)?\}")
-    return template.rlike(r"\{coord\}") | (lat & lon)
+    """Whether the place is in it, and every {lat..} and {lon..} can be filled in."""
+    known = F.regexp_replace(template, r"\{(lat|lon)" + NUMBER + r"\}", "")
+    lat, lon = (template.rlike(r"\{" + axis + NUMBER + r"\}") for axis in ("lat", "lon"))
+    return (template.contains("{coord}") | (lat & lon)) & ~known.rlike(r"\{(lat|lon)[:!}]")
+
+
+def fixed(x: Column, sign: Column, zero: Column, width: Column, digits: Column) -> Column:
+    """A number with ``digits`` decimals (ties to even), padded to ``width`` with blanks or, with ``zero``, zeros."""
+    d = digits.cast("int")
+    text = F.lit(None).cast("string")
+    for k in range(7):
+        text = F.when(d == k, F.format_string(f"%.{k}f", F.abs(F.bround(x, k)))).otherwise(text)
+    mark = F.when(x < 0, F.lit("-")).when(sign == "+", F.lit("+")).otherwise(F.lit(""))
+    n = F.coalesce(width.try_cast("int"), F.lit(0))
+    gap = F.greatest(F.lit(0), n - F.length(text) - F.length(mark))
+    return F.when(zero == "0", F.concat(mark, F.repeat(F.lit("0"), gap), text)).otherwise(F.concat(F.repeat(F.lit(" "), gap), mark, text))
 
 
 def render_prompt(template: Column, lat: Column, lon: Column, fmt: Column) -> Column:
-    """Put the place into a template; {lat} and {lon} may carry a fixed-point format, .0f to .6f."""
-    out = F.replace(template, F.lit("{coord}"), coordinate(lat, lon, fmt))
-    for name, v in (("lat", lat), ("lon", lon)):
-        out = F.replace(out, F.lit("{" + name + "}"), signed_decimal(v))
-        for k in range(7):
-            out = F.replace(out, F.lit("{%s:.%df}" % (name, k)), F.format_string(f"%.{k}f", v))
-    return out
+    """Put the place into a valid template: the text is cut where one stands, and each is filled in by its format."""
+    parts = F.split(template, r"\{(?:coord|(?:lat|lon)" + NUMBER + r")\}", -1)
+    places = F.regexp_extract_all(template, F.lit(r"\{(?:coord|(?:lat|lon)" + NUMBER + r")\}"), F.lit(0))
+
+    def fill(p: Column) -> Column:
+        x = F.when(p.startswith("{lat"), lat).otherwise(lon)
+        spec = [F.regexp_extract(p, NUMBER + r"\}", k) for k in range(1, 5)]
+        plain = F.when(p.contains(":"), fixed(x, *spec)).otherwise(signed_decimal(x))
+        return F.when(p == "{coord}", coordinate(lat, lon, fmt)).when(p.isNotNull(), plain)
+
+    return F.array_join(F.zip_with(parts, places, lambda a, p: F.concat(a, F.coalesce(fill(p), F.lit("")))), "")

@@ -233,7 +233,7 @@ def batch_reconcile(requests: DataFrame, results: DataFrame) -> DataFrame:
     """Requests of a batch with their results; one without is an error. custom_id is p<idx>."""
     ask = requests.withColumn("custom_id", F.concat(F.lit("p"), F.col("idx").cast("string")))
     d = ask.join(results, ["run_id", "custom_id"], "left")
-    lost = F.when(F.col("result_id").isNull(), F.lit("missing from batch output"))
+    lost = F.when(F.col("result_id").isNull(), F.lit("no result in the batch"))
     return d.withColumn("error", F.coalesce("error", lost))
 
 

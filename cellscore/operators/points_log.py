@@ -75,8 +75,8 @@ def run_completion(latest: DataFrame, totals: DataFrame, max_failed: float = 0.0
     d = d.withColumn("n_missing", F.col("n_total") - F.col("n_done") - F.col("n_failed"))
     bad = (F.col("n_missing") > 0) | (F.col("n_failed") > F.col("n_total") * max_failed)
     note = (
-        F.when(bad, F.format_string("%d failed and %d missing points after retry; resume to retry", "n_failed", "n_missing"))
-        .when(F.col("n_failed") > 0, F.format_string("%d points errored after retry", "n_failed"))
+        F.when(bad, F.format_string("to be resumed: %d points with errors, %d without answer", "n_failed", "n_missing"))
+        .when(F.col("n_failed") > 0, F.format_string("points left with errors: %d", "n_failed"))
     )
     return d.withColumn("status", F.when(bad, F.lit("failed")).otherwise(F.lit("complete"))).withColumn("note", note)
 

@@ -17,10 +17,11 @@ def lst(values: list[str]) -> str:
 
 
 P = q(PUNCTUATION)
+SPACES = q("\u00a0\u2003\u2009\u3000\u2028\u0085")
 cte(
     "said",
     rf"""select text, final as final_text, case when first in ('land', 'water') then first end as answer from (
-select text, final, lower(list_filter(list_transform(string_split_regex(final, '\s+'), lambda w: trim(w, {P})), lambda w: w <> '')[1]) as first from (
+select text, final, lower(list_filter(list_transform(string_split_regex(translate(final, {SPACES}, '      '), '\s+'), lambda w: trim(w, {P})), lambda w: w <> '')[1]) as first from (
  select text, case when regexp_matches(t, '(?i)</\s*(think|thinking|reasoning)\s*>') then regexp_replace(t, '(?is)^.*</\s*(think|thinking|reasoning)\s*>', '')
   when not regexp_matches(t, '(?i)<\s*(think|thinking|reasoning)\s*>') then t end as final
  from (select text, case when text like '%<|channel|>final<|message|>%'
@@ -73,34 +74,50 @@ def only(mode: str, table: str) -> str:
     return sql(f"select {COLS} from resp join {table} using (event_id) where not bad and mode0 = '{mode}'", "resp", table, r="p_land validity_mass")
 
 
-def plain(x: str) -> str:
-    return rf"regexp_replace(printf('%.4f', round(abs({x}), 4)), '\.?0+$', '')"
+def rest(n: str) -> str:
+    return f"rtrim(printf('%04d', {n} % 10000), '0')"
 
 
-def letter(x: str, pos: str, neg: str, lon: bool) -> str:
-    zero = f"round(abs({x}), 4) in (0, 180)" if lon else f"round(abs({x}), 4) = 0"
-    return f"case when {zero} then '' when {x} > 0 then ' {pos}' else ' {neg}' end"
+def steps(x: str, n: int) -> str:
+    return f"round_even(abs({x}) * {n}, 0)::bigint"
 
 
-def hemi(x: str, pos: str, neg: str, lon: bool) -> str:
-    return f"{plain(x)} || '°' || {letter(x, pos, neg, lon)}"
+def signed(x: str) -> str:
+    n = steps(x, 10000)
+    return f"case when {x} < 0 and {n} > 0 then '-' else '' end || ({n} // 10000) || '.' || case {rest(n)} when '' then '0' else {rest(n)} end"
 
 
-def signed(x: str) -> str:
-    return f"case when round({x}, 4) = 0 then '0.0' else regexp_replace(printf('%.4f', {x}), '0{{1,3}}$', '') end"
+def lettered(x: str, style: str, plus: str, minus: str, seam: int) -> str:
+    if style == "dms":
+        n = steps(x, 3600)
+        text, whole = f"""printf('%d°%02d''%02d"', {n} // 3600, {n} // 60 % 60, {n} % 60)""", seam * 3600
+    else:
+        n = steps(x, 10000)
+        text, whole = f"({n} // 10000) || case {rest(n)} when '' then '' else '.' || {rest(n)} end || '°'", seam * 10000
+    return f"{text} || case when {n} in (0, {whole}) then '' when {x} > 0 then ' {plus}' else ' {minus}' end"
 
 
-def dms(x: str, pos: str, neg: str, lon: bool) -> str:
-    t = f"round_even(abs({x}) * 3600, 0)::bigint"
-    zero = f"{t} in (0, 648000)" if lon else f"{t} = 0"
-    return f"""printf('%d°%02d''%02d"', {t} // 3600, {t} // 60 % 60, {t} % 60) || case when {zero} then '' when {x} > 0 then ' {pos}' else ' {neg}' end"""
+def even(x: str, k: int) -> str:
+    return f"printf('%.{k}f', abs(round_even({x}, {k})))"
+
+
+def pair(style: str) -> str:
+    return f"{lettered('lat', style, 'N', 'S', 0)} || ', ' || {lettered('wl', style, 'E', 'W', 180)}"
+
+
+COORD = f"case coord_format when 'signed_decimal' then {signed('lat')} || ', ' || {signed('wl')} when 'dms' then {pair('dms')} else {pair('hemisphere')} end"
+PLACES = {
+    "{coord}": COORD, "{lat}": signed("lat"), "{lon}": signed("lon"), "{lon:.0f}": f"case when lon < 0 then '-' else '' end || {even('lon', 0)}",
+    "{lat:+08.2f}": f"case when lat < 0 then '-' else '+' end || lpad({even('lat', 2)}, 7, '0')", "{lat:6.1f}": f"lpad(case when lat < 0 then '-' else '' end || {even('lat', 1)}, 6, ' ')",
+}
+
+
+def filled(template: str) -> str:
+    for k, v in PLACES.items():
+        template = f"replace({template}, '{k}', {v})"
+    return template
 
 
-COORD = (
-    f"case coord_format when 'hemisphere' then {hemi('lat', 'N', 'S', False)} || ', ' || {hemi('wl', 'E', 'W', True)} "
-    f"when 'signed_decimal' then {signed('lat')} || ', ' || {signed('wl')} "
-    f"else {dms('lat', 'N', 'S', False)} || ', ' || {dms('wl', 'E', 'W', True)} end"
-)
 SPEC_ROWS = ", ".join("(" + ", ".join(q(x) for x in row) + ")" for row in SPECS)
 TOKS, SHORT = lst(TOKENS), lst(SHORT_ANSWERS)
 
@@ -143,7 +160,7 @@ from (select event_id, event_id % 4 as k, {TOKS}[(event_id * 5 + 1) % 20 + 1] as
         r="sum_retry_after_s",
     ),
     "batch_reconcile": sql(
-        """select run_id, idx, coalesce(e, case when g.idx is null then 'missing from batch output' end) as error,
+        """select run_id, idx, coalesce(e, case when g.idx is null then 'no result in the batch' end) as error,
  round((ti * price_in + tout * price_out) / 1e6 * 0.5, 9) + 0.0 as cost_usd from (select distinct run_id, idx from resp) left join (
  select run_id, idx, case when arg_max(bad, event_id) then 'HTTP ' || arg_max(st, event_id) end as e, arg_max(ti, event_id) as ti, arg_max(tout, event_id) as tout
  from resp where event_id % 5 <> 4 group by 1, 2) g using (run_id, idx) join runs using (run_id)""",
@@ -152,8 +169,7 @@ from (select event_id, event_id % 4 as k, {TOKS}[(event_id * 5 + 1) % 20 + 1] as
     ),
     "prompt_table": sql(
         f"""select place_id, spec_id, case when lat between -90 and 90 and spec_id <> 's3' then
- replace(replace(replace(replace(replace(template, '{{coord}}', {COORD}), '{{lat}}', {signed('lat')}), '{{lon}}', {signed('lon')}),
-  '{{lat:.2f}}', printf('%.2f', lat)), '{{lon:.0f}}', printf('%.0f', lon)) end as prompt
+ {filled('template')} end as prompt
 from (select o_orderkey as place_id, 's' || o_orderkey % 4 as spec_id, (o_orderkey * 3700 % 18201 - 9050)::double / 100 as lat, lon,
   case when lon between -180 and 180 then lon else (lon + 180) % 360 + case when (lon + 180) % 360 < 0 then 360 else 0 end - 180 end as wl
  from (select *, (o_custkey * 2500 % 43000 - 21500)::double / 100 as lon from orders))

@@ -100,8 +100,8 @@ where p.run_id is null or error is not null""",
     "run_totals": sql("select * from totals", "totals", r="cost_usd"),
     "run_completion": sql(
         """select *, case when bad then 'failed' else 'complete' end as status,
- case when bad then n_failed || ' failed and ' || n_missing || ' missing points after retry; resume to retry'
-  when n_failed > 0 then n_failed || ' points errored after retry' end as note
+ case when bad then 'to be resumed: ' || n_failed || ' points with errors, ' || n_missing || ' without answer'
+  when n_failed > 0 then 'points left with errors: ' || n_failed end as note
 from (select *, n_total - n_done - n_failed as n_missing from (
  select run_id, (case when any_value(k) % 2 = 0 then 4050 else count(*) end)::bigint as n_total, count(*) filter (error is null) as n_done,
   count(error) as n_failed from pts group by 1)), lateral (select n_missing > 0 or n_failed > 0.025 * n_total as bad)""",
@@ -179,9 +179,9 @@ from members join runs using (run_id) join costs using (run_id) join (select run
         r="total_spend",
     ),
     "comparison_check": sql(
-        """select *, case when mixed_modes then 'acc_area' end as rank_on, concat_ws('; ', case when mixed_modes then 'mixed extraction modes: ranking on thresholded accuracy only' end,
- case when n_partial > 0 then 'partial runs scored on points done so far' end, case when n_forced > 0 then n_forced || ' forced-thinking run(s) marked' end,
- case when mixed_thinking then 'thinking and non-thinking runs are not like for like' end) as warnings
+        """select *, case when mixed_modes then 'acc_area' end as rank_on, concat_ws('; ', case when mixed_modes then 'modes differ, so ranks use accuracy alone' end,
+ case when n_partial > 0 then 'some runs are unfinished and count with what they have' end, case when n_forced > 0 then 'runs with thinking forced on: ' || n_forced end,
+ case when mixed_thinking then 'only part of the runs think' end) as warnings
 from (select comparison, count(distinct extraction_mode) > 1 as mixed_modes, count(*) filter (n_done < 4050) as n_partial, count(*) filter (forced_thinking) as n_forced,
  bool_or(thinking) and not bool_and(thinking) as mixed_thinking
 from members join runs using (run_id) join (select run_id, count(*) as n_done from pts group by 1) using (run_id) group by 1)""",

@@ -55,7 +55,7 @@ from (select *, case c_mktsegment when 'BUILDING' then 'low' when 'AUTOMOBILE' t
 )
 cte(
     "eff",
-    """select position, mode, case when not thinking and requested = 'logprobs' and not has_lp then 'logprobs requested but the capability probe found none' end as refusal, thinking,
+    """select position, mode, case when not thinking and requested = 'logprobs' and not has_lp then 'the endpoint gives no logprobs' end as refusal, thinking,
  case when mode = 'greedy' then 0 else coalesce(temperature, 1) end::double as temperature, case when mode = 'sample' then coalesce(n_samples, 4) else 1 end::int as n_samples,
  case when mode = 'logprobs' then case when provider = 'p1' then 5 else 20 end end::int as top_logprobs,
  case when thinking then greatest(coalesce(max_out, 0), case effort when 'low' then 4096 when 'high' then 16384 else 8192 end) else coalesce(max_out, 16) end::int as max_output_tokens

@@ -260,10 +260,10 @@ def comparison_check(spark, sf):
     rank_on = F.when(F.col("mixed_modes"), F.lit("acc_area"))
     notes = F.array_compact(
         F.array(
-            F.when(F.col("mixed_modes"), F.lit("mixed extraction modes: ranking on thresholded accuracy only")),
-            F.when(F.col("n_partial") > 0, F.lit("partial runs scored on points done so far")),
-            F.when(F.col("n_forced") > 0, F.format_string("%d forced-thinking run(s) marked", "n_forced")),
-            F.when(F.col("mixed_thinking"), F.lit("thinking and non-thinking runs are not like for like")),
+            F.when(F.col("mixed_modes"), F.lit("modes differ, so ranks use accuracy alone")),
+            F.when(F.col("n_partial") > 0, F.lit("some runs are unfinished and count with what they have")),
+            F.when(F.col("n_forced") > 0, F.format_string("runs with thinking forced on: %d", "n_forced")),
+            F.when(F.col("mixed_thinking"), F.lit("only part of the runs think")),
         )
     )
     return agg.withColumn("rank_on", rank_on).withColumn("warnings", F.array_join(notes, "; "))
