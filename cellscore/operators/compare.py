@@ -49,6 +49,14 @@ def disagreement(rows: DataFrame) -> DataFrame:
     )
 
 
+def report_pairs(ranked: DataFrame) -> DataFrame:
+    """Each run of a comparison with its leader and with the next in rank: twice as many pairs as runs at most."""
+    before = [F.struct(F.lit(1).alias("pos")), F.struct((F.col("pos") - 1).alias("pos"))]
+    b = ranked.where("pos > 1").select("comparison", F.col("run_id").alias("run_b"), F.explode(F.array_distinct(F.array(*before))).alias("x"))
+    a = ranked.select("comparison", F.col("run_id").alias("run_a"), F.col("pos"))
+    return b.select("comparison", "run_b", F.col("x.pos").alias("pos")).join(a, ["comparison", "pos"]).select("comparison", "run_a", "run_b")
+
+
 def top_pairs(ranked: DataFrame, max_runs: int = MAX_DIFF_RUNS) -> DataFrame:
     """All pairs of the best ``max_runs`` runs of a comparison (120 pairs for 16)."""
     top = ranked.where(F.col("pos") <= max_runs)

@@ -52,7 +52,6 @@ def label_components(rle: DataFrame, keys: Sequence[str], w: int) -> DataFrame:
     segs = rle.withColumn("id", F.col("r").cast("bigint") * w + F.col("c0"))
     segs = cut_lineage(segs)
     edges = cut_lineage(_touching(segs, keys, w))
-    before = None
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -62,10 +61,10 @@ def label_components(rle: DataFrame, keys: Sequence[str], w: int) -> DataFrame:
         small = large.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select(*keys, "u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = cut_lineage(small)
-        now = edges.agg(F.count("*"), F.sum(F.col("u") % 1000003), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if now == before:
+        several = edges.groupBy(*keys, "u").agg(F.count("*").alias("n")).where("n > 1").select(*keys, "u")
+        chained = edges.select(*keys, F.col("v").alias("u")).distinct().join(edges.select(*keys, "u"), [*keys, "u"], "left_semi")
+        if several.unionByName(chained).isEmpty():  # every run points at one that points nowhere
             break
-        before = now
     labels = edges.groupBy(*keys, F.col("u").alias("id")).agg(F.min("v").alias("_m"))
     d = segs.join(labels, [*keys, "id"], "left")
     return d.withColumn("label", F.coalesce("_m", "id")).drop("_m", "id")
@@ -101,9 +100,11 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], shape: tuple[int,
 
 
 def component_stats(
-    pred: DataFrame, true: DataFrame, shape: tuple[int, int], min_km2: float
+    pred: DataFrame, true: DataFrame, shape: tuple[int, int], min_km2: float, runs: DataFrame | None = None
 ) -> DataFrame:
-    """Per run: number of predicted areas, large ones, specks (touch no true land), largest area."""
+    """Per run: number of predicted areas, large ones, specks (touch no true land), largest area.
+
+    ``runs`` (run_id) lists the runs; those that predict no land have zeros."""
     areas = component_areas(pred, ["run_id"], shape)
     touched = overlaps(pred, true, ["run_id"], shape).select("run_id", F.col("label_a").alias("label")).distinct()
     specks = areas.join(touched, ["run_id", "label"], "left_anti").groupBy("run_id").agg(F.count("*").alias("_sp"))
@@ -113,6 +114,7 @@ def component_stats(
         F.max("area_km2").alias("largest_km2"),
     )
     d = agg.join(specks, "run_id", "left")
+    d = d if runs is None else runs.select("run_id").distinct().join(d, "run_id", "left").na.fill(0).na.fill(0.0)
     return d.withColumn("spurious_specks", F.coalesce("_sp", F.lit(0))).drop("_sp")
 
 

@@ -1,4 +1,8 @@
-"""Truth of the cells of a grid from a mask in run-length form."""
+"""Truth of the cells of a grid from masks in run-length form; every result has one row per (mask, cell).
+
+``masks`` (mask_id) lists the masks; without it those that have land count. Cells meet runs by mask, pixel row and band
+of columns, so neither a long row nor a second mask widens the join.
+"""
 
 from __future__ import annotations
 
@@ -8,25 +12,41 @@ from pyspark.sql import functions as F
 from cellscore.functions import geo
 
 
-def pixel_value(places: DataFrame, rle: DataFrame, shape: tuple[int, int], lat: str, lon: str, out: str) -> DataFrame:
-    """Mask value (1 land, 0 water) of the pixel under (lat, lon); keyed by ``idx``.
+BAND = 64
 
-    An equi join on the pixel row with a check of the columns: the cells of a grid meet the runs of
-    their row only, and no pixel is expanded.
-    """
+
+def per_mask(places: DataFrame, rle: DataFrame, masks: DataFrame | None) -> DataFrame:
+    """Each place once for each mask: as many rows as the result has."""
+    if "mask_id" in places.columns:
+        return places
+    ids = (rle if masks is None else masks).agg(F.collect_set("mask_id").alias("_ids"))  # one row
+    return places.join(F.broadcast(ids), F.lit(True)).withColumn("mask_id", F.explode("_ids")).drop("_ids")
+
+
+def banded(runs: DataFrame, first: str, last: str) -> DataFrame:
+    """A row for each band of columns that [first, last] touches."""
+    low, high = (F.floor(F.col(c) / BAND).cast("int") for c in (first, last))
+    return runs.withColumn("_band", F.explode(F.sequence(low, high)))
+
+
+def pixel_value(places: DataFrame, rle: DataFrame, shape: tuple[int, int], lat: str, lon: str, out: str, masks: DataFrame | None = None) -> DataFrame:
+    """Mask value (1 land, 0 water) of the pixel under (lat, lon), for each mask; no pixel is expanded."""
     h, w = shape
-    p = places.withColumn("_r", geo.pixel_row(F.col(lat), h)).withColumn("_c", geo.pixel_col(F.col(lon), w))
-    runs = rle.select(F.col("r").alias("_r"), "c0", "c1", F.lit(1).alias("_hit"))
-    inside = (p["_r"] == runs["_r"]) & F.col("_c").between(F.col("c0"), F.col("c1"))
-    return p.join(runs, inside, "left").select(places["*"], F.coalesce("_hit", F.lit(0)).alias(out))
+    p = per_mask(places, rle, masks)
+    kept = p.columns
+    p = p.withColumn("_r", geo.pixel_row(F.col(lat), h)).withColumn("_c", geo.pixel_col(F.col(lon), w)).withColumn("_band", F.floor(F.col("_c") / BAND).cast("int"))
+    runs = banded(rle.select("mask_id", F.col("r").alias("_r"), F.col("c0").alias("_c0"), F.col("c1").alias("_c1")), "_c0", "_c1")
+    runs = runs.select(F.struct("mask_id", "_r", "_band").alias("_at"), "_c0", "_c1")
+    inside = (F.struct("mask_id", "_r", "_band") == F.col("_at")) & F.col("_c").between(F.col("_c0"), F.col("_c1"))
+    return p.join(runs, inside, "left").select(*kept, F.col("_c0").isNotNull().cast("int").alias(out))
 
 
-def truth_cell_center(cells: DataFrame, rle: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    return pixel_value(cells, rle, shape, "lat", "lon", "truth")
+def truth_cell_center(cells: DataFrame, rle: DataFrame, shape: tuple[int, int], masks: DataFrame | None = None) -> DataFrame:
+    return pixel_value(cells, rle, shape, "lat", "lon", "truth", masks)
 
 
 def truth_majority(
-    cells: DataFrame, rle: DataFrame, shape: tuple[int, int], step: float, placement: str = geo.CELL_CENTER
+    cells: DataFrame, rle: DataFrame, shape: tuple[int, int], step: float, placement: str = geo.CELL_CENTER, masks: DataFrame | None = None
 ) -> DataFrame:
     """1 where more than half of the pixels centered in the cell are land; a tie is water.
 
@@ -58,18 +78,21 @@ def truth_majority(
     )
     full = d.where(some).select("idx", "_r0", "_r1", width.alias("_width"), F.explode(spans).alias("_s"))
     size = (F.col("_r1") - F.col("_r0") + 1) * F.col("_width")
-    rows = full.select("idx", size.alias("_n"), "_s", F.explode(F.sequence("_r0", "_r1")).alias("r"))
-    over = F.greatest(F.lit(0), F.least(F.col("c1"), F.col("_s.b")) - F.greatest(F.col("c0"), F.col("_s.a")) + 1)
+    rows = full.select("idx", size.alias("_n"), F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"), F.explode(F.sequence("_r0", "_r1")).alias("r"))
+    low = F.greatest("c0", "_a", F.col("_band") * BAND)
+    over = F.least("c1", "_b", F.col("_band") * BAND + (BAND - 1)) - low + 1
     land = (
-        rows.join(rle.select("r", "c0", "c1"), "r")
-        .where((F.col("c0") <= F.col("_s.b")) & (F.col("c1") >= F.col("_s.a")))
-        .groupBy("idx", "_n")
+        banded(rows, "_a", "_b")
+        .join(banded(rle.select("mask_id", "r", "c0", "c1"), "c0", "c1"), ["r", "_band"])
+        .where(over > 0)
+        .groupBy("mask_id", "idx", "_n")
         .agg(F.sum(over).alias("_land"))
-        .select("idx", (2 * F.col("_land") > F.col("_n")).cast("int").alias("_maj"))
+        .select("mask_id", "idx", (2 * F.col("_land") > F.col("_n")).cast("int").alias("_maj"))
     )
     mid = d.withColumn("_mlat", (F.col("_south") + F.col("_north")) / 2).withColumn("_mlon", (F.col("_west") + F.col("_east")) / 2)
-    tiny = pixel_value(mid.where(~some).select("idx", "_mlat", "_mlon"), rle, shape, "_mlat", "_mlon", "_tiny")
-    out = cells.join(land, "idx", "left").join(tiny.select("idx", "_tiny"), "idx", "left")
+    tiny = pixel_value(mid.where(~some).select("idx", "_mlat", "_mlon"), rle, shape, "_mlat", "_mlon", "_tiny", masks)
+    key = ["mask_id", "idx"]
+    out = per_mask(cells, rle, masks).join(land, key, "left").join(tiny.select(*key, "_tiny"), key, "left")
     return out.withColumn("truth", F.coalesce("_maj", "_tiny", F.lit(0))).drop("_maj", "_tiny")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from cellscore.session import cut_lineage
 
 N_BOOT = 1000
 REP_CHUNKS = 8
+REPS_PER_TASK = 100
 
 
 def block_sums(flags: DataFrame, block_deg: float = 10.0) -> DataFrame:
@@ -41,6 +43,15 @@ def draw(rep: Column, pos: Column, n: Column, seed: int) -> Column:
     return (h % n.cast("bigint")).cast("int")
 
 
+def drawn_places(rep: int, n: int, seed: int) -> np.ndarray:
+    """``draw`` for all n places of one resample."""
+    m = 2147483647
+    h = (rep * 48271 + (seed * 69621 + 12345) % m) % m
+    h = ((h ^ (h >> 13)) * 16807 + np.arange(n, dtype=np.int64) * 39373 + 977) % m
+    h = (h ^ (h >> 15)) * 48271 % m
+    return (h ^ (h >> 16)) % n
+
+
 def bootstrap_ratio(
     blocks: DataFrame, keys: Sequence[str], n_boot: int = N_BOOT, seed: int = 0, alpha: float = 0.05
 ) -> DataFrame:
@@ -93,40 +104,32 @@ def bootstrap_any_stat(
     flags: DataFrame,
     stat: Callable[[pd.DataFrame], float],
     columns: Sequence[str],
-    n_boot: int = 200,
+    n_boot: int = N_BOOT,
     seed: int = 0,
     block_deg: float = 10.0,
 ) -> DataFrame:
-    """The same resampling for any statistic of the rows; one call per (run, resample).
+    """The same resampling for any statistic of the rows.
 
-    A row is repeated as often as its block was drawn. Groups are one run of one resample, which
-    the grid bounds; resamples are spread over tasks.
+    The rows of a run, which the grid bounds, go to ``ceil(n_boot / REPS_PER_TASK)`` tasks, each of which draws its
+    resamples itself and repeats a row as often as its block was drawn.
     """
-    d = flags.withColumn("block", block_id(F.col("lat"), F.col("lon"), block_deg))
-    nb = d.select("run_id", "block").distinct()
-    w = Window.partitionBy("run_id")
-    nb = nb.select(
-        "run_id",
-        "block",
-        (F.row_number().over(w.orderBy("block")) - 1).alias("k"),
-        F.count("*").over(w).alias("nb"),
-    )
-    drawn = nb.select("run_id", F.col("k").alias("pos"), "nb", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    times = (
-        drawn.select("run_id", "rep", draw(F.col("rep"), F.col("pos"), F.col("nb"), seed).alias("k"))
-        .groupBy("run_id", "rep", "k")
-        .agg(F.count("*").cast("int").alias("times"))
-        .join(nb.select("run_id", "block", "k"), ["run_id", "k"])
-        .select("run_id", "rep", "block", "times")
-    )
-    rows = d.select("run_id", "block", *columns).join(times, ["run_id", "block"])
+    d = flags.withColumn("_block", block_id(F.col("lat"), F.col("lon"), block_deg)).select("run_id", "_block", *columns)
+    chunks = F.sequence(F.lit(0), F.lit((n_boot - 1) // REPS_PER_TASK))
     names = list(columns)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        full = pdf.loc[pdf.index.repeat(pdf["times"]), names].reset_index(drop=True)
-        return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "rep": [int(pdf["rep"].iloc[0])], "stat": [float(stat(full))]})
-
-    boot = rows.groupBy("run_id", "rep").applyInPandas(one, "run_id string, rep int, stat double")
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        run, chunk = key
+        _, at = np.unique(pdf["_block"].to_numpy(), return_inverse=True)
+        n = int(at.max()) + 1
+        reps = range(chunk * REPS_PER_TASK, min(n_boot, (chunk + 1) * REPS_PER_TASK))
+        out = []
+        for rep in reps:
+            times = np.bincount(drawn_places(rep, n, seed), minlength=n)
+            out.append(float(stat(pdf.loc[pdf.index.repeat(times[at]), names].reset_index(drop=True))))
+        return pd.DataFrame({"run_id": run, "rep": list(reps), "stat": out})
+
+    rows = d.withColumn("_chunk", F.explode(chunks))
+    boot = rows.groupBy("run_id", "_chunk").applyInPandas(one, "run_id string, rep int, stat double")
     ok = F.when(~F.isnan("stat"), F.col("stat"))
     return boot.groupBy("run_id").agg(
         F.percentile(ok, F.lit(0.025)).alias("lo"), F.percentile(ok, F.lit(0.975)).alias("hi")

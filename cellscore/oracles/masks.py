@@ -41,7 +41,7 @@ from (select distinct image_id, gray, (select count(distinct gray) from gray) as
 )
 cte(
     "ring0",
-    """select c_custkey::int as layer_pos, (c_custkey % 3 <> 0)::int as burn, c_custkey as k, c_nationkey % 4 as kind,
+    """select c_custkey::int as shape_id, (c_custkey // 50)::int as layer_pos, (c_custkey // 50 % 3 <> 1)::int as burn, c_custkey as k, c_nationkey % 4 as kind,
  (-165 + c_custkey * 37 % 330)::double + 0.25 as x0, (-75 + c_custkey * 53 % 150)::double + 0.125 as y0, (2 + floor(abs(c_acctbal))::bigint % 9)::double as size from customer""",
 )
 CORNERS = {0: [(-1, -1), (1, -1), (1, 1), (-1, 1)], 1: [(0, -1), (1, 0), (0, 1), (-1, 0)], 2: [(-1, -1), (1, -1), (0, 1)]}
@@ -52,7 +52,7 @@ EDGE_ROWS = ", ".join(
 )
 cte(
     "pedges",
-    f"""select layer_pos, burn, layer_pos as shape_id, ring_no::int as ring_no, x0 + ax * s as x1, y0 + ay * s as y1, x0 + bx * s as x2, y0 + by_ * s as y2
+    f"""select layer_pos, burn, shape_id, ring_no::int as ring_no, x0 + ax * s as x1, y0 + ay * s as y1, x0 + bx * s as x2, y0 + by_ * s as y2
 from (select *, 0 as ring_no, size as s from ring0 union all select *, 1, size / 2 from ring0 where k % 4 = 0)
 join (values {EDGE_ROWS}) e(shape, i, ax, ay, bx, by_) on shape = case when kind = 3 then 0 else kind end
 where not (kind = 3 and k % 8 = 3)""",
@@ -138,7 +138,7 @@ select range as i, least(greatest(floor((pi() - ln(tan(pi() / 4 + radians(least(
  select r, c from (select r, c, layer_pos, any_value(burn) as burn from (
    select (i // 180)::int as r, (i % 180)::int as c, 89 - 2 * (i // 180)::double as lat, -179 + 2 * (i % 180)::double as lon from (select range as i from range(16200)))
   join pedges on (y1 <= lat) <> (y2 <= lat) and x1 + (lat - y1) * (x2 - x1) / (y2 - y1) <= lon
-  group by r, c, layer_pos having count(*) % 2 = 1) group by r, c having arg_max(burn, layer_pos) = 1)) group by r, g""",
+  group by r, c, layer_pos, shape_id having count(*) % 2 = 1) group by r, c having arg_max(burn, layer_pos) = 1)) group by r, g""",
         "pedges",
     ),
     "truth_cell_center": sql("select * from center", "center"),

@@ -185,7 +185,7 @@ union all select run_id, strftime(created_at, '%Y-%m-%d'), 's1 of m10' from rlog
         "rlog",
     ),
     "runs_newest": sql(
-        "select run_id, strftime(d, '%Y-%m-%d') as created_at from (select run_id, created_at as d from rlog order by d desc, run_id limit 100)", "rlog"
+        "select run_id, strftime(d, '%Y-%m-%d') as created_at from (select run_id, created_at as d from rlog)", "rlog"
     ),
     "table_checks": sql(
         """select 'runs' as "table", run_id as key, 'cost_usd not null' as rule from rlog where cost_usd is null

@@ -25,8 +25,10 @@ from members join acc using (run_id)""",
     "members",
     "acc",
 )
-cte("pairs", """select a.run_id as run_a, b.run_id as run_b from ranked a join ranked b using (comparison)
-where comparison = 'all' and a.pos < b.pos""", "ranked")
+cte("pairs", """select distinct a.run_id as run_a, b.run_id as run_b from ranked a join ranked b using (comparison)
+where a.pos < b.pos""", "ranked")
+cte("shown", """select distinct a.run_id as run_a, b.run_id as run_b from ranked a join ranked b using (comparison)
+where a.pos < b.pos and (a.pos = 1 or b.pos = a.pos + 1)""", "ranked")
 BLOCK = "(least(floor((90 - lat) / 10), 17) * 36 + floor((lon + 180) / 10)::bigint % 36)::int"
 cte(
     "blocks",
@@ -36,17 +38,21 @@ cte(
 )
 
 
-def boot(src: str, key: str, reps: int = 1000) -> str:
-    """Resample table ``src`` (key, block, num, den): the mixing of ``uncertainty.draw`` with seed 0."""
-    return f"""
-select {key}, quantile_cont(s, 0.025) as lo, quantile_cont(s, 0.975) as hi from (
- select {key}, rep, case when sum(den) > 0 then sum(num) / sum(den) end as s from (
-  select {key}, rep, (h3 % nb)::bigint as k from (
+def draws(src: str, key: str, reps: int = 1000) -> str:
+    """Which blocks (k, of those of ``src`` in order) each resample takes: the mixing of ``uncertainty.draw`` with seed 0."""
+    return f"""select {key}, rep, (h3 % nb)::bigint as k from (
    select *, xor(h2m, h2m >> 16) as h3 from (select *, (xor(h2, h2 >> 15) * 48271) % 2147483647 as h2m from (
     select *, (xor(h1, h1 >> 13) * 16807 + pos * 39373 + 977) % 2147483647 as h2 from (
      select *, (rep * 48271 + 12345) % 2147483647 as h1 from (
       select {key}, k as pos, nb, rep from (select {key}, row_number() over (partition by {key} order by block) - 1 as k,
-        count(*) over (partition by {key}) as nb from {src}), (select range as rep from range({reps}))))))))
+        count(*) over (partition by {key}) as nb from {src}), (select range as rep from range({reps})))))))"""
+
+
+def boot(src: str, key: str, reps: int = 1000) -> str:
+    """Interval of sum(num) / sum(den) of table ``src`` (key, block, num, den) over the resamples."""
+    return f"""
+select {key}, quantile_cont(s, 0.025) as lo, quantile_cont(s, 0.975) as hi from (
+ select {key}, rep, case when sum(den) > 0 then sum(num) / sum(den) end as s from ({draws(src, key, reps)})
  join (select {key}, num, den, row_number() over (partition by {key} order by block) - 1 as k from {src}) using ({key}, k)
  group by {key}, rep) group by {key}"""
 
@@ -136,15 +142,27 @@ ORACLES = {
         r="est lo hi",
     ),
     "paired_align": sql(
-        "select run_a, run_b, count(*) as n_paired, 0::bigint as n_other_place, 0::bigint as n_other_truth from prow group by 1, 2",
+        "select run_a, run_b, count(*) as n_paired, 0::bigint as n_other_place, 0::bigint as n_other_truth from prow semi join shown using (run_a, run_b) group by 1, 2",
         "prow",
+        "shown",
+    ),
+    "bootstrap_any_stat": sql("select * from ci100", "blocks", extra=f"ci100 as ({boot('kb', 'run_id')})".replace("ci100 as (", "kb as (select * from blocks where den > 0),\nci100 as ("), r="lo hi"),
+    "bootstrap_median_confidence": sql(
+        f"""select run_id, quantile_cont(s, 0.025) as lo, quantile_cont(s, 0.975) as hi from (
+ select run_id, rep, quantile_cont(abs(p_land - 0.5), 0.5) as s from ({draws('blocks', 'run_id')})
+ join (select run_id, {BLOCK} as block, p_land from fl) f using (run_id) join (
+  select run_id, block, row_number() over (partition by run_id order by block) - 1 as k from blocks) b using (run_id, block, k)
+ group by run_id, rep) group by run_id""",
+        "fl",
+        "blocks",
+        r="lo hi",
     ),
-    "bootstrap_any_stat": sql("select * from ci100", "blocks", extra=f"ci100 as ({boot('kb', 'run_id', 100)})".replace("ci100 as (", "kb as (select * from blocks where den > 0),\nci100 as ("), r="lo hi"),
-    "paired_difference": sql("select * from pdiff", "pdiff", r=PD),
+    "paired_difference": sql("select * from pdiff semi join shown using (run_a, run_b)", "pdiff", "shown", r=PD),
     "pair_matrix": sql(
-        """select * from pdiff union all
-select run_b, run_a, -diff, -hi, -lo, significant, n_paired, acc_b, acc_a from pdiff""",
+        """select * from pdiff semi join shown using (run_a, run_b) union all
+select run_b, run_a, -diff, -hi, -lo, significant, n_paired, acc_b, acc_a from pdiff semi join shown using (run_a, run_b)""",
         "pdiff",
+        "shown",
         r=PD,
     ),
     "rank_with_ties": sql("select comparison, run_id, acc_area, rank::int as rank, tied from ranks", "ranks", r="acc_area"),
@@ -166,7 +184,7 @@ join (select comparison, count(distinct extraction_mode) > 1 as mixed from rs gr
         r="acc_area lo hi acc_valid_only skill f1 invalid_rate brier ece cost_usd latency_p50 latency_p95",
     ),
     "leaderboard_filters": sql(
-        """select run_id, label, vendor, acc_area, cost_usd from rs where comparison = 'all' and vendor in ('v0', 'v1', 'v2')
+        """select comparison, run_id, label, vendor, acc_area, cost_usd from rs where vendor in ('v0', 'v1', 'v2')
  and thinking and extraction_mode = 'sample' and not forced_thinking""",
         "rs",
         r="acc_area cost_usd",
@@ -174,9 +192,9 @@ join (select comparison, count(distinct extraction_mode) > 1 as mixed from rs gr
     "diff_pairs_topk": sql(
         "select * exclude (acc_a, acc_b) from pdiff join dis using (run_a, run_b)", "pdiff", "dis", r="diff lo hi share_disagree_area"
     ),
-    "disagreement": sql("select * from dis", "dis", r="share_disagree_area"),
-    "disagreement_map": sql("select run_a, run_b, idx, cell_class from drow", "drow"),
-    "points_common": sql("select run_a, run_b, idx from prow", "prow"),
+    "disagreement": sql("select * from dis semi join shown using (run_a, run_b)", "dis", "shown", r="share_disagree_area"),
+    "disagreement_map": sql("select run_a, run_b, idx, cell_class from drow semi join shown using (run_a, run_b)", "drow", "shown"),
+    "points_common": sql("select run_a, run_b, idx from prow semi join shown using (run_a, run_b)", "prow", "shown"),
     "pareto_frontier": sql(
         f"select comparison, run_id, cost_usd, acc_area from rs where cost_usd is not null and {FRONT}", "rs", r="cost_usd acc_area"
     ),

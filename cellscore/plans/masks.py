@@ -38,11 +38,11 @@ def mask_pixel_of(spark, sf):
 
 
 def land_fraction(spark, sf):
-    return rounded(mk.land_fraction(mask_rle(spark, sf), SHAPE))
+    return rounded(mk.land_fraction(mask_rle(spark, sf), SHAPE, tb.masks(spark)))
 
 
 def mask_fingerprint(spark, sf):
-    return mk.mask_fingerprint(mask_rle(spark, sf), SHAPE)
+    return mk.mask_fingerprint(mask_rle(spark, sf), SHAPE, tb.masks(spark))
 
 
 def mask_downsample_edges(spark, sf):
@@ -122,7 +122,7 @@ def truth_refill(spark, sf):
 
 def mask_fidelity_check(spark, sf):
     """Runs of the history whose spec was planned with another mask than the one in use."""
-    fp = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE)
+    fp = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE, tb.masks(spark))
     specs = fp.select(
         "mask_id",
         F.explode(

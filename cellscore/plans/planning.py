@@ -168,7 +168,7 @@ def run_filters(spark, sf):
 
 
 def runs_newest(spark, sf):
-    d = tb.run_log(spark, sf).orderBy(F.col("created_at").desc(), "run_id").limit(100)  # the latest hundred
+    d = tb.run_log(spark, sf).orderBy(F.col("created_at").desc(), "run_id")
     return d.select("run_id", F.date_format("created_at", "yyyy-MM-dd").alias("created_at"))
 
 

@@ -167,8 +167,13 @@ def connected_components(spark, sf):
     return d.groupBy("label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n_pixels"), F.count("*").alias("n_runs"))
 
 
+def predicted_runs(spark: SparkSession) -> DataFrame:
+    """The runs whose land is predicted, the ceiling among them; some may have none."""
+    return tb.runs(spark).select("run_id").unionByName(spark.createDataFrame([("ceiling",)], "run_id string"))
+
+
 def component_stats(spark, sf):
-    return rounded(cc.component_stats(pred_components(spark, sf), true_components(spark, sf), SHAPE, SPECK_KM2), 4)
+    return rounded(cc.component_stats(pred_components(spark, sf), true_components(spark, sf), SHAPE, SPECK_KM2, predicted_runs(spark)), 4)
 
 
 def top_components(spark, sf):
@@ -237,7 +242,7 @@ def share_of_ceiling(spark, sf):
 
 
 def image_metrics(spark, sf):
-    stats = cc.component_stats(pred_components(spark, sf), true_components(spark, sf), SHAPE, SPECK_KM2)
+    stats = cc.component_stats(pred_components(spark, sf), true_components(spark, sf), SHAPE, SPECK_KM2, predicted_runs(spark))
     cover = flags(spark, sf).groupBy("run_id").agg((F.sum(F.col("valid").cast("int")) / tb.N_CELLS).alias("coverage"))
     d = with_ceiling(_image_scores(spark, sf))
     d = d.select("run_id", *HIGHER, *LOWER, *share_of_ceiling_columns())

@@ -21,8 +21,8 @@ def scores(spark: SparkSession, sf: str, f: DataFrame | None = None) -> DataFram
 
 
 def report_pairs(spark: SparkSession, sf: str, f: DataFrame | None = None) -> DataFrame:
-    ranked = un.ranked_runs(scores(spark, sf, f).where(F.col("comparison") == "all"))
-    return cp.top_pairs(ranked).select("run_a", "run_b")
+    """Of every comparison the pairs that its report shows; a pair of several comparisons comes once."""
+    return cp.report_pairs(un.ranked_runs(scores(spark, sf, f))).select("run_a", "run_b").distinct()
 
 
 def run_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +47,7 @@ def _weighted_accuracy(rows) -> float:
 
 def bootstrap_any_stat(spark, sf):
     f = flags(spark, sf).where("known")
-    return rounded(un.bootstrap_any_stat(f, _weighted_accuracy, ["w", "correct"], n_boot=100))
+    return rounded(un.bootstrap_any_stat(f, _weighted_accuracy, ["w", "correct"]))
 
 
 def _median_confidence(rows) -> float:
@@ -56,7 +56,7 @@ def _median_confidence(rows) -> float:
 
 
 def bootstrap_median_confidence(spark, sf):
-    return rounded(un.bootstrap_any_stat(flags(spark, sf), _median_confidence, ["p_land"], n_boot=40))
+    return rounded(un.bootstrap_any_stat(flags(spark, sf), _median_confidence, ["p_land"]))
 
 
 def paired_align(spark, sf):
@@ -102,18 +102,17 @@ def leaderboard(spark, sf):
 def leaderboard_filters(spark, sf):
     """Leaderboard rows of vendors v0 to v2 that think, in sampling mode, without forced thinking."""
     d = run_scores(spark, sf).where(
-        (F.col("comparison") == "all")
-        & F.col("vendor").isin("v0", "v1", "v2")
+        F.col("vendor").isin("v0", "v1", "v2")
         & F.col("thinking")
         & (F.col("extraction_mode") == "sample")
         & ~F.col("forced_thinking")
     )
-    return rounded(d.select("run_id", "label", "vendor", "acc_area", "cost_usd"))
+    return rounded(d.select("comparison", "run_id", "label", "vendor", "acc_area", "cost_usd"))
 
 
 def diff_pairs_topk(spark, sf):
     f = kept_flags(spark, sf)
-    pairs = report_pairs(spark, sf, f)
+    pairs = cp.top_pairs(un.ranked_runs(scores(spark, sf, f))).select("run_a", "run_b").distinct()
     stats = cp.disagreement(cp.disagreement_rows(f, pairs))
     d = un.paired_difference(f, pairs).drop("error").join(stats, ["run_a", "run_b"], "left")
     return rounded(d.drop("acc_a", "acc_b"))

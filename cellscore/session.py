@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app: str = "cellscore", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs are written for.
 
-    Shuffle partitions are left to AQE (it coalesces small ones and splits skewed ones), so only
-    the initial number is set here; on a cluster raise it to about the shuffled bytes / 128 MB.
+    Shuffle partitions are left to the session or Spark's default: AQE coalesces small ones and splits skewed
+    ones, but adds none, so on a cluster set them to about the shuffled bytes / 128 MB.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -20,7 +20,6 @@ def build_session(app: str = "cellscore", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }

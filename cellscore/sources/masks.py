@@ -95,19 +95,25 @@ def downsample_for_work(rle: DataFrame, shape: tuple[int, int], limit: tuple[int
     return _nearest_axis(_nearest_axis(rle, h_in, h, "r"), w_in, w, "c")
 
 
-def land_fraction(rle: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """Land share per mask, weighted by cos(lat) and not."""
+def every_mask(found: DataFrame, masks: DataFrame | None) -> DataFrame:
+    """One row for each of ``masks`` (mask_id), where it is given; masks without land have none of their own."""
+    return found if masks is None else masks.select("mask_id").distinct().join(found, "mask_id", "left")
+
+
+def land_fraction(rle: DataFrame, shape: tuple[int, int], masks: DataFrame | None = None) -> DataFrame:
+    """Land share per mask, weighted by cos(lat) and not; 0 for a mask without land."""
     h, w = shape
     rows = rle.groupBy("mask_id", "r").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("n"))
     total = sum(math.cos(math.radians(90.0 - (i + 0.5) * 180.0 / h)) for i in range(h))
     weight = F.cos(F.radians(geo.pixel_lat(F.col("r"), h)))
-    return rows.groupBy("mask_id").agg(
+    found = rows.groupBy("mask_id").agg(
         (F.sum(F.col("n") * weight) / (w * total)).alias("land_fraction"),
         (F.sum("n") / (w * h)).alias("land_fraction_unweighted"),
     )
+    return every_mask(found, masks).na.fill(0.0, ["land_fraction", "land_fraction_unweighted"])
 
 
-def mask_fingerprint(rle: DataFrame, shape: tuple[int, int]) -> DataFrame:
+def mask_fingerprint(rle: DataFrame, shape: tuple[int, int], masks: DataFrame | None = None) -> DataFrame:
     """Content hash: rows, then bands of rows, then the mask, so that no step holds a whole mask."""
     h, w = shape
     run = F.concat_ws("-", F.col("c0").cast("string"), F.col("c1").cast("string"))
@@ -118,8 +124,8 @@ def mask_fingerprint(rle: DataFrame, shape: tuple[int, int]) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("r", "h"))).alias("a")
     )
     bands = bands.select("mask_id", "band", F.sha2(F.array_join(F.transform("a", lambda x: x["h"]), ""), 256).alias("h"))
-    whole = bands.groupBy("mask_id").agg(F.sort_array(F.collect_list(F.struct("band", "h"))).alias("a"))
-    text = F.concat(F.lit(f"{h}x{w}:"), F.array_join(F.transform("a", lambda x: x["h"]), ""))
+    whole = every_mask(bands.groupBy("mask_id").agg(F.sort_array(F.collect_list(F.struct("band", "h"))).alias("a")), masks)
+    text = F.concat(F.lit(f"{h}x{w}:"), F.coalesce(F.array_join(F.transform("a", lambda x: x["h"]), ""), F.lit("")))
     return whole.select("mask_id", F.sha2(text, 256).alias("mask_hash"))
 
 
@@ -206,8 +212,9 @@ def polygon_edges(rings: DataFrame) -> DataFrame:
 def rasterize_polygons(edges: DataFrame, shape: tuple[int, int]) -> DataFrame:
     """Runs of land after burning all layers in order (burn 0 carves water).
 
-    Each edge meets the pixel rows whose center it crosses; the crossings of a layer in a row, taken
-    in order, bound the covered columns in pairs (even-odd over all rings). The last layer counts.
+    Each edge meets the pixel rows whose center it crosses; the crossings of a shape in a row, taken
+    in order, bound the covered columns in pairs (even-odd over its rings). A layer is the union of its
+    shapes, and the last layer counts.
     """
     h, w = shape
     dy, dx = 180.0 / h, 360.0 / w
@@ -219,8 +226,8 @@ def rasterize_polygons(edges: DataFrame, shape: tuple[int, int]) -> DataFrame:
     d = d.withColumn("r", F.explode(F.sequence("r0", "r1")))
     lat = geo.pixel_lat(F.col("r"), h)
     x = F.col("x1") + (lat - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    d = d.select("layer_pos", "burn", "r", x.alias("x"))
-    wnd = Window.partitionBy("layer_pos", "r").orderBy("x")
+    d = d.select("layer_pos", "shape_id", "burn", "r", x.alias("x"))
+    wnd = Window.partitionBy("layer_pos", "shape_id", "r").orderBy("x")
     d = d.withColumn("k", F.row_number().over(wnd)).withColumn("x_end", F.lead("x").over(wnd))
     spans = d.where((F.col("k") % 2 == 1) & F.col("x_end").isNotNull())
     c0 = F.greatest(F.lit(0), F.ceil((F.col("x") + 180.0) / dx - 0.5).cast("int"))

@@ -34,20 +34,9 @@ RUN_FIELDS = (
 )
 
 
-# Key that deals out the rows of a table which one task would have to read alone.
-SPREAD_KEY = {"lineitem": "l_orderkey", "events": "event_id", "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A file of few row groups gives few splits; then rows are dealt out by key.
-
-    Tables with a split per core or more (any large one) are read without that shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_KEY and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, SPREAD_KEY[name])
-    return df
+    """A test table, as it lies in its files at every size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def runs(spark: SparkSession) -> DataFrame:
@@ -154,6 +143,10 @@ def base_land(r: Column, c: Column) -> Column:
     return main | south | island
 
 
+def masks(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("mask",)], "mask_id string")
+
+
 def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth mask, 180 x 360: a drawn coast, with pixels turned over where the log votes for it."""
     n = MASK_H * MASK_W
@@ -227,9 +220,11 @@ def rgba_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One polygon per customer: three or four corners, every fourth with a hole, in key order."""
+    """One polygon per customer: three or four corners, every fourth with a hole; 50 neighbouring keys are a layer, so
+    that shapes of a layer overlap."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
+    layer = F.floor(k / 50).cast("int")
     x0 = (F.lit(-165) + k * 37 % 330).cast("double") + 0.25
     y0 = (F.lit(-75) + k * 53 % 150).cast("double") + 0.125
     size = (F.lit(2) + F.abs(F.col("c_acctbal")).cast("bigint") % 9).cast("double")
@@ -245,10 +240,10 @@ def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 8 == 3, line).otherwise(square)
         )
 
-    outer = c.select(k.cast("int").alias("layer_pos"), (k % 3 != 0).cast("int").alias("burn"), k.cast("int").alias("shape_id"),
+    outer = c.select(layer.alias("layer_pos"), (layer % 3 != 1).cast("int").alias("burn"), k.cast("int").alias("shape_id"),
                      F.lit(0).alias("ring_no"), ring(size).alias("ring"))
     hole = c.where(k % 4 == 0).select(
-        k.cast("int").alias("layer_pos"), (k % 3 != 0).cast("int").alias("burn"), k.cast("int").alias("shape_id"),
+        layer.alias("layer_pos"), (layer % 3 != 1).cast("int").alias("burn"), k.cast("int").alias("shape_id"),
         F.lit(1).alias("ring_no"), ring(size / 2).alias("ring"))
     return outer.unionByName(hole)
 
