@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,8 @@ def failure_bursts(calls: DataFrame, work: str, threshold: int = 20, window_s: f
     """First burst of failures per run, with keyed state.
 
     State belongs to a (run, slice of time), with the rows of one window before the slice repeated in
-    it, so that a busy run is spread over many keys; it holds the last ``threshold`` - 1 calls.
+    it, so that a busy run is spread over many keys; it holds the last ``threshold`` calls, and only a
+    latch once a burst was found.
     """
     t = F.col("ts").cast("double")
     own = F.floor(t / slice_s)
@@ -99,19 +101,24 @@ def failure_bursts(calls: DataFrame, work: str, threshold: int = 20, window_s: f
     d = d.select("*", F.explode(F.sequence(F.col("own"), F.floor((F.col("t") + window_s) / slice_s))).alias("slice"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail: list[tuple[float, bool]] = list(zip(*state.get)) if state.exists else []
-        found = None
-        for row in pd.concat(list(batches)).sort_values(["t", "seq"]).itertuples(index=False):
-            tail = (tail + [(row.t, bool(row.ok))])[-threshold:]
-            hot = len(tail) == threshold and not any(ok for _, ok in tail) and row.t - tail[0][0] <= window_s
-            if hot and row.own == key[1] and found is None:
-                found = row.t
-        state.update(([a for a, _ in tail], [b for _, b in tail]))
-        if found is not None:
-            yield pd.DataFrame({"run_id": [key[0]], "opened_at": [found]})
+        times, oks, opened = state.get if state.exists else ([], [], False)
+        new = pd.concat(list(batches)).sort_values(["t", "seq"])
+        if opened:
+            return
+        t = np.concatenate((np.array(times, dtype=float), new["t"].to_numpy(float)))
+        ok = np.concatenate((np.array(oks, dtype=bool), new["ok"].to_numpy(bool)))
+        own = np.concatenate((np.zeros(len(times), dtype=bool), new["own"].to_numpy() == key[1]))
+        at = np.arange(len(t))
+        streak = at - np.maximum.accumulate(np.where(ok, at, -1))
+        hot = np.flatnonzero(own & (streak >= threshold) & (t - t[np.maximum(at - threshold + 1, 0)] <= window_s))
+        if len(hot):
+            state.update(([], [], True))
+            yield pd.DataFrame({"run_id": [key[0]], "opened_at": [t[hot[0]]]})
+        else:
+            state.update((t[-threshold:].tolist(), ok[-threshold:].tolist(), False))
 
     out = d.groupBy("run_id", "slice").applyInPandasWithState(
-        step, "run_id string, opened_at double", "times array<double>, oks array<boolean>", "append", GroupStateTimeout.NoTimeout
+        step, "run_id string, opened_at double", "times array<double>, oks array<boolean>, opened boolean", "append", GroupStateTimeout.NoTimeout
     )
     _drain(out.writeStream.outputMode("append").format("parquet").option("path", f"{work}/out"), work)
     got = calls.sparkSession.read.schema("run_id string, opened_at double").parquet(f"{work}/out")
