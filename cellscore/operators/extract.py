@@ -219,12 +219,26 @@ def error_kind(status: Column) -> Column:
     )
 
 
+# Forms of an HTTP date, and which groups are its day, month, year, time and zone.
+HTTP_DATES = {
+    r"^[A-Za-z]{3}, (\d{1,2}) ([A-Za-z]{3}) (\d{4}) (\d{2}:\d{2}:\d{2}) (GMT|UTC|[+-]\d{4})$": (1, 2, 3, 4, 5),
+    r"^[A-Za-z]{6,9}, (\d{2})-([A-Za-z]{3})-(\d{2}) (\d{2}:\d{2}:\d{2}) (GMT)$": (1, 2, 3, 4, 5),
+    r"^[A-Za-z]{3} ([A-Za-z]{3}) +(\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})()$": (2, 1, 4, 3, 5),
+}
+
+
 def retry_after_s(header: Column, header_ms: Column, now: Column) -> Column:
-    """Seconds to wait: a number, an HTTP date against ``now``, or the millisecond header."""
+    """Seconds to wait: a number, an HTTP date (any of the three forms, or with an offset) against ``now``, or the
+    millisecond header."""
     floor = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))  # noqa: E731  (greatest skips NULL)
-    secs = floor(F.trim(header).try_cast("double"))
-    day = F.regexp_extract(F.trim(header), r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1)
-    date = F.try_to_timestamp(F.when(day != "", day), F.lit("dd MMM yyyy HH:mm:ss"))
+    text = F.trim(header)
+    secs = floor(text.try_cast("double"))
+    day = F.lit(None).cast("string")
+    for form, order in HTTP_DATES.items():
+        parts = [F.regexp_extract(text, form, i) for i in order]
+        zone = F.when(parts[-1].rlike(r"^[+-]\d{4}$"), parts[-1]).otherwise(F.lit("+0000"))
+        day = F.when(text.rlike(form), F.concat_ws(" ", *parts[:-1], zone)).otherwise(day)
+    date = F.coalesce(*[F.try_to_timestamp(day, F.lit(f"d MMM {year} HH:mm:ss xx")) for year in ("yyyy", "yy")])
     wait = floor(date.cast("double") - now.cast("timestamp").cast("double"))
     return F.coalesce(secs, wait, header_ms.try_cast("double") / 1000.0)
 

@@ -75,3 +75,15 @@ def test_every_run_of_a_large_comparison_is_paired(spark):
     pairs = {(r.run_a, r.run_b) for r in cp.report_pairs(ranked).collect()}
     assert pairs == {("r1", f"r{i}") for i in range(2, 21)} | {(f"r{i}", f"r{i + 1}") for i in range(1, 20)}
     assert cp.top_pairs(ranked).count() == 120
+
+
+def test_retry_after_in_every_form(spark):
+    from cellscore.operators import extract as ex
+
+    rows = [
+        ("12.5", None, 12.5), ("-3", None, 0.0), ("Tue, 03 Mar 2026 10:00:30 GMT", None, 30.0), ("Tue, 3 Mar 2026 12:00:10 +0200", None, 10.0), ("Tuesday, 03-Mar-26 10:01:00 GMT", None, 60.0),
+        ("Tue Mar  3 10:00:05 2026", None, 5.0), ("Tue, 03 Mar 2026 09:00:00 GMT", None, 0.0), ("soon", "1500", 1.5), (None, None, None),
+    ]
+    d = spark.createDataFrame(rows, "h string, ms string, want double")
+    got = d.select("h", "want", ex.retry_after_s(F.col("h"), F.col("ms"), F.lit("2026-03-03 10:00:00").cast("timestamp")).alias("got")).collect()
+    assert [r for r in got if r.got != r.want] == []
