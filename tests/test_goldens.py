@@ -113,6 +113,8 @@ def test_prices(spark):
     m = spark.createDataFrame(rows, "model_id string, provider string, kind string, name string, own_input double, own_output double")
     got = {r.model_id: (r.input_per_m, r.output_per_m, r.source) for r in wl.price_lookup(m, wl.price_table(default.limit(0), default)).collect()}
     assert got == {"long": (1.0, 3.0, "default"), "short": (8.0, 24.0, "default"), "free": (0.0, 0.0, "local"), "unknown": (None, None, None), "own": (2.5, 7.5, "registry")}
+    m = m.withColumn("own_discount", F.when(F.col("model_id") == "own", 0.75))
+    assert {r.model_id: r.batch_discount for r in wl.price_lookup(m, wl.price_table(default.limit(0), default)).collect()}["own"] == 0.75
     d = spark.createDataFrame([(8.0, 24.0, 0.25)], "input_per_m double, output_per_m double, batch_discount double")
     assert tuple(d.select(wl.usage_cost(F.lit(5e5), F.lit(2.5e5), F.lit(False)), wl.usage_cost(F.lit(5e5), F.lit(2.5e5), F.lit(True))).first()) == (10.0, 2.5)
 
