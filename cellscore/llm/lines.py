@@ -74,14 +74,15 @@ def recurring(lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """d, key, gone: the places of the lines to drop, for each document that has any."""
     lines = written(lines_of(docs), "lines")
-    hit = lines.select("d", "key", "pos", "th").join(recurring(lines), "th").where(F.exists("firsts", lambda f: f != F.col("key")))
+    known = written(recurring(lines), "recurring")
+    hit = lines.select("d", "key", "pos", "th").join(known, "th").where(F.exists("firsts", lambda f: f != F.col("key")))
     return hit.groupBy("d", "key").agg(F.collect_set("pos").alias("gone"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the text that is left, and _lines and _dropped: how many lines there were and how many went."""
     gone = written(dropped_lines(docs), "gone")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
+    keyed = docs.withColumn("_key", F.xxhash64("text")).hint("merge")  # the other side grows with the corpus
     match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
     both = keyed.join(gone.select(F.col("d").alias("_d"), F.col("key").alias("_k"), F.col("gone").alias("_gone")), match, "left")
     parts = F.split("text", "\n")
