@@ -10,9 +10,11 @@ give components.
 * **Prefix.** Two sets of the wanted similarity share an n-gram among the first n - ceil(t n) + 1 of both. Only these
   are exchanged.
 * **Candidates without groups squared.** Round 1 pairs each class with the smallest class that shares a prefix n-gram
-  with it. Verified pairs are links, links give components. Round 2 pairs, for each n-gram, only classes of different
-  components, all of them; so no link between components is missed, and a large group of near copies, joined in round
-  1, is not paired within itself.
+  with it. Verified pairs are links, links give components. Round 2 pairs, for each n-gram that several components share,
+  its classes with one drawn by a hash, another for each n-gram. Round 3 pairs, for each n-gram, all classes of different
+  components that can be similar; so no link between components is missed, and a large group of near copies, joined in
+  the rounds before, is not paired within itself. The smaller set of a pair has its first common n-gram among its first
+  n - ceil(2 t n / (1 + t)) + 1, so only those are looked up, and only in sets of the same or the next band of sizes.
 * **Filters.** Length (the smaller set has at least t of the larger), position (what is left behind the first common
   prefix n-gram must suffice), suffix (both sets are cut at fixed hashes into 16 parts; the sum of the parts' smaller
   sizes bounds the overlap).
@@ -71,6 +73,7 @@ def gram_order(docs: DataFrame, n: int) -> np.ndarray:
 def signatures(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
     """doc_id, size, two hashes of the whole set, its prefix in the global order and the sizes of its parts."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
+    bands = size_bands(percent)
     pivots = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(60)
 
     def sign(batches):
@@ -93,20 +96,21 @@ def signatures(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> Data
                 [
                     batch.column("doc_id").cast(pa.int64()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(np.searchsorted(bands, sizes, "right").astype(np.int32)),
                     pa.array(np.array(one, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(tokens)),
                     pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * PARTS).astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32))),
                 ],
-                ["doc_id", "size", "s1", "s2", "prefix", "parts"],
+                ["doc_id", "size", "band", "s1", "s2", "prefix", "parts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, size bigint, s1 bigint, s2 bigint, prefix array<bigint>, parts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, size bigint, band int, s1 bigint, s2 bigint, prefix array<bigint>, parts array<int>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, grams) for the classes in ``wanted`` (id): the texts are read once more. A table of hashed ids of fixed
-    size lets most other documents go before the exchange."""
+    """(id, grams) for the classes in ``wanted`` (id) and few others: the texts are read once more, and a table of hashed
+    ids of fixed size lets most other documents go at once."""
     bits = np.zeros(BUCKETS, dtype=bool)
     at = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
     bits[wanted.select(at.alias("b")).distinct().toArrow()["b"].to_numpy()] = True
@@ -123,7 +127,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), flat)], ["id", "grams"])
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("id"), "text").withColumn("b", at)
-    return texts.mapInArrow(build, "id bigint, grams array<bigint>").join(wanted, "id", "left_semi")
+    return texts.mapInArrow(build, "id bigint, grams array<bigint>")
+
+
+def first_places(size, percent: int):
+    """How many n-grams of a set can be the first in common with a similar set that isn't smaller."""
+    return size - F.ceil(2 * percent * size / (100 + percent)) + 1
+
+
+def size_bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
+    """Smallest sizes of bands such that similar sets are in one band or in neighbouring ones."""
+    out = [1]
+    while out[-1] < largest:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out, dtype=np.int64)
 
 
 def enough(shared, a, b, percent: int):
@@ -131,6 +148,43 @@ def enough(shared, a, b, percent: int):
     return (100 + percent) * shared >= percent * (a + b)
 
 
+def marked(grams: DataFrame) -> np.ndarray:
+    """2^24 bits, by the upper bits of each of ``grams`` (gram), as words of 64."""
+    bit = F.shiftrightunsigned("gram", 40)
+    rows = grams.select(F.shiftright(bit, 6).alias("k"), F.expr("shiftleft(1L, cast(shiftrightunsigned(gram, 40) & 63 as int))").alias("w"))
+    rows = rows.groupBy("k").agg(F.bit_or("w").alias("w")).toArrow()  # at most 2^18 rows
+    words = np.zeros(1 << 18, dtype=np.uint64)
+    words[rows["k"].to_numpy()] = rows["w"].to_numpy().view(np.uint64)
+    return words
+
+
+def shared_postings(reps: DataFrame, common: DataFrame) -> DataFrame:
+    """id, size, band, at, gram, lead: the postings of the grams in ``common`` (gram, lead). Most others are dropped
+    before the exchange by a table of fixed size; the join does the rest."""
+    shared = reps.sparkSession.sparkContext.broadcast(marked(common))
+
+    def keep(batches):
+        words = shared.value
+        for batch in batches:
+            lists = batch.column("prefix")
+            grams = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            begin = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            hit = np.flatnonzero((words[grams >> np.uint64(46)] >> ((grams >> np.uint64(40)) & np.uint64(63))) & np.uint64(1))
+            row = np.searchsorted(begin, hit, "right") - 1
+            own = batch.select(["id", "size", "band"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(hit - begin[row], pa.int64()), pa.array(grams[hit].view(np.int64))], ["id", "size", "band", "at", "gram"])
+
+    found = reps.select("id", "size", "band", "prefix").mapInArrow(keep, "id bigint, size bigint, band int, at bigint, gram bigint")
+    return found.hint("merge").join(common, "gram")
+
+
+def between_components(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """``postings`` with comp, of the grams that several components share."""
+    placed = postings.drop("comp").hint("merge").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    mixed = placed.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
+    return written(placed.hint("merge").join(mixed, "gram", "left_semi"), "placed")
+
+
 def suffix_bound(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
 
@@ -139,8 +193,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     """The pairs (a, b) whose whole sets are similar enough. Only texts in ``pairs`` are exchanged."""
     pairs = written(pairs, "pairs")
     sets = written(sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), n), "sets")
-    b = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
-    both = b.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
+    b = pairs.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")  # no side is small
+    both = b.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb"))
     return both.where(enough(common, F.size("ga"), F.size("gb"), percent)).select("a", "b").distinct()
 
@@ -172,16 +226,16 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     whole = signed.where("size > 0 and doc_id is not null")
     classes = whole.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("id"))
     reps = whole.join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    reps = written(reps.select(F.col("doc_id").alias("id"), "size", "prefix", "parts"), "classes")
+    reps = written(reps.select(F.col("doc_id").alias("id"), "size", "band", "prefix", "parts"), "classes")
 
-    postings = reps.select("id", "size", F.posexplode("prefix").alias("at", "gram"))
-    common = postings.groupBy("gram").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("gram", "lead")
-    postings = written(postings.join(common, "gram"), "postings")
+    grams = reps.select("id", F.explode("prefix").alias("gram"))
+    common = grams.groupBy("gram").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("gram", "lead")
+    postings = written(shared_postings(reps, written(common, "common")), "postings")
 
     def sized(pairs: DataFrame) -> DataFrame:
         """Length and suffix filters; adds both sizes."""
         for side in "ab":
-            pairs = pairs.join(reps.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("parts").alias(f"p{side}")), side)
+            pairs = pairs.hint("merge").join(reps.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("parts").alias(f"p{side}")), side)
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough(suffix_bound(F.col("pa"), F.col("pb")), F.col("na"), F.col("nb"), percent)
         return pairs.where(fits)
 
@@ -189,21 +243,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
     first = written(verified(docs, near.select("a", "b"), n, percent), "links")
     roots = components(first)
 
-    placed = postings.join(roots, "id", "left").select("id", "size", "gram", "at", F.coalesce("root", "id").alias("comp"))
-    groups = placed.select("gram", "comp").distinct()
-    mixed = groups.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("gram")
-    groups = groups.join(mixed, "gram", "left_semi")
-    meet = groups.select("gram", F.col("comp").alias("ca")).join(groups.select("gram", F.col("comp").alias("cb")), "gram").where("ca < cb")
-    left = placed.select("gram", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
-    right = placed.select("gram", F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
-    cross = meet.join(left, ["gram", "ca"]).join(right, ["gram", "cb"]).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    cross = cross.groupBy("a", "b", "na", "nb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    left_over = 1 + F.least(F.col("na") - 1 - F.col("ia"), F.col("nb") - 1 - F.col("ib"))
-    cross = cross.where(enough(left_over, F.col("na"), F.col("nb"), percent)).select("a", "b")
-    second = verified(docs, sized(cross).select("a", "b"), n, percent)
-    roots = components(first.unionByName(second))
-
-    member = classes.join(roots, "id", "left").select("s1", "s2", "size", F.coalesce("root", "id").alias("component_id"))
+    placed = between_components(postings, roots)
+    draw = F.xxhash64("id", "gram")
+    other = placed.groupBy("gram").agg(F.min_by("id", draw).alias("a"), F.min_by("comp", draw).alias("ca"))
+    again = placed.join(other, "gram").where("comp <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    second = written(verified(docs, sized(again).select("a", "b"), n, percent), "links")
+    links = first.unionByName(second)
+
+    placed = between_components(placed, components(links))
+    small = placed.where(F.col("at") < first_places(F.col("size"), percent)).select("gram", "band", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
+    large = placed.select("gram", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
+    key = ["gram", "band"]
+    meet = small.select(*key, "ca").distinct().join(large.select(*key, "cb").distinct(), key).where("ca <> cb")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    behind = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # in both from the first common n-gram on
+    fits = ordered & (100 * F.col("na") >= percent * F.col("nb")) & enough(behind, F.col("na"), F.col("nb"), percent)
+    cross = meet.join(small, [*key, "ca"]).join(large, [*key, "cb"]).where(fits)
+    cross = cross.select("a", "b").distinct()
+    third = verified(docs, sized(cross).select("a", "b"), n, percent)
+    roots = components(links.unionByName(third))
+
+    member = written(classes.join(roots, "id", "left").select("s1", "s2", "size", F.coalesce("root", "id").alias("component_id")), "members")
     out = signed.select("doc_id", "size", "s1", "s2").join(member, ["s1", "s2", "size"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
