@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from cellscore.llm.store import read_table, written
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE, TREES, DEPTH, THRESHOLD, SEED = 20_000, 12, 3, 0.5, 7
+SAMPLE, TREES, DEPTH, THRESHOLD, SEED = 20_000, 12, 4, 0.5, 7
 
 #: The contract's patterns, written so that they don't backtrack.
 BASE = {
@@ -44,6 +44,9 @@ GENERATORS = {
     "digits": (["card", "phone"], r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,}+"),
 }
 
+#: How many digits a candidate of a kind may have.
+DIGITS = {"card": (12, 19), "phone": (7, 15)}
+
 CALLS = "tel|phone|fax|call|mail|contact|mobile|card|visa|pay|host|server|addr|login"
 CODES = "token|key|secret|sha|hash|order|invoice|version|isbn|id"
 SPAN = "struct<kind:int,s:int,e:int,m:string>"
@@ -98,6 +101,11 @@ def fulfils(kind: str) -> Callable[[Column], Column]:
     return lambda x: holds(kind, x["m"])
 
 
+def possible(kind: str) -> Callable[[Column], Column]:
+    low, high = DIGITS.get(kind, (0, 1 << 30))
+    return lambda x: F.length(digits_of(x["m"])).between(low, high)
+
+
 def of_kind(kind: int) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
@@ -114,7 +122,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     found = [F.when(may[k], F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"_m_{k}") for k, p in patterns.items()]
     rows = rows.select("doc_id", "_text", *found)
     base = [F.filter(located(BASE[k], F.col(f"_m_{k}"), i), fulfils(k)) for i, k in enumerate(KINDS)]
-    more = [located(p, F.col(f"_m_{g}"), KINDS.index(k)) for g, (kinds, p) in GENERATORS.items() for k in kinds]
+    more = [F.filter(located(p, F.col(f"_m_{g}"), KINDS.index(k)), possible(k)) for g, (kinds, p) in GENERATORS.items() for k in kinds]
     return rows.select("doc_id", "_text", F.concat(*base).alias("_base"), F.concat(*more).alias("_more"))
 
 
