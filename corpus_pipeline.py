@@ -34,14 +34,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each group the document with the smallest doc_id stays; rows without doc_id stay."""
     found = jaccard.jaccard_components(docs)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")  # the other side grows with the corpus
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which one word in twenty or more stands in benchmark passages go."""
     found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark")).withColumn("n_hit", decontaminate.hit_words())
     gone = written(found.where(decontaminate.contaminated()).select(F.col("doc_id").alias("_d"), F.col("key").alias("_key")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    return docs.hint("merge").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
