@@ -31,8 +31,9 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest doc_id stays; rows without doc_id stay."""
-    found = jaccard.jaccard_components(docs)
+    """Of each group linked by shingles of five words at 0.8 or more the document with the smallest doc_id stays; rows
+    without doc_id stay."""
+    found = jaccard.jaccard_components(docs, n=5, percent=80)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.hint("merge").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")  # the other side grows with the corpus
 

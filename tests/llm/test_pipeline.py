@@ -65,3 +65,23 @@ def test_odd_texts_and_clashing_columns(spark, odd_texts, tmp_path):
     none = tmp_path / "none"
     none.mkdir()
     assert stages(spark, docs.limit(0), none)[-1][1].count() == 0
+
+
+def test_near_duplicates_by_five_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = sorted((r.doc_id, test_jaccard.shingles(r.text, 5)) for r in docs.collect())
+    root = {i: i for i, _ in sets}
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1 :]:
+            if a and b and root[i] != root[j] and 100 * (both := len(a & b)) >= 80 * (len(a) + len(b) - both):
+                p, q = sorted((root[i], root[j]))
+                root = {x: p if r == q else r for x, r in root.items()}
+    assert sorted(r.doc_id for r in P.without_near_duplicates(spark, docs, SF).collect()) == [i for i in root if root[i] == i]
+
+
+def test_pair_at_80_percent_of_five_words(spark):
+    a = " ".join(f"w{i}" for i in range(48))  # 44 shingles of five words, 45 of four
+    b = " ".join(["x0 x1 x2 x3 x4", *(f"w{i}" for i in range(4, 48))])
+    one, two = ([test_jaccard.shingles(x, n) for x in (a, b)] for n in (5, 4))
+    assert 0.8 <= len(one[0] & one[1]) / len(one[0] | one[1]) and len(two[0] & two[1]) / len(two[0] | two[1]) < 0.85
+    assert [r.doc_id for r in P.without_near_duplicates(spark, frame(spark, [a, b]), SF).collect()] == [0]
