@@ -169,16 +169,21 @@ def as_expression(model) -> Callable[[Column], Column]:
 def train(spans: DataFrame):
     """The score of a candidate's features, and c of each kind; None if the sample has labels of one kind only."""
     more = F.transform("_more", lambda x: F.struct(features(x).alias("f"), x["kind"].alias("kind"), x["s"].alias("s"), F.exists("_base", lambda b: same_span(b, x)).cast("double").alias("label")))
-    rows = spans.where(F.size("_more") > 0).select("doc_id", F.explode(more).alias("x")).select("doc_id", "x.*")
-    order = F.xxhash64("doc_id", "kind", "s")
-    sample = written(rows.orderBy(order, "doc_id", "kind", "s", F.col("f").cast("string")).limit(SAMPLE), "candidates")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    fit = sample.where(~held_out).select(array_to_vector("f").alias("features"), "label")
+
+    def rows(docs: DataFrame) -> DataFrame:
+        return docs.where(F.size("_more") > 0).select("doc_id", F.explode(more).alias("x")).select("doc_id", "x.*")
+
+    order = F.xxhash64("doc_id", "kind", "s")
+    fit = written(rows(spans.where(~held_out)).orderBy(order, "doc_id", "kind", "s", F.col("f").cast("string")).limit(SAMPLE), "candidates")
+    fit = fit.select(array_to_vector("f").alias("features"), "label")
     if fit.select("label").distinct().count() < 2:
         return None
     model = GBTClassifier(maxDepth=DEPTH, maxIter=TREES, stepSize=0.3, maxBins=64, seed=SEED).fit(fit)
     score = as_expression(model)
-    c = sample.where(held_out & (F.col("label") == 1)).groupBy("kind").agg(F.avg(score(F.col("f"))).alias("c")).collect()  # one row for each kind
+    # sums of integers: the same c in any order of rows
+    mean = F.sum(F.round(score(F.col("f")) * 1e9).cast("bigint")) / F.count("*") / 1e9
+    c = rows(spans.where(held_out)).where("label = 1").groupBy("kind").agg(mean.alias("c")).collect()  # one row for each kind
     return score, {r.kind: r.c for r in c}
 
 

@@ -84,3 +84,12 @@ def test_test_table(spark):
 def test_redact(spark):
     df = spark.createDataFrame([("é call a@b.c now", [(0, 7, 12), (3, 9, 12)]), ("x", [])], "text string, spans array<struct<kind:int,s:int,e:int>>")
     assert [r[0] for r in df.select(pii.redact(F.col("text"), F.col("spans"))).collect()] == ["é call <email> now", "x"]
+
+
+def test_thresholds_over_all_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 300)
+    runs = " ".join(f"no {1000000 + 7919 * i}" for i in range(20))
+    texts = [f"{runs} tel +49 30 12345{i:03d}" + (f" mail a{i}@example.org" if i % 20 < 3 else "") for i in range(400)]
+    spans = pii.spans_of(frame(spark, texts))
+    c = pii.train(spans)[1]
+    assert set(c) == {pii.KINDS.index("email"), pii.KINDS.index("phone")} and all(0 < x <= 1 for x in c.values())
