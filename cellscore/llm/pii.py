@@ -2,7 +2,8 @@
 
 * **Base spans** follow fixed formats (see ``BASE``) and always stay.
 * **Candidates** come from looser generators that may overlap each other and the base spans: anything around an at sign
-  or a spelt one, dotted and colon-separated groups, runs of digits with separators (proposed as phone and as card).
+  or a spelt one, dotted and colon-separated groups, and of runs of digits with separators each stretch of consecutive groups
+  whose digits fit (proposed as phone and as card).
 * **Boosted trees** (the ML library's, trained in the JVM on at most ``SAMPLE`` candidates, those with the smallest
   hashes, of all documents) score each candidate by its format and what stands around it. Candidates that are base
   spans are labelled; the others are not negative but unlabelled.
@@ -110,6 +111,35 @@ def of_kind(kind: int) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
+def named(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def stretches(run: Column) -> Column:
+    """The stretches of consecutive groups of digits in a run: at most 19 from each group on, as each has a digit."""
+    most = max(high for _, high in DIGITS.values())
+
+    def of(chars: Column) -> Column:
+        digit = lambda i: F.coalesce(F.get(chars, i).between("0", "9"), F.lit(False))
+        places = F.sequence(F.lit(0), F.size(chars) - 1)
+        starts = F.filter(places, lambda i: digit(i) & ~digit(i - 1))
+        ends = F.filter(places, lambda i: digit(i) & ~digit(i + 1))
+
+        def span(s: Column, e: Column) -> Column:
+            begin = s - F.coalesce(F.get(chars, s - 1).isin("+", "("), F.lit(False)).cast("int")
+            m = F.array_join(F.slice(chars, begin + 1, e - begin + 1), "")
+            return F.struct(F.lit(0).alias("kind"), (run["s"] + begin).alias("s"), (run["s"] + e + 1).alias("e"), m.alias("m"))
+
+        return named(ends, lambda ends: F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(ends, k + 1, most), lambda e: span(s, e)))))
+
+    return F.filter(named(F.split(run["m"], ""), of), lambda x: F.length(digits_of(x["m"])) <= most)
+
+
+def as_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
     """doc_id, _text, _base and _more: the base spans, and the generated ones."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
@@ -122,11 +152,14 @@ def spans_of(docs: DataFrame) -> DataFrame:
     found = [F.when(may[k], F.regexp_extract_all("_text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"_m_{k}") for k, p in patterns.items()]
     rows = rows.select("doc_id", "_text", *found)
     base = [F.filter(located(BASE[k], F.col(f"_m_{k}"), i), fulfils(k)) for i, k in enumerate(KINDS)]
-    more = [F.filter(located(p, F.col(f"_m_{g}"), KINDS.index(k)), possible(k)) for g, (kinds, p) in GENERATORS.items() for k in kinds]
-    return rows.select("doc_id", "_text", F.concat(*base).alias("_base"), F.concat(*more).alias("_more"))
+    rows = rows.select("doc_id", "_text", F.concat(*base).alias("_base"), *[located(p, F.col(f"_m_{g}"), 0).alias(f"_g_{g}") for g, (_, p) in GENERATORS.items()])
+    runs = F.flatten(F.transform("_g_digits", stretches)).alias("_g_digits")
+    rows = rows.select("doc_id", "_text", "_base", *[runs if g == "digits" else f"_g_{g}" for g in GENERATORS])
+    more = [F.filter(F.transform(f"_g_{g}", as_kind(KINDS.index(k))), possible(k)) for g, (kinds, _) in GENERATORS.items() for k in kinds]
+    return rows.select("doc_id", "_text", "_base", F.concat(*more).cast(EMPTY).alias("_more"))
 
 
-FEATURES = ["kind", "length", "digits", "letters", "separators", "dots", "at", "plus", "longest", "groups", "kinds_of_digit", "before", "after", "calls", "codes", "start"]
+FEATURES = ["kind", "length", "digits", "letters", "separators", "dots", "at", "plus", "longest", "groups", "kinds_of_digit", "before", "after", "calls", "codes", "start", "luhn"]
 
 
 def features(x: Column) -> Column:
@@ -140,6 +173,7 @@ def features(x: Column) -> Column:
     values = [
         x["kind"], F.length(m), count("[0-9]"), count("[A-Za-z]"), count(r"[\x20().:/-]"), count(r"\."), count("@"), m.startswith("+").cast("int"), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
         F.size(runs), F.size(F.array_distinct(F.split(digits_of(m), ""))), sort(F.right(around, F.lit(1))), sort(after), around.rlike(CALLS).cast("int"), around.rlike(CODES).cast("int"), (x["s"] == 0).cast("int"),
+        F.when(x["kind"] == KINDS.index("card"), luhn(digits_of(m)).cast("int")).otherwise(0),
     ]
     return F.array(*[v.cast("double") for v in values])
 

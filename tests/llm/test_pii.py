@@ -93,3 +93,27 @@ def test_thresholds_over_all_held_out_rows(spark, monkeypatch):
     spans = pii.spans_of(frame(spark, texts))
     c = pii.train(spans)[1]
     assert set(c) == {pii.KINDS.index("email"), pii.KINDS.index("phone")} and all(0 < x <= 1 for x in c.values())
+
+
+def test_stretches_of_a_run(spark):
+    texts = ["7536784127813050 4845168114407329", "+49 30 1234567 4111 1111 1111 1111", "1 " * 3000, "call 030 (555) 1234567/8"]
+    rows = {r.doc_id: r for r in pii.spans_of(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        got = {(x.kind, x.s, x.e) for x in rows[i]._more}
+        assert all(t[x.s : x.e] == x.m for x in rows[i]._more) and len(got) == len(rows[i]._more)
+        groups = [m.span() for m in re.finditer("[+(]?[0-9]+", t)]
+        for kind, (low, high) in ((2, (12, 19)), (3, (7, 15))):
+            want = {(kind, s, e) for k, (s, _) in enumerate(groups) for _, e in groups[k : k + 19] if low <= len(re.sub("[^0-9]", "", t[s:e])) <= high}
+            assert {x for x in got if x[0] == kind} == want
+
+
+def test_neighbours_with_only_a_blank_between(spark, run):
+    def card(i):
+        d = f"4{i * 7919 % 10**14:014d}"
+        return d + next(c for c in "0123456789" if valid("card", d + c))
+
+    around = ["{}", "see {} there", "card {} now", "{} there", "see {}"]
+    texts = [around[i % 5].format(x) for i in range(150) for x in (card(i), 10**15 + 7919 * i, f"+49 30 {10**6 + 57919 * i}")]
+    texts += [f"{card(900)} {card(901)}", f"+49 30 1234567 {card(902)}"]
+    out = {r.doc_id: set(r.spans.split(",")) for r in run(frame(spark, texts)).collect()}
+    assert {"card:0:16", "card:17:33"} <= out[450] and {"phone:0:14", "card:15:31"} <= out[451]
