@@ -40,6 +40,7 @@ MAGIC = 0x31505252
 REMEMBERED, RECENT, TOGETHER = 2_000_000, 100_000, 500
 SALT = np.uint64(0x632BE59BD9B4E019)
 SAME = np.arange(256, dtype=np.uint8)
+SPACED = re.compile(r"[\x20\x09-\x0D]")
 #: A piece that is a word of letters below U+0250 (whose lower case and normal form are single steps), already in lower
 #: case, with symbols behind it; or anything else.
 SPLIT = re.compile(r"""^(?:([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f]+)([!-/:-@\[-`{-~]*)|.*)$""", re.MULTILINE).findall
@@ -70,14 +71,22 @@ class WordEncoder:
     No token spans ASCII white space and none depends on what lies beyond it, so texts are cut there and a piece that
     was seen before (known by its 64-bit hash, A-Z lower-cased) is not encoded again. Pieces of plain letters with
     symbols behind them are encoded many in a call and told apart by the tokens that end a word or a run of symbols.
+
+    With ``special``, as is the library's default, the strings of special tokens in a text are these tokens. A piece
+    that holds one is encoded on its own and known by its hash as it is written.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special]
+        if any(SPACED.search(t) for t in added):
+            raise ValueError("added tokens with white space are not supported")
+        self.added = re.compile("|".join(map(re.escape, added)).encode() or b"(?!)").finditer
+        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.terminals = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.terminals, dtype=bool)
@@ -96,6 +105,7 @@ class WordEncoder:
         sizes = np.zeros(len(pieces), np.int64)
         kinds = SPLIT("\n".join(pieces).lower())
         units = np.array([bool(w) + bool(m) for w, m in kinds] if len(kinds) == len(pieces) else [0] * len(pieces))
+        units[[i for i, x in enumerate(pieces) if self.holds_added(x)]] = 0
         plain, order = np.flatnonzero(units), []
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for g, ids in zip(groups, self._whole([" ".join([pieces[i] for i in g.tolist()]) for g in groups])):
@@ -130,6 +140,11 @@ class WordEncoder:
         if wide.any():  # there, case is the library's business
             some = np.concatenate(([0], np.cumsum(wide)))
             keys = np.where(some[words.end] > some[words.start], Words(texts, SPACE, SAME).hash ^ SALT, keys)
+        places = [m.start() for m in self.added(data.tobytes())]
+        if places:  # case matters there
+            held = np.searchsorted(words.start, places, "right") - 1
+            keys = keys.copy()
+            keys[held] = Words(texts, SPACE, SAME).hash[held] ^ ~SALT
         keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.old.keys) + len(self.new.keys) + len(keys) > REMEMBERED:
             self._forget()
@@ -156,8 +171,8 @@ class WordEncoder:
 
 
 @cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, special: bool) -> WordEncoder:
+    return WordEncoder(path, special)
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST):
@@ -268,8 +283,11 @@ class ShardReader:
 SHARD = "part int, shard bigint, n_ids bigint, doc_ids array<bigint>, payload binary"
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encodes ``docs`` (doc_id, text) and writes the shards, in ascending doc_id order, as a Parquet table at ``path``."""
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS, special: bool = False) -> DataFrame:
+    """Encodes ``docs`` (doc_id, text) and writes the shards, in ascending doc_id order, as a Parquet table at ``path``.
+
+    ``special``: strings of special tokens in a text are these tokens, not ordinary text.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
@@ -280,7 +298,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         return pa.RecordBatch.from_arrays(row, ["part", "shard", "n_ids", "doc_ids", "payload"])
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, special)
         terminals = max(encoder.terminals, end_id + 1)
         part, number, doc_ids, sizes, held, size = 0, 0, [], [], [], 0
         for batch in slices(batches):
@@ -323,5 +341,5 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def op3_token_id_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = write_shards(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-ids"), public_tokenizers.path(TOKENIZER))
+    shards = write_shards(read_table(spark, sf_dir, "documents"), scratch_path(spark, "token-ids"), public_tokenizers.path(TOKENIZER), special=True)
     return read_documents(shards)

@@ -75,3 +75,17 @@ def test_test_table(spark):
     sf = "/root/testdata/sf0.01"
     want = brute(sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()))
     assert got(op3_token_id_repair(spark, sf)) == want
+
+
+def test_special_tokens_as_the_library_by_default(spark, tmp_path):
+    plain = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "X <|EndOfText|> y", "ab<|endoftext|>cd!<|startoftext|>", "é<|endoftext|>É <|endoftext|><|endoftext|>", "<|endoftext|", "<|endoftext|>", None, "x y", "ŁĄ<|STARTOFTEXT|> <|startoftext|>."]
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [343, 49407, 344]
+    own = WordEncoder(PATH, special=True)
+    for _ in range(2):
+        assert [own.encode(pa.array([t], pa.string()))[0].tolist() for t in texts] == want
+        assert own.encode(pa.array(texts))[0].tolist() == sum(want, [])
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in op3_token_id_repair(spark, str(tmp_path)).collect())
+    assert rows == [(i, len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in enumerate(want)]
