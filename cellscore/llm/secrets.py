@@ -5,7 +5,8 @@ values assigned to a name that speaks of secrets. The forest (the ML library's)
 characters follow each other compared with all of the corpus, by how much of it words of the corpus cover, by the path
 (the column ``path``, here the documents' source) and by the words and signs around it.
 
-It is trained on labelled findings, at most ``SAMPLE``, those with the smallest hashes. Where none are given they are
+It is trained on labelled findings, equal ones as one with their count as weight, at most ``SAMPLE``: half of them of
+each label, those with the smallest hashes, weighted so that each label keeps its share. Where none are given they are
 made by rules: a quoted value with letters and digits assigned to a secret's name is one; digits alone, runs that words
 cover, and values called a hash, id or version are not; all others have no label. If the findings have labels of one
 kind only, every candidate gets that label.
@@ -151,11 +152,18 @@ def found_in(docs: DataFrame, likely: np.ndarray, frequent: np.ndarray) -> DataF
 
 def forest(findings: DataFrame):
     """The probability that a finding is a secret, as a function of its features' column, learnt from (f, label)."""
-    fit = written(findings.orderBy(F.xxhash64(F.col("f").cast("string")), F.col("f").cast("string"), "label").limit(SAMPLE), "findings")
-    labels = sorted(r.label for r in fit.select("label").distinct().collect())
+    findings = written(findings.groupBy("f", "label").agg(F.count("*").alias("n")), "findings")
+    totals = {r.label: r.n for r in findings.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    labels = sorted(totals)
     if len(labels) < 2:
         return lambda f: F.lit(float(labels[0]) if labels else 0.0)
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED).fit(fit.select(array_to_vector("f").alias("features"), F.col("label").cast("double").alias("label")))
+    order = [F.xxhash64(F.col("f").cast("string")), F.col("f").cast("string")]
+    some = [findings.where(F.col("label") == k).orderBy(*order).limit(SAMPLE // 2) for k in labels]
+    fit = written(some[0].unionByName(some[1]).coalesce(1), "fit")
+    shares = {r.label: totals[r.label] / r.n for r in fit.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    weight = F.col("n") * F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
+    fit = fit.select(array_to_vector("f").alias("features"), F.col("label").cast("double").alias("label"), weight.alias("weight"))
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=SEED, weightCol="weight").fit(fit)
 
     def tree(node, f: Column) -> Column:
         if node.getClass().getSimpleName() == "LeafNode":

@@ -55,3 +55,14 @@ def test_given_findings(spark):
     labelled = labelled.select("doc_id", "s", F.when(F.col("label") == 1, F.col("n") - 4).otherwise(F.col("n")).cast("bigint").alias("e"), "label")
     for x in S.scan_secrets(docs, labelled=labelled).collect():
         assert len(x.found) == 1 and (x.found[0].score >= 0.5) == (x.doc_id % 2 == 0)
+
+
+def test_one_finding_copied_more_often_than_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLE", 100)
+    each = [([float(i), 1.0], int(i >= 50)) for i in range(100) for _ in range(1 if i != 7 else 3000)]
+    findings = spark.createDataFrame(each, "f array<double>, label int")
+    first = findings.orderBy(F.xxhash64(F.col("f").cast("string"))).select("f").first().f
+    findings = findings.unionByName(spark.range(200).select(F.array(*map(F.lit, first)).alias("f"), F.lit(int(first[0] >= 50)).alias("label")))
+    score = S.forest(findings)
+    out = {r.x: r.p for r in spark.range(100).select(F.col("id").alias("x"), score(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("p")).collect()}
+    assert all(out[i] < 0.5 for i in range(45)) and all(out[i] >= 0.5 for i in range(55, 100))
