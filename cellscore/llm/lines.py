@@ -7,7 +7,8 @@ least four fifths of the tokens are the template's). The second kind is tried on
 and for lines of at least ``WIDE`` tokens.
 
 A template recurs if it stands in enough different documents: 2 for lines of ``LONG`` tokens or more, 10 for fewer
-than ``SHORT``, else 3; templates of the second kind need at least 3. Documents with the same text count as one, so
+than ``SHORT``, else 3; templates of the second kind need at least 3. A template has a fixed token at least: lines of
+variable fields alone recur by equal text, and a stretch that has all fixed tokens is no wildcard. Documents with the same text count as one, so
 that whole copies are left to document dedup. Lines of recurring templates are dropped everywhere but in the
 template's first document (smallest doc_id; null last) and its copies, so no content is lost.
 
@@ -37,15 +38,22 @@ def needed(tokens: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """d, key (of the document and its text), pos, n (tokens), leaf, th (template) and s1.. (stretches) of each line
-    that isn't blank."""
+    """d, key (of the document and its text), pos, n (tokens), leaf, th (template), s0.. (stretches) and rest (is there a
+    fixed token outside of each) of each line that isn't blank."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     masked = F.when(F.col("line").rlike("[0-9@]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line"))
     tokens = F.filter(F.split(masked, BLANK + "+"), lambda x: x != "")
-    rows = rows.select("d", "key", "pos", tokens.alias("t")).withColumn("n", F.size("t")).where("n > 0")
+    rows = rows.select("d", "key", "pos", "line", tokens.alias("t")).withColumn("n", F.size("t")).where("n > 0")
+    rows = rows.withColumn("fixed", F.array_size(F.array_remove("t", "<*>")))
+    plain = F.filter(F.split("line", BLANK + "+"), lambda x: x != "")  # no template without a fixed token
+    rows = rows.withColumn("t", F.when(F.col("fixed") > 0, F.col("t")).otherwise(plain))
     step = F.ceil(F.col("n") / STRETCHES).cast("int")
-    cuts = [F.when(F.col("n") >= WIDE, F.hash(F.slice("t", 1 + step * k, step))).alias(f"s{k}") for k in range(STRETCHES)]
-    return rows.select("d", "key", "pos", "n", F.xxhash64("n", F.slice("t", 1, LEADING)).alias("leaf"), F.xxhash64("t").alias("th"), *cuts)
+    parts = [F.slice("t", 1 + step * k, step) for k in range(STRETCHES)]
+    cuts = [F.when((F.col("n") >= WIDE) & (F.col("fixed") > 0), F.hash(p)).alias(f"s{k}") for k, p in enumerate(parts)]
+    rest = [F.size(F.array_remove(p, "<*>")) < F.col("fixed") for p in parts]
+    held = F.when((F.col("n") >= WIDE) & (F.col("fixed") > 0), F.array(*rest)).alias("rest")
+    th = F.xxhash64("t", F.col("fixed") > 0)
+    return rows.select("d", "key", "pos", "n", F.xxhash64("n", F.slice("t", 1, LEADING)).alias("leaf"), th.alias("th"), *cuts, held)
 
 
 def spread(rows: DataFrame, by: str) -> DataFrame:
@@ -59,11 +67,11 @@ def recurring(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("d", F.coalesce("d", F.lit(LAST)))
     same = spread(rows, "th").where(F.col("docs") >= needed(F.col("n"))).select("th", "first")
 
-    kinds = lines.where("s0 is not null").groupBy("th").agg(F.min("leaf").alias("leaf"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(STRETCHES)])
+    kinds = lines.where("s0 is not null").groupBy("th").agg(F.min("leaf").alias("leaf"), *[F.min(f"s{k}").alias(f"s{k}") for k in range(STRETCHES)], F.min("rest").alias("rest"))
     crowded = kinds.groupBy("leaf").agg(F.count("*").alias("m")).where("m > 1").select("leaf")
     kinds = kinds.join(crowded, "leaf", "left_semi")
-    wild = [F.xxhash64("leaf", F.lit(k), *[f"s{j}" for j in range(STRETCHES) if j != k]) for k in range(STRETCHES)]
-    kinds = written(kinds.select("th", F.explode(F.array(*wild)).alias("g")), "templates")
+    wild = [F.when(F.get("rest", F.lit(k)), F.xxhash64("leaf", F.lit(k), *[f"s{j}" for j in range(STRETCHES) if j != k])) for k in range(STRETCHES)]
+    kinds = written(kinds.select("th", F.explode(F.array(*wild)).alias("g")).where("g is not null"), "templates")
     several = kinds.groupBy("g").agg(F.min("th").alias("x"), F.max("th").alias("y")).where("x < y").select("g")
     kinds = kinds.join(several, "g", "left_semi")
     varied = spread(rows.select("th", "key", "d", "n").join(kinds, "th"), "g").where(F.col("docs") >= F.greatest(F.lit(3), needed(F.col("n"))))

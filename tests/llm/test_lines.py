@@ -85,3 +85,14 @@ def test_test_table(spark):
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     assert sum(r[2] for r in want) > 50
     assert sorted(map(tuple, op9_line_templates(spark, sf).collect())) == want
+
+
+def test_lines_without_a_fixed_token_recur_by_equal_text(spark):
+    texts = ["own a\n2019 12.4 8 77", "own b\n2020 9.1 3 5", "own c\n1998 7.7 6 2", *[f"own {x}\n1 2  3 4" for x in "def"]]
+    wide = "1 2 3 4 5 6 7 8 9 10 11"
+    texts += [f"own {x}\n{wide} {x}{x} end" for x in ("g", "h", "i")]
+    texts += [f"own {x}\n{i} 2 3 4 5 6 7 8 9 {x}" for i, x in enumerate("jkl")]
+    out = {r.doc_id: r.text for r in drop_recurring_lines(frame(spark, texts)).collect()}
+    assert [out[i] for i in (0, 1, 2, 3)] == texts[:4] and [out[4], out[5]] == ["own e", "own f"]
+    assert [out[i] for i in (6, 7, 8)] == [texts[6], "own h", "own i"]
+    assert [out[i] for i in (9, 10, 11)] == texts[9:]
