@@ -279,13 +279,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 with r as (
  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-        list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+        list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
  from embeddings
  where label is not null and embedding is not null
-   and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+   and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
 s as (
  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same,
-        cast(list_sum(list_transform(range(1, len(a.v) + 1), i -> a.v[i] * b.v[i])) as bigint) as score
+        cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as bigint) as score
  from r a join r b on a.vec_id <> b.vec_id
  where a.vec_id % 100 = 0),
 p as (
