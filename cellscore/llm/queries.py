@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cellscore.llm import negatives
+from cellscore.llm.align import op13_token_alignment
 from cellscore.llm.bpe import op1_byte_bpe
 from cellscore.llm.decontaminate import op8_benchmark_decontamination
 from cellscore.llm.exact import op10_exact_dedup
@@ -29,6 +30,7 @@ QUERIES = {
         op9_line_templates,
         op10_exact_dedup,
         op12_hard_negatives,
+        op13_token_alignment,
     )
 }
 ORACLES = {"op12_hard_negatives": negatives.ORACLE}
