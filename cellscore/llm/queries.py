@@ -10,6 +10,7 @@ from cellscore.llm.exact import op10_exact_dedup
 from cellscore.llm.jaccard import op7_ngram_jaccard_join
 from cellscore.llm.licenses import op4_license_scan
 from cellscore.llm.lines import op9_line_templates
+from cellscore.llm.mixing import op11_source_mix
 from cellscore.llm.negatives import op12_hard_negatives
 from cellscore.llm.pii import op6_personal_data
 from cellscore.llm.quality import op5_quality_crf
@@ -29,6 +30,7 @@ QUERIES = {
         op8_benchmark_decontamination,
         op9_line_templates,
         op10_exact_dedup,
+        op11_source_mix,
         op12_hard_negatives,
         op13_token_alignment,
     )
