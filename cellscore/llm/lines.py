@@ -10,7 +10,8 @@ A template recurs if it stands in enough different documents: 2 for lines of ``L
 than ``SHORT``, else 3; templates of the second kind need at least 3. A template has a fixed token at least: lines of
 variable fields alone recur by equal text, and a stretch that has all fixed tokens is no wildcard. Documents with the same text count as one, so
 that whole copies are left to document dedup. Lines of recurring templates are dropped everywhere but in the
-template's first document (smallest doc_id; null last) and its copies, so no content is lost.
+template's first document (smallest doc_id; null last) and its copies; what stood in the variable fields of the other
+lines is lost with them.
 
 Null texts stay null; blank lines are kept and never count; repeated rows are treated alike; all other columns are
 passed through. Counts go through two aggregations, by template and document and then by template, so a line that
@@ -40,7 +41,8 @@ def needed(tokens: Column) -> Column:
 def lines_of(docs: DataFrame) -> DataFrame:
     """d, key (of the document and its text), pos, n (tokens), leaf, th (template), s0.. (stretches) and rest (is there a
     fixed token outside of each) of each line that isn't blank."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("key"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    parted = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("key"), F.split("text", "\n").alias("parts"))
+    rows = parted.select("d", "key", F.posexplode("parts").alias("pos", "line"))  # a line carries the key, not the text
     masked = F.when(F.col("line").rlike("[0-9@]"), F.regexp_replace("line", FIELD, "<*>")).otherwise(F.col("line"))
     tokens = F.filter(F.split(masked, BLANK + "+"), lambda x: x != "")
     rows = rows.select("d", "key", "pos", "line", tokens.alias("t")).withColumn("n", F.size("t")).where("n > 0")
@@ -94,9 +96,10 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
     both = keyed.join(gone.select(F.col("d").alias("_d"), F.col("key").alias("_k"), F.col("gone").alias("_gone")), match, "left")
     parts = F.split("text", "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    both = both.withColumn("_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
-    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).drop("_key", "_d", "_k", "_gone")
+    both = both.withColumn("_parts", parts).withColumn("_lines", F.coalesce(F.size("_parts"), F.lit(0))).withColumn("_dropped", F.coalesce(F.size("_gone"), F.lit(0)))
+    places = F.array_except(F.sequence(F.lit(0), F.col("_lines") - 1), "_gone")  # by hash sets, in order
+    left = F.array_join(F.transform(places, lambda i: F.get("_parts", i)), "\n")
+    return both.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).drop("_key", "_d", "_k", "_gone", "_parts")
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

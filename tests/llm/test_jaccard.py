@@ -14,8 +14,8 @@ def shingles(text, n=4):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def brute(rows, percent=85):
-    sets = {i: shingles(t) for i, t in rows}
+def brute(rows, n=4, percent=85):
+    sets = {i: shingles(t, n) for i, t in rows}
     ids = sorted(sets)
     root = {i: i for i in ids}
 

@@ -96,3 +96,12 @@ def test_lines_without_a_fixed_token_recur_by_equal_text(spark):
     assert [out[i] for i in (0, 1, 2, 3)] == texts[:4] and [out[4], out[5]] == ["own e", "own f"]
     assert [out[i] for i in (6, 7, 8)] == [texts[6], "own h", "own i"]
     assert [out[i] for i in (9, 10, 11)] == texts[9:]
+
+
+def test_documents_of_very_many_lines(spark, words):
+    """Time and memory follow the lines, not the lines times the text or the dropped lines."""
+    many = "\n".join(f"{words[i % 300]} {words[i // 300 % 300]} {words[i % 7]} line" for i in range(100_000))
+    docs = frame(spark, [many, "own\n" + many, many + "\nlast", "short"])
+    out = {r.doc_id: r for r in drop_recurring_lines(docs).collect()}
+    assert [out[i]._lines for i in range(4)] == [100_000, 100_001, 100_001, 1]
+    assert (out[0]._dropped, out[0].text) == (0, many) and (out[1]._dropped, out[1].text) == (100_000, "own") and out[2].text == "last"

@@ -45,7 +45,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     assert all(left[i] in (hashlib.sha256(b"\n" * n).hexdigest() for n in range(50)) for i, _ in kept if i not in got)
     assert all(r.n_chars == len(r.text) for r in two[1].collect())
 
-    assert sorted(r[0] for r in rows(three[1])) == sorted(i for i, _, c in test_jaccard.brute(rows(two[1])) if i == c)
+    assert sorted(r[0] for r in rows(three[1])) == sorted(i for i, _, c in test_jaccard.brute(rows(two[1]), 5, 80) if i == c)
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = [r[0] for r in test_decontaminate.brute(rows(three[1]), items) if not r[5]]
