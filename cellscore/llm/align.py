@@ -10,21 +10,22 @@ A and B tokens that end together are a link (as no token is empty, there is one
 the corpus, and each document's links are judged by these counts: ``BLOCK_PAIRS`` counts are broadcast at a time, and there are
 no more pairs than A ids times B ids, however large the corpus.
 
-Null and empty texts, and texts whose tokens do not give back their bytes on either side, have no tokens. Texts over
-``LONG`` characters are encoded in parts, cut before single spaces, where neither side has a token across. Every row is
-aligned on its own (repeated rows count repeatedly); columns other than doc_id and text are not read.
+Null and empty texts, and texts whose tokens do not give back their bytes on either side, have no tokens. Texts are encoded in
+parts, cut before single spaces, where neither side has a token across, and a worker remembers parts; alignment goes over the
+whole texts. Every row is aligned on its own (repeated rows count repeatedly); columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +34,15 @@ from cellscore.llm.bpe import _Shared
 from cellscore.llm.store import discarded, read_table, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-LONG = 1 << 18
+REMEMBERED, HELD_IDS, TOGETHER = 700_000, 10_000_000, 2000
 SLICE = 1 << 20
 BLOCK_PAIRS = 1 << 21
 HELD_PAIRS = 1 << 22
 PAIR_BITS = 31
-SINGLE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
-BYTE_PIECE = regex.compile(r"<0x([0-9A-F]{2})>")
+SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A space at either end or beside other white space.
+WIDE_SPACE = re.compile(r"\s |\A | (?:\s|\Z)")
+BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
 def byte_characters() -> dict[str, int]:
@@ -90,27 +93,82 @@ class Tokenizers:
         self.text[1 : 2 * len(tokens) : 2] = [b"%d|" % i for i in range(len(tokens))]
         self.text[2 * len(tokens) + 1 :: 2] = [b"%d;" % i for i in range(len(names))]
         self.second, self.n_b = 2 * len(tokens), len(names)
+        self._forget()
 
     def parts(self, text: str) -> list[str]:
-        """The text cut at single spaces (which are dropped, as both sides put one before each part)."""
-        if len(text) <= LONG or not self.cuttable:
+        """The text cut at single spaces between other characters (which are dropped, as both sides put one before each
+        part): no token of either side spans such a cut or depends on what lies beyond it."""
+        if not self.cuttable:
             return [text]
-        out, begin = [], 0
-        while len(text) - begin > LONG and (m := SINGLE_SPACE.search(text, begin + LONG)):
-            out.append(text[begin : m.start()])
-            begin = m.end()
-        return [*out, text[begin:]]
+        return SINGLE_SPACE.split(text) if WIDE_SPACE.search(text) else text.split(" ")
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encodes parts, numbering them on from those that are known. Many go as one text, and are told apart by their bytes."""
+        joined = " ".join(parts)
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in parts])
+        for pool, side, encoded, single in (
+            (self.pools[0], self.bytes_a, lambda: self.a.encode(" " + joined, add_special_tokens=False).ids, lambda p: self.a.encode(" " + p, add_special_tokens=False).ids),
+            (self.pools[1], self.bytes_b, lambda: self.b.encode(joined), self.b.encode),
+        ):
+            ids = np.array(encoded() if self.cuttable else [], np.int32)
+            at, there = _in(reach, ends) if len(reach := np.cumsum(side.size[ids])) else (ends, np.zeros(len(ends), bool))
+            if there.all() and reach[-1] == ends[-1]:
+                pool.add(ids, np.diff(at + 1, prepend=0))
+            else:  # some part doesn't give back its bytes
+                each = [np.array(single(p), np.int32) for p in parts]
+                pool.add(np.concatenate(each), np.array([len(x) for x in each], np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A ids, B ids, and where each text's begin, with the end."""
+        """A ids, B ids, and where each text's begin, with the end. Parts seen before are taken from a bounded memory."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
         parts = [self.parts(t) for t in texts]
         flat = [p for x in parts for p in x]
+        before = len(self.known)
+        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        new = list(itertools.islice(self.known, before, None))
+        for k in range(0, len(new), TOGETHER):
+            self._learn(new[k : k + TOGETHER])
         first = np.cumsum([0, *map(len, parts)])
-        out = []
-        for ids in ([e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)], self.b.encode(flat, num_threads=1) if flat else []):
-            begin = np.cumsum([0, *map(len, ids)])
-            out += [np.fromiter((i for x in ids for i in x), np.int32, begin[-1]) if len(flat) < 2 else np.concatenate([np.array(x, np.int32) for x in ids]), begin[first]]
-        return out[0], out[2], out[1], out[3]
+        (ids_a, begin_a), (ids_b, begin_b) = (x.take(number) for x in self.pools)
+        if len(self.pools[0].ids) + len(self.pools[1].ids) > HELD_IDS:
+            self._forget()
+        return ids_a, ids_b, begin_a[first], begin_b[first]
+
+    def _forget(self) -> None:
+        self.known, self.pools = Numbers(), (Pool(), Pool())
+
+
+class Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class Pool:
+    """Ids of numbered parts, one after another."""
+
+    def __init__(self):
+        self.ids, self.at, self.more = np.zeros(0, np.int32), np.zeros(1, np.int64), []
+
+    def add(self, ids: np.ndarray, size: np.ndarray) -> None:
+        self.more.append((ids, size))
+
+    def joined(self) -> None:
+        if self.more:
+            ids, size = (np.concatenate(x) for x in zip(*self.more))
+            self.ids = np.concatenate((self.ids, ids))
+            self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
+            self.more = []
+
+    def take(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts, and where each part's begin, with the end."""
+        self.joined()
+        size = np.diff(self.at)[number]
+        begin = np.concatenate(([0], np.cumsum(size)))
+        return self.ids[np.repeat(self.at[number] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
 @cache

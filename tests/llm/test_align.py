@@ -107,17 +107,18 @@ def test_odd_texts(spark, odd_texts, sides):
 
 
 def test_parts_and_blocks(spark, sides, words, monkeypatch):
-    """Long texts cut at single spaces, counts in several blocks, sums that tasks pass on early."""
+    """Texts cut at single spaces, parts forgotten, counts in several blocks, sums that tasks pass on early."""
     r = random.Random(7)
     texts = [r.choice((" ", "  ", "\n", " x ", ".")).join(r.choice(words) for _ in range(r.randint(1, 200))) for _ in range(60)]
     want = brute(enumerate(texts), sides)
     tokenizers = module.Tokenizers(*(open(P.path(n), "rb").read() for n in (module.BYTE_LEVEL, module.PIECES)))
     assert tokenizers.cuttable
-    monkeypatch.setattr(module, "LONG", 20)
-    assert max(len(tokenizers.parts(t)) for t in texts) > 5
-    for t in texts[:20]:
+    for t in [*texts, *ODD, " lead", "trail ", "a \n b", "a\n \nb", "x\x1c  y", "x\x1c \x1dy", "  "]:
         whole = module.Aligned(tokenizers, [t])
-        assert whole.groups()[0].decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in grouped(t, sides))
+        assert whole.groups()[0].decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in grouped(t, sides)), t
+    assert max(len(tokenizers.parts(t)) for t in texts) > 100
+    for name, value in (("REMEMBERED", 50), ("TOGETHER", 7), ("HELD_IDS", 900)):
+        monkeypatch.setattr(module, name, value)
     monkeypatch.setattr(module, "BLOCK_PAIRS", 300)
     monkeypatch.setattr(module, "HELD_PAIRS", 64)
     assert got(align_corpus(frame(spark, texts))) == want
