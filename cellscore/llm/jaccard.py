@@ -16,8 +16,8 @@ give components.
   the rounds before, is not paired within itself. The smaller set of a pair has its first common n-gram among its first
   n - ceil(2 t n / (1 + t)) + 1, so only those are looked up, and only in sets of the same or the next band of sizes.
 * **Filters.** Length (the smaller set has at least t of the larger), position (what is left behind the first common
-  prefix n-gram must suffice), suffix (both sets are cut at fixed hashes into 16 parts; the sum of the parts' smaller
-  sizes bounds the overlap).
+  prefix n-gram must suffice), suffix (each set has a bit for each value of some bits of the hashes, the parity of how many of its
+  n-grams have it; two sets differ in at least as many n-grams as they differ in bits, which bounds the overlap).
 * **Verification.** Each pair once, by intersecting the whole sets.
 
 Null and empty texts have no n-grams: size 0, linked with nothing. Fewer than n words count as one n-gram. Rows with
@@ -35,10 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscore.llm.arrow import SPACE, Words, mix, sequence_hash, slices, summed
-from cellscore.llm.store import read_table, written
+from cellscore.llm.store import discarded, read_table, written
 
 BUCKETS = 1 << 20
-PARTS = 16
+#: Bits of the sketches: a power of two for each set, its size or more, within these.
+LEAST_BITS, MOST_BITS = 64, 1 << 13
 
 
 def document_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -70,16 +71,22 @@ def gram_order(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of how many n-grams have each value of their lower bits, as words of 64."""
+    bits = min(max(LEAST_BITS, 1 << max(len(grams) - 1, 0).bit_length()), MOST_BITS)
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def signatures(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
-    """doc_id, size, two hashes of the whole set, its prefix in the global order and the sizes of its parts."""
+    """doc_id, size, two hashes of the whole set, its prefix in the global order and its sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(order)
     bands = size_bands(percent)
-    pivots = np.arange(1, PARTS, dtype=np.uint64) << np.uint64(60)
 
     def sign(batches):
         rank = shared.value
         for batch in slices(batches):
-            sizes, one, two, lengths, prefixes, parts = [], [], [], [], [], []
+            sizes, one, two, lengths, prefixes, sketches = [], [], [], [], [], []
             for g in document_sets(batch.column("text"), n):
                 size = len(g)
                 keep = size - (percent * size + 99) // 100 + 1 if size else 0
@@ -90,7 +97,7 @@ def signatures(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> Data
                 two.append(int(np.bitwise_xor.reduce(mix(m + np.uint64(1)))) if size else 0)
                 lengths.append(keep)
                 prefixes.append(first)
-                parts.append(np.diff(np.searchsorted(g, pivots), prepend=0, append=size))
+                sketches.append(sketch(g))
             tokens = np.concatenate(prefixes).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -100,12 +107,12 @@ def signatures(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> Data
                     pa.array(np.array(one, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(two, dtype=np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(tokens)),
-                    pa.ListArray.from_arrays(pa.array((np.arange(len(sizes) + 1) * PARTS).astype(np.int32)), pa.array(np.concatenate(parts).astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketches)]).astype(np.int32)), pa.array(np.concatenate(sketches))),
                 ],
-                ["doc_id", "size", "band", "s1", "s2", "prefix", "parts"],
+                ["doc_id", "size", "band", "s1", "s2", "prefix", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, size bigint, band int, s1 bigint, s2 bigint, prefix array<bigint>, parts array<int>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, size bigint, band int, s1 bigint, s2 bigint, prefix array<bigint>, sketch array<bigint>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -185,8 +192,16 @@ def between_components(postings: DataFrame, roots: DataFrame) -> DataFrame:
     return written(placed.hint("merge").join(mixed, "gram", "left_semi"), "placed")
 
 
-def suffix_bound(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def suffix_bound(a, b, na, nb):
+    """The most n-grams that sets of na and nb n-grams with these sketches can share. A longer sketch is folded first."""
+
+    def folded(x, other):
+        half = (F.size(x) / 2).cast("int")
+        once = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), once).otherwise(x)
+
+    differing = F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.floor((na + nb - F.when(F.greatest(F.size(a), F.size(b)) > 2 * F.least(F.size(a), F.size(b)), 0).otherwise(differing)) / 2)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -196,7 +211,9 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     b = pairs.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")  # no side is small
     both = b.hint("merge").join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     common = F.size(F.array_intersect("ga", "gb"))
-    return both.where(enough(common, F.size("ga"), F.size("gb"), percent)).select("a", "b").distinct()
+    links = written(both.where(enough(common, F.size("ga"), F.size("gb"), percent)).select("a", "b").distinct(), "links")
+    discarded(pairs, sets)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,7 +230,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("id").agg(F.min("root").alias("low"))
         joined = large.join(low, "id")
         small = joined.where("root <> low").select(F.col("root").alias("id"), F.col("low").alias("root")).unionByName(low.withColumnRenamed("low", "root"))
-        pairs = written(small.distinct(), "stars")
+        before, pairs = pairs, written(small.distinct(), "stars")
+        discarded(before)
         loose = pairs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
         chained = pairs.select(F.col("root").alias("id")).distinct().join(pairs.select("id"), "id", "left_semi")
         if loose.unionByName(chained).isEmpty():
@@ -223,48 +241,52 @@ def components(edges: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text)."""
     signed = written(signatures(docs, gram_order(docs, n), n, percent), "signed")
-    whole = signed.where("size > 0 and doc_id is not null")
-    classes = whole.groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("id"))
-    reps = whole.join(classes.select("s1", "s2", F.col("id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
-    reps = written(reps.select(F.col("doc_id").alias("id"), "size", "band", "prefix", "parts"), "classes")
+    keys = written(signed.select("doc_id", "size", "s1", "s2"), "keys")
+    classes = keys.where("size > 0 and doc_id is not null").groupBy("s1", "s2", "size").agg(F.min("doc_id").alias("id"))
+    first_of = written(classes, "first")
+    reps = signed.join(first_of.select("s1", "s2", F.col("id").alias("doc_id")), ["s1", "s2", "doc_id"], "left_semi")
+    reps = written(reps.select(F.col("doc_id").alias("id"), "size", "band", "prefix", "sketch"), "classes")
+    discarded(signed)
 
     grams = reps.select("id", F.explode("prefix").alias("gram"))
-    common = grams.groupBy("gram").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("gram", "lead")
-    postings = written(shared_postings(reps, written(common, "common")), "postings")
+    common = written(grams.groupBy("gram").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("gram", "lead"), "common")
+    postings = written(shared_postings(reps, common), "postings")
+    sketched = written(reps.select("id", "size", "sketch"), "sketches")
+    discarded(common, reps)
 
     def sized(pairs: DataFrame) -> DataFrame:
-        """Length and suffix filters; adds both sizes."""
+        """Length and suffix filters."""
         for side in "ab":
-            pairs = pairs.hint("merge").join(reps.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("parts").alias(f"p{side}")), side)
-        fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough(suffix_bound(F.col("pa"), F.col("pb")), F.col("na"), F.col("nb"), percent)
-        return pairs.where(fits)
+            pairs = pairs.hint("merge").join(sketched.select(F.col("id").alias(side), F.col("size").alias(f"n{side}"), F.col("sketch").alias(f"p{side}")), side)
+        na, nb = F.col("na"), F.col("nb")
+        fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & enough(suffix_bound(F.col("pa"), F.col("pb"), na, nb), na, nb, percent)
+        return pairs.where(fits).select("a", "b")
 
-    near = sized(postings.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    first = written(verified(docs, near.select("a", "b"), n, percent), "links")
+    first = verified(docs, sized(postings.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), n, percent)
     roots = components(first)
 
     placed = between_components(postings, roots)
+    discarded(postings)
     draw = F.xxhash64("id", "gram")
     other = placed.groupBy("gram").agg(F.min_by("id", draw).alias("a"), F.min_by("comp", draw).alias("ca"))
     again = placed.join(other, "gram").where("comp <> ca").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    second = written(verified(docs, sized(again).select("a", "b"), n, percent), "links")
-    links = first.unionByName(second)
+    links = first.unionByName(verified(docs, sized(again), n, percent))
 
-    placed = between_components(placed, components(links))
+    before, placed = placed, between_components(placed, components(links))
+    discarded(before)
     small = placed.where(F.col("at") < first_places(F.col("size"), percent)).select("gram", "band", F.col("comp").alias("ca"), F.col("id").alias("a"), F.col("size").alias("na"), F.col("at").alias("ia"))
     large = placed.select("gram", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("comp").alias("cb"), F.col("id").alias("b"), F.col("size").alias("nb"), F.col("at").alias("ib"))
-    key = ["gram", "band"]
-    meet = small.select(*key, "ca").distinct().join(large.select(*key, "cb").distinct(), key).where("ca <> cb")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     behind = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))  # in both from the first common n-gram on
-    fits = ordered & (100 * F.col("na") >= percent * F.col("nb")) & enough(behind, F.col("na"), F.col("nb"), percent)
-    cross = meet.join(small, [*key, "ca"]).join(large, [*key, "cb"]).where(fits)
-    cross = cross.select("a", "b").distinct()
-    third = verified(docs, sized(cross).select("a", "b"), n, percent)
+    fits = ordered & (F.col("ca") != F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & enough(behind, F.col("na"), F.col("nb"), percent)
+    key = [small["gram"] == large["gram"], small["band"] == large["band"]]
+    cross = small.join(large, [*key, fits]).select("a", "b").distinct()
+    third = verified(docs, sized(cross), n, percent)
     roots = components(links.unionByName(third))
 
-    member = written(classes.join(roots, "id", "left").select("s1", "s2", "size", F.coalesce("root", "id").alias("component_id")), "members")
-    out = signed.select("doc_id", "size", "s1", "s2").join(member, ["s1", "s2", "size"], "left")
+    member = written(first_of.join(roots, "id", "left").select("s1", "s2", "size", F.coalesce("root", "id").alias("component_id")), "members")
+    discarded(sketched, placed)
+    out = keys.join(member, ["s1", "s2", "size"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("size").alias("n_shingles"), own.alias("component_id"))
 
