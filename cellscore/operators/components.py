@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellscore.functions import geo
 from cellscore.functions.common import safe_div
+from cellscore.operators import runs as rn
 from cellscore.session import cut_lineage
 
 BAND = 64
@@ -125,16 +126,13 @@ def top_components(areas: DataFrame, keys: Sequence[str], k: int = 10) -> DataFr
 
 def landmasses(labelled: DataFrame, shape: tuple[int, int], min_km2: float = MIN_LANDMASS_KM2) -> DataFrame:
     """Large true areas with name (continents holding 15 % of the pixels) and centroid."""
-    h, w = shape
+    _, w = shape
     areas = component_areas(labelled, [], shape).where(F.col("area_km2") >= min_km2)
     big = top_components(areas, [], MAX_LANDMASSES)
-    px = labelled.join(big.select("label"), "label", "left_semi")
-    px = px.select("label", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    px = px.withColumn("lat", geo.pixel_lat(F.col("r"), h)).withColumn("lon", geo.pixel_lon(F.col("c"), w))
-    px = geo.with_continent(px)
-    ang = F.radians("lon")
+    px = rn.region_pieces(labelled.join(big.select("label"), "label", "left_semi"), shape)
+    sines, cosines = rn.lon_sums(w)
     per = px.groupBy("label", "continent").agg(
-        F.count("*").alias("n"), F.sum("lat").alias("lat"), F.sum(F.sin(ang)).alias("s"), F.sum(F.cos(ang)).alias("k")
+        F.sum(rn.length()).alias("n"), F.sum(F.col("lat") * rn.length()).alias("lat"), F.sum(sines).alias("s"), F.sum(cosines).alias("k")
     )
     tot = F.sum("n").over(Window.partitionBy("label"))
     per = per.withColumn("share", F.col("n") / tot)

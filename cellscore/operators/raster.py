@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscore.functions import geo
 from cellscore.functions.common import exact_quantiles, num, safe_div
+from cellscore.operators import runs as rn
+from cellscore.operators.tiles import nearest_distance, render_tiles, tile_scores  # noqa: F401  (part of this module's surface)
 
 TOLERANCES = (2.0, 4.0)
 
@@ -31,44 +31,6 @@ def render_nearest(grid: DataFrame, step: float, shape: tuple[int, int], placeme
     return grid.join(rows, "r").join(cols, "c").drop("r", "c").withColumnsRenamed({"pr": "r", "pc": "c"})
 
 
-def render_bilinear(
-    grid: DataFrame, keys: Sequence[str], value: str, step: float, shape: tuple[int, int], placement: str = geo.CELL_CENTER
-) -> DataFrame:
-    """Bilinear image, periodic in longitude, clamped at the poles, missing cells 0.
-
-    Separable: every cell goes to the rows it has weight in, rows are summed, then columns.
-    """
-    spark, (h, w) = grid.sparkSession, shape
-    n_r, n_c = geo.grid_dims(step)
-    off = geo.half_cell(placement)
-
-    def axis(n: int, extent: float, n_src: int, wrap: bool, out: str, src: str) -> DataFrame:
-        s = _source(n, extent, step, off)
-        lo = F.floor(s).cast("int")
-        part = s - F.floor(s)
-        fix = (lambda i: F.pmod(i, F.lit(n_src))) if wrap else (lambda i: geo.clip(i, 0, n_src - 1))
-        two = F.array(
-            F.struct(fix(lo).alias("i"), (1.0 - part).alias("k")), F.struct(fix(lo + 1).alias("i"), part.alias("k"))
-        )
-        d = spark.range(n).select(F.col("id").cast("int").alias(out), F.explode(two).alias("t"))
-        d = d.select(out, F.col("t.i").alias(src), F.col("t.k").alias("k"))
-        return d.groupBy(out, src).agg(F.sum("k").alias("k"))
-
-    keys = list(keys)
-    v = grid.select(*keys, "r", "c", F.coalesce(value, F.lit(0.0)).alias("v"))
-    tall = (
-        v.join(axis(h, 180.0, n_r, False, "pr", "r"), "r")
-        .groupBy(*keys, "pr", "c")
-        .agg(F.sum(F.col("v") * F.col("k")).alias("v"))
-    )
-    full = (
-        tall.join(axis(w, 360.0, n_c, True, "pc", "c"), "c")
-        .groupBy(*keys, F.col("pr").alias("r"), F.col("pc").alias("c"))
-        .agg(F.sum(F.col("v") * F.col("k")).alias(value))
-    )
-    return full
-
-
 def overlay_class(pred: Column, truth: Column) -> Column:
     return (
         F.when(pred & truth, F.lit("land"))
@@ -79,82 +41,13 @@ def overlay_class(pred: Column, truth: Column) -> Column:
 
 
 def boundary_cells(cells: DataFrame, keys: Sequence[str], value: str, w: int) -> DataFrame:
-    """Cells that differ from a known 4-neighbour; longitude wraps, latitude does not.
-
-    ``cells`` holds the known cells only. The windows span one row or one column of one image.
-    """
-    keys = list(keys)
-    row = Window.partitionBy(*keys, "r").orderBy("c")
-    whole = row.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    col = Window.partitionBy(*keys, "c").orderBy("r")
-    me = F.struct(F.col("c").alias("p"), F.col(value).alias("b"))
-    up = F.struct(F.col("r").alias("p"), F.col(value).alias("b"))
-    d = cells.select(
-        *keys, "r", "c", value,
-        F.lag(me).over(row).alias("_l"), F.lead(me).over(row).alias("_g"),
-        F.first(me).over(whole).alias("_f"), F.last(me).over(whole).alias("_z"),
-    )
-    d = d.withColumn("_n", F.lag(up).over(col)).withColumn("_s", F.lead(up).over(col))
-
-    def differs(n: str, at: Column, when: Column | None = None) -> Column:
-        hit = (F.col(f"{n}.p") == at) & (F.col(f"{n}.b") != F.col(value))
-        return F.coalesce(hit if when is None else when & hit, F.lit(False))
-
-    on = (
-        differs("_l", F.col("c") - 1)
-        | differs("_g", F.col("c") + 1)
-        | differs("_n", F.col("r") - 1)
-        | differs("_s", F.col("r") + 1)
-    )
-    if w > 1:
-        on = on | differs("_f", F.lit(0), F.col("c") == w - 1) | differs("_z", F.lit(w - 1), F.col("c") == 0)
-    return d.where(on).select(*keys, "r", "c", value)
-
-
-def nearest_distance(
-    queries: DataFrame, targets: DataFrame, keys: Sequence[str], shape: tuple[int, int], dy: float, dx: float
-) -> DataFrame:
-    """Exact distance in degrees from every query cell to the nearest target of its key.
+    """Cells (keys, r, c, value) that differ from a known 4-neighbour; longitude wraps, latitude does not.
 
-    Column pass: a target owns the rows up to the middle between it and its neighbours in the column,
-    so the vertical distances come from one window over targets. Row pass: the minimum over columns
-    of vertical and (periodic) horizontal distance, for one image row at a time in numpy, only for
-    rows with queries. NULL where a key has no target.
+    ``cells`` holds the known cells only. They become runs, which are compared with the runs below and beside them.
     """
-    keys = list(keys)
-    h, w = shape
-    wnd = Window.partitionBy(*keys, "c").orderBy("r")
-    t = targets.select(*keys, "r", "c").distinct()
-    lo = F.coalesce(F.floor((F.lag("r").over(wnd) + F.col("r")) / 2).cast("int") + 1, F.lit(0))
-    hi = F.coalesce(F.floor((F.col("r") + F.lead("r").over(wnd)) / 2).cast("int"), F.lit(h - 1))
-    t = t.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo <= _hi")
-    tall = t.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("_row"), "c", F.col("r").alias("_tr"))
-    tall = tall.select(*keys, F.col("_row").alias("r"), "c", (F.abs(F.col("_row") - F.col("_tr")) * dy).alias("g"))
-    tall = tall.join(queries.select(*keys, "r").distinct(), [*keys, "r"], "left_semi")
-    asked = queries.select(*keys, "r", "c").distinct().withColumn("g", F.lit(None).cast("double"))
-    both = tall.unionByName(asked)
-
-    def row_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf["g"].isna().to_numpy()
-        cols = pdf["c"].to_numpy()
-        g2 = np.full(w, np.inf)
-        g2[cols[~ask]] = pdf["g"].to_numpy()[~ask] ** 2
-        want = cols[ask]
-        best = g2[want].copy()
-        for s in range(1, w // 2 + 1):
-            cost = (s * dx) ** 2
-            if best.size == 0 or cost >= best.max():
-                break
-            best = np.minimum(best, np.minimum(g2[(want + s) % w], g2[(want - s) % w]) + cost)
-        out = pdf.loc[ask, [*keys, "r", "c"]].reset_index(drop=True)
-        out["distance"] = np.sqrt(best)
-        return out
-
-    types = {f.name: f.dataType.simpleString() for f in asked.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in [*keys, "r", "c"]) + ", distance double"
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: keep all tasks
-    found = both.repartition(parts, *keys, "r").groupBy(*keys, "r").applyInPandas(row_pass, schema)
-    return found.withColumn("distance", F.when(F.col("distance") < float("inf"), F.col("distance")))
+    known = rn.value_runs(cells, keys, value)
+    found = rn.boundary_runs(known.where(F.col(value)), keys, (None, w), known)
+    return rn.pixels(found).select(*keys, "r", "c", F.col("value").alias(value))
 
 
 def coastline_error(flags: DataFrame, step: float, placement: str = geo.CELL_CENTER) -> DataFrame:
@@ -174,16 +67,16 @@ def boundary_scores(
 ) -> DataFrame:
     """Precision, recall and F of boundary pixels, and contour distances, per run.
 
-    ``pred`` has (run_id, r, c); ``true`` (r, c) is shared, so its distances are made once.
+    ``pred`` has (run_id, r, c), ``true`` (mask_id, r, c), ``runs`` (run_id, mask_id). A mask's distances are made once for
+    all runs that are held against it.
     """
     h, w = shape
     dy, dx = 180.0 / h, 360.0 / w
-    t = true.select(F.lit("t").alias("k"), "r", "c")
-    cells = pred.select(F.lit("t").alias("k"), "r", "c").distinct()
-    to_true = nearest_distance(cells, t, ["k"], shape, dy, dx).drop("k")
-    dp = pred.select("run_id", "r", "c").join(to_true, ["r", "c"])
-    rows = pred.select("run_id").distinct().select("run_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("r"))
-    asked = rows.join(true.select("r", "c"), "r")  # every run is asked at every true boundary pixel
+    own = pred.join(runs.select("run_id", "mask_id"), "run_id").select("run_id", "mask_id", "r", "c")
+    to_true = nearest_distance(own.select("mask_id", "r", "c").distinct(), true, ["mask_id"], shape, dy, dx)
+    dp = own.join(to_true, ["mask_id", "r", "c"])
+    rows = own.select("run_id", "mask_id").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(h - 1))))
+    asked = rows.join(true.select("mask_id", "r", "c"), ["mask_id", "r"])  # every run is asked at every true boundary pixel
     dt = nearest_distance(asked, pred, ["run_id"], shape, dy, dx)
     ps = dp.groupBy("run_id").agg(
         F.count("*").alias("n_pred"),
@@ -194,9 +87,9 @@ def boundary_scores(
         F.count("*").alias("n_true"), *[F.avg(num(F.col("distance") <= t)).alias(f"r_{t:g}") for t in tolerances]
     )
     p95 = exact_quantiles(dp, ["run_id"], "distance", {"contour_p95_deg": 0.95})
-    n_true = true.agg(F.count("*").alias("_nt"))  # one row
-    d = runs.select("run_id").join(ps, "run_id", "left").join(rs, "run_id", "left").join(p95, "run_id", "left")
-    d = d.crossJoin(F.broadcast(n_true))
+    n_true = true.groupBy("mask_id").agg(F.count("*").alias("_nt"))
+    d = runs.select("run_id", "mask_id").join(ps, "run_id", "left").join(rs, "run_id", "left").join(p95, "run_id", "left")
+    d = d.join(n_true, "mask_id", "left").na.fill(0, ["_nt"])
     none, empty = F.col("n_pred").isNull() & (F.col("_nt") == 0), F.col("n_pred").isNull() | (F.col("_nt") == 0)
     out = []
     for tol in tolerances:
@@ -220,51 +113,30 @@ def row_weight(h: int) -> Column:
     return F.cos(F.radians(geo.pixel_lat(F.col("r"), h)))
 
 
-def pixel_overlap(images: DataFrame, h: int) -> DataFrame:
-    """cos-weighted IoU and Dice per run; columns run_id, r, pred, truth."""
-    w = row_weight(h)
+def with_truth(pred: DataFrame, truth: DataFrame, runs: DataFrame, shape: tuple[int, int], whole: bool = False) -> DataFrame:
+    """Stretches (run_id, r, c0, c1) with flags pred and truth, of land runs ``pred`` (run_id, r, c0, c1) and ``truth``
+    (mask_id, r, c0, c1) for each of ``runs`` (run_id, mask_id); with ``whole`` also those that are water in both."""
+    h, w = shape
+    rows = runs.select("run_id", "mask_id", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("r"))
+    own = rows.join(truth.select("mask_id", "r", "c0", "c1"), ["mask_id", "r"]).drop("mask_id")
+    every = rows.select("run_id", "r", F.lit(0).alias("c0"), F.lit(w - 1).alias("c1")) if whole else None
+    return rn.states({"pred": pred, "truth": own}, ["run_id", "r"], every)
+
+
+def error_overlay(pred: DataFrame, truth: DataFrame, runs: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """run_id, r, pixel_class and n, the pixels of the class in the image row."""
+    d = with_truth(pred, truth, runs, shape, whole=True).withColumn("pixel_class", overlay_class(F.col("pred"), F.col("truth")))
+    return d.groupBy("run_id", "r", "pixel_class").agg(F.sum(rn.length()).cast("bigint").alias("n"))
+
+
+def pixel_overlap(pred: DataFrame, truth: DataFrame, runs: DataFrame, shape: tuple[int, int]) -> DataFrame:
+    """cos-weighted IoU and Dice per run, from runs of land as in ``with_truth``; 1 where neither has land."""
+    n = row_weight(shape[0]) * rn.length()
     p, t = num(F.col("pred")), num(F.col("truth"))
-    s = images.groupBy("run_id").agg(
-        F.sum(w * p * t).alias("i"), F.sum(w * p).alias("p"), F.sum(w * t).alias("t")
-    )
+    s = with_truth(pred, truth, runs, shape).groupBy("run_id").agg(F.sum(n * p * t).alias("i"), F.sum(n * p).alias("p"), F.sum(n * t).alias("t"))
     union = F.col("p") + F.col("t") - F.col("i")
-    return s.select(
+    return runs.select("run_id").join(s, "run_id", "left").select(
         "run_id",
         F.coalesce(safe_div(F.col("i"), union), F.lit(1.0)).alias("pixel_iou"),
         F.coalesce(safe_div(2 * F.col("i"), F.col("p") + F.col("t")), F.lit(1.0)).alias("dice"),
     )
-
-
-def prob_rmse(images: DataFrame, h: int) -> DataFrame:
-    """Root of the row-weighted mean squared error of the probability image; columns prob, truth."""
-    w = row_weight(h)
-    e = F.col("prob") - num(F.col("truth"))
-    return images.groupBy("run_id").agg(F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("prob_rmse"))
-
-
-# Window and constants of the published structural similarity index.
-SSIM_WIN = 7
-SSIM_K1, SSIM_K2 = 0.01, 0.03
-
-
-def ssim(images: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """Mean structural similarity of ``prob`` and ``truth``, uniform 7 x 7 window, border cropped.
-
-    Window means are made along rows, then along columns; a window holds one row or column.
-    """
-    h, w = shape
-    pad = SSIM_WIN // 2
-    x, y = F.col("prob"), num(F.col("truth"))
-    d = images.select("run_id", "r", "c", x.alias("x"), y.alias("y"), (x * x).alias("xx"), (y * y).alias("yy"), (x * y).alias("xy"))
-    for part, order in (("r", "c"), ("c", "r")):
-        wnd = Window.partitionBy("run_id", part).orderBy(order).rowsBetween(-pad, pad)
-        d = d.select("run_id", "r", "c", *[F.avg(n).over(wnd).alias(n) for n in ("x", "y", "xx", "yy", "xy")])
-    d = d.where(F.col("r").between(pad, h - 1 - pad) & F.col("c").between(pad, w - 1 - pad))
-    n = SSIM_WIN * SSIM_WIN
-    cov = n / (n - 1.0)
-    vx, vy = cov * (F.col("xx") - F.col("x") * F.col("x")), cov * (F.col("yy") - F.col("y") * F.col("y"))
-    vxy = cov * (F.col("xy") - F.col("x") * F.col("y"))
-    c1, c2 = SSIM_K1**2, SSIM_K2**2
-    top = (2 * F.col("x") * F.col("y") + c1) * (2 * vxy + c2)
-    low = (F.col("x") * F.col("x") + F.col("y") * F.col("y") + c1) * (vx + vy + c2)
-    return d.groupBy("run_id").agg(F.avg(top / low).alias("ssim"))

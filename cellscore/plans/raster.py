@@ -9,6 +9,7 @@ from cellscore.functions import geo
 from cellscore.functions.common import rounded
 from cellscore.operators import components as cc
 from cellscore.operators import raster as ra
+from cellscore.operators import runs as rn
 from cellscore.operators import score as sc
 from cellscore.operators import truth as tr
 from cellscore.operators import uncertainty as un
@@ -20,15 +21,16 @@ from cellscore.sources import masks as mk
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import cells_of, full_grid, with_cell
 
-CEILING = "ceiling"
+CEILING, MASK = "ceiling", "mask"
 SPECK_KM2 = (tb.STEP * geo.KM_PER_DEG) ** 2
 HIGHER = ("pixel_iou", "dice", "ssim", "boundary_f_2", "boundary_f_4")
 LOWER = ("contour_mean_deg", "contour_p95_deg", "contour_mean_km", "contour_p95_km", "prob_rmse")
 
 
 def run_list(spark: SparkSession) -> DataFrame:
+    """(run_id, mask_id) of the images: the runs, and the mask itself reduced to the grid."""
     extra = spark.range(1).select(F.lit(CEILING).alias("run_id"))
-    return tb.runs(spark).select("run_id").unionByName(extra)
+    return tb.runs(spark).select("run_id").unionByName(extra).withColumn("mask_id", F.lit(MASK))
 
 
 def grids(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,54 +39,49 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
     f = flags(spark, sf).select("run_id", "idx", F.col("p_land").alias("p"), F.col("pred_land").alias("b"))
     d = cells.join(f, ["run_id", "idx"], "left")
     d = d.select("run_id", "r", "c", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("b", F.lit(False)).alias("b"))
-    t = tr.truth_cell_center(full_grid(spark, tb.STEP), mask_rle(spark, sf), SHAPE)
-    top = t.select(F.lit(CEILING).alias("run_id"), "r", "c", F.col("truth").cast("double").alias("p"), (F.col("truth") == 1).alias("b"))
-    return d.unionByName(top)
-
-
-def binary_images(spark: SparkSession, sf: str, g: DataFrame | None = None) -> DataFrame:
-    g = grids(spark, sf) if g is None else g
-    return ra.render_nearest(g.select("run_id", "r", "c", F.col("b").alias("pred")), tb.STEP, SHAPE)
-
-
-def prob_images(spark: SparkSession, sf: str, g: DataFrame | None = None) -> DataFrame:
-    g = grids(spark, sf) if g is None else g
-    return ra.render_bilinear(g.withColumnRenamed("p", "prob"), ["run_id"], "prob", tb.STEP, SHAPE)
+    return d.unionByName(ceiling_grid(spark, sf))
 
 
-def truth_image(spark: SparkSession, sf: str) -> DataFrame:
-    return tb.mask_pixels(spark, sf).select("r", "c", F.col("land").alias("truth"))
+def ceiling_grid(spark: SparkSession, sf: str) -> DataFrame:
+    t = tr.truth_cell_center(full_grid(spark, tb.STEP), mask_rle(spark, sf), SHAPE)
+    return t.select(F.lit(CEILING).alias("run_id"), "r", "c", F.col("truth").cast("double").alias("p"), (F.col("truth") == 1).alias("b"))
 
 
-def pred_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Land runs of the binary images, rendered from the land cells of the grids."""
-    land = grids(spark, sf).where("b").select("run_id", "r", "c", F.col("b").alias("land"))
-    return mk.to_rle(ra.render_nearest(land, tb.STEP, SHAPE), ("run_id",))
+def pred_runs(spark: SparkSession, sf: str, g: DataFrame | None = None) -> DataFrame:
+    """Land runs of the binary images, rendered from the land runs of the grids."""
+    land = (grids(spark, sf) if g is None else g).where("b").select("run_id", "r", "c", F.col("b").alias("land"))
+    return rn.render_runs(rn.value_runs(land, ["run_id"], "land").drop("land"), ["run_id"], tb.STEP, SHAPE)
 
 
 def render_nearest(spark, sf):
-    d = binary_images(spark, sf)
-    v = F.col("pred").cast("int")
-    return d.groupBy("run_id", "r").agg(
-        F.count("*").alias("n"), F.sum(v).cast("bigint").alias("n_land"), F.sum(v * F.col("c")).cast("bigint").alias("sum_c")
+    """Pixels, land pixels and their columns' sum in each image row."""
+    d = pred_runs(spark, sf).groupBy("run_id", "r").agg(
+        F.sum(rn.length()).cast("bigint").alias("n_land"), F.sum(rn.length() * (F.col("c0") + F.col("c1")) / 2).cast("bigint").alias("sum_c")
     )
+    rows = run_list(spark).select("run_id", F.explode(F.sequence(F.lit(0), F.lit(SHAPE[0] - 1))).alias("r"))
+    return rows.join(d, ["run_id", "r"], "left").na.fill(0).withColumn("n", F.lit(SHAPE[1]).cast("bigint"))
 
 
 def render_bilinear(spark, sf):
-    d = prob_images(spark, sf)
+    d = ra.render_tiles(grids(spark, sf), ["run_id"], "p", tb.STEP, SHAPE)
+
+    def mean(weight) -> F.Column:
+        return F.aggregate(F.transform("values", lambda v, i: v * weight(i)), F.lit(0.0), lambda a, v: a + v) / SHAPE[1]
+
     return rounded(
-        d.groupBy("run_id", "r").agg(
-            F.count("*").alias("n"),
-            F.avg(F.col("prob") * F.sqrt(F.col("c") + 2.0)).alias("mean_p_sqrt"),
-            F.avg(F.col("prob") * F.log(F.col("c") + 2.0)).alias("mean_p_log"),
-            (F.max("prob") * F.sqrt(F.lit(2.0))).alias("max_p_sqrt2"),
+        d.select(
+            "run_id",
+            "r",
+            F.size("values").cast("bigint").alias("n"),
+            mean(lambda i: F.sqrt(i + 2.0)).alias("mean_p_sqrt"),
+            mean(lambda i: F.log(i + 2.0)).alias("mean_p_log"),
+            (F.array_max("values") * F.sqrt(F.lit(2.0))).alias("max_p_sqrt2"),
         )
     )
 
 
 def error_overlay(spark, sf):
-    d = binary_images(spark, sf).join(truth_image(spark, sf), ["r", "c"])
-    return d.groupBy("run_id", "r", ra.overlay_class(F.col("pred"), F.col("truth")).alias("pixel_class")).agg(F.count("*").alias("n"))
+    return ra.error_overlay(pred_runs(spark, sf), mask_rle(spark, sf), run_list(spark), SHAPE)
 
 
 def boundary_cells(spark, sf):
@@ -104,16 +101,12 @@ def coastline_error(spark, sf):
     return rounded(ra.coastline_error(kept_flags(spark, sf), tb.STEP))
 
 
-def boundaries(spark: SparkSession, sf: str, g: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Boundary pixels of the images and of the mask; written once, as several steps read them."""
-    pred = ra.boundary_cells(binary_images(spark, sf, g), ["run_id"], "pred", SHAPE[1])
-    true = ra.boundary_cells(tb.mask_pixels(spark, sf), ["mask_id"], "land", SHAPE[1])
-    return cut_lineage(pred), cut_lineage(true)
-
-
-def _boundary_scores(spark, sf, g=None):
-    pred, true = boundaries(spark, sf, g)
-    return ra.boundary_scores(pred, true, run_list(spark), SHAPE)
+def _boundary_scores(spark, sf, pred=None, runs=None):
+    """Boundary pixels of images and mask are written once, as several steps read them."""
+    pred = pred_runs(spark, sf) if pred is None else pred
+    own = cut_lineage(rn.pixels(rn.boundary_runs(pred, ["run_id"], SHAPE)).select("run_id", "r", "c"))
+    true = cut_lineage(rn.pixels(rn.boundary_runs(mask_rle(spark, sf), ["mask_id"], SHAPE)).select("mask_id", "r", "c"))
+    return ra.boundary_scores(own.distinct(), true.distinct(), run_list(spark) if runs is None else runs, SHAPE)
 
 
 def boundary_f(spark, sf):
@@ -126,40 +119,33 @@ def contour_distance(spark, sf):
     return rounded(d.select("run_id", *[c for c in d.columns if c.startswith("contour")]))
 
 
-def _binary_with_truth(spark, sf, g=None):
-    return binary_images(spark, sf, g).join(truth_image(spark, sf), ["r", "c"])
-
-
-def _prob_with_truth(spark, sf, g=None):
-    return prob_images(spark, sf, g).join(truth_image(spark, sf), ["r", "c"])
-
-
 def pixel_iou_dice(spark, sf):
-    return rounded(ra.pixel_overlap(_binary_with_truth(spark, sf), SHAPE[0]))
-
+    return rounded(ra.pixel_overlap(pred_runs(spark, sf), mask_rle(spark, sf), run_list(spark), SHAPE))
 
-def ssim(spark, sf):
-    return rounded(ra.ssim(_prob_with_truth(spark, sf, cut_lineage(grids(spark, sf))), SHAPE))
 
-
-def _rmse(spark, sf, g=None):
-    """Only for runs with real probabilities; the ceiling has them."""
+def _tile_scores(spark, sf, g=None, runs=None):
+    """ssim and prob_rmse; the latter only for runs with real probabilities (the ceiling has them)."""
+    g = grids(spark, sf) if g is None else g
+    d = ra.tile_scores(g, mask_rle(spark, sf), run_list(spark) if runs is None else runs, "p", tb.STEP, SHAPE)
     prob = sc.is_probabilistic(tb.points(spark, sf, "n_samples"), tb.runs(spark)).select("run_id", "probabilistic")
-    d = ra.prob_rmse(_prob_with_truth(spark, sf, g), SHAPE[0]).join(prob, "run_id", "left")
     keep = F.coalesce("probabilistic", F.lit(True))
-    return d.select("run_id", F.when(keep, F.col("prob_rmse")).alias("prob_rmse"))
+    return d.join(prob, "run_id", "left").select("run_id", "ssim", F.when(keep, F.col("prob_rmse")).alias("prob_rmse"))
+
+
+def ssim(spark, sf):
+    return rounded(_tile_scores(spark, sf).select("run_id", "ssim"))
 
 
 def prob_rmse(spark, sf):
-    return rounded(_rmse(spark, sf))
+    return rounded(_tile_scores(spark, sf).select("run_id", "prob_rmse"))
 
 
 def true_components(spark: SparkSession, sf: str) -> DataFrame:
     return cc.label_components(mask_rle(spark, sf).drop("mask_id"), [], SHAPE[1])
 
 
-def pred_components(spark: SparkSession, sf: str) -> DataFrame:
-    return cc.label_components(pred_runs(spark, sf), ["run_id"], SHAPE[1])
+def pred_components(spark: SparkSession, sf: str, pred: DataFrame | None = None) -> DataFrame:
+    return cc.label_components(pred_runs(spark, sf) if pred is None else pred, ["run_id"], SHAPE[1])
 
 
 def connected_components(spark, sf):
@@ -192,7 +178,7 @@ def landmass_names(spark, sf):
 
 def _landmass_iou(spark, sf):
     true = true_components(spark, sf)
-    return cc.landmass_iou(pred_components(spark, sf), true, cc.landmasses(true, SHAPE), run_list(spark), SHAPE)
+    return cc.landmass_iou(pred_components(spark, sf), true, cc.landmasses(true, SHAPE), run_list(spark).select("run_id"), SHAPE)
 
 
 def landmass_iou(spark, sf):
@@ -204,19 +190,23 @@ def image_coverage(spark, sf):
     return rounded(n)
 
 
-def _image_scores(spark, sf):
-    g = cut_lineage(grids(spark, sf))  # the grids are far smaller than the images made from them
+def _image_scores(spark, sf, g=None, pred=None, runs=None):
+    """All scores of the images of ``runs``; grids and land runs are made once and are far smaller than the images."""
+    runs = run_list(spark) if runs is None else runs
+    g = cut_lineage(grids(spark, sf)) if g is None else g
+    pred = cut_lineage(pred_runs(spark, sf, g)) if pred is None else pred
     return (
-        run_list(spark)
-        .join(ra.pixel_overlap(_binary_with_truth(spark, sf, g), SHAPE[0]), "run_id", "left")
-        .join(ra.ssim(_prob_with_truth(spark, sf, g), SHAPE), "run_id", "left")
-        .join(_boundary_scores(spark, sf, g), "run_id", "left")
-        .join(_rmse(spark, sf, g), "run_id", "left")
+        runs.select("run_id")
+        .join(ra.pixel_overlap(pred, mask_rle(spark, sf), runs, SHAPE), "run_id", "left")
+        .join(_tile_scores(spark, sf, g, runs), "run_id", "left")
+        .join(_boundary_scores(spark, sf, pred, runs), "run_id", "left")
     )
 
 
 def resolution_ceiling(spark, sf):
-    return rounded(_image_scores(spark, sf).where(F.col("run_id") == CEILING).drop("run_id"))
+    """Only the grid made from the mask is rendered and scored."""
+    only = run_list(spark).where(F.col("run_id") == CEILING)
+    return rounded(_image_scores(spark, sf, cut_lineage(ceiling_grid(spark, sf)), None, only).drop("run_id"))
 
 
 def share_of_ceiling_columns() -> list:
