@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellscore.functions import geo
+from cellscore.operators import runs as rn
 
 ROW_BAND = 256
 
@@ -233,6 +234,30 @@ def rasterize_polygons(edges: DataFrame, shape: tuple[int, int]) -> DataFrame:
     c0 = F.greatest(F.lit(0), F.ceil((F.col("x") + 180.0) / dx - 0.5).cast("int"))
     c1 = F.least(F.lit(w - 1), F.ceil((F.col("x_end") + 180.0) / dx - 0.5).cast("int") - 1)
     spans = spans.withColumn("c0", c0).withColumn("c1", c1).where("c0 <= c1")
-    pixels = spans.select("layer_pos", "burn", "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    top_layer = pixels.groupBy("r", "c").agg(F.max_by("burn", "layer_pos").alias("burn"))
-    return to_rle(top_layer.select(F.lit("polygons").alias("mask_id"), "r", "c", (F.col("burn") > 0).alias("land")))
+    return burnt(spans.select("layer_pos", "burn", "r", "c0", "c1")).select(F.lit("polygons").alias("mask_id"), "r", "c0", "c1")
+
+
+#: Layers in one 64-bit word of the set of layers that cover a stretch.
+LAYER_BITS = 62
+
+
+def burnt(spans: DataFrame) -> DataFrame:
+    """Land runs (r, c0, c1) of overlapping spans (layer_pos, burn, r, c0, c1), of which the last layer counts.
+
+    The spans of a layer are united; then each row is swept once from west to east, with the set of layers that
+    cover the stretch as bits that turn at the spans' ends.
+    """
+    one = rn.merged(spans, ["layer_pos", "burn", "r"])
+    layers = one.select("layer_pos", "burn").distinct().withColumn("_k", F.row_number().over(Window.orderBy("layer_pos")) - 1)  # a row a layer
+    words = [f"_w{i}" for i in range(-(-layers.count() // LAYER_BITS))]
+    if not words:
+        return one.select("r", "c0", "c1")
+    ends = one.join(layers.drop("burn"), "layer_pos").select("r", "_k", F.explode(F.array("c0", F.col("c1") + 1)).alias("at"))
+    bit = F.expr(f"shiftleft(1L, cast(_k % {LAYER_BITS} as int))")
+    ends = ends.groupBy("r", "at").agg(*[F.bit_xor(F.when(F.floor(F.col("_k") / LAYER_BITS) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(n) for i, n in enumerate(words)])
+    w = Window.partitionBy("r").orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = ends.select("r", F.col("at").alias("c0"), (F.lead("at").over(w) - 1).alias("c1"), *[F.bit_xor(n).over(upto).alias(n) for n in words])
+    top = F.coalesce(*[F.when(F.col(n) != 0, F.length(F.bin(n)) - 1 + LAYER_BITS * i) for i, n in reversed(list(enumerate(words)))])
+    d = d.where(F.col("c1").isNotNull()).withColumn("_k", top).where("_k is not null")
+    return rn.merged(d.join(layers.where("burn > 0").select("_k"), "_k", "left_semi"), ["r"])
