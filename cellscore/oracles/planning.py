@@ -111,6 +111,8 @@ cte(
 from (select *, md5('run:' || c_custkey) as h from customer)""",
 )
 
+SPEC_DOC = """'{{"mask_hash":"' || {} || '","spec":{{"coord_format":"' || coord_format || '","grid":{{"placement":"center","step_deg":4.0}},"mask":{{"source":"rle","truth_rule":"cell_center"}},"template":"' || template || '"}},"v":1}}'"""
+
 ORACLES = {
     "cache_hit": sql("select position, cached as cached_run_id from matrix left join hit using (cell_hash)", "matrix", "hit"),
     "resumable_run": sql("select position, resume as resume_run_id, done as resume_done from matrix left join open using (cell_hash)", "matrix", "open"),
@@ -159,19 +161,28 @@ from (select count(*) as n_cells, count(*) filter (active) as n_active, count(es
         "att",
     ),
     "run_key": sql(
-        """select run_id, sha256('{"mode":"' || extraction_mode || '","model":"' || model_id || '","repeat_idx":' || repeat_idx || ',"spec_id":"' || spec_id || '","version":"'
- || coalesce(resolved_version, model_id) || '"}') as run_key from rlog""",
+        f"""select run_id, sha256('{{"config":{{"headers":{{"trace":"t"}},"n_samples":' || (repeat_idx + 1) || ',"temperature":1.0}},"mode":"' || extraction_mode || '","model":"' || coalesce(name, model_id)
+ || '","provider":' || coalesce('"' || provider || '"', 'null') || ',"quant":' || coalesce('"' || quant || '"', 'null') || ',"repeat_idx":' || repeat_idx || ',"spec":"' || sha256({SPEC_DOC.format("'mask'")})
+ || '","v":1,"version":"' || coalesce(rlog.resolved_version, name, model_id) || '"}}') as run_key
+from rlog join (values {SPEC_ROWS}) v(spec_id, coord_format, template) using (spec_id) left join models using (model_id)""",
         "rlog",
+        "models",
     ),
     "config_key": sql(
-        """select position, sha256('{' || concat_ws(',', '"effort":"' || effort || '"', '"n_samples":' || n_samples, '"temperature":' || temperature) || '}') as config_key from matrix""",
+        """select position, sha256('{' || concat_ws(',', '"effort":"' || m.effort || '"', '"max_output_tokens":' || e.max_output_tokens, '"n_samples":' || e.n_samples,
+ case when sys_len > 0 then '"system_prompt":"Answer in one word."' end, '"temperature":' || e.temperature, '"top_logprobs":' || e.top_logprobs) || '}') as config_key
+from matrix m join eff e using (position)""",
         "matrix",
+        "eff",
     ),
     "spec_key": sql(
-        f"""select o_orderkey as place_id, sha256('{{"coord_format":"' || coord_format || '","spec_id":"' || spec_id || '","step_deg":4.0}}') as spec_key
+        f"""select o_orderkey as place_id, sha256({SPEC_DOC.format("md5('mask' || o_orderkey % 3)")}) as spec_key
 from orders join (values {SPEC_ROWS}) v(spec_id, coord_format, template) on spec_id = 's' || o_orderkey % 4"""
     ),
-    "scrub_config": sql("select c_custkey, 'nation=' || c_nationkey || ',segment=' || c_mktsegment as config from customer"),
+    "scrub_config": sql(
+        """select c_custkey, '{"nation":' || c_nationkey || ',"provider":{"auth":[{"user":"u"}],"name":"p' || c_nationkey % 7 || '"},"segment":"' || c_mktsegment || '"}' as config
+from customer"""
+    ),
     "variant_parts": sql(
         """select position, variant, model_id as model_key, coalesce(effort, 'default') as effort, temperature::varchar as temperature_text,
  case when rep > 0 then variant || ' #' || (rep + 1) else variant end as label

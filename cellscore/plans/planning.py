@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscore.functions.common import rounded
+from cellscore.functions.documents import canonical, document
 from cellscore.operators import compare as cp
 from cellscore.operators import worklist as wl
 from cellscore.sources import testbed as tb
@@ -114,36 +115,49 @@ def metrics_freshness(spark, sf):
     return wl.metrics_freshness(m, now, "mask1", 0.5)
 
 
+def spec_document(coord_format, template, odd, name, path):
+    """The same spec as two writers put it: other orders, numbers, names and places of the mask."""
+    grid, mask = {"placement": F.lit("center")}, {"source": F.lit("rle"), "truth_rule": F.lit("cell_center")}
+    one = document({"grid": document(step_deg=F.lit(int(tb.STEP)), **grid), "mask": document(path=path, **mask)}, id=name, template=template, coord_format=coord_format)
+    two = document({"mask": document(**mask), "grid": document(**grid, step_deg=F.lit(tb.STEP))}, coord_format=coord_format, template=template, name=name)
+    return F.when(odd, one).otherwise(two)
+
+
+def spec_key(spark, sf):
+    """Key of the spec of every place: equal content has one key, whoever wrote it."""
+    d = tb.places(spark, sf).join(tb.specs(spark), "spec_id")
+    k = F.col("place_id")
+    doc = spec_document(F.col("coord_format"), F.col("template"), k % 2 == 1, k, F.concat(F.lit("/masks/"), k.cast("string")))
+    mask = F.md5(F.concat(F.lit("mask"), (k % 3).cast("string")))
+    return d.select("place_id", wl.spec_key(doc, mask).alias("spec_key"))
+
+
 def run_key(spark, sf):
-    r = tb.run_log(spark, sf)
-    key = wl.canonical_key(
-        mode=F.col("extraction_mode"), model=F.col("model_id"), repeat_idx=F.col("repeat_idx"), spec_id=F.col("spec_id"),
-        version=F.coalesce("resolved_version", "model_id"),
-    )
+    """Runs of the log with the configuration that they were called with; headers carry a credential."""
+    specs = tb.specs(spark).select("spec_id", wl.spec_key(spec_document(F.col("coord_format"), F.col("template"), F.lit(True), F.col("spec_id"), F.lit("/m")), F.lit("mask")).alias("spec"))
+    r = tb.run_log(spark, sf).join(specs, "spec_id", "left").join(tb.models(spark, sf).select("model_id", "provider", "name", "quant"), "model_id", "left")
+    headers = document(Authorization=F.lit("Bearer x"), trace=F.lit("t"))
+    config = document({"headers": headers}, temperature=F.lit(1), rpm=F.col("n_points_done"), n_samples=F.col("repeat_idx") + 1, effort=F.lit(None).cast("string"))
+    key = wl.run_key(F.col("spec"), F.col("provider"), F.coalesce("name", "model_id"), F.col("quant"), F.col("resolved_version"), config, F.col("extraction_mode"), F.col("repeat_idx"))
     return r.select("run_id", key.alias("run_key"))
 
 
 def config_key(spark, sf):
-    d = tb.plan_matrix(spark, sf)
-    key = wl.canonical_key(effort=F.col("effort"), n_samples=F.col("n_samples"), temperature=F.col("temperature"))
-    return d.select("position", key.alias("config_key"))
-
-
-def spec_key(spark, sf):
-    """Key of the spec of every place; the path of a mask is not part of it."""
-    d = tb.places(spark, sf).join(tb.specs(spark), "spec_id")
-    key = wl.canonical_key(coord_format=F.col("coord_format"), spec_id=F.col("spec_id"), step_deg=F.lit(tb.STEP))
-    return d.select("place_id", key.alias("spec_key"))
+    """Key of the effective configuration of each planned cell."""
+    d = resolved_cells(spark, sf)
+    names = ("effort", "temperature", "n_samples", "top_logprobs", "max_output_tokens", "system_prompt")
+    doc = document(**{n: F.col(n) for n in names}, rpm=F.col("k"), api_key=F.lit("x"))
+    return d.select("position", wl.config_key(doc).alias("config_key"))
 
 
 def scrub_config(spark, sf):
+    """Stored configurations, with credentials at several depths taken out."""
     c = tb.table(spark, sf, "customer")
-    conf = F.create_map(
-        F.lit("API_KEY"), F.lit("x"), F.lit("segment"), F.col("c_mktsegment"), F.lit("client_Secret_2"), F.lit("y"),
-        F.lit("nation"), F.col("c_nationkey").cast("string"),
-    )
-    kept = F.array_sort(F.transform(F.map_entries(wl.scrub(conf)), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return c.select("c_custkey", F.array_join(kept, ",").alias("config"))
+    nation = F.col("c_nationkey")
+    auth = F.concat(F.lit("["), document(password=F.lit("p"), user=F.lit("u")), F.lit("]"))
+    provider = document({"auth": auth}, client_Secret_2=F.lit("y"), name=F.concat(F.lit("p"), (nation % 7).cast("string")))
+    doc = document({"provider": provider}, API_KEY=F.lit("x"), segment=F.col("c_mktsegment"), nation=nation)
+    return c.select("c_custkey", canonical(doc).alias("config"))
 
 
 def variant_parts(spark, sf):
