@@ -21,7 +21,7 @@ import hashlib
 import itertools
 import os
 import re
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +34,7 @@ from cellscore.llm.bpe import _Shared
 from cellscore.llm.store import discarded, read_table, written
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-REMEMBERED, HELD_IDS, TOGETHER = 700_000, 10_000_000, 2000
+REMEMBERED, HELD_IDS, TOGETHER = 500_000, 7_000_000, 2000
 SLICE = 1 << 20
 BLOCK_PAIRS = 1 << 21
 HELD_PAIRS = 1 << 22
@@ -171,7 +171,7 @@ class Pool:
         return self.ids[np.repeat(self.at[number] - begin[:-1], size) + np.arange(begin[-1])], begin
 
 
-@cache
+@lru_cache(1)  # a worker outlives the queries it serves
 def _tokenizers(shared: _Shared) -> Tokenizers:
     return Tokenizers(*shared.value)
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import cache
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -29,7 +29,7 @@ from cellscore.llm.arrow import slices
 from cellscore.llm.store import read_table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED, LONGEST_REMEMBERED = 1_000_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
 MASK = (1 << 64) - 1
 
 
@@ -128,18 +128,25 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """pre-token -> its ids as little-endian 32-bit integers; looks up or merges what it doesn't remember."""
+    """pre-token -> its ids as little-endian 32-bit integers; looks up or merges what it doesn't remember.
+
+    At ``REMEMBERED`` pre-tokens these become the older ones, and of the older ones before only those asked for since stay.
+    """
 
     def __init__(self, tokens: list[bytes], whole: PerfectHash, pattern: str):
         self.tokens, self.whole, self.split = tokens, whole, regex.compile(pattern).findall
         self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        i = self.whole.get(raw)
-        ids = i.to_bytes(4, "little") if i >= 0 else struct.pack(f"<{len(m := merge(raw, self.ranks))}I", *m)
-        if len(raw) <= LONGEST_REMEMBERED:
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            i = self.whole.get(raw)
+            ids = i.to_bytes(4, "little") if i >= 0 else struct.pack(f"<{len(m := merge(raw, self.ranks))}I", *m)
+        if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -151,7 +158,7 @@ class Encoder(dict):
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@cache
+@lru_cache(1)  # a worker outlives the queries it serves
 def _encoder(key: str, shared) -> Encoder:
     return Encoder(*shared.value)
 
