@@ -6,6 +6,7 @@ from cellscore.functions.geo import ANCHORS, EARTH_RADIUS_KM, KM_PER_DEG, LAND_R
 from cellscore.oracles import masks, scoring, uncertainty  # noqa: F401  (shared expressions)
 from cellscore.oracles.base import HEADS, KEPT, cte, sql
 from cellscore.plans.raster import HIGHER, LOWER
+from cellscore.plans.scoring import LATE_FROM, LATE_RUNS, STORED_METRICS
 
 KEPT.update({"gridv", "bimg", "pimg", "pbnd", "tbnd", "bscore", "gseg", "tedge", "gedge", "tlab", "glab"})
 
@@ -244,7 +245,17 @@ join (select run_id, sum(weight * abs(mean_p - frac_land)) / sum(weight) as ece_
 join {ci} using (run_id) join {reg} using (run_id) join {coastline} using (run_id), fprint"""
 
 
+STORED = ", ".join(f"{scoring.M[n]} as {n}" for n in STORED_METRICS if n != "n_points")
+
 ORACLES = {
+    "rescored_runs": sql(
+        " union all ".join(
+            f"""select run_id, {t}::double as threshold, m.* exclude (run_id), lo as acc_lo, hi as acc_hi, exists (select 1 from att where att.run_id = m.run_id
+ and m.run_id in {LATE_RUNS!r} and updated_at >= '{LATE_FROM}') as rescored
+from (select run_id, {STORED}, count(*) as n_points from {f} group by 1) m join {ci} using (run_id)""" for t, f, ci in ((0.5, "fl", "ci"), (0.7, "fl7", "ci7"))
+        ),
+        "fl", "fl7", "ci", "ci7", "att", r="acc_area acc_unweighted skill f1 brier acc_lo acc_hi",
+    ),
     "render_nearest": sql(
         "select run_id, r, count(*) as n, count(*) filter (pred) as n_land, sum(c * pred::int)::bigint as sum_c from bimg group by 1, 2", "bimg"
     ),

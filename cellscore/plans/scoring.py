@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from cellscore.functions import geo
 from cellscore.functions.common import rounded
 from cellscore.operators import regions as rg
 from cellscore.operators import score as sc
-from cellscore.session import cut_lineage
+from cellscore.operators.points_log import latest_points
+from cellscore.operators.score_store import ScoreStore
+from cellscore.session import checkpoint_dir, cut_lineage
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import cells_of
 
+LATE_RUNS, LATE_FROM = ("r0", "r1", "r2", "r3"), "1998-01-01"
+STORED_METRICS = ("acc_area", "acc_unweighted", "skill", "f1", "brier", "n_points")
 THRESHOLDS = [i / 20 for i in range(21)]
 
 
@@ -153,7 +159,21 @@ def latency_histogram(spark, sf):
     return rounded(sc.latency_histogram(tb.points(spark, sf, "latency_s")))
 
 
+def rescored_runs(spark, sf):
+    """Scores from stored block states, at two thresholds: all runs scored without the late attempts of some, then the
+    runs with new points scored again. ``rescored`` tells which these were."""
+    store = ScoreStore(spark, f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}", (0.5, 0.7))
+    a = tb.attempts(spark, sf)
+    late = F.col("run_id").isin(*LATE_RUNS) & (F.col("updated_at") >= F.lit(LATE_FROM))
+    store.refresh(tb.place(latest_points(a.where(~late), ["p_land"])))
+    again = store.refresh(cut_lineage(tb.place(latest_points(a, ["p_land"]))))
+    ci = store.intervals("acc_area").select("run_id", "threshold", F.col("lo").alias("acc_lo"), F.col("hi").alias("acc_hi"))
+    d = store.scores(STORED_METRICS).join(ci, ["run_id", "threshold"]).join(again.withColumn("rescored", F.lit(True)), "run_id", "left")
+    return rounded(d.withColumn("rescored", F.coalesce("rescored", F.lit(False))))
+
+
 QUERIES = {
+    "rescored_runs": rescored_runs,
     "accuracy_leaderboard": accuracy_leaderboard,
     "acc_area": _metrics("acc_area"),
     "acc_unweighted": _metrics("acc_unweighted"),

@@ -58,6 +58,10 @@ class UpsertTable:
         self.spark, self.path, self.keys, self.combine, self.buckets = spark, path, list(keys), combine, buckets
         self.files = Folder(spark, path)
 
+    def last_epoch(self) -> int:
+        """The last epoch that was merged, -1 before the first."""
+        return max((int(n.split("-")[1]) for n in self.files.names("manifests") if n.startswith("epoch-")), default=-1)
+
     def _manifest(self, before: int | None = None) -> dict[int, int]:
         """The epoch whose folder holds each bucket, as of the last epoch (below ``before``)."""
         epochs = [int(n.split("-")[1]) for n in self.files.names("manifests") if n.startswith("epoch-")]
