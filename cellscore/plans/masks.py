@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscore.functions import geo
 from cellscore.functions.common import rounded
 from cellscore.operators import truth as tr
+from cellscore.session import checkpoint_dir
+from cellscore.sources import mask_store as ms
 from cellscore.sources import masks as mk
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import full_grid
@@ -15,6 +19,7 @@ from cellscore.sources.grid import full_grid
 SHAPE = (tb.MASK_H, tb.MASK_W)
 POLY_SHAPE = (90, 180)
 N_GRAY = tb.GRAY_SIZE
+STORED_BAND = 32
 
 
 def mask_rle(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +27,10 @@ def mask_rle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mask_source_rle(spark, sf):
-    return mk.from_rle(mask_rle(spark, sf), rows=(20, 119)).select("mask_id", "r", "c")
+    """Pixel rows 20 to 119 of the stored mask; of its six bands four are read."""
+    path = f"{checkpoint_dir(spark)}/masks-{uuid.uuid4().hex}"
+    ms.write_masks(mask_rle(spark, sf), tb.masks(spark).withColumns({"h": F.lit(SHAPE[0]), "w": F.lit(SHAPE[1])}), path, STORED_BAND)
+    return ms.land_rows(spark, path, "mask", (20, 119), STORED_BAND)
 
 
 def mask_rle_rows(spark, sf):
