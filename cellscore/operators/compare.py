@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,12 +109,12 @@ def cost_vs_accuracy(runs: DataFrame) -> DataFrame:
 
 
 def lineage(runs: DataFrame) -> DataFrame:
-    """Best run per (vendor, model) by release date; the earlier run wins a tie."""
+    """Best run per (vendor, model) of each comparison by release date; the earlier run wins a tie."""
     d = runs.where(F.col("release_date").isNotNull() & F.col("acc_area").isNotNull())
-    best = d.groupBy("vendor", "model_key").agg(
+    best = d.groupBy("comparison", "vendor", "model_key").agg(
         F.min_by(F.struct("run_id", "acc_area", "release_date"), F.struct(-F.col("acc_area"), "run_id")).alias("b")
     )
-    return best.select("vendor", "model_key", "b.run_id", "b.acc_area", "b.release_date")
+    return best.select("comparison", "vendor", "model_key", "b.run_id", "b.acc_area", "b.release_date")
 
 
 def effort_position(effort: Column) -> Column:
@@ -121,13 +123,13 @@ def effort_position(effort: Column) -> Column:
 
 
 def effort_curve(runs: DataFrame) -> DataFrame:
-    """Mean accuracy and interval per (model, effort) for models with two efforts or more."""
-    per = runs.groupBy("model_key", "effort").agg(
+    """Mean accuracy and interval per (model, effort) of each comparison, for models with two efforts or more in it."""
+    per = runs.groupBy("comparison", "model_key", "effort").agg(
         F.avg("acc_area").alias("acc"), F.avg("lo").alias("lo"), F.avg("hi").alias("hi"), F.count("*").alias("n_runs")
     )
-    n = F.count("*").over(Window.partitionBy("model_key"))
+    n = F.count("*").over(Window.partitionBy("comparison", "model_key"))
     d = per.withColumn("_n", n).where(F.col("_n") >= 2)
-    return d.select("model_key", "effort", effort_position(F.col("effort")).alias("position"), "acc", "lo", "hi", "n_runs")
+    return d.select("comparison", "model_key", "effort", effort_position(F.col("effort")).alias("position"), "acc", "lo", "hi", "n_runs")
 
 
 def with_variant(runs: DataFrame) -> DataFrame:
@@ -151,6 +153,87 @@ def with_variant(runs: DataFrame) -> DataFrame:
     )
 
 
+def tie_pairs(ranks: DataFrame) -> DataFrame:
+    """(comparison, run_a, run_b): each tied run with the leader of its rank, the run at whose position the rank begins."""
+    first = ranks.where(F.col("pos") == F.col("rank")).select("comparison", "rank", F.col("run_id").alias("run_a"))
+    tied = ranks.where(F.col("tied") & (F.col("pos") != F.col("rank"))).select("comparison", "rank", F.col("run_id").alias("run_b"))
+    return tied.join(first, ["comparison", "rank"]).select("comparison", "run_a", "run_b")
+
+
+def tie_notes(ranks: DataFrame, differences: DataFrame, runs: DataFrame) -> DataFrame:
+    """comparison, run_id, tie_note, tie_with (label of the leader), tie_diff, tie_lo, tie_hi of the tied runs.
+
+    ``differences`` has the paired differences of ``tie_pairs`` (leader less run); they are given as run less leader.
+    """
+    name = runs.select(F.col("run_id").alias("run_a"), F.col("label").alias("tie_with"))
+    d = tie_pairs(ranks).join(differences, ["run_a", "run_b"], "left").join(name, "run_a")
+    note = F.when(F.col("error").isNotNull(), F.concat(F.lit("no paired comparison with the leader: "), "error")).otherwise(F.lit("the interval of the difference to the leader includes 0"))
+    behind = d.select("comparison", F.col("run_b").alias("run_id"), note.alias("tie_note"), "tie_with", (-F.col("diff")).alias("tie_diff"), (-F.col("hi")).alias("tie_lo"), (-F.col("lo")).alias("tie_hi"))
+    lead = ranks.where(F.col("tied") & (F.col("pos") == F.col("rank"))).select("comparison", "run_id", F.lit("leads runs whose difference to it has an interval that includes 0").alias("tie_note"))
+    return behind.unionByName(lead, allowMissingColumns=True)
+
+
+def comparison_check(members: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per comparison: what makes it unfair, with the names of the runs. ``members`` has (comparison, run_id), ``runs`` (run_id, label,
+    spec_id, extraction_mode, status, thinking, forced_thinking, n_done, n_total).
+
+    Runs of several specs cannot be compared, so such a comparison is refused. A run is unfinished by its status, or if it
+    has fewer points than it should.
+    """
+    d = members.select("comparison", "run_id").join(runs, "run_id")
+    partial = (F.col("status") != "complete") | (F.coalesce("n_done", F.lit(0)) < F.col("n_total"))
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ", ")
+    agg = d.groupBy("comparison").agg(
+        F.countDistinct("spec_id").alias("_specs"),
+        listed("spec_id").alias("specs"),
+        (F.countDistinct("extraction_mode") > 1).alias("mixed_modes"),
+        F.sum(partial.cast("bigint")).alias("n_partial"),
+        listed(F.when(F.col("status") != "complete", F.col("label"))).alias("_open"),
+        F.sum(F.col("forced_thinking").cast("bigint")).alias("n_forced"),
+        listed(F.when(F.col("forced_thinking"), F.col("label"))).alias("_forced"),
+        (F.max("thinking") & ~F.min("thinking")).alias("mixed_thinking"),
+    )
+    notes = F.array_compact(
+        F.array(
+            F.when(F.col("mixed_modes"), F.lit("modes differ, so ranks use accuracy alone")),
+            F.when(F.col("_open") != "", F.concat(F.lit("not complete: "), "_open")),
+            F.when(F.col("n_partial") > 0, F.lit("some runs are unfinished and count with what they have")),
+            F.when(F.col("n_forced") > 0, F.concat(F.lit("thinking forced on: "), "_forced")),
+            F.when(F.col("mixed_thinking"), F.lit("only part of the runs think")),
+        )
+    )
+    return agg.select(
+        "comparison", F.when(F.col("_specs") > 1, F.concat(F.lit("runs of several specs: "), "specs")).alias("refused"), "mixed_modes", "n_partial", "n_forced", "mixed_thinking",
+        F.when(F.col("mixed_modes"), F.lit("acc_area")).alias("rank_on"), F.array_join(notes, "; ").alias("warnings"),
+    )
+
+
+def leaderboard_order() -> list[Column]:
+    """By comparison, rank, and accuracy within a rank."""
+    return [F.col("comparison"), F.col("rank"), F.col("acc_area").desc_nulls_last(), F.col("run_id")]
+
+
+def leaderboard_filters(
+    rows: DataFrame, vendors: Sequence[str] | None = None, models: Sequence[str] | None = None, efforts: Sequence[str] | None = None,
+    modes: Sequence[str] | None = None, thinking: bool | None = None, forced_thinking: bool | None = None, max_cost: float | None = None, priced: bool | None = None, text: str | None = None,
+) -> DataFrame:
+    """Leaderboard rows that fulfil all given filters. ``text`` is looked for in labels and vendors, whatever its case; a
+    limit of cost leaves out runs without price."""
+    for name, some in (("vendor", vendors), ("model_key", models), ("effort", efforts), ("extraction_mode", modes)):
+        if some is not None:
+            rows = rows.where(F.col(name).isin(list(some)))
+    for name, want in (("thinking", thinking), ("forced_thinking", forced_thinking)):
+        if want is not None:
+            rows = rows.where(F.coalesce(F.col(name), F.lit(False)) == want)
+    if priced is not None:
+        rows = rows.where(F.col("cost_usd").isNotNull() == priced)
+    if max_cost is not None:
+        rows = rows.where(F.col("cost_usd") <= max_cost)
+    if text is not None:
+        rows = rows.where(F.lower(F.concat_ws(" ", "label", "vendor")).contains(text.lower()))
+    return rows
+
+
 def leaderboard(ranks: DataFrame, metrics: DataFrame, runs: DataFrame) -> DataFrame:
     """Rank label (``=1`` when tied), scores, cost and counts per run of a comparison.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -259,17 +260,32 @@ def prompt_table(places: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFr
     return d.where(ok).withColumn("prompt", prompt), d.where(~ok)
 
 
-Scorer = Callable[[pd.Series, pd.Series], pd.Series]
+#: Prompts and system texts in; answers out, either texts alone or a frame with ``text`` and any of the other SCORED columns.
+Scorer = Callable[[pd.Series, pd.Series], "pd.Series | pd.DataFrame"]
+SCORED = {"text": "string", "logprobs": "map<string,double>", "input_tokens": "int", "output_tokens": "int", "thinking_tokens": "int", "finish_reason": "string", "error": "string"}
 
 
-def batch_scoring(prompts: DataFrame, scorer: Scorer) -> DataFrame:
-    """Answers of a user's scorer for every prompt (prompt and system texts in, answer texts out)."""
+def batch_scoring(prompts: DataFrame, scorer: Scorer, batch: int = 256) -> DataFrame:
+    """Log rows of a user's scorer for every prompt (run_id, idx, prompt, system_prompt): answer, first-token logprobs, usage, seconds
+    per prompt and error. The scorer gets at most ``batch`` prompts at a time; if it raises, these prompts get its message as
+    their error and the others go on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[["run_id", "idx"]].copy()
-            out["text"] = scorer(b["prompt"], b["system_prompt"])
-            yield out
+        for frame in batches:
+            for k in range(0, len(frame), batch):
+                b = frame.iloc[k : k + batch].reset_index(drop=True)
+                out, began = b[["run_id", "idx"]].copy(), time.monotonic()
+                try:
+                    got = scorer(b["prompt"], b["system_prompt"])
+                    got = got if isinstance(got, pd.DataFrame) else pd.DataFrame({"text": got})
+                    if len(got) != len(b):
+                        raise ValueError(f"{len(got)} answers to {len(b)} prompts")
+                except Exception as e:  # noqa: BLE001  a user's function
+                    got = pd.DataFrame({"error": [f"{type(e).__name__}: {e}"[:500]] * len(b)})
+                for name in SCORED:
+                    out[name] = got[name].to_numpy() if name in got else None
+                out["latency_s"] = (time.monotonic() - began) / max(len(b), 1)
+                yield out
 
     d = prompts.select("run_id", "idx", "prompt", "system_prompt").repartition("run_id", "idx")
-    return d.mapInPandas(run, "run_id string, idx int, text string")
+    return d.mapInPandas(run, "run_id string, idx int, " + ", ".join(f"{k} {v}" for k, v in SCORED.items()) + ", latency_s double")

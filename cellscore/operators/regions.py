@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellscore.functions.common import safe_div
-from cellscore.functions.geo import REGION_ORDER, with_region
+from cellscore.functions.geo import CONTINENTS, OCEANS, REGION_ORDER, with_region
 
 N_HEAT = 12
 
@@ -25,15 +25,17 @@ def region_accuracy(flags: DataFrame) -> DataFrame:
     )
 
 
+#: Column groups of the region table: land 0, ocean 1, polar 2, Antarctica 3.
+GROUPS = {name: 0 for name in CONTINENTS} | {name: 1 for name in OCEANS} | {"Southern Ocean": 1, "Arctic": 2, "Antarctica": 3, "Inland waters": 0, "Mediterranean & Black Sea": 1}
+
+
 def report_group(region: Column) -> Column:
-    """Column group of the region table: land 0, ocean 1, polar 2, Antarctica 3."""
-    name = F.lower(region)
-    return (
-        F.when(name.contains("antarc"), F.lit(3))
-        .when(name.contains("ocean") | name.contains("sea"), F.lit(1))
-        .when(name.contains("polar") | name.contains("arctic"), F.lit(2))
-        .otherwise(F.lit(0))
-    )
+    return F.element_at(F.create_map(*[F.lit(x) for pair in GROUPS.items() for x in pair]), region)
+
+
+def table_order() -> list[str]:
+    """The columns of the region table: by group, then in the order of the regions."""
+    return sorted(REGION_ORDER, key=lambda name: (GROUPS[name], REGION_ORDER.index(name)))
 
 
 def region_heat(regions: DataFrame) -> DataFrame:
@@ -48,4 +50,4 @@ def region_heat(regions: DataFrame) -> DataFrame:
 
 def region_table(regions: DataFrame) -> DataFrame:
     """Runs x regions; the column list is the fixed region list, so no extra pass is needed."""
-    return regions.groupBy("run_id").pivot("region", REGION_ORDER).agg(F.first("acc"))
+    return regions.groupBy("run_id").pivot("region", table_order()).agg(F.first("acc"))

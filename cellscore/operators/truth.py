@@ -97,9 +97,13 @@ def truth_majority(
 
 
 def truth_refill(points: DataFrame, cell_truth: DataFrame, mask_changed: bool = False) -> DataFrame:
-    """Fill missing truth from the mask, or replace all of it when the mask is another one."""
-    t = cell_truth.select("idx", F.col("truth").alias("_t"))
-    d = points.join(t, "idx", "left")
+    """Fill missing truth from the mask, or replace all of it when the mask is another one.
+
+    ``cell_truth`` has (mask_id, idx, truth). Points say by ``mask_id`` which mask is theirs; without that column there must be one mask only.
+    """
+    own = ["mask_id", "idx"] if "mask_id" in points.columns else ["idx"]
+    t = cell_truth.select(*own, F.col("truth").alias("_t"))
+    d = points.join(t, own, "left")
     new = F.col("_t") if mask_changed else F.coalesce("truth", "_t")
     return d.withColumn("truth", new).drop("_t")
 

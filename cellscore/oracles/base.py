@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellscore.sources.testbed import RUNS
+from cellscore.sources.testbed import RUN_STATE, RUNS
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {}
 KEPT = {"pts", "fl", "pdiff", "ranked", "mask"}  # evaluated once per statement
@@ -54,6 +54,7 @@ cte(
     + ") v(run_id, variant, extraction_mode, n_samples_set, vendor, release_date, forced_thinking, thinking, "
     "repeat_idx, price_in, price_out)",
 )
+cte("rstate", "select * from (values " + ", ".join("(" + ", ".join(_lit(v) for v in row) + ")" for row in RUN_STATE) + ") v(run_id, spec_id, status, runner_version, provider)")
 cte(
     "raw",
     """
@@ -115,3 +116,9 @@ from (select (i // 360)::int as r, (i % 360)::int as c, 90 - (i // 360 + 0.5) as
     select (l_partkey*131 + l_orderkey*17 + l_linenumber*7) % 64800 as pix,
       sum(case when l_quantity >= 49 then 1 else -1 end) as v from lineitem group by 1) on pix = i)""",
 )
+cte("cells", "select run_id, i::int as idx from runs, (select range as i from range(4050))", "runs")
+cte(
+    "grid",
+    """select i::int as idx, (i // 90)::int as r, (i % 90)::int as c, 88.0::double - 4 * (i // 90) as lat, -178.0::double + 4 * (i % 90) as lon
+from (select range as i from range(4050))""",
+)

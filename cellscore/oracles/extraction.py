@@ -176,6 +176,11 @@ from (select o_orderkey as place_id, 's' || o_orderkey % 4 as spec_id, (o_orderk
 join (values {SPEC_ROWS}) v(spec_id, coord_format, template) using (spec_id)"""
     ),
     "batch_scoring": sql(
-        "select run_id, idx, case when abs(88 - 4 * (idx // 90)) <= 35 then 'land' else 'water' end as answer from missing", "missing"
+        """select run_id, idx, case when abs(lat) > 80 then null when abs(lat) <= 35 then 'land' else 'water' end as answer,
+ case when abs(lat) <= 80 then exp(case when abs(lat) <= 35 then -0.25 else -2 end) / (exp(-0.25) + exp(-2)) end::double as p_land,
+ length(lat || ', ' || lon || '?')::int as input_tokens, (abs(lat) <= 80)::int as output_tokens, case when abs(lat) > 80 then 'out of range' end as error, true as timed
+from (select run_id, idx, (88 - 4 * (idx // 90))::double as lat, (-178 + 4 * (idx % 90))::double as lon from missing)""",
+        "missing",
+        r="p_land",
     ),
 }

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from cellscore.oracles import scoring, uncertainty  # noqa: F401  (shared expressions)
+from cellscore.oracles import masks, scoring, uncertainty  # noqa: F401  (shared expressions)
 from cellscore.oracles.base import cte, sql
 from cellscore.plans.log import BUDGET, FIT_CHUNK
+from cellscore.sources.testbed import SPECS
+
+SPEC_ROWS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in SPECS)
 
-cte("cells", "select run_id, i::int as idx from runs, (select range as i from range(4050))", "runs")
-cte(
-    "grid",
-    """select i::int as idx, (i // 90)::int as r, (i % 90)::int as c, 88.0::double - 4 * (i // 90) as lat, -178.0::double + 4 * (i % 90) as lon
-from (select range as i from range(4050))""",
-)
 cte("hits", "select idx, count(*) as n from att group by 1", "att")
 cte(
     "visits",
@@ -52,12 +49,18 @@ ORACLES = {
         "select run_id, case when run_id in ('r2', 'r5') then 'rejects' else 'log' end as \"table\", count(*) as n from att group by 1, 2", "att"
     ),
     "metrics_export": sql(
-        """select run_id, '{"run":{"run_id":"' || run_id || '","variant":"' || variant || '","extraction_mode":"' || extraction_mode
- || '"},"metrics":[{"computed_at":"2025-10-01T00:00:00",' || m || '},{"computed_at":"2025-10-02T00:00:00",' || m || '}]}' as document
-from runs join (select run_id, '"n_points":' || count(*) || ',"n_valid":' || count(p_land) || ',"n_unknown_truth":' || (count(*) - count(truth)) as m
-  from pts group by 1) using (run_id)""",
+        f"""select run_id, '{{"run":{{"run_id":"' || run_id || '","variant":"' || variant || '","extraction_mode":"' || extraction_mode || '","repeat_idx":' || repeat_idx || ',"status":"' || status
+ || '"}},"model":{{"name":"' || split_part(variant, '@', 1) || '","provider":"' || provider || '"' || coalesce(',"vendor":"' || vendor || '"', '') || ',"forced_thinking":' || forced_thinking
+ || '}},"spec":{{"spec_id":"' || spec_id || '","coord_format":"' || coord_format || '","mask_id":"mask","mask_hash":"' || mask_hash
+ || '"}},"metrics":[{{"computed_at":"' || d || '","threshold":0.5,' || m || ',"n_correct":' || c5 || '}},{{"computed_at":"' || d || '","threshold":0.7,' || m || ',"n_correct":' || c7 || '}}]}}' as document
+from runs join rstate using (run_id) join (values {SPEC_ROWS}) v(spec_id, coord_format, template) using (spec_id) join (
+ select run_id, strftime(max(updated_at), '%Y-%m-%d') as d, '"n_points":' || count(*) || ',"n_valid":' || count(p_land) || ',"n_unknown_truth":' || (count(*) - count(truth)) as m,
+  count(*) filter (p_land is not null and truth is not null and (p_land > 0.5) = (truth = 1)) as c5, count(*) filter (p_land is not null and truth is not null and (p_land > 0.7) = (truth = 1)) as c7
+ from pts group by 1) using (run_id), fprint""",
         "runs",
+        "rstate",
         "pts",
+        "fprint",
     ),
     "points_sorted": sql("select run_id, idx, p_land from pts", "pts", r="p_land"),
     "grid_source": sql(
@@ -154,9 +157,10 @@ join (select run_id, count(*) as n_done, count(*) - count(p_land) as n_invalid f
     ),
     "run_views": sql(
         f"""select comparison, run_id, position::int as position, variant, extraction_mode, vendor, release_date, forced_thinking, thinking or forced_thinking as thinking,
- repeat_idx, split_part(variant, '@', 1) as model_key, coalesce(nullif(regexp_extract(variant, 'effort=([^,]*)', 1), ''), 'default') as effort,
+ repeat_idx, lo, hi, regions, case when variant like '%@%' then '{{"effort":"' || regexp_extract(variant, 'effort=([^,]*)', 1) || '"}}' else '{{}}' end as config, split_part(variant, '@', 1) as model_key, coalesce(nullif(regexp_extract(variant, 'effort=([^,]*)', 1), ''), 'default') as effort,
  case when repeat_idx > 0 then variant || ' #' || (repeat_idx + 1) else variant end as label, m.* exclude (run_id), cost_usd
-from members join runs using (run_id) join costs using (run_id) join (
+from members join runs using (run_id) join costs using (run_id) join ci using (run_id)
+join (select run_id, string_agg(region || ' ' || printf('%.4f', acc), '; ' order by position) as regions from regacc group by 1) using (run_id) join (
  select run_id, {scoring.M['acc_area']} as acc_area, {scoring.M['acc_valid_only']} as acc_valid_only, {scoring.M['skill']} as skill, {scoring.M['f1']} as f1,
   avg((not valid)::int) as invalid_rate, count(*) as n_points, {scoring.M['acc_area']} as correct,
   sum(w) filter (known and valid and pred_land and not t_land) / sum(w) filter (known) as false_land,
@@ -166,28 +170,36 @@ from members join runs using (run_id) join costs using (run_id) join (
         "runs",
         "costs",
         "fl",
-        r="acc_area acc_valid_only skill f1 invalid_rate correct false_land false_water invalid cost_usd",
+        "ci",
+        "regacc",
+        r="acc_area acc_valid_only skill f1 invalid_rate correct false_land false_water invalid cost_usd lo hi",
     ),
     "report_header": sql(
         """select comparison, strftime(min(s), '%Y-%m-%d %H:%M') as first_start, strftime(max(e), '%Y-%m-%d %H:%M') as last_end, sum(cost_usd) as total_spend,
- count(*) filter (cost_usd is null) as n_without_price, count(*) as n_runs, string_agg(distinct extraction_mode, ', ' order by extraction_mode) as modes
-from members join runs using (run_id) join costs using (run_id) join (select run_id, min(updated_at) as s, max(updated_at) as e from att group by 1) using (run_id) group by 1""",
+ count(*) filter (cost_usd is null) as n_without_price, count(*) as n_runs, string_agg(distinct extraction_mode, ', ' order by extraction_mode) as modes,
+ string_agg(distinct runner_version, ', ' order by runner_version) as runner_versions
+from members join runs using (run_id) join rstate using (run_id) join costs using (run_id) join (select run_id, min(updated_at) as s, max(updated_at) as e from att group by 1) using (run_id) group by 1""",
         "members",
         "runs",
         "costs",
         "att",
+        "rstate",
         r="total_spend",
     ),
     "comparison_check": sql(
-        """select *, case when mixed_modes then 'acc_area' end as rank_on, concat_ws('; ', case when mixed_modes then 'modes differ, so ranks use accuracy alone' end,
- case when n_partial > 0 then 'some runs are unfinished and count with what they have' end, case when n_forced > 0 then 'runs with thinking forced on: ' || n_forced end,
+        """select * exclude (n_specs, specs, open, forced), case when n_specs > 1 then 'runs of several specs: ' || specs end as refused,
+ case when mixed_modes then 'acc_area' end as rank_on, concat_ws('; ', case when mixed_modes then 'modes differ, so ranks use accuracy alone' end, 'not complete: ' || open,
+ case when n_partial > 0 then 'some runs are unfinished and count with what they have' end, 'thinking forced on: ' || forced,
  case when mixed_thinking then 'only part of the runs think' end) as warnings
-from (select comparison, count(distinct extraction_mode) > 1 as mixed_modes, count(*) filter (n_done < 4050) as n_partial, count(*) filter (forced_thinking) as n_forced,
+from (select comparison, count(distinct spec_id) as n_specs, string_agg(distinct spec_id, ', ' order by spec_id) as specs, count(distinct extraction_mode) > 1 as mixed_modes,
+ count(*) filter (n_done < 4050 or status <> 'complete') as n_partial, string_agg(distinct label, ', ' order by label) filter (status <> 'complete') as open,
+ count(*) filter (forced_thinking) as n_forced, string_agg(distinct label, ', ' order by label) filter (forced_thinking) as forced,
  bool_or(thinking) and not bool_and(thinking) as mixed_thinking
-from members join runs using (run_id) join (select run_id, count(*) as n_done from pts group by 1) using (run_id) group by 1)""",
+from members join (select *, case when repeat_idx > 0 then variant || ' #' || (repeat_idx + 1) else variant end as label from runs) using (run_id) join rstate using (run_id) join (select run_id, count(*) as n_done from pts group by 1) using (run_id) group by 1)""",
         "members",
         "runs",
         "pts",
+        "rstate",
     ),
     "comparison_runs": sql(
         "select comparison, position::int as position, run_id, n_attempts from members join (select run_id, count(*) as n_attempts from att group by 1) using (run_id)",

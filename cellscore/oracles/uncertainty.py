@@ -167,10 +167,13 @@ select run_b, run_a, -diff, -hi, -lo, significant, n_paired, acc_b, acc_a from p
     ),
     "rank_with_ties": sql("select comparison, run_id, acc_area, rank::int as rank, tied from ranks", "ranks", r="acc_area"),
     "leaderboard": sql(
-        f"""select comparison, run_id, label, vendor, case when tied then '=' else '' end || rank as rank_label, acc_area, lo, hi,
+        f"""select comparison, run_id, label, vendor, rank::int as rank, case when tied then '=' else '' end || rank as rank_label,
+ case when tied and leader = run_id then 'leads runs whose difference to it has an interval that includes 0' when tied then 'the interval of the difference to the leader includes 0' end as tie_note,
+ case when tied and leader <> run_id then lead.lead_label end as tie_with, case when tied then -pd.diff end as tie_diff, case when tied then -pd.hi end as tie_lo, case when tied then -pd.lo end as tie_hi, acc_area, rs.lo, rs.hi,
  acc_valid_only, skill, f1, invalid_rate, case when probabilistic and not mixed then brier_ end as brier,
  case when probabilistic and not mixed then ece_ end as ece, cost_usd, latency_p50, latency_p95, n_done, 4050 as n_total
-from ranks join rs using (comparison, run_id, acc_area)
+from ranks join rs using (comparison, run_id, acc_area) left join pdiff pd on pd.run_a = leader and pd.run_b = run_id
+left join (select distinct run_id as lead_run, label as lead_label from rs) lead on lead_run = leader
 join (select run_id, {scoring.M['acc_valid_only']} as acc_valid_only, {scoring.M['skill']} as skill, {scoring.M['f1']} as f1,
   {scoring.M['brier']} as brier_, avg((not valid)::int) as invalid_rate, count(*) as n_done from fl group by 1) using (run_id)
 join (select run_id, sum(weight * abs(mean_p - frac_land)) / sum(weight) as ece_ from bins group by 1) using (run_id)
@@ -181,7 +184,8 @@ join (select comparison, count(distinct extraction_mode) > 1 as mixed from rs gr
         "bins",
         "speed",
         "prob",
-        r="acc_area lo hi acc_valid_only skill f1 invalid_rate brier ece cost_usd latency_p50 latency_p95",
+        "pdiff",
+        r="acc_area lo hi acc_valid_only skill f1 invalid_rate brier ece cost_usd latency_p50 latency_p95 tie_diff tie_lo tie_hi",
     ),
     "leaderboard_filters": sql(
         """select comparison, run_id, label, vendor, acc_area, cost_usd from rs where vendor in ('v0', 'v1', 'v2')
@@ -206,15 +210,15 @@ from rs where cost_usd is not null""",
         r="cost_usd acc_area err_up err_down",
     ),
     "lineage": sql(
-        """select vendor, model_key, run_id, acc_area, release_date from (
-select *, row_number() over (partition by vendor, model_key order by acc_area desc, run_id) as rn from rs where comparison = 'all') where rn = 1""",
+        """select comparison, vendor, model_key, run_id, acc_area, release_date from (
+select *, row_number() over (partition by comparison, vendor, model_key order by acc_area desc, run_id) as rn from rs) where rn = 1""",
         "rs",
         r="acc_area",
     ),
     "effort_curve": sql(
-        """select model_key, effort, case effort when 'default' then 0 when 'low' then 4 when 'high' then 6 end::int as position,
+        """select comparison, model_key, effort, case effort when 'default' then 0 when 'low' then 4 when 'high' then 6 end::int as position,
  avg(acc_area) as acc, avg(lo) as lo, avg(hi) as hi, count(*) as n_runs from rs
-where comparison = 'all' and model_key in (select model_key from rs where comparison = 'all' group by 1 having count(distinct effort) > 1) group by 1, 2""",
+where (comparison, model_key) in (select (comparison, model_key) from rs group by comparison, model_key having count(distinct effort) > 1) group by 1, 2, 3""",
         "rs",
         r="acc lo hi",
     ),

@@ -92,19 +92,30 @@ def prompt_table(spark, sf):
     return good.unionByName(rejects).select("place_id", "spec_id", "prompt")
 
 
-def _fixed_rule(prompt: pd.Series, system: pd.Series) -> pd.Series:
-    """A stand-in for a model: land where the first number of the prompt is between -35 and 35."""
+def _fixed_rule(prompt: pd.Series, system: pd.Series) -> pd.DataFrame:
+    """A stand-in for a model: land where the first number of the prompt is between -35 and 35; it fails beyond 80 degrees."""
     lat = prompt.str.extract(r"(-?\d+\.\d+)")[0].astype(float)
-    return lat.between(-35, 35).map({True: "Land", False: "Water"})
+    land = lat.between(-35, 35)
+    far = lat.abs() > 80
+    return pd.DataFrame(
+        {
+            "text": land.map({True: "Land", False: "Water"}).where(~far, None),
+            "logprobs": [None if f else {"Land": -0.25 if x else -2.0, "Water": -2.0 if x else -0.25} for x, f in zip(land, far)],
+            "input_tokens": prompt.str.len(),
+            "output_tokens": (~far).astype(int),
+            "error": far.map({True: "out of range", False: None}),
+        }
+    )
 
 
 def batch_scoring(spark, sf):
-    """Prompts of all missing points, answered by a fixed rule and parsed."""
+    """Prompts of all missing points, answered by a fixed rule: log rows, with the answer and the probability read from them."""
     todo = pl.missing_points(all_cells(spark), tb.points(spark, sf, "error"))
     d = with_cell(todo, tb.STEP).withColumn("system_prompt", F.lit(""))
     d = d.withColumn("prompt", tx.render_prompt(F.lit("{lat}, {lon}?"), F.col("lat"), F.col("lon"), F.lit("signed_decimal")))
     out = ex.batch_scoring(d, _fixed_rule)
-    return out.select("run_id", "idx", tx.parse_answer(F.col("text")).alias("answer"))
+    p = ex.logprob_answer(F.col("logprobs"))["p_land"]
+    return rounded(out.select("run_id", "idx", tx.parse_answer(F.col("text")).alias("answer"), p.alias("p_land"), "input_tokens", "output_tokens", "error", (F.col("latency_s") >= 0).alias("timed")))
 
 
 QUERIES = {

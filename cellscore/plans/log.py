@@ -12,9 +12,14 @@ from cellscore.functions.common import rounded
 from cellscore.operators import compare as cp
 from cellscore.operators import points_log as pl
 from cellscore.operators import score as sc
-from cellscore.plans.scoring import flags
+from cellscore.operators import uncertainty as un
+from cellscore.operators import worklist as wl
+from cellscore.operators.regions import region_accuracy
+from cellscore.plans.masks import SHAPE, mask_rle
+from cellscore.plans.scoring import flags, kept_flags, kept_points
 from cellscore.session import checkpoint_dir
 from cellscore.sources import grid as gr
+from cellscore.sources import masks as mk
 from cellscore.sources import points as io
 from cellscore.sources import testbed as tb
 
@@ -61,11 +66,17 @@ def points_append_log(spark, sf):
 
 
 def metrics_export(spark, sf):
-    m = sc.metrics_by(flags(spark, sf), ["run_id"], ["n_points", "n_valid", "n_unknown_truth"])
-    m = m.select("run_id", F.lit("2025-10-01T00:00:00").alias("computed_at"), "n_points", "n_valid", "n_unknown_truth")
-    later = m.withColumn("computed_at", F.lit("2025-10-02T00:00:00"))
-    runs = tb.runs(spark).select("run_id", "variant", "extraction_mode")
-    return io.metrics_documents(runs, later.unionByName(m))
+    """A document of each run: the run, what is kept of its model, its spec and mask, and its metrics at two thresholds."""
+    p = kept_points(spark, sf)
+    names = ["n_points", "n_valid", "n_unknown_truth", "n_correct"]
+    marks = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE, tb.masks(spark))
+    last = p.groupBy("run_id").agg(F.date_format(F.max("updated_at"), "yyyy-MM-dd").alias("computed_at"))
+    rows = [sc.metrics_by(sc.point_flags(p, t), ["run_id"], names).withColumn("threshold", F.lit(t)) for t in (0.7, 0.5)]
+    m = rows[0].unionByName(rows[1]).join(last, "run_id").select("run_id", "computed_at", "threshold", *names)
+    runs = cp.with_variant(tb.runs(spark)).join(tb.run_state(spark), "run_id")
+    models = runs.select("run_id", F.col("model_key").alias("name"), "provider", "vendor", "forced_thinking")
+    specs = runs.select("run_id", "spec_id").join(tb.specs(spark), "spec_id").withColumn("mask_id", F.lit("mask")).join(marks, "mask_id")
+    return io.metrics_documents(runs.select("run_id", "variant", "extraction_mode", "repeat_idx", "status"), m, models, specs.select("run_id", "spec_id", "coord_format", "mask_id", "mask_hash"))
 
 
 def points_sorted(spark, sf):
@@ -158,8 +169,17 @@ def usage_per_point(spark, sf):
 
 def cost_usd(spark, sf):
     """Live cost, and what the same calls cost at batch price."""
-    c = tb.run_costs(spark, sf)
-    return rounded(c.withColumn("batch_cost_usd", F.col("cost_usd") * 0.5))
+    d = tb.attempts(spark, sf).join(run_prices(spark, sf), "run_id")
+    per = [wl.usage_cost(F.col("input_tokens"), F.col("output_tokens"), F.lit(batch)) for batch in (False, True)]
+    return rounded(d.groupBy("run_id").agg(F.sum(per[0]).alias("cost_usd"), F.sum(per[1]).alias("batch_cost_usd")))
+
+
+def run_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Prices of the runs' models by the lookup: the model's own where it has one, else by name."""
+    m = cp.with_variant(tb.runs(spark)).join(tb.run_state(spark).select("run_id", "provider"), "run_id")
+    m = m.select(F.col("run_id").alias("model_id"), "provider", F.lit("remote").alias("kind"), F.col("model_key").alias("name"), F.col("price_in").alias("own_input"), F.col("price_out").alias("own_output"))
+    found = wl.price_lookup(m, wl.price_table(*tb.price_rows(spark, sf)))
+    return found.select(F.col("model_id").alias("run_id"), "input_per_m", "output_per_m", "batch_discount")
 
 
 def budget_cutoff(spark, sf):
@@ -212,8 +232,12 @@ def run_progress(spark, sf):
 
 
 def run_views(spark, sf):
-    """One wide row per comparison member: run, model, config, metrics, error shares and cost."""
-    f = flags(spark, sf)
+    """One wide row per comparison member: run, model, config, metrics, interval, regions, error shares and cost."""
+    f = kept_flags(spark, sf)
+    ci = un.block_bootstrap_ci(f).select("run_id", "lo", "hi")
+    regions = region_accuracy(f).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("position", "region", "acc"))).alias("a"))  # at most one a region
+    named = F.transform("a", lambda x: F.concat(x["region"], F.lit(" "), F.format_string("%.4f", x["acc"])))
+    regions = regions.select("run_id", F.array_join(named, "; ").alias("regions"))
     m = sc.metrics_by(f, ["run_id"], ["acc_area", "acc_valid_only", "skill", "f1", "invalid_rate", "n_points"])
     d = (
         tb.comparison_runs(spark)
@@ -221,11 +245,13 @@ def run_views(spark, sf):
         .join(m, "run_id", "left")
         .join(sc.error_breakdown(f).drop("n_false_land", "n_false_water", "n_invalid"), "run_id", "left")
         .join(tb.run_costs(spark, sf), "run_id", "left")
+        .join(ci, "run_id", "left")
+        .join(regions, "run_id", "left")
     )
-    d = d.withColumn("vendor", F.coalesce("vendor", F.lit("unknown")))
+    d = d.withColumn("config", F.to_json("config")).withColumn("vendor", F.coalesce("vendor", F.lit("unknown")))
     d = d.withColumn("thinking", F.col("thinking") | F.col("forced_thinking"))
     d = d.withColumn("position", F.col("position").cast("int"))
-    return rounded(d.drop("config", "price_in", "price_out", "n_samples_set"))
+    return rounded(d.drop("price_in", "price_out", "n_samples_set"))
 
 
 def report_header(spark, sf):
@@ -233,7 +259,7 @@ def report_header(spark, sf):
     per = a.groupBy("run_id").agg(
         F.min("updated_at").alias("started"), F.max("updated_at").alias("ended"), F.sum("cost_usd").alias("cost_usd")
     )
-    d = tb.comparison_runs(spark).join(per, "run_id").join(tb.runs(spark), "run_id")
+    d = tb.comparison_runs(spark).join(per, "run_id").join(tb.runs(spark), "run_id").join(tb.run_state(spark), "run_id")
     return rounded(
         d.groupBy("comparison").agg(
             F.date_format(F.min("started"), "yyyy-MM-dd HH:mm").alias("first_start"),
@@ -242,31 +268,16 @@ def report_header(spark, sf):
             F.sum(F.col("cost_usd").isNull().cast("bigint")).alias("n_without_price"),
             F.count("*").alias("n_runs"),
             F.array_join(F.sort_array(F.collect_set("extraction_mode")), ", ").alias("modes"),
+            F.array_join(F.sort_array(F.collect_set("runner_version")), ", ").alias("runner_versions"),
         )
     )
 
 
 def comparison_check(spark, sf):
-    """Fairness of every comparison: mixed modes, partial and forced-thinking runs."""
+    """Fairness of every comparison: one spec, modes, unfinished and forced-thinking runs, by name."""
     done = tb.points(spark, sf, "error").groupBy("run_id").agg(F.count("*").alias("n_done"))
-    d = tb.comparison_runs(spark).join(tb.runs(spark), "run_id").join(done, "run_id", "left")
-    partial = F.col("n_done") < tb.N_CELLS
-    agg = d.groupBy("comparison").agg(
-        (F.countDistinct("extraction_mode") > 1).alias("mixed_modes"),
-        F.sum(partial.cast("bigint")).alias("n_partial"),
-        F.sum(F.col("forced_thinking").cast("bigint")).alias("n_forced"),
-        (F.max("thinking") & ~F.min("thinking")).alias("mixed_thinking"),
-    )
-    rank_on = F.when(F.col("mixed_modes"), F.lit("acc_area"))
-    notes = F.array_compact(
-        F.array(
-            F.when(F.col("mixed_modes"), F.lit("modes differ, so ranks use accuracy alone")),
-            F.when(F.col("n_partial") > 0, F.lit("some runs are unfinished and count with what they have")),
-            F.when(F.col("n_forced") > 0, F.format_string("runs with thinking forced on: %d", "n_forced")),
-            F.when(F.col("mixed_thinking"), F.lit("only part of the runs think")),
-        )
-    )
-    return agg.withColumn("rank_on", rank_on).withColumn("warnings", F.array_join(notes, "; "))
+    d = cp.with_variant(tb.runs(spark)).join(tb.run_state(spark), "run_id").join(done, "run_id", "left").withColumn("n_total", F.lit(tb.N_CELLS))
+    return cp.comparison_check(tb.comparison_runs(spark), d)
 
 
 def comparison_runs(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellscore.functions.common import rounded
-from cellscore.plans.log import BUDGET
+from cellscore.plans.log import BUDGET, rate_limits
 from cellscore.session import checkpoint_dir
 from cellscore.sources import testbed as tb
 from cellscore.streaming import jobs
@@ -43,10 +43,16 @@ def stream_run_totals(spark, sf):
 
 
 def stream_rate_usage(spark, sf):
-    d = jobs.rate_usage(calls(spark, sf), _work(spark))
+    d = jobs.rate_usage(calls(spark, sf), _work(spark), rate_limits(spark))
     return d.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm"))
 
 
+def stream_rate_usage_sliding(spark, sf):
+    """Minutes that begin every 20 seconds."""
+    d = jobs.rate_usage(calls(spark, sf), _work(spark), rate_limits(spark), slide="20 seconds")
+    return d.withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
+
+
 def stream_dedupe(spark, sf):
     """Every call is delivered twice."""
     c = calls(spark, sf)
@@ -68,6 +74,7 @@ QUERIES = {
     "stream_points_upsert": stream_points_upsert,
     "stream_run_totals": stream_run_totals,
     "stream_rate_usage": stream_rate_usage,
+    "stream_rate_usage_sliding": stream_rate_usage_sliding,
     "stream_dedupe": stream_dedupe,
     "stream_failure_bursts": stream_failure_bursts,
     "stream_budget_guard": stream_budget_guard,

@@ -11,6 +11,7 @@ from cellscore.operators import compare as cp
 from cellscore.operators import score as sc
 from cellscore.operators import uncertainty as un
 from cellscore.plans.scoring import flags, kept_flags, kept_points
+from cellscore.session import cut_lineage
 from cellscore.sources import testbed as tb
 
 
@@ -89,24 +90,22 @@ def leaderboard(spark, sf):
     p = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
     ci = un.block_bootstrap_ci(sc.point_flags(p)).select("run_id", "lo", "hi")
     m = sc.cell_metrics(p, tb.runs(spark)).join(ci, "run_id").join(tb.run_costs(spark, sf), "run_id", "left")
-    d = cp.leaderboard(_ranks(spark, sf, sc.point_flags(p)), m, cp.with_variant(tb.runs(spark)))
+    ranks, runs = cut_lineage(_ranks(spark, sf, sc.point_flags(p))), cp.with_variant(tb.runs(spark))
+    pairs = cp.tie_pairs(ranks).select("run_a", "run_b").distinct()
+    notes = cp.tie_notes(ranks, un.paired_difference(sc.point_flags(p), pairs), runs)
+    d = cp.leaderboard(ranks, m, runs).join(notes, ["comparison", "run_id"], "left")
     return rounded(
         d.select(
-            "comparison", "run_id", "label", "vendor", "rank_label", "acc_area", "lo", "hi", "acc_valid_only",
+            "comparison", "run_id", "label", "vendor", "rank", "rank_label", "tie_note", "tie_with", "tie_diff", "tie_lo", "tie_hi", "acc_area", "lo", "hi", "acc_valid_only",
             "skill", "f1", "invalid_rate", "brier", "ece", "cost_usd", "latency_p50", "latency_p95",
             F.col("n_points").alias("n_done"), F.lit(tb.N_CELLS).alias("n_total"),
         )
-    ).orderBy("comparison", F.length("rank_label"), F.col("acc_area").desc())
+    ).orderBy(*cp.leaderboard_order())
 
 
 def leaderboard_filters(spark, sf):
     """Leaderboard rows of vendors v0 to v2 that think, in sampling mode, without forced thinking."""
-    d = run_scores(spark, sf).where(
-        F.col("vendor").isin("v0", "v1", "v2")
-        & F.col("thinking")
-        & (F.col("extraction_mode") == "sample")
-        & ~F.col("forced_thinking")
-    )
+    d = cp.leaderboard_filters(run_scores(spark, sf), vendors=["v0", "v1", "v2"], modes=["sample"], thinking=True, forced_thinking=False)
     return rounded(d.select("comparison", "run_id", "label", "vendor", "acc_area", "cost_usd"))
 
 
@@ -143,11 +142,11 @@ def cost_vs_accuracy(spark, sf):
 
 
 def lineage(spark, sf):
-    return rounded(cp.lineage(run_scores(spark, sf).where("comparison = 'all'")))
+    return rounded(cp.lineage(run_scores(spark, sf)))
 
 
 def effort_curve(spark, sf):
-    return rounded(cp.effort_curve(run_scores(spark, sf).where("comparison = 'all'")))
+    return rounded(cp.effort_curve(run_scores(spark, sf)))
 
 
 QUERIES = {

@@ -75,16 +75,21 @@ def append_attempts(attempts: DataFrame, runs: DataFrame, log_path: str, reject_
     refused.write.mode("append").parquet(reject_path)
 
 
-def metrics_documents(runs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One JSON document per run: the run record and its metrics rows by time of computation."""
+def metrics_documents(runs: DataFrame, metrics: DataFrame, models: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
+    """One JSON document per run: the run record, its model and spec where they are given (by run_id), and its metrics rows
+    by time of computation, then threshold."""
     own = [c for c in metrics.columns if c not in ("run_id", "computed_at")]
     rows = metrics.groupBy("run_id").agg(
         F.sort_array(F.collect_list(F.struct("computed_at", *own))).alias("metrics")  # one row a mask and threshold
     )
-    rec = runs.select("run_id", F.struct(*runs.columns).alias("run"))
-    d = rec.join(rows, "run_id", "left")
-    return d.select("run_id", F.to_json(F.struct("run", "metrics")).alias("document"))
+    d, parts = runs.select("run_id", F.struct(*runs.columns).alias("run")), ["run"]
+    for name, side in (("model", models), ("spec", specs)):
+        if side is not None:
+            d = d.join(side.select("run_id", F.struct(*[c for c in side.columns if c != "run_id"]).alias(name)), "run_id", "left")
+            parts.append(name)
+    d = d.join(rows, "run_id", "left")
+    return d.select("run_id", F.to_json(F.struct(*parts, "metrics")).alias("document"))
 
 
-def export_metrics(runs: DataFrame, metrics: DataFrame, path: str) -> None:
-    metrics_documents(runs, metrics).select("document").write.mode("errorifexists").text(path)
+def export_metrics(runs: DataFrame, metrics: DataFrame, path: str, models: DataFrame | None = None, specs: DataFrame | None = None) -> None:
+    metrics_documents(runs, metrics, models, specs).select("document").write.mode("errorifexists").text(path)

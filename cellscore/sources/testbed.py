@@ -34,6 +34,17 @@ RUN_FIELDS = (
 )
 
 
+# Spec, status, runner version and provider of the runs.
+RUN_STATE = [
+    ("r0", "s0", "complete", "1.2.0", "p0"), ("r1", "s0", "complete", "1.2.0", "p0"), ("r2", "s0", "failed", "1.2.0", "p1"), ("r3", "s0", "complete", "1.3.0", "p1"),
+    ("r4", "s0", "paused", "1.3.0", "p2"), ("r5", "s0", "complete", "1.3.0", "p2"), ("r6", "s0", "complete", "1.3.1", "p2"), ("r7", "s1", "running", "1.3.1", "p0"),
+]
+
+
+def run_state(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RUN_STATE, "run_id string, spec_id string, status string, runner_version string, provider string")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, as it lies in its files at every size."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

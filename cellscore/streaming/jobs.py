@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cellscore.functions.common import bucketed_running_sum
+from cellscore.functions.common import bucketed_running_sum, flag
 from cellscore.streaming.upsert import UpsertTable
 
 
@@ -73,15 +73,22 @@ def run_totals(costed: DataFrame, work: str) -> DataFrame:
     return rows_of(costed.sparkSession, rows) if d is None else d
 
 
-def rate_usage(calls: DataFrame, work: str, slide: str | None = None, late: str = "2 minutes") -> DataFrame:
-    """Requests and tokens per provider and minute; rows later than the watermark are dropped."""
+def rate_usage(calls: DataFrame, work: str, limits: DataFrame | None = None, slide: str | None = None, late: str = "2 minutes") -> DataFrame:
+    """Requests and tokens per provider and minute (beginning every ``slide``), with the limits (provider, rpm, tpm; the least
+    count) where they are given. Rows later than the watermark are dropped."""
     win = F.window("ts", "1 minute", slide) if slide else F.window("ts", "1 minute")
     agg = calls.withWatermark("ts", late).groupBy(win, "provider").agg(
         F.count("*").alias("requests"), F.sum("tokens").cast("bigint").alias("tokens")
     )
     flat = agg.select("provider", F.col("window.start").alias("minute"), "requests", "tokens")
+    schema = "provider string, minute timestamp, requests bigint, tokens bigint"
+    if limits is not None:
+        least = limits.groupBy("provider").agg(F.min("rpm").alias("rpm"), F.min("tpm").alias("tpm"))
+        over = flag(F.col("requests") > F.col("rpm")) | flag(F.col("tokens") > F.col("tpm"))
+        flat = flat.join(least, "provider", "left").withColumn("over_limit", over)
+        schema += ", rpm int, tpm int, over_limit boolean"
     _drain(flat.writeStream.outputMode("append").format("parquet").option("path", f"{work}/out"), work)
-    return calls.sparkSession.read.schema("provider string, minute timestamp, requests bigint, tokens bigint").parquet(f"{work}/out")
+    return calls.sparkSession.read.schema(schema).parquet(f"{work}/out")
 
 
 def dedupe(calls: DataFrame, work: str, key: str, late: str = "10 minutes") -> DataFrame:
