@@ -18,6 +18,7 @@ BAND = 64
 MIN_LANDMASS_KM2 = 5.0e5
 MAX_LANDMASSES = 12
 NAME_SHARE = 0.15
+TEN = 10
 
 
 def _bands(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
@@ -103,10 +104,15 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str], shape: tuple[int,
 def component_stats(
     pred: DataFrame, true: DataFrame, shape: tuple[int, int], min_km2: float, runs: DataFrame | None = None
 ) -> DataFrame:
-    """Per run: number of predicted areas, large ones, specks (touch no true land), largest area.
+    """Per run: number of predicted areas, large ones, specks (touch no true land), the largest; the same of the true areas, and
+    the ten largest areas of both in order, in km2.
 
     ``runs`` (run_id) lists the runs; those that predict no land have zeros."""
     areas = component_areas(pred, ["run_id"], shape)
+    true_areas = component_areas(true, [], shape)
+    big = top_components(areas, ["run_id"], TEN).groupBy("run_id").agg(ten_largest())
+    truth = true_areas.agg(F.count("*").alias("n_components_true"), F.count(F.when(F.col("area_km2") >= min_km2, 1)).alias("n_components_true_large"))
+    truth = truth.crossJoin(top_components(true_areas, [], TEN).agg(ten_largest()).withColumnRenamed("largest", "largest_true_km2"))  # one row
     touched = overlaps(pred, true, ["run_id"], shape).select("run_id", F.col("label_a").alias("label")).distinct()
     specks = areas.join(touched, ["run_id", "label"], "left_anti").groupBy("run_id").agg(F.count("*").alias("_sp"))
     agg = areas.groupBy("run_id").agg(
@@ -115,8 +121,15 @@ def component_stats(
         F.max("area_km2").alias("largest_km2"),
     )
     d = agg.join(specks, "run_id", "left")
+    d = d.join(big.withColumnRenamed("largest", "largest_pred_km2"), "run_id", "left")
     d = d if runs is None else runs.select("run_id").distinct().join(d, "run_id", "left").na.fill(0).na.fill(0.0)
-    return d.withColumn("spurious_specks", F.coalesce("_sp", F.lit(0))).drop("_sp")
+    d = d.withColumn("largest_pred_km2", F.coalesce("largest_pred_km2", F.array().cast("array<double>")))
+    return d.withColumn("spurious_specks", F.coalesce("_sp", F.lit(0))).drop("_sp").crossJoin(F.broadcast(truth))
+
+
+def ten_largest() -> Column:
+    """The areas of the ranked rows in order."""
+    return F.transform(F.sort_array(F.collect_list(F.struct("rank", "area_km2"))), lambda x: x["area_km2"]).alias("largest")
 
 
 def top_components(areas: DataFrame, keys: Sequence[str], k: int = 10) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from cellscore.functions.geo import ANCHORS, EARTH_RADIUS_KM, KM_PER_DEG, LAND_RULES, rule_case
 from cellscore.oracles import masks, scoring, uncertainty  # noqa: F401  (shared expressions)
-from cellscore.oracles.base import HEADS, KEPT, cte, sql
-from cellscore.plans.raster import HIGHER, LOWER
+from cellscore.oracles.base import CTES, HEADS, KEPT, cte, sql
+from cellscore.plans.raster import BOUNDARY, HIGHER, LOWER
 from cellscore.plans.scoring import LATE_FROM, LATE_RUNS, STORED_METRICS
 
 KEPT.update({"gridv", "bimg", "pimg", "pbnd", "tbnd", "bscore", "gseg", "tedge", "gedge", "tlab", "glab"})
@@ -162,9 +164,17 @@ CELL_KM2 = (4.0 * KM_PER_DEG) ** 2
 cte(
     "cstats",
     f"""select run_id, count(*) as n_components, count(*) filter (area_km2 >= {CELL_KM2!r}) as n_components_large, max(area_km2) as largest_km2,
- count(*) filter (not touches) as spurious_specks from gstat group by 1""",
+ count(*) filter (not touches) as spurious_specks, string_agg(printf('%.1f', area_km2), ', ' order by area_km2 desc) filter (rank <= 10) as largest_pred_km2
+ from (select *, row_number() over (partition by run_id order by area_km2 desc) as rank from gstat) group by 1""",
     "gstat",
 )
+cte(
+    "tcount",
+    f"""select count(*) as n_components_true, count(*) filter (a >= {CELL_KM2!r}) as n_components_true_large,
+ string_agg(printf('%.1f', a), ', ' order by a desc) filter (rank <= 10) as largest_true_km2
+from (select *, row_number() over (order by a desc) as rank from (select label, sum({AREA}) as a from tpix group by 1))""",
+    "tpix",
+)
 ANCHOR = ", ".join(f"({i}, {a}, {b}, '{n}')" for i, (a, b, n) in enumerate(ANCHORS))
 cte(
     "tbig",
@@ -224,25 +234,34 @@ cte("gpb7", boundary("vgrid7", "run_id", "pred_land", 90), "vgrid7")
 cte("blocks7", f"""select run_id, {uncertainty.BLOCK} as block, sum(case when known then w * correct::int else 0 end) as num,
  sum(case when known then w else 0 end) as den from fl7 group by 1, 2""", "fl7")
 cte("ci7", uncertainty.boot("blocks7", "run_id"), "blocks7")
-cte("regmin", "select run_id, count(*) as n_regions, min(acc) as worst_region_acc from regacc group by 1", "regacc")
-cte("reg7", f"""select run_id, count(*) as n_regions, min(acc) as worst_region_acc from (
- select run_id, region, sum(w * (case when coalesce(p_land is not null and (p_land > 0.7) = (truth = 1), false) then 1 else 0 end)) / sum(w) as acc
+NAMED = "string_agg(region || ' ' || printf('%.4f', acc), '; ' order by position) as regions"
+cte("regs", f"select run_id, {NAMED} from regacc group by 1", "regacc")
+cte("reg7", f"""select run_id, {NAMED} from (
+ select run_id, region, {scoring.POS} as position, sum(w * (case when coalesce(p_land is not null and (p_land > 0.7) = (truth = 1), false) then 1 else 0 end)) / sum(w) as acc
  from labelled where known group by 1, 2 having sum(w) > 0) group by 1""", "labelled")
+#: The expressions of the images once more, at the other threshold.
+AGAIN = ("gridv", "bimg", "pbnd", "pb1", "d_true", "askt", "d_pred", "bscore", "iou")
+for name in AGAIN:
+    body, needs = CTES[name]
+    cte(f"{name}7", re.sub(rf"\b({'|'.join((*AGAIN, 'fl'))})\b(?!\()", r"\g<1>7", body), *[f"{n}7" if n in (*AGAIN, "fl") else n for n in needs])
+KEPT.update(f"{name}7" for name in AGAIN if name in KEPT)
 cte("coast5", coast(("gpb", "gtb")), "gpb", "gtb", "fl")
 cte("coast7", coast(("gpb7", "gtb")), "gpb7", "gtb", "fl")
 PLAIN = [n for n in scoring.M if n not in ("brier", "log_loss")]
 
 
-def record(f: str, t: float, ci: str, reg: str, coastline: str) -> str:
+def record(f: str, t: float, ci: str, reg: str, coastline: str, images: str) -> str:
     return f"""select m.*, s.* exclude (run_id), {t}::double as threshold, case when probabilistic then brier_ end as brier, case when probabilistic then log_loss_ end as log_loss,
- case when probabilistic then ece_ end as ece, probabilistic, n_regions, worst_region_acc, lo as acc_lo, hi as acc_hi, coastline_error_deg, mask_hash,
- 4050 as n_points_total, n_points < 4050 as partial
+ case when probabilistic then ece_ end as ece, probabilistic, regions, lo as acc_lo, hi as acc_hi, coastline_error_deg, mask_id, mask_hash,
+ pixel_iou, dice, ssim, prob_rmse, {BF.replace(" ", ", ")}, {CD.replace(" ", ", ")}, runs.variant, runs.thinking, runs.forced_thinking, status, cost_usd,
+ 4050 as n_points_total, n_points < 4050 or status <> 'complete' as partial
 from (select run_id, count(*) as n_points, count(p_land) as n_valid, count(*) - count(truth) as n_unknown_truth, avg((p_land is null)::int) as invalid_rate,
  {", ".join(f"{scoring.M[n]} as {n}" for n in PLAIN)} from {f} group by 1) m
 join (select run_id, {scoring.M['brier']} as brier_, {scoring.M['log_loss']} as log_loss_ from fl group by 1) using (run_id)
 join prob using (run_id) join speed s using (run_id)
 join (select run_id, sum(weight * abs(mean_p - frac_land)) / sum(weight) as ece_ from bins group by 1) using (run_id)
-join {ci} using (run_id) join {reg} using (run_id) join {coastline} using (run_id), fprint"""
+join {ci} using (run_id) join {reg} using (run_id) join {coastline} using (run_id) join iou{images} using (run_id) join bscore{images} using (run_id)
+join ssimt using (run_id) join rmse using (run_id) join runs using (run_id) join rstate using (run_id) join costs using (run_id), fprint"""
 
 
 STORED = ", ".join(f"{scoring.M[n]} as {n}" for n in STORED_METRICS if n != "n_points")
@@ -283,7 +302,7 @@ from bimg group by 1, 2, 3""",
         "select label::bigint as label, sum(c1 - c0 + 1)::bigint as n_pixels, count(*) as n_runs from tlab group by 1", "tlab"
     ),
     "component_stats": sql(
-        "select * replace (round(largest_km2, 4) as largest_km2) from cstats", "cstats"
+        "select * replace (round(largest_km2, 4) as largest_km2) from cstats, tcount", "cstats", "tcount"
     ),
     "top_components": sql(
         """select run_id, rank::int as rank, round(area_km2, 3) as area_km2 from (
@@ -302,16 +321,21 @@ select *, row_number() over (partition by run_id order by area_km2 desc) as rank
         f"select m.run_id, {SHARES} from imgs m, imgs c where m.run_id <> 'ceiling' and c.run_id = 'ceiling'", "imgs", r=SHARE_COLS
     ),
     "image_metrics": sql(
-        f"""select m.run_id, {", ".join("m." + n for n in HIGHER + LOWER)}, {SHARES}, n_components, n_components_large, spurious_specks, coverage
-from imgs m join cstats on cstats.run_id = m.run_id join ({COVER}) v on v.run_id = m.run_id, imgs c where m.run_id <> 'ceiling' and c.run_id = 'ceiling'""",
+        f"""select m.run_id, {", ".join("m." + n for n in (*HIGHER, *LOWER, *BOUNDARY))}, {", ".join(f"c.{n} as ceil_{n}" for n in HIGHER + LOWER)}, {SHARES}, cstats.* exclude (run_id, largest_km2), tcount.*,
+ coverage, landmass_iou, 180 as work_rows, 360 as work_columns
+from imgs m join cstats on cstats.run_id = m.run_id join ({COVER}) v on v.run_id = m.run_id
+join (select run_id, string_agg(name || ' ' || printf('%.4f', iou), '; ' order by name || ' ' || printf('%.4f', iou)) as landmass_iou from miou group by 1) l on l.run_id = m.run_id,
+ tcount, imgs c where m.run_id <> 'ceiling' and c.run_id = 'ceiling'""",
         "imgs",
         "cstats",
+        "tcount",
+        "miou",
         "fl",
-        r=" ".join(HIGHER + LOWER) + f" {SHARE_COLS} coverage",
+        r=" ".join((*HIGHER, *LOWER, *BOUNDARY)) + " " + " ".join(f"ceil_{n}" for n in HIGHER + LOWER) + f" {SHARE_COLS} coverage",
     ),
     "score_all": sql(
-        f"{record('fl', 0.5, 'ci', 'regmin', 'coast5')} union all by name {record('fl7', 0.7, 'ci7', 'reg7', 'coast7')}",
-        "fl", "fl7", "prob", "bins", "speed", "ci", "ci7", "regmin", "reg7", "coast5", "coast7", "fprint",
-        r="invalid_rate ece brier log_loss latency_p50 latency_p95 worst_region_acc acc_lo acc_hi coastline_error_deg " + " ".join(PLAIN),
+        f"{record('fl', 0.5, 'ci', 'regs', 'coast5', '')} union all by name {record('fl7', 0.7, 'ci7', 'reg7', 'coast7', '7')}",
+        "fl", "fl7", "prob", "bins", "speed", "ci", "ci7", "regs", "reg7", "coast5", "coast7", "fprint", "iou", "iou7", "bscore", "bscore7", "ssimt", "rmse", "runs", "rstate", "costs",
+        r="invalid_rate ece brier log_loss latency_p50 latency_p95 acc_lo acc_hi coastline_error_deg pixel_iou dice ssim prob_rmse cost_usd " + f"{BF} {CD} " + " ".join(PLAIN),
     ),
 }

@@ -33,10 +33,10 @@ def run_list(spark: SparkSession) -> DataFrame:
     return tb.runs(spark).select("run_id").unionByName(extra).withColumn("mask_id", F.lit(MASK))
 
 
-def grids(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense grids (run_id, r, c, p, b); the mask reduced to the grid is one more run."""
+def grids(spark: SparkSession, sf: str, f: DataFrame | None = None) -> DataFrame:
+    """Dense grids (run_id, r, c, p, b) of the flags; the mask reduced to the grid is one more run."""
     cells = with_cell(cells_of(tb.runs(spark).select("run_id"), tb.STEP), tb.STEP).select("run_id", "idx", "r", "c")
-    f = flags(spark, sf).select("run_id", "idx", F.col("p_land").alias("p"), F.col("pred_land").alias("b"))
+    f = (flags(spark, sf) if f is None else f).select("run_id", "idx", F.col("p_land").alias("p"), F.col("pred_land").alias("b"))
     d = cells.join(f, ["run_id", "idx"], "left")
     d = d.select("run_id", "r", "c", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("b", F.lit(False)).alias("b"))
     return d.unionByName(ceiling_grid(spark, sf))
@@ -159,7 +159,12 @@ def predicted_runs(spark: SparkSession) -> DataFrame:
 
 
 def component_stats(spark, sf):
-    return rounded(cc.component_stats(pred_components(spark, sf), true_components(spark, sf), SHAPE, SPECK_KM2, predicted_runs(spark)), 4)
+    return rounded(_component_stats(spark, sf, pred_components(spark, sf), true_components(spark, sf)), 4)
+
+
+def _component_stats(spark, sf, pred, true):
+    d = cc.component_stats(pred, true, SHAPE, SPECK_KM2, predicted_runs(spark))
+    return d.withColumns({c: F.array_join(F.transform(c, lambda x: F.format_string("%.1f", x)), ", ") for c in ("largest_pred_km2", "largest_true_km2")})
 
 
 def top_components(spark, sf):
@@ -231,33 +236,54 @@ def share_of_ceiling(spark, sf):
     return rounded(with_ceiling(_image_scores(spark, sf)).select("run_id", *share_of_ceiling_columns()))
 
 
+BOUNDARY = ("boundary_p_2", "boundary_r_2", "boundary_p_4", "boundary_r_4")
+
+
 def image_metrics(spark, sf):
-    stats = cc.component_stats(pred_components(spark, sf), true_components(spark, sf), SHAPE, SPECK_KM2, predicted_runs(spark))
+    """All scores of a run's image, of the grid's ceiling and their shares, components, landmasses and the work shape."""
+    g = cut_lineage(grids(spark, sf))
+    pred = cut_lineage(pred_runs(spark, sf, g))
+    true, areas = true_components(spark, sf), pred_components(spark, sf, pred)
     cover = flags(spark, sf).groupBy("run_id").agg((F.sum(F.col("valid").cast("int")) / tb.N_CELLS).alias("coverage"))
-    d = with_ceiling(_image_scores(spark, sf))
-    d = d.select("run_id", *HIGHER, *LOWER, *share_of_ceiling_columns())
-    d = d.join(stats.drop("largest_km2"), "run_id", "left").join(cover, "run_id", "left")
-    return rounded(d)
+    per = cc.landmass_iou(areas, true, cc.landmasses(true, SHAPE), run_list(spark).select("run_id"), SHAPE)
+    per = per.groupBy("run_id").agg(F.sort_array(F.collect_list(F.concat("name", F.lit(" "), F.format_string("%.4f", "iou")))).alias("a"))  # MAX_LANDMASSES at most
+    d = with_ceiling(_image_scores(spark, sf, g, pred))
+    d = d.select("run_id", *HIGHER, *LOWER, *BOUNDARY, *[f"ceil_{n}" for n in HIGHER + LOWER], *share_of_ceiling_columns())
+    d = d.join(_component_stats(spark, sf, areas, true).drop("largest_km2"), "run_id", "left").join(cover, "run_id", "left")
+    d = d.join(per.select("run_id", F.array_join("a", "; ").alias("landmass_iou")), "run_id", "left")
+    return rounded(d.withColumns({"work_rows": F.lit(SHAPE[0]), "work_columns": F.lit(SHAPE[1])}))
 
 
 def score_all(spark, sf):
-    """Stored record per run at two thresholds: cell scores, interval, regions as counts, coast, partial."""
+    """Stored record per run at two thresholds: context, cell scores, interval, regions, coast, image, and whether it is partial (by its
+    points or its status). A run is held against the mask of its spec."""
     p = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
-    fp = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE).select("mask_hash")
+    marks = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE, tb.masks(spark))
+    runs = run_list(spark).where(F.col("run_id") != CEILING)
+    context = tb.runs(spark).select("run_id", "variant", "thinking", "forced_thinking").join(tb.run_state(spark).select("run_id", "status"), "run_id").join(tb.run_costs(spark, sf), "run_id", "left")
+    tiles = _tile_scores(spark, sf, cut_lineage(grids(spark, sf, sc.point_flags(p))), runs)  # probabilities do not depend on the threshold
     out = None
     for t in (0.5, 0.7):
         f = sc.point_flags(p, t)
-        reg = region_accuracy(f).groupBy("run_id").agg(F.count("*").alias("n_regions"), F.min("acc").alias("worst_region_acc"))
+        regions = region_accuracy(f).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("position", "region", "acc"))).alias("a"))  # at most one a region
+        named = F.transform("a", lambda x: F.concat(x["region"], F.lit(" "), F.format_string("%.4f", x["acc"])))
         ci = un.block_bootstrap_ci(f).select("run_id", F.col("lo").alias("acc_lo"), F.col("hi").alias("acc_hi"))
+        pred = cut_lineage(pred_runs(spark, sf, grids(spark, sf, f).where(F.col("run_id") != CEILING)))
         d = (
             sc.cell_metrics(p, tb.runs(spark), t)
             .drop("calibration_bins")
-            .join(reg, "run_id", "left")
+            .join(regions.select("run_id", F.array_join(named, "; ").alias("regions")), "run_id", "left")
             .join(ci, "run_id", "left")
             .join(ra.coastline_error(f, tb.STEP), "run_id", "left")
-            .crossJoin(F.broadcast(fp))  # one row
+            .join(ra.pixel_overlap(pred, mask_rle(spark, sf), runs, SHAPE), "run_id", "left")
+            .join(tiles, "run_id", "left")
+            .join(_boundary_scores(spark, sf, pred, runs), "run_id", "left")
+            .join(context, "run_id", "left")
+            .join(runs, "run_id", "left")
+            .join(marks, "mask_id", "left")
         )
-        d = d.withColumn("n_points_total", F.lit(tb.N_CELLS)).withColumn("partial", F.col("n_points") < tb.N_CELLS)
+        unfinished = (F.col("n_points") < tb.N_CELLS) | (F.col("status") != "complete")
+        d = d.withColumn("n_points_total", F.lit(tb.N_CELLS)).withColumn("partial", unfinished)
         out = d if out is None else out.unionByName(d)
     return rounded(out)
 
