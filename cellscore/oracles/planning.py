@@ -5,7 +5,11 @@ from __future__ import annotations
 from cellscore.oracles import extraction  # noqa: F401
 from cellscore.oracles.base import KEPT, cte, sql
 from cellscore.oracles.extraction import SPEC_ROWS
-from cellscore.plans.planning import BUDGET, PROMPT_CHARS
+from cellscore.plans.planning import BUDGET
+
+#: Lengths of the prompts of 45 N, 45 W.
+PROMPTS = ["What is at 45° N, 45° W? Keep {this}.", f"At {45.0}, {-45.0} ({45.0:+08.2f} | {-45.0:.0f} | {45.0:6.1f}): 45.0, -45.0", "Place 45°00'00\" N, 45°00'00\" W"]
+PROMPT_LENGTHS = ", ".join(f"({i}, {len(p)})" for i, p in enumerate(PROMPTS))
 
 KEPT.update({"rlog", "models", "prices", "matrix", "priced"})
 cte(
@@ -13,7 +17,7 @@ cte(
     """select md5('run:' || k) as run_id, md5('h:' || m || ':' || k % 4) as run_hash, md5('h:' || m || ':' || (k + 1) % 4) as plan_hash, 's' || k % 3 as spec_id, 'm' || m as model_id,
  ['logprobs', 'sample', 'greedy'][k % 3 + 1] as extraction_mode, ['queued', 'running', 'paused', 'complete', 'failed'][k % 5 + 1] as status, o_orderdate as created_at,
  case when k % 5 = 3 then o_orderdate + to_days((k % 50)::int) end as ended_at, case when k % 3 <> 0 then 'v' || k % 11 end as resolved_version,
- case when k % 13 <> 0 then o_totalprice / 100000 end as cost_usd, (k % 4)::int as repeat_idx, (k * 7 % 4051)::int as n_points_done
+ case when k % 13 <> 0 then o_totalprice / 100000 end as cost_usd, (k % 4)::int as repeat_idx, (k * 7 % 4051)::int as n_points_done, 'r' || k % 8 as points_of
 from (select *, o_orderkey as k, o_custkey % 300 as m from orders)""",
 )
 cte(
@@ -71,9 +75,9 @@ from rlog where status = 'complete') where rn = 1""",
 )
 cte(
     "open",
-    """select cell_hash, run_id as resume, n_points_done as done from (select *, row_number() over (partition by cell_hash order by created_at desc, run_id desc) as rn from (
- select run_hash as cell_hash, run_id, created_at, n_points_done from rlog where status <> 'complete' union
- select plan_hash, run_id, created_at, n_points_done from rlog where status <> 'complete')) where rn = 1""",
+    """select cell_hash, run_id as resume, n_points_done as done, points_of from (select *, row_number() over (partition by cell_hash order by created_at desc, run_id desc) as rn from (
+ select run_hash as cell_hash, run_id, created_at, n_points_done, points_of from rlog where status <> 'complete' union
+ select plan_hash, run_id, created_at, n_points_done, points_of from rlog where status <> 'complete')) where rn = 1""",
     "rlog",
 )
 cte(
@@ -85,19 +89,20 @@ select *, row_number() over w as rn, first_value(label) over w as f from matrix
 cte(
     "plan",
     f"""select position, mode, r as refused, case when r is null then cached end as cached_run_id, resume_run_id, n_points, n_calls, active, thinking, forced, quant,
- case when stored then 'stored' else 'heuristic' end as est_source,
- (n_points * case when stored then 40 + done % 20 else gi end)::bigint as est_in, (n_points * case when stored then 3 + done % 7 else go end)::bigint as est_out,
- case when active and n_points > 0 then (n_points * case when stored then 40 + done % 20 else gi end * input_per_m + n_points * case when stored then 3 + done % 7 else go end * output_per_m) / 1e6
-  * case when provider = 'p2' then batch_discount else 1 end end as est_cost_usd
-from (select *, n_points * case when mode = 'sample' then ns else 1 end as n_calls, (ceil(({PROMPT_CHARS} + sys_len) / 4) + 8) * ns as gi, (think + 2) * ns as go,
+ case when active and pin is not null then 'pilot' when stored then 'stored' else 'heuristic' end as est_source, (n_points * ti)::bigint as est_in, (n_points * tout)::bigint as est_out,
+ case when active and n_points > 0 then (n_points * ti * input_per_m + n_points * tout * output_per_m) / 1e6 * case when provider = 'p2' then batch_discount else 1 end end as est_cost_usd
+from (select *, coalesce(pin, case when stored then sin end, gi) as ti, coalesce(pout, case when stored then sout end, go) as tout
+from (select *, n_points * case when mode = 'sample' then ns else 1 end as n_calls, (ceil((prompt_len + sys_len) / 4) + 8) * ns as gi, (think + 2) * ns as go,
    active and resume_run_id is not null and done >= 10 as stored
- from (select *, case when active then 4050 - case when resume_run_id is not null then done else 0 end else 0 end::bigint as n_points
+ from (select * from (values {PROMPT_LENGTHS}) v(spec_no, prompt_len) join (select *, case when active then 4050 - case when resume_run_id is not null then done else 0 end else 0 end::bigint as n_points
   from (select *, case when active then resume end as resume_run_id from (
-   select m.position, m.provider, m.sys_len, m.forced, m.quant, e.mode, e.thinking, e.n_samples as ns, coalesce(e.refusal, d.refused) as r, cached, resume, done,
+   select m.position, m.c_custkey % 3 as spec_no, points_of, case when m.c_custkey % 5 = 2 then 'r' || m.c_custkey % 8 end as pilot_of, m.provider, m.sys_len, m.forced, m.quant, e.mode, e.thinking, e.n_samples as ns, coalesce(e.refusal, d.refused) as r, cached, resume, done,
     coalesce(e.refusal, d.refused) is null and cached is null as active, input_per_m, output_per_m, batch_discount,
     case when not e.thinking then 0 when m.effort = 'low' then 400 when m.effort = 'high' then 4000 else 1500 end as think
-   from matrix m join eff e using (position) join dup d using (position) join priced using (model_id) left join hit on hit.cell_hash = m.cell_hash left join open on open.cell_hash = m.cell_hash))))""",
-    "matrix", "eff", "dup", "priced", "hit", "open",
+   from matrix m join eff e using (position) join dup d using (position) join priced using (model_id) left join hit on hit.cell_hash = m.cell_hash left join open on open.cell_hash = m.cell_hash))) using (spec_no)
+ left join (select run_id as points_of, round_even(avg(input_tokens), 0)::bigint as sin, round_even(avg(output_tokens), 0)::bigint as sout from pts where error is null group by 1 having count(*) >= 10) using (points_of)
+ left join (select run_id as pilot_of, round_even(avg(ti), 0)::bigint as pin, round_even(avg(tout), 0)::bigint as pout from resp where not bad group by 1) using (pilot_of))))""",
+    "matrix", "eff", "dup", "priced", "hit", "open", "pts", "resp",
 )
 cte(
     "refs",
@@ -145,11 +150,13 @@ from asked left join (select prefix, count(*) as n, min(run_id) as m, count(*) f
         "select position, mode, refused, cached_run_id, resume_run_id, n_points, n_calls, est_source, est_in, est_out, est_cost_usd from plan", "plan", r="est_cost_usd"
     ),
     "work_plan_total": sql(
-        f"""select n_cells, n_active, n_known, n_refused, round(total, 4) as total_cost_usd, concat_ws('; ', case when modes > 1 then 'mixed extraction modes' end,
- case when forced > 0 then 'forced-thinking models' end, case when think > 0 and plain > 0 then 'thinking and non-thinking cells' end, case when quantized > 0 then 'quantized models' end,
- case when n_refused > 0 then 'refused cells' end, case when n_known > 0 and n_known < n_active then 'total is a lower bound' end, case when total > {BUDGET} then 'over budget' end) as warnings
+        f"""select n_cells, n_active, n_known, n_refused, round(total, 4) as total_cost_usd, concat_ws('; ', case when modes > 1 then 'mixed extraction modes: ' || mode_names end,
+ case when forced > 0 then 'cells of forced-thinking models: ' || forced end, case when think > 0 and plain > 0 then 'thinking and non-thinking cells: ' || think || ' and ' || plain end,
+ case when quantized > 0 then 'cells of quantized models: ' || quantized end,
+ case when n_refused > 0 then 'refused cells: ' || (select string_agg(w || ' (' || n || ')', ', ' order by w || ' (' || n || ')') from (
+  select case when starts_with(refused, 'duplicate of cell') then 'duplicates of other cells' else refused end as w, count(*) as n from plan where refused is not null group by 1)) end, case when n_known > 0 and n_known < n_active then 'total is a lower bound' end, case when total > {BUDGET} then 'over budget' end) as warnings
 from (select count(*) as n_cells, count(*) filter (active) as n_active, count(est_cost_usd) filter (active) as n_known, count(refused) as n_refused,
- case when count(*) filter (active) = 0 then 0 else sum(est_cost_usd) filter (active) end as total, count(distinct mode) filter (refused is null) as modes,
+ case when count(*) filter (active) = 0 then 0 else sum(est_cost_usd) filter (active) end as total, count(distinct mode) filter (refused is null) as modes, string_agg(distinct mode, ', ' order by mode) filter (refused is null) as mode_names,
  count(*) filter (refused is null and forced) as forced, count(*) filter (refused is null and thinking) as think, count(*) filter (refused is null and not thinking) as plain,
  count(quant) filter (refused is null) as quantized from plan)""",
         "plan",

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from cellscore.functions.common import rounded
 from cellscore.functions.documents import canonical, document
 from cellscore.operators import compare as cp
+from cellscore.operators import points_log as pl
 from cellscore.operators import worklist as wl
 from cellscore.sources import testbed as tb
 
-PROMPT_CHARS = 108
 BUDGET = 1000.0
 
 
@@ -76,14 +76,18 @@ def effective_config(spark, sf):
 
 
 def stored_usage(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean tokens per point of runs with ten points or more."""
-    d = tb.run_log(spark, sf).where(F.col("n_points_done") >= 10)
-    n = F.col("n_points_done")
-    return d.select("run_id", (40 + n % 20).cast("bigint").alias("stored_in"), (3 + n % 7).cast("bigint").alias("stored_out"))
+    """Mean tokens per point of stored runs with ten points or more, from the points table that each run's answers are in."""
+    use = pl.usage_per_point(tb.points(spark, sf, "error", "input_tokens", "output_tokens", "thinking_tokens"))
+    use = use.select(F.col("run_id").alias("points_of"), F.col("input_tokens").alias("stored_in"), F.col("output_tokens").alias("stored_out"))
+    return tb.run_log(spark, sf).where(F.col("n_points_done") >= 10).select("run_id", "points_of").join(use, "points_of")
 
 
 def _plan(spark, sf):
-    return wl.work_plan(resolved_cells(spark, sf), tb.run_log(spark, sf), stored_usage(spark, sf), tb.N_CELLS, PROMPT_CHARS)
+    prompt = wl.sample_prompt(F.col("template"), F.col("coord_format"))
+    cells = resolved_cells(spark, sf).join(tb.specs(spark), "spec_id").withColumn("prompt", prompt)
+    pilots = wl.pilot_usage(tb.responses(spark, sf), "run_id").withColumnRenamed("run_id", "pilot_of")
+    pilots = cells.select("position", "pilot_of").join(pilots, "pilot_of")
+    return wl.work_plan(cells, tb.run_log(spark, sf), stored_usage(spark, sf), tb.N_CELLS, pilots)
 
 
 def work_plan(spark, sf):

@@ -287,6 +287,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 13 != 0, F.col("o_totalprice") / 100000).alias("cost_usd"),
         (k % 4).cast("int").alias("repeat_idx"),
         (k * 7 % (N_CELLS + 1)).cast("int").alias("n_points_done"),
+        F.concat(F.lit("r"), (k % N_RUNS).cast("string")).alias("points_of"),
     )
 
 
@@ -489,6 +490,8 @@ def plan_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
             "has_logprobs": F.when(prov.isin("p0", "p1", "p2"), True).when(prov.isin("p3", "p4"), False),
             "top_logprobs_cap": F.when(prov == "p1", F.lit(5)),
             "use_batch": prov == "p2",
+            "spec_id": F.concat(F.lit("s"), (F.col("k") % 3).cast("string")),
+            "pilot_of": F.when(F.col("k") % 5 == 2, F.concat(F.lit("r"), (F.col("k") % N_RUNS).cast("string"))),
             "thinking": F.col("forced_thinking") | (F.col("effort").isNotNull() & (F.col("effort") != "off")),
             "spec_temperature": F.lit(1.0),
             "spec_n_samples": F.lit(4),
