@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from cellscore.llm import negatives
 from cellscore.llm.align import op13_token_alignment
 from cellscore.llm.bpe import op1_byte_bpe
 from cellscore.llm.decontaminate import op8_benchmark_decontamination
@@ -12,6 +11,7 @@ from cellscore.llm.licenses import op4_license_scan
 from cellscore.llm.lines import op9_line_templates
 from cellscore.llm.mixing import op11_source_mix
 from cellscore.llm.negatives import op12_hard_negatives
+from cellscore.llm.oracles import ORACLES  # noqa: F401
 from cellscore.llm.pii import op6_personal_data
 from cellscore.llm.quality import op5_quality_crf
 from cellscore.llm.repair import op3_token_id_repair
@@ -35,4 +35,3 @@ QUERIES = {
         op13_token_alignment,
     )
 }
-ORACLES = {"op12_hard_negatives": negatives.ORACLE}
