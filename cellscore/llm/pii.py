@@ -8,12 +8,13 @@
   hashes, of all documents) score each candidate by its format and what stands around it. Candidates that are base
   spans are labelled; the others are not negative but unlabelled.
 * **Calibration.** With labelled and unlabelled examples the score of a true span is about c times its probability, c
-  being the mean score of labelled ones (of documents held out from training, by kind). A candidate is selected if
-  score / c is at least ``THRESHOLD``; kinds without held-out labels add nothing.
+  being the mean score of labelled ones (of documents held out from training, by kind; a kind without any has the mean of
+  all). A candidate is selected if score / c is at least ``THRESHOLD``; without held-out labels nothing is added.
 
 The trees become one SQL expression that is evaluated in the row, so finding needs no exchange. Null texts count as
 empty; repeated rows each get their row; only doc_id and text are read. Places are code points, the end exclusive.
-The patterns start only where a match can start and give nothing back, so that long runs take linear time.
+The patterns start only where a match can start and give nothing back, places are running sums and equal spans are found
+by sorting, so that long runs and texts of many matches take little more than linear time.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BASE = {
 
 #: Generators: kinds proposed for each match, and its pattern.
 GENERATORS = {
-    "around": (["email"], r"[A-Za-z0-9._%+'-]{1,64}+(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\x20\x09-\x0D@<>(),;\x22]{1,255}"),
+    "around": (["email"], r"(?:\G|(?<![A-Za-z0-9._%+'-]))[A-Za-z0-9._%+'-]++(?:@|\x20?[\[(](?:at|AT)[\])]\x20?)[^\x20\x09-\x0D@<>(),;\x22]++"),
     "groups": (["ip"], r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,5}+(?:[.:][0-9A-Fa-f]{1,5}+){2,8}+"),
     "digits": (["card", "phone"], r"[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,}+"),
 }
@@ -50,7 +51,8 @@ DIGITS = {"card": (12, 19), "phone": (7, 15)}
 
 CALLS = "tel|phone|fax|call|mail|contact|mobile|card|visa|pay|host|server|addr|login"
 CODES = "token|key|secret|sha|hash|order|invoice|version|isbn|id"
-SPAN = "struct<kind:int,s:int,e:int,m:string>"
+SPAN = "struct<kind:int,s:int,e:int,m:string,b:string,a:string>"
+CHUNK, CONTEXT = 256, 24
 EMPTY = f"array<{SPAN}>"
 
 
@@ -58,19 +60,46 @@ def none() -> Column:
     return F.array().cast(EMPTY)
 
 
+def named(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def starts(gaps: Column, matches: Column) -> Column:
+    """Where each match begins: the running sum of the lengths of gaps and matches. Sums are kept in chunks, so that an
+    array that grows has ``CHUNK`` entries and not as many as there are matches."""
+    steps = F.zip_with(gaps, matches, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+    ints, lists = "array<int>", "array<array<int>>"
+
+    def one(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["p"]
+        return F.struct((s + x["m"]).alias("at"), F.concat(acc["s"], F.array(s)).cast(ints).alias("s"))
+
+    def chunk(steps: Column) -> Callable[[Column, Column], Column]:
+        def add(acc: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(steps, k, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), F.array().cast(ints).alias("s")), one)
+            return named(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["s"], F.array(x["s"])).cast(lists).alias("s")))
+
+        return add
+
+    def over(steps: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(lists).alias("s"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(steps), F.lit(CHUNK)), zero, chunk(steps))["s"])
+
+    return named(steps, over)
+
+
 def located(pattern: str, matches: Column, kind: int) -> Column:
-    """The matches of ``pattern`` in the text with their places: they lie between the parts of a split by it."""
+    """The matches of ``pattern`` in the text with their places and what stands around them, up to the neighbouring
+    matches: they lie between the parts of a split by the pattern."""
     between = F.split("_text", pattern, -1)
-    pairs = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
 
-    def add(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["p"]
-        e = s + F.length(x["m"])
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["m"].alias("m"))
-        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(span)).cast(EMPTY).alias("spans"))
+    def spans(parts: Column) -> Column:
+        gaps, after = F.slice(parts, 1, F.size(matches)), F.slice(parts, 2, F.size(matches))
+        at = F.arrays_zip(starts(gaps, matches).alias("s"), matches.alias("m"), F.transform(gaps, lambda p: F.right(p, F.lit(CONTEXT))).alias("b"), F.transform(after, lambda p: F.left(p, F.lit(1))).alias("a"))
+        return F.transform(at, lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a")))
 
-    zero = F.struct(F.lit(0).alias("at"), none().alias("spans"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, add, lambda acc: acc["spans"])).otherwise(none())
+    return F.when(F.size(matches) > 0, named(between, spans)).otherwise(none())
 
 
 def digits_of(m: Column) -> Column:
@@ -111,11 +140,6 @@ def of_kind(kind: int) -> Callable[[Column], Column]:
     return lambda x: x["kind"] == kind
 
 
-def named(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def stretches(run: Column) -> Column:
     """The stretches of consecutive groups of digits in a run: at most 19 from each group on, as each has a digit."""
     most = max(high for _, high in DIGITS.values())
@@ -129,7 +153,10 @@ def stretches(run: Column) -> Column:
         def span(s: Column, e: Column) -> Column:
             begin = s - F.coalesce(F.get(chars, s - 1).isin("+", "("), F.lit(False)).cast("int")
             m = F.array_join(F.slice(chars, begin + 1, e - begin + 1), "")
-            return F.struct(F.lit(0).alias("kind"), (run["s"] + begin).alias("s"), (run["s"] + e + 1).alias("e"), m.alias("m"))
+            near = F.array_join(F.slice(chars, F.greatest(F.lit(1), begin - CONTEXT + 1), F.least(begin, F.lit(CONTEXT))), "")
+            before = F.right(F.concat(F.when(begin < CONTEXT, run["b"]).otherwise(F.lit("")), near), F.lit(CONTEXT))
+            after = F.coalesce(F.get(chars, e + 1), run["a"])
+            return F.struct(F.lit(0).alias("kind"), (run["s"] + begin).alias("s"), (run["s"] + e + 1).alias("e"), m.alias("m"), before.alias("b"), after.alias("a"))
 
         return named(ends, lambda ends: F.flatten(F.transform(starts, lambda s, k: F.transform(F.slice(ends, k + 1, most), lambda e: span(s, e)))))
 
@@ -137,11 +164,28 @@ def stretches(run: Column) -> Column:
 
 
 def as_kind(kind: int) -> Callable[[Column], Column]:
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+    return lambda x: F.struct(F.lit(kind).alias("kind"), *[x[c].alias(c) for c in ("s", "e", "m", "b", "a")])
+
+
+def marked(base: Column, more: Column) -> Column:
+    """The different spans of ``more`` by kind and place, with ``label``: 1 for those that are also in ``base``.
+
+    Equal spans are neighbours once both are sorted, the one of ``base`` first."""
+    of = lambda tag: lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(tag).alias("tag"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
+
+    def labelled(both: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            last = F.get(both, i - 1)
+            same = F.coalesce(same_span(x, last), F.lit(False))
+            return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"), (same & (last["tag"] == 0)).cast("double").alias("label"), ((x["tag"] == 1) & ~(same & (last["tag"] == 1))).alias("own"))
+
+        return F.filter(F.transform(both, one), lambda x: x["own"])
+
+    return named(F.array_sort(F.concat(F.transform(base, of(0)), F.transform(more, of(1)))), labelled)
 
 
 def spans_of(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, _base and _more: the base spans, and the generated ones."""
+    """doc_id, _base and _more: the base spans, and the generated ones with what stands around them and their label."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
     digit = F.col("_text").rlike("[0-9]")
     may = {
@@ -156,7 +200,9 @@ def spans_of(docs: DataFrame) -> DataFrame:
     runs = F.flatten(F.transform("_g_digits", stretches)).alias("_g_digits")
     rows = rows.select("doc_id", "_text", "_base", *[runs if g == "digits" else f"_g_{g}" for g in GENERATORS])
     more = [F.filter(F.transform(f"_g_{g}", as_kind(KINDS.index(k))), possible(k)) for g, (kinds, _) in GENERATORS.items() for k in kinds]
-    return rows.select("doc_id", "_text", "_base", F.concat(*more).cast(EMPTY).alias("_more"))
+    rows = rows.select("doc_id", "_base", F.concat(*more).cast(EMPTY).alias("_more"))
+    plain = F.transform("_base", lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "s", "e", "m")]))
+    return rows.select("doc_id", plain.alias("_base"), marked(F.col("_base"), F.col("_more")).alias("_more"))
 
 
 FEATURES = ["kind", "length", "digits", "letters", "separators", "dots", "at", "plus", "longest", "groups", "kinds_of_digit", "before", "after", "calls", "codes", "start", "luhn"]
@@ -167,8 +213,7 @@ def features(x: Column) -> Column:
     m = x["m"]
     count = lambda p: F.length(m) - F.length(F.regexp_replace(m, p, ""))
     runs = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
-    around = F.lower(F.substr(F.col("_text"), F.greatest(F.lit(1), x["s"] - 23), F.least(F.lit(24), x["s"])))
-    after = F.substr(F.col("_text"), x["e"] + 1, F.lit(1))
+    around, after = F.lower(x["b"]), x["a"]
     sort = lambda c: F.when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"[\x20\x09-\x0D]"), 3).when(c == "", 4).otherwise(5)
     values = [
         x["kind"], F.length(m), count("[0-9]"), count("[A-Za-z]"), count(r"[\x20().:/-]"), count(r"\."), count("@"), m.startswith("+").cast("int"), F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0)),
@@ -202,7 +247,7 @@ def as_expression(model) -> Callable[[Column], Column]:
 
 def train(spans: DataFrame):
     """The score of a candidate's features, and c of each kind; None if the sample has labels of one kind only."""
-    more = F.transform("_more", lambda x: F.struct(features(x).alias("f"), x["kind"].alias("kind"), x["s"].alias("s"), F.exists("_base", lambda b: same_span(b, x)).cast("double").alias("label")))
+    more = F.transform("_more", lambda x: F.struct(features(x).alias("f"), x["kind"].alias("kind"), x["s"].alias("s"), x["label"].alias("label")))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
     def rows(docs: DataFrame) -> DataFrame:
@@ -217,22 +262,25 @@ def train(spans: DataFrame):
     score = as_expression(model)
     # sums of integers: the same c in any order of rows
     mean = F.sum(F.round(score(F.col("f")) * 1e9).cast("bigint")) / F.count("*") / 1e9
-    c = rows(spans.where(held_out)).where("label = 1").groupBy("kind").agg(mean.alias("c")).collect()  # one row for each kind
-    return score, {r.kind: r.c for r in c}
+    c = rows(spans.where(held_out)).where("label = 1").groupBy("kind").agg(mean.alias("c"), F.count("*").alias("n")).collect()  # one row for each kind
+    total = sum(r.n for r in c)
+    prior = sum(r.c * r.n for r in c) / total if total else None
+    return score, {k: prior for k in range(len(KINDS)) if prior is not None} | {r.kind: r.c for r in c}
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans (array of kind, s, e, m, by kind and start) of each row of ``docs``."""
     spans = spans_of(docs)
     model = train(spans)
-    extra = none()
+    extra = F.array().cast("array<struct<kind:int,s:int,e:int,m:string>>")
     if model:
         score, c = model
         if c:
             shares = F.create_map(*[F.lit(v) for pair in c.items() for v in pair])
             likely = lambda x: score(features(x)) >= THRESHOLD * F.try_element_at(shares, x["kind"])
-            extra = F.filter("_more", lambda x: F.coalesce(likely(x), F.lit(False)) & ~F.exists("_base", lambda b: same_span(b, x)))
-    return spans.select("doc_id", F.col("_base").alias("base"), F.array_sort(F.array_distinct(F.concat("_base", extra))).alias("spans"))
+            some = F.filter("_more", lambda x: (x["label"] == 0) & F.coalesce(likely(x), F.lit(False)))
+            extra = F.transform(some, lambda x: F.struct(*[x[c].alias(c) for c in ("kind", "s", "e", "m")]))
+    return spans.select("doc_id", F.col("_base").alias("base"), F.array_sort(F.concat("_base", extra)).alias("spans"))
 
 
 def written_out(spans: str) -> Column:
