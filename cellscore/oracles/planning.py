@@ -5,7 +5,7 @@ from __future__ import annotations
 from cellscore.oracles import extraction  # noqa: F401
 from cellscore.oracles.base import KEPT, cte, sql
 from cellscore.oracles.extraction import SPEC_ROWS
-from cellscore.plans.planning import BUDGET
+from cellscore.plans.planning import BUDGET, RUNS_ENDED
 
 #: Lengths of the prompts of 45 N, 45 W.
 PROMPTS = ["What is at 45° N, 45° W? Keep {this}.", f"At {45.0}, {-45.0} ({45.0:+08.2f} | {-45.0:.0f} | {45.0:6.1f}): 45.0, -45.0", "Place 45°00'00\" N, 45°00'00\" W"]
@@ -212,7 +212,17 @@ union all select 'configs', c_custkey::varchar, 'n_samples 1..16' from customer
 union all select 'configs', c_custkey::varchar, 'temperature 0..2' from customer where c_acctbal < 0 or c_acctbal > 8000
 union all select 'configs', c_custkey::varchar, 'repeats 1..100' from customer where c_custkey % 120 < 1 or c_custkey % 120 > 100
 union all select 'configs', c_custkey::varchar, 'step divides 180' from customer where 180 % (c_nationkey + 1) <> 0
-union all select 'runs', run_id, 'unknown model_id' from rlog where not exists (select 1 from part where p_partkey = 32 + n_points_done)""",
+union all select 'runs', run_id, 'unknown model_id' from rlog where not exists (select 1 from part where p_partkey = 32 + n_points_done)
+union all select 'configs', c_custkey::varchar, 'subset 0..1' from customer where c_custkey % 13 = 0 or c_custkey % 13 > 10
+union all select 'configs', c_custkey::varchar, 'max_output_tokens over 0' from customer where c_custkey % 40 = 0
+union all select 'configs', c_custkey::varchar, 'truth rule' from customer where c_mktsegment = 'FURNITURE'
+union all select 'places', o_orderkey::varchar, 'latitude -90..90' from orders where abs(o_orderkey * 3700 % 18201 - 9050) > 9000
+union all select 'places', o_orderkey::varchar, 'longitude -180..180' from orders where abs(o_custkey * 2500 % 43000 - 21500) > 18000
+union all select 'metrics', o_orderkey::varchar, 'threshold 0..1' from orders where o_custkey % 23 > 20
+union all select 'metrics', o_orderkey::varchar, 'n_points' from orders where o_orderkey % 50 = 0
+union all select distinct 'points', run_id || ':' || idx, 'written after its run was complete' from att join rstate using (run_id) where status = 'complete' and updated_at > '{RUNS_ENDED}'""".replace("{RUNS_ENDED}", RUNS_ENDED),
         "rlog",
+        "att",
+        "rstate",
     ),
 }

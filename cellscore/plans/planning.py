@@ -13,6 +13,7 @@ from cellscore.operators import worklist as wl
 from cellscore.sources import testbed as tb
 
 BUDGET = 1000.0
+RUNS_ENDED = "1998-06-01"
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -210,11 +211,24 @@ def table_checks(spark, sf):
             "temperature 0..2": x.between(0, 2),
             "repeats 1..100": (F.col("c_custkey") % 120).between(1, 100),
             "step divides 180": F.lit(180) % (F.col("c_nationkey") + 1) == 0,
+            "subset 0..1": (((F.col("c_custkey") % 13) / 10) > 0) & (((F.col("c_custkey") % 13) / 10) <= 1),
+            "max_output_tokens over 0": F.col("c_custkey") % 40 > 0,
+            "truth rule": F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE", "HOUSEHOLD", "MACHINERY"),
         },
     )
     lost = wl.orphans(r.withColumn("model_id", F.concat(F.lit("m"), (F.length("run_id") + F.col("n_points_done")).cast("string"))),
                       tb.models(spark, sf), "runs", "run_id", "model_id")
-    return runs_bad.unionByName(conf_bad).unionByName(lost)
+    place = tb.places(spark, sf)
+    place_bad = wl.table_checks(place, "places", "place_id", {"latitude -90..90": F.col("lat").between(-90, 90), "longitude -180..180": F.col("lon").between(-180, 180)})
+    metrics = tb.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 23 / 20).alias("threshold"), (F.col("o_orderkey") % 50 - 1).alias("n_points"))
+    metrics_bad = wl.table_checks(metrics, "metrics", "o_orderkey", {"threshold 0..1": F.col("threshold").between(0, 1), "n_points": F.col("n_points") >= 0})
+    a = tb.attempts(spark, sf)
+    point_bad = wl.table_checks(a.withColumn("key", F.concat_ws(":", "run_id", F.col("idx").cast("string"))).select("key", "p_land", "n_valid", "n_samples").distinct(), "points", "key", {
+        "p_land 0..1": F.col("p_land").isNull() | F.col("p_land").between(0, 1), "valid samples": F.col("n_valid") <= F.col("n_samples"), "an answer has samples": F.col("p_land").isNull() | (F.col("n_samples") > 0)})
+    late = wl.late_points(a, tb.run_state(spark).withColumn("ended_at", F.to_date(F.lit(RUNS_ENDED))))
+    for more in (conf_bad, lost, place_bad, metrics_bad, point_bad, late):
+        runs_bad = runs_bad.unionByName(more)
+    return runs_bad
 
 
 QUERIES = {

@@ -10,7 +10,9 @@ NAMES = [
     "accuracy_leaderboard", "cell_metrics", "threshold_sweep", "region_table", "run_health", "block_bootstrap_ci", "pair_matrix",
     "retry_queue", "budget_cutoff", "points_scan", "truth_majority", "rasterize_polygons", "mask_fingerprint", "coastline_error",
     "landmass_iou", "extract_auto", "response_normalise", "prompt_table", "work_plan", "price_lookup", "stream_points_upsert",
-    "stream_rate_usage", "stream_failure_bursts",
+    "stream_rate_usage", "stream_failure_bursts", "stream_run_totals", "stream_budget_guard", "rescored_runs", "mask_source_rle", "boundary_f",
+    "pixel_iou_dice", "ssim", "render_bilinear", "error_overlay", "landmass_names", "component_stats", "lineage", "effort_curve", "leaderboard",
+    "comparison_check", "run_views", "metrics_export", "batch_scoring", "run_key", "spec_key", "table_checks", "work_plan_total",
 ]
 
 
