@@ -25,37 +25,58 @@ def _mass(logprobs: Column, cls: str) -> Column:
     )
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+ANSWER = ("p_land", "n_valid", "n_samples", "validity_mass")
+
+
+def _parts(answer: Column) -> dict[str, Column]:
+    return {n: answer[n] for n in ANSWER}
+
+
+def _logprob_struct(logprobs: Column) -> Column:
+    some = flag(F.size(logprobs) > 0)
+
+    def of(m: Column) -> Column:
+        p = F.when(some, safe_div(m["land"], m["land"] + m["water"]))
+        mass = F.when(some, F.least(m["land"] + m["water"], F.lit(1.0)))
+        return F.struct(p.alias("p_land"), p.isNotNull().cast("int").alias("n_valid"), F.lit(1).alias("n_samples"), mass.alias("validity_mass"))
+
+    return once(F.struct(_mass(logprobs, "land").alias("land"), _mass(logprobs, "water").alias("water")), of)
+
+
 def logprob_answer(logprobs: Column) -> dict[str, Column]:
     """p_land, n_valid, n_samples and validity_mass from first-token alternatives."""
-    land, water = _mass(logprobs, "land"), _mass(logprobs, "water")
-    some = flag(F.size(logprobs) > 0)
-    mass = land + water
-    p = F.when(some, safe_div(land, mass))
-    return {
-        "p_land": p,
-        "n_valid": p.isNotNull().cast("int"),
-        "n_samples": F.lit(1),
-        "validity_mass": F.when(some, F.least(mass, F.lit(1.0))),
-    }
+    return _parts(_logprob_struct(logprobs))
+
+
+def _sample_struct(texts: Column) -> Column:
+    def of(said: Column) -> Column:
+        land = F.size(F.filter(said, lambda a: a == "land"))
+        valid = F.size(F.filter(said, lambda a: a.isNotNull()))
+        return F.struct(safe_div(land, valid).alias("p_land"), valid.alias("n_valid"), F.size(said).alias("n_samples"), F.lit(None).cast("double").alias("validity_mass"))
+
+    return once(F.transform(texts, tx.parse_answer), of)
 
 
 def sample_answer(texts: Column) -> dict[str, Column]:
     """Share of land among the valid samples."""
-    said = F.transform(texts, tx.parse_answer)
-    land = F.size(F.filter(said, lambda a: a == "land"))
-    valid = F.size(F.filter(said, lambda a: a.isNotNull()))
-    return {
-        "p_land": safe_div(land, valid),
-        "n_valid": valid,
-        "n_samples": F.size(texts),
-        "validity_mass": F.lit(None).cast("double"),
-    }
+    return _parts(_sample_struct(texts))
+
+
+def _greedy_struct(texts: Column) -> Column:
+    def of(a: Column) -> Column:
+        p = F.when(a == "land", F.lit(1.0)).when(a == "water", F.lit(0.0))
+        return F.struct(p.alias("p_land"), p.isNotNull().cast("int").alias("n_valid"), F.lit(1).alias("n_samples"), F.lit(None).cast("double").alias("validity_mass"))
+
+    return once(tx.parse_answer(F.get(texts, F.lit(0))), of)
 
 
 def greedy_answer(texts: Column) -> dict[str, Column]:
-    a = tx.parse_answer(F.get(texts, F.lit(0)))
-    p = F.when(a == "land", F.lit(1.0)).when(a == "water", F.lit(0.0))
-    return {"p_land": p, "n_valid": p.isNotNull().cast("int"), "n_samples": F.lit(1), "validity_mass": F.lit(None).cast("double")}
+    return _parts(_greedy_struct(texts))
 
 
 def extract(log: DataFrame) -> DataFrame:
@@ -64,23 +85,17 @@ def extract(log: DataFrame) -> DataFrame:
     mode = F.when(
         F.col("mode") == "auto", F.when(flag(F.size("logprobs") > 0), F.lit("logprobs")).otherwise(F.lit("sample"))
     ).otherwise(F.col("mode"))
-    ways = {
-        "logprobs": logprob_answer(F.col("logprobs")),
-        "sample": sample_answer(F.col("texts")),
-        "greedy": greedy_answer(F.col("texts")),
-    }
-    failed = {"p_land": F.lit(None).cast("double"), "n_valid": F.lit(0), "n_samples": F.lit(0), "validity_mass": F.lit(None).cast("double")}
-    d = log.withColumn("mode", mode)
-    cols = {}
-    for name in failed:
-        c = F.when(err, failed[name])
-        for m, way in ways.items():
-            c = c.when(F.col("mode") == m, way[name])
-        cols[name] = c
+    none = F.lit(None).cast("double")
+    x = F.when(err, F.struct(none.alias("p_land"), F.lit(0).alias("n_valid"), F.lit(0).alias("n_samples"), none.alias("validity_mass")))
+    ways = {"logprobs": _logprob_struct(F.col("logprobs")), "sample": _sample_struct(F.col("texts")), "greedy": _greedy_struct(F.col("texts"))}
+    for m, way in ways.items():
+        x = x.when(F.col("mode") == m, way)
+    d = log.withColumn("mode", mode).withColumn("_x", x)  # one way a row, evaluated once for all columns
+    cols = _parts(F.col("_x"))
     answer = F.when(err, F.lit("")).otherwise(F.coalesce(F.substring(F.get("texts", F.lit(0)), 1, tx.ANSWER_TEXT_MAX), F.lit("")))
     cols["answer_text"] = answer
     cols["error"] = F.substring("error", 1, tx.ERROR_TEXT_MAX)
-    return d.withColumns(cols)
+    return d.withColumns(cols).drop("_x")
 
 
 def token_mass_merge(pieces: DataFrame) -> DataFrame:
