@@ -19,6 +19,7 @@ MIN_LANDMASS_KM2 = 5.0e5
 MAX_LANDMASSES = 12
 NAME_SHARE = 0.15
 TEN = 10
+NO_LONGITUDE = 1e-9
 
 
 def _bands(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
@@ -160,7 +161,8 @@ def landmasses(labelled: DataFrame, shape: tuple[int, int], min_km2: float = MIN
         ).alias("name"),
         top.alias("_top"),
         (F.sum("lat") / F.sum("n")).alias("centroid_lat"),
-        F.degrees(F.atan2(F.sum("s") / F.sum("n"), F.sum("k") / F.sum("n"))).alias("centroid_lon"),
+        # land all around the globe has no mean longitude
+        F.when(F.hypot(F.sum("s"), F.sum("k")) / F.sum("n") > NO_LONGITUDE, F.degrees(F.atan2(F.sum("s") / F.sum("n"), F.sum("k") / F.sum("n")))).alias("centroid_lon"),
     )
     named = named.withColumn("name", F.when(F.col("name") == "", F.col("_top")).otherwise(F.col("name"))).drop("_top")
     d = big.join(named, "label")

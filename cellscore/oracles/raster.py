@@ -196,7 +196,7 @@ cte(
   then ' #' || row_number() over (partition by name order by rank) else '' end as name
 from tbig join (select label, string_agg(continent, ' + ' order by n desc, continent) as name from (
    select label, continent, count(*) as n, sum(count(*)) over (partition by label) as tot from tcont group by 1, 2) where n >= 0.15 * tot group by 1) using (label)
-join (select label, avg(lat) as centroid_lat, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) as centroid_lon from tcont group by 1) using (label)""",
+join (select label, avg(lat) as centroid_lat, case when sqrt(avg(sin(radians(lon))) ** 2 + avg(cos(radians(lon))) ** 2) > 1e-9 then degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) end as centroid_lon from tcont group by 1) using (label)""",
     "tbig",
     "tcont",
 )

@@ -12,10 +12,9 @@ LIMITS = "(select provider, rpm::int as rpm, tpm::int as tpm from (values ('p0',
 ORACLES = {
     "stream_points_upsert": log.ORACLES["latest_points"],
     "stream_run_totals": sql(
-        """select run_id, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, sum(cost_usd) as cost_usd,
+        """select run_id, sum(input_tokens)::bigint as input_tokens, sum(output_tokens)::bigint as output_tokens, round(sum(cost_usd), 9) + 0.0 as cost_usd,
  count(*) filter (error is null) as n_ok, count(error) as n_failed from attcost group by 1""",
         "attcost",
-        r="cost_usd",
     ),
     "stream_rate_usage": sql(
         f"""select *, {OVER} as over_limit from (

@@ -39,7 +39,7 @@ def stream_points_upsert(spark, sf):
 
 
 def stream_run_totals(spark, sf):
-    return rounded(jobs.run_totals(costed(spark, sf), _work(spark)))
+    return rounded(jobs.run_totals(costed(spark, sf), _work(spark)), 9)  # costs have seven decimals: six would round ties
 
 
 def stream_rate_usage(spark, sf):
