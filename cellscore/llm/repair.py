@@ -2,7 +2,7 @@
 
 Documents are put in ascending doc_id order, their ids (with an end id after each) cut into shards of at least
 ``SHARD_IDS`` ids, and in each shard frequent neighbouring pairs are replaced by nonterminals, again and again, until
-no pair is frequent or ``ROUNDS`` is reached. A pair never spans two documents, so each document is a stretch of the
+no pair is frequent. A pair never spans two documents, so each document is a stretch of the
 compressed sequence. Rules and the number of ids that each nonterminal stands for are stored with it, so a stretch of
 ids is found and expanded without the rest (``ShardReader.ids``).
 
@@ -33,9 +33,13 @@ from cellscore.llm.store import read_table, scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SHARD_IDS = 1 << 19
-ROUNDS = 6
-LEAST = 6
+#: How often a pair must stand to be replaced, and at how many places without overlap.
+LEAST, LEAST_USED = 6, 3
 TABLE = 1 << 18
+#: From so many symbols on all rules are written out before they are expanded.
+MANY = 4096
+#: Pairs are counted exactly from the round on that replaces no more than a MUCH-th of the symbols.
+MUCH = 3
 MAGIC = 0x31505252
 REMEMBERED, RECENT, TOGETHER = 2_000_000, 100_000, 500
 SALT = np.uint64(0x632BE59BD9B4E019)
@@ -175,56 +179,101 @@ def _encoder(path: str, special: bool) -> WordEncoder:
     return WordEncoder(path, special)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = LEAST):
-    """Symbols, left and right sides of the rules, expansion lengths (of the rules), and ``starts`` in the symbols."""
+def _pairs(x: np.ndarray, new: np.ndarray, salt: int | None, least: int, since: int = 0):
+    """For each place but the last: the number of its pair, whether the pair counts there, and the pairs.
+
+    With ``salt`` pairs are numbered by a hash of ``TABLE`` values, of which the last pair of each counts, another
+    one with another salt; without it all pairs have numbers of their own, and with ``since`` only pairs with a symbol from
+    that one on count."""
+    whole = ~new[1:]  # a pair never spans two documents
+    if since:
+        late = x >= since
+        some = np.flatnonzero((late[:-1] | late[1:]) & whole)
+        number, counts = np.zeros(len(x) - 1, dtype=np.int64), np.zeros(len(x) - 1, dtype=bool)
+        held, number[some] = np.unique(x[some] << 32 | x[some + 1], return_inverse=True)
+        counts[some] = True
+        return number, counts, held
+    code = x[:-1] << 32 | x[1:]
+    mix = salt or 0
+    slot = ((x[:-1] * (0x9E3779B1 + 2 * mix) ^ x[1:] * (0x85EBCA77 + 4 * mix)) >> 7) & (TABLE - 1)
+    if salt is None:  # no pair is more frequent than its hash
+        some = np.flatnonzero(whole & (np.bincount(slot[whole], minlength=TABLE)[slot] >= least))
+        number, counts = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=bool)
+        held, number[some] = np.unique(code[some], return_inverse=True)
+        counts[some] = True
+        return number, counts, held
+    held = np.full(TABLE, -1, dtype=np.int64)
+    held[slot] = code
+    return slot, whole & (held[slot] == code), held
+
+
+def _places(number: np.ndarray, counts: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose pair is replaced, with the pairs' numbers: frequent ones, no two of which overlap, and each pair at ``LEAST_USED`` places or more."""
+    none = np.zeros(0, dtype=np.int64)
+    if not counts.any():
+        return none, none
+    count = np.bincount(number[counts], minlength=size)
+    at = np.flatnonzero(counts & (count[number] >= least))
+    if not len(at):
+        return none, none
+    # of a run of one pair (a a a a) every second place, then the place with the higher count of overlapping ones
+    s = number[at]
+    joined = np.concatenate(([False], (at[1:] == at[:-1] + 1) & (s[1:] == s[:-1])))
+    group = np.flatnonzero(~joined)
+    odd = (np.arange(len(at)) - group[np.cumsum(~joined) - 1]) & 1
+    at, s = at[odd == 0], s[odd == 0]
+    key = count[s] * size + s
+    taken = np.zeros(len(number) + 2, dtype=bool)
+    for _ in range(2):  # the second time, places between those taken
+        better = np.ones(len(at), dtype=bool)
+        touch = at[1:] == at[:-1] + 1
+        better[1:] &= ~touch | (key[1:] > key[:-1])
+        better[:-1] &= ~touch | (key[:-1] > key[1:])
+        taken[at[better]] = True
+        free = ~(taken[at - 1] | taken[at] | taken[at + 1])
+        at, key = at[free], key[free]
+    at = np.flatnonzero(taken)
+    s = number[at]
+    often = np.bincount(s, minlength=size)[s] >= LEAST_USED
+    return at[often], s[often]
+
+
+def frequent_pairs(x: np.ndarray, new: np.ndarray, least: int = LEAST) -> int:
+    """How many pairs would still be replaced."""
+    if len(x) < 2:
+        return 0
+    number, counts, held = _pairs(x, new, None, least)
+    return len(np.unique(_places(number, counts, len(held), least)[1]))
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, least: int = LEAST):
+    """Symbols, left and right sides of the rules, expansion lengths (of the rules), and ``starts`` in the symbols.
+
+    Rounds go on until no pair is frequent. Pairs are counted by a salted hash while that finds much to replace, and then
+    exactly: those with symbols of the last round while there are frequent ones, then all; a round without any replacement, with
+    all pairs counted, is the last."""
     x = ids.astype(np.int64)
     new = np.zeros(len(x), dtype=bool)
     new[starts[starts < len(x)]] = True
     left, right = [], []
     lengths = np.ones(terminals, dtype=np.int64)
-    names = terminals
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
-        a, b = x[:-1], x[1:]
-        code = a << 32 | b
-        slot = ((a * 0x9E3779B1 ^ b * 0x85EBCA77) >> 7) & (TABLE - 1)
-        holder = np.full(TABLE, -1, dtype=np.int64)
-        holder[slot] = code
-        same = (holder[slot] == code) & ~new[1:]
-        count = np.bincount(slot[same], minlength=TABLE)
-        at = np.flatnonzero(same & (count[slot] >= least))
-        if not len(at):
+    names, salt, since = terminals, 0, 0
+    while len(x) > 1:
+        number, counts, held = _pairs(x, new, salt, least, since)
+        at, s = _places(number, counts, len(held), least)
+        if salt is None and not since and not len(at):
             break
-        # of a run of one pair (a a a a) every second place, then the place with the higher count of overlapping ones
-        s = slot[at]
-        joined = np.concatenate(([False], (at[1:] == at[:-1] + 1) & (s[1:] == s[:-1])))
-        group = np.flatnonzero(~joined)
-        odd = (np.arange(len(at)) - group[np.cumsum(~joined) - 1]) & 1
-        at, s = at[odd == 0], s[odd == 0]
-        key = count[s] * TABLE + s
-        taken = np.zeros(len(x) + 1, dtype=bool)
-        for _ in range(2):  # the second time, places between those taken
-            better = np.ones(len(at), dtype=bool)
-            touch = at[1:] == at[:-1] + 1
-            better[1:] &= ~touch | (key[1:] > key[:-1])
-            better[:-1] &= ~touch | (key[:-1] > key[1:])
-            taken[at[better]] = True
-            free = ~(taken[at - 1] | taken[at] | taken[at + 1])
-            at, key = at[free], key[free]
-        at = np.flatnonzero(taken)
-        s = slot[at]
-        used = np.bincount(s, minlength=TABLE)
-        often = used[s] >= 3
-        at, s = at[often], s[often]
+        if salt is not None:
+            salt = salt + 1 if len(at) > len(x) // MUCH else None
+        since = names if salt is None and len(at) else 0
         if not len(at):
-            break
-        chosen = np.flatnonzero(used >= 3)
-        name = np.zeros(TABLE, dtype=np.int64)
+            continue
+        chosen = np.unique(s)
+        name = np.zeros(len(held), dtype=np.int64)
         name[chosen] = names + np.arange(len(chosen))
         names += len(chosen)
-        left.append(holder[chosen] >> 32)
-        right.append(holder[chosen] & 0xFFFFFFFF)
+        left.append(held[chosen] >> 32)
+        right.append(held[chosen] & 0xFFFFFFFF)
         lengths = np.concatenate((lengths, lengths[left[-1]] + lengths[right[-1]]))
         x[at] = name[s]
         keep = np.ones(len(x), dtype=bool)
@@ -243,6 +292,12 @@ def pack(ids: np.ndarray, starts: np.ndarray, terminals: int) -> bytes:
     return np.concatenate((head, left, right, lengths, symbols, begin)).astype("<u4").tobytes()
 
 
+def _gathered(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``at``, one after another."""
+    end = np.cumsum(size)
+    return flat[np.repeat(at - end + size, size) + np.arange(int(end[-1]) if len(end) else 0)]
+
+
 class ShardReader:
     def __init__(self, payload: bytes):
         head = np.frombuffer(payload, "<u4", 5).astype(np.int64)
@@ -258,7 +313,30 @@ class ShardReader:
         self.place = np.concatenate(([0], np.cumsum(size)))  # of each symbol among the ids
         self.starts = self.place[self.begin]
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all symbols, one after another, and where each symbol's begin and how many they are. Rules refer to
+        symbols before them, so they are written out in stretches that refer to nothing of themselves."""
+        n = len(self.left)
+        at = np.arange(self.terminals + n, dtype=np.int64)
+        size = np.ones(self.terminals + n, dtype=np.int64)
+        pool = [np.arange(self.terminals, dtype=np.uint32)]
+        highest, flat, i = np.maximum(self.left, self.right), pool[0], 0
+        pairs = np.stack((self.left, self.right), axis=1).astype(np.int64)
+        while i < n:
+            later = np.flatnonzero(highest[i:] >= self.terminals + i)
+            j = i + int(later[0]) if len(later) else n
+            both = size[pairs[i:j]]
+            begin = len(flat) + np.concatenate(([0], np.cumsum(both.sum(axis=1))))
+            size[self.terminals + i : self.terminals + j] = both.sum(axis=1)
+            at[self.terminals + i : self.terminals + j] = begin[:-1]
+            flat = np.concatenate((flat, _gathered(flat, at[pairs[i:j].ravel()], both.ravel())))
+            i = j
+        return flat, at, size
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        if len(symbols) > MANY:
+            flat, at, size = self.tables()
+            return _gathered(flat, at[symbols], size[symbols])
         while True:
             named = symbols >= self.terminals
             if not named.any():

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cellscore.llm.repair import TOKENIZER, ShardReader, WordEncoder, op3_token_id_repair, pack, read_documents, write_shards
+from cellscore.llm.repair import TOKENIZER, ShardReader, WordEncoder, compress, frequent_pairs, op3_token_id_repair, pack, read_documents, write_shards
 
 from .conftest import frame
 
@@ -57,6 +57,26 @@ def test_round_trip_and_random_access(docs, times):
         assert r.ids(a, n).tolist() == flat[a : a + n].tolist()
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 6), st.integers(1, 5))
+def test_no_frequent_pair_is_left(seed, terminals, docs):
+    """Whatever the hash does with rare pairs: in the symbols of a shard no pair is left that would be replaced."""
+    r = np.random.default_rng(seed)
+    parts = [r.integers(0, terminals, r.integers(1, 400)) for _ in range(docs)]
+    flat, starts = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+    x, left, right, lengths, begin = compress(flat, starts, terminals)
+    new = np.zeros(len(x), bool)
+    new[begin[begin < len(x)]] = True
+    assert frequent_pairs(x, new) == 0
+    assert lengths.tolist() == [sum(1 if v < terminals else lengths[v - terminals] for v in pair) for pair in zip(left, right)]
+
+
+def test_nonterminals_nest_as_deep_as_repeats_need():
+    flat = np.tile(np.arange(7, dtype=np.uint32), 4096)
+    lengths = compress(flat, np.array([0, len(flat)]), 7)[3]
+    assert lengths.max() >= 1000
+
+
 def test_repeated_ids_get_smaller():
     flat = np.tile(np.arange(50, dtype=np.uint32), 2000)
     assert len(pack(flat, np.array([0, len(flat)]), 50)) < flat.nbytes / 10
