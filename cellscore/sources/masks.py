@@ -234,30 +234,34 @@ def rasterize_polygons(edges: DataFrame, shape: tuple[int, int]) -> DataFrame:
     c0 = F.greatest(F.lit(0), F.ceil((F.col("x") + 180.0) / dx - 0.5).cast("int"))
     c1 = F.least(F.lit(w - 1), F.ceil((F.col("x_end") + 180.0) / dx - 0.5).cast("int") - 1)
     spans = spans.withColumn("c0", c0).withColumn("c1", c1).where("c0 <= c1")
-    return burnt(spans.select("layer_pos", "burn", "r", "c0", "c1")).select(F.lit("polygons").alias("mask_id"), "r", "c0", "c1")
+    return burnt(spans.select("layer_pos", "burn", "r", "c0", "c1"), w).select(F.lit("polygons").alias("mask_id"), "r", "c0", "c1")
 
 
-#: Layers in one 64-bit word of the set of layers that cover a stretch.
-LAYER_BITS = 62
+def burnt(spans: DataFrame, width: int = 1 << 30) -> DataFrame:
+    """Land runs (r, c0, c1) of overlapping spans (layer_pos, burn, r, c0, c1) in ``width`` columns, of which the last layer
+    counts (land, if a layer says both).
 
-
-def burnt(spans: DataFrame) -> DataFrame:
-    """Land runs (r, c0, c1) of overlapping spans (layer_pos, burn, r, c0, c1), of which the last layer counts.
-
-    The spans of a layer are united; then each row is swept once from west to east, with the set of layers that
-    cover the stretch as bits that turn at the spans' ends.
+    A span is cut into nodes of a binary tree over the columns (node 1 is the whole row, node n has the halves 2n and
+    2n + 1), at most two a level. Only the last layer of each node of a row is kept, which leaves fewer rows than an image has
+    pixels however many layers there are; a stretch between the nodes' ends then has the last layer of the nodes above its first column.
     """
-    one = rn.merged(spans, ["layer_pos", "burn", "r"])
-    layers = one.select("layer_pos", "burn").distinct().withColumn("_k", F.row_number().over(Window.orderBy("layer_pos")) - 1)  # a row a layer
-    words = [f"_w{i}" for i in range(-(-layers.count() // LAYER_BITS))]
-    if not words:
-        return one.select("r", "c0", "c1")
-    ends = one.join(layers.drop("burn"), "layer_pos").select("r", "_k", F.explode(F.array("c0", F.col("c1") + 1)).alias("at"))
-    bit = F.expr(f"shiftleft(1L, cast(_k % {LAYER_BITS} as int))")
-    ends = ends.groupBy("r", "at").agg(*[F.bit_xor(F.when(F.floor(F.col("_k") / LAYER_BITS) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(n) for i, n in enumerate(words)])
-    w = Window.partitionBy("r").orderBy("at")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = ends.select("r", F.col("at").alias("c0"), (F.lead("at").over(w) - 1).alias("c1"), *[F.bit_xor(n).over(upto).alias(n) for n in words])
-    top = F.coalesce(*[F.when(F.col(n) != 0, F.length(F.bin(n)) - 1 + LAYER_BITS * i) for i, n in reversed(list(enumerate(words)))])
-    d = d.where(F.col("c1").isNotNull()).withColumn("_k", top).where("_k is not null")
-    return rn.merged(d.join(layers.where("burn > 0").select("_k"), "_k", "left_semi"), ["r"])
+    last = F.col("layer_pos").cast("bigint") * 2 + F.coalesce((F.col("burn") > 0).cast("int"), F.lit(0))
+    d = spans.select("r", F.col("c0").cast("bigint").alias("c0"), F.col("c1").cast("bigint").alias("c1"), last.alias("last")).where("last is not null")
+    d = d.groupBy("r", "c0", "c1").agg(F.max("last").alias("last"))  # equal spans once
+    levels = max(width - 1, 1).bit_length()
+    n = 1 << levels
+    nodes = []
+    for k in range(levels + 1):
+        a, b = F.shiftright(F.col("c0") + ((1 << k) - 1), k), F.shiftright(F.col("c1") + 1, k)
+        nodes += [F.when((a < b) & (a % 2 == 1), a + (n >> k)), F.when((a < b) & (b % 2 == 1), b - 1 + (n >> k))]
+    d = d.select("r", F.explode(F.array(*nodes)).alias("node"), "last").where("node is not null")
+    d = d.groupBy("r", "node").agg(F.max("last").alias("last"))
+    size = F.expr(f"shiftleft(1L, {levels + 1} - length(bin(node)))")
+    first = F.col("node") * size - n
+    ends = F.array(F.struct(first.alias("c0"), F.col("last").alias("_own")), F.struct((first + size).alias("c0"), F.lit(None).cast("bigint").alias("_own")))
+    cuts = d.select("r", F.explode(ends).alias("e")).groupBy("r", "e.c0").agg(F.max("e._own").alias("_own"))
+    cuts = cuts.withColumn("c1", F.lead("c0").over(Window.partitionBy("r").orderBy("c0")) - 1).where("c1 is not null")
+    above = F.array(*[F.shiftright(F.col("c0") + n, k) for k in range(levels + 1)])
+    top = F.greatest(F.max("last"), F.max("_own"))  # both: the nodes are then made once for both sides of the join
+    d = cuts.select("*", F.explode(above).alias("node")).join(d, ["r", "node"]).groupBy("r", "c0", "c1").agg(top.alias("last"))
+    return rn.merged(d.where("last % 2 <> 0"), ["r"])

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cellscore.operators import worklist as wl
+from cellscore.sources import masks as mk
 
 
 def plan(df):
@@ -39,3 +40,18 @@ def test_price_lookup_does_not_broadcast_the_prefixes(spark, tmp_path):
     over = prices.where(F.col("key") == "a")
     got = {r.model_id: (r.input_per_m, r.source) for r in wl.price_lookup(models, wl.price_table(over, prices)).collect()}
     assert got["m1"] == (1.0, "override") and got["m4"] == (None, None)
+
+
+def test_burning_does_not_widen_with_the_layers(spark):
+    def spans(n):
+        k = F.col("id")
+        return spark.range(n).select(k.cast("int").alias("layer_pos"), (k % 3 != 1).cast("int").alias("burn"), (k % 5).cast("int").alias("r"),
+                                     (k * 7 % 50).cast("int").alias("c0"), F.least(F.lit(59), k * 7 % 50 + k % 11).cast("int").alias("c1"))
+
+    few, many = mk.burnt(spans(3), 60), mk.burnt(spans(400), 60)
+    assert plan(few).count("\n") == plan(many).count("\n") and max(map(len, plan(many).split("\n"))) < max(map(len, plan(few).split("\n"))) + 200
+    want = {}
+    for s in sorted(spans(400).collect()):
+        want.update({(s.r, c): s.burn for c in range(s.c0, s.c1 + 1)})
+    got = {(x.r, c) for x in many.collect() for c in range(x.c0, x.c1 + 1)}
+    assert got == {at for at, burn in want.items() if burn}
