@@ -85,7 +85,7 @@ def stored_usage(spark: SparkSession, sf: str) -> DataFrame:
 
 def _plan(spark, sf):
     prompt = wl.sample_prompt(F.col("template"), F.col("coord_format"))
-    cells = resolved_cells(spark, sf).join(tb.specs(spark), "spec_id").withColumn("prompt", prompt)
+    cells = resolved_cells(spark, sf).join(tb.specs(spark).withColumn("prompt", prompt), "spec_id")  # once a spec
     pilots = wl.pilot_usage(tb.responses(spark, sf), "run_id").withColumnRenamed("run_id", "pilot_of")
     pilots = cells.select("position", "pilot_of").join(pilots, "pilot_of")
     return wl.work_plan(cells, tb.run_log(spark, sf), stored_usage(spark, sf), tb.N_CELLS, pilots)
