@@ -6,8 +6,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellscore.sources.grid import with_cell
 
@@ -41,8 +43,15 @@ RUN_STATE = [
 ]
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, made from Arrow columns: Spark then knows how small it is, and need not bring all rows that share
+    one of its keys into one task."""
+    fields = T._parse_datatype_string(schema)
+    return spark.createDataFrame(pa.table({f.name: [r[i] for r in rows] for i, f in enumerate(fields)}), fields)
+
+
 def run_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUN_STATE, "run_id string, spec_id string, status string, runner_version string, provider string")
+    return few_rows(spark, RUN_STATE, "run_id string, spec_id string, status string, runner_version string, provider string")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +60,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, RUN_FIELDS)
+    return few_rows(spark, RUNS, RUN_FIELDS)
 
 
 def true_class(idx: Column, lat: Column, lon: Column) -> Column:
@@ -155,7 +164,7 @@ def base_land(r: Column, c: Column) -> Column:
 
 
 def masks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("mask",)], "mask_id string")
+    return few_rows(spark, [("mask",)], "mask_id string")
 
 
 def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +195,7 @@ COMPARISONS = [
 
 
 def comparisons(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(COMPARISONS, "name string, run_ids array<string>, saved_at string")
+    return few_rows(spark, COMPARISONS, "name string, run_ids array<string>, saved_at string")
 
 
 def comparison_runs(spark: SparkSession) -> DataFrame:
@@ -402,7 +411,7 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SPECS, "spec_id string, coord_format string, template string")
+    return few_rows(spark, SPECS, "spec_id string, coord_format string, template string")
 
 
 def models(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from cellscore.operators import extract as ex
 from cellscore.operators import worklist as wl
 from cellscore.sources import masks as mk
+from cellscore.sources import testbed as tb
 
 
 def plan(df):
@@ -55,3 +57,12 @@ def test_burning_does_not_widen_with_the_layers(spark):
         want.update({(s.r, c): s.burn for c in range(s.c0, s.c1 + 1)})
     got = {(x.r, c) for x in many.collect() for c in range(x.c0, x.c1 + 1)}
     assert got == {at for at, burn in want.items() if burn}
+
+
+def test_tables_of_a_few_rows_have_a_known_size(spark):
+    for d in (tb.specs(spark), tb.runs(spark), tb.run_state(spark)):
+        assert d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10_000
+    assert [tuple(r) for r in tb.runs(spark).collect()] == tb.RUNS and tb.runs(spark).schema["n_samples_set"].dataType.simpleString() == "int"
+    places = spark.range(100).select(F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("spec_id"), F.col("id").alias("place_id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    good, _ = ex.prompt_table(places, tb.specs(spark))
+    assert "Exchange hashpartitioning(spec_id" not in plan(good)
