@@ -147,76 +147,92 @@ RESPONSE = T.StructType(
 THINK_BLOCK = r"(?is)<think>(.*?)</think>"
 
 
+def _think_struct(text: Column) -> Column:
+    def of(x: Column) -> Column:
+        rest, inner, low = x["rest"], x["inner"], F.lower(x["rest"])
+        stray, unclosed = low.contains("</think>"), low.contains("<think>")
+        before = F.trim(F.regexp_replace(rest, r"(?is)</think>(?!.*</think>).*$", ""))
+        cut = F.instr(low, "<think>")
+        after = F.trim(F.substr(rest, cut + 7))
+        answer = (
+            F.when(stray, F.regexp_replace(rest, r"(?is)^.*</think>", ""))
+            .when(unclosed, F.substr(rest, F.lit(1), cut - 1))
+            .otherwise(rest)
+        )
+        extra = lambda c: F.filter(F.array(c), lambda t: t != "")
+        thoughts = F.when(stray, F.concat(extra(before), inner)).when(unclosed, F.concat(inner, extra(after))).otherwise(inner)
+        return F.struct(F.regexp_replace(answer, r"^\s+|\s+$", "").alias("answer"), once(thoughts, lambda t: F.when(F.size(t) > 0, F.array_join(t, "\n\n"))).alias("thinking"))
+
+    inner = F.filter(F.transform(F.regexp_extract_all(text, F.lit(THINK_BLOCK), 1), F.trim), lambda t: t != "")
+    return once(F.struct(F.regexp_replace(text, THINK_BLOCK, "").alias("rest"), inner.alias("inner")), of)
+
+
 def split_think(text: Column) -> tuple[Column, Column]:
     """(answer, thinking) of a raw text with think blocks, closed, unopened or unclosed."""
-    inner = F.filter(F.transform(F.regexp_extract_all(text, F.lit(THINK_BLOCK), 1), F.trim), lambda t: t != "")
-    rest = F.regexp_replace(text, THINK_BLOCK, "")
-    low = F.lower(rest)
-    stray, unclosed = low.contains("</think>"), low.contains("<think>")
-    before = F.trim(F.regexp_replace(rest, r"(?is)</think>(?!.*</think>).*$", ""))
-    cut = F.instr(low, "<think>")
-    after = F.trim(F.substr(rest, cut + 7))
-    answer = (
-        F.when(stray, F.regexp_replace(rest, r"(?is)^.*</think>", ""))
-        .when(unclosed, F.substr(rest, F.lit(1), cut - 1))
-        .otherwise(rest)
-    )
-    extra = lambda c: F.filter(F.array(c), lambda t: t != "")
-    thoughts = F.when(stray, F.concat(extra(before), inner)).when(unclosed, F.concat(inner, extra(after))).otherwise(inner)
-    thinking = F.when(F.size(thoughts) > 0, F.array_join(thoughts, "\n\n"))
-    return F.regexp_replace(answer, r"^\s+|\s+$", ""), thinking
+    x = _think_struct(text)
+    return x["answer"], x["thinking"]
 
 
 def first_token_logprobs(tokens: Column) -> Column:
     """Alternatives of the first token of the final answer, as a map.
 
     The answer starts after the last closing think tag, which may span tokens: tokens that begin
-    before the end of the tag are counted in one pass over their lengths.
+    before the end of the tag are counted in one pass over their lengths. Each step is evaluated once.
     """
     joined = F.lower(F.array_join(F.transform(tokens, lambda t: F.coalesce(t["token"], F.lit(""))), ""))
-    end = F.length(F.regexp_extract(joined, r"(?s)^(.*</think>)", 1))
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
-    skip = F.aggregate(
-        tokens,
-        zero,
-        lambda a, t: F.struct(
-            (a["at"] + F.length(F.coalesce(t["token"], F.lit("")))).alias("at"),
-            (a["n"] + (a["at"] < end).cast("int")).alias("n"),
-        ),
-        lambda a: a["n"],
-    )
-    rest = F.slice(tokens, skip + 1, F.greatest(F.size(tokens), F.lit(1)))
-    first = F.get(F.filter(rest, lambda t: F.regexp_replace(F.coalesce(t["token"], F.lit("")), r"\s", "") != ""), F.lit(0))
-    tops = F.filter(
-        F.coalesce(first["top_logprobs"], F.array().cast(TOKEN["top_logprobs"].dataType)),
-        lambda a: a["token"].isNotNull() & a["logprob"].isNotNull(),
-    )
-    names = F.array_distinct(F.transform(tops, lambda a: a["token"]))
-    best = F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("token"),
-            F.array_max(F.transform(F.filter(tops, lambda a: a["token"] == n), lambda a: a["logprob"])).alias("logprob"),
-        ),
-    )
-    own = F.filter(
-        F.array(F.struct(first["token"].alias("token"), first["logprob"].alias("logprob"))),
-        lambda a: a["logprob"].isNotNull() & ~F.array_contains(names, a["token"]),
-    )
-    out = F.map_from_entries(F.concat(best, own))
-    return F.when(F.size(out) > 0, out)
+
+    def skip(end: Column) -> Column:
+        return F.aggregate(
+            tokens,
+            zero,
+            lambda a, t: F.struct(
+                (a["at"] + F.length(F.coalesce(t["token"], F.lit("")))).alias("at"),
+                (a["n"] + (a["at"] < end).cast("int")).alias("n"),
+            ),
+            lambda a: a["n"],
+        )
+
+    def first(n: Column) -> Column:
+        rest = F.slice(tokens, n + 1, F.greatest(F.size(tokens), F.lit(1)))
+        return F.get(F.filter(rest, lambda t: F.regexp_replace(F.coalesce(t["token"], F.lit("")), r"\s", "") != ""), F.lit(0))
+
+    def tops(t: Column) -> Column:
+        some = F.coalesce(t["top_logprobs"], F.array().cast(TOKEN["top_logprobs"].dataType))
+        return F.filter(some, lambda a: a["token"].isNotNull() & a["logprob"].isNotNull())
+
+    def entries(t: Column, tops: Column, names: Column) -> Column:
+        best = F.transform(
+            names,
+            lambda n: F.struct(
+                n.alias("token"),
+                F.array_max(F.transform(F.filter(tops, lambda a: a["token"] == n), lambda a: a["logprob"])).alias("logprob"),
+            ),
+        )
+        own = F.filter(
+            F.array(F.struct(t["token"].alias("token"), t["logprob"].alias("logprob"))),
+            lambda a: a["logprob"].isNotNull() & ~F.array_contains(names, a["token"]),
+        )
+        return F.map_from_entries(F.concat(best, own))
+
+    def alternatives(t: Column) -> Column:
+        return once(tops(t), lambda x: once(F.array_distinct(F.transform(x, lambda a: a["token"])), lambda names: entries(t, x, names)))
+
+    end = F.length(F.regexp_extract(joined, r"(?s)^(.*</think>)", 1))
+    out = once(once(once(end, skip), first), alternatives)
+    return once(out, lambda m: F.when(F.size(m) > 0, m))
 
 
 def response_normalise(raw: DataFrame) -> DataFrame:
     """Raw response documents (column ``raw``) to answer, thinking, alternatives, usage and version."""
     d = raw.withColumn("_j", F.from_json("raw", RESPONSE))
     choice = F.get("_j.choices", F.lit(0))
-    answer, thinking = split_think(F.coalesce(choice["message"]["content"], F.lit("")))
+    d = d.withColumn("_t", _think_struct(F.coalesce(choice["message"]["content"], F.lit(""))))
     u = F.col("_j.usage")
     return d.withColumns(
         {
-            "answer": answer,
-            "thinking": thinking,
+            "answer": F.col("_t.answer"),
+            "thinking": F.col("_t.thinking"),
             "finish_reason": choice["finish_reason"],
             "logprobs": first_token_logprobs(choice["logprobs"]["content"]),
             "input_tokens": F.coalesce(u["prompt_tokens"], F.lit(0)),
@@ -224,7 +240,7 @@ def response_normalise(raw: DataFrame) -> DataFrame:
             "thinking_tokens": F.coalesce(u["completion_tokens_details"]["reasoning_tokens"], F.lit(0)),
             "resolved_model": F.col("_j.model"),
         }
-    ).drop("_j", "raw")
+    ).drop("_j", "_t", "raw")
 
 
 def error_kind(status: Column) -> Column:

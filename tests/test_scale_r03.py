@@ -66,3 +66,11 @@ def test_tables_of_a_few_rows_have_a_known_size(spark):
     places = spark.range(100).select(F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("spec_id"), F.col("id").alias("place_id"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
     good, _ = ex.prompt_table(places, tb.specs(spark))
     assert "Exchange hashpartitioning(spec_id" not in plan(good)
+
+
+def test_first_token_steps_stand_once(spark):
+    raw = '{"choices":[{"message":{"content":"<think>a</think> Land "},"logprobs":{"content":[{"token":"<think>a</think>"},{"token":" "},{"token":"Land","logprob":-0.1,"top_logprobs":[{"token":"La","logprob":-1.0},{"token":"La","logprob":-0.5}]}]}}]}'
+    d = ex.response_normalise(spark.createDataFrame([(raw,), ("{}",), (None,)], "raw string"))
+    optimized = d.select("logprobs")._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("(?s)^(.*</think>)") == 1
+    assert [(r.answer, r.thinking, r.logprobs) for r in d.collect()] == [("Land", "a", {"La": -0.5, "Land": -0.1}), ("", None, None), ("", None, None)]
