@@ -10,19 +10,37 @@ from pyspark.sql import functions as F
 from cellscore.functions.common import bucketed_running_sum, count_if, flag
 
 
-def latest_points(attempts: DataFrame, payload: Sequence[str]) -> DataFrame:
-    """Last attempt per (run, cell) and the number of attempts.
+# Fixed value: buckets of (run, cell) for which ``late_attempts`` broadcasts a time.
+TIME_BUCKETS = 1 << 16
+
+
+def late_attempts(attempts: DataFrame) -> DataFrame:
+    """The attempts without such as are older than the last time of their (run, cell), for most of them.
+
+    The last times are brought together in a fixed number of buckets, each with the earliest of them, so any number of runs
+    can be filtered this way. A bucket with a (run, cell) without any time keeps all its rows.
+    """
+    bucket = F.pmod(F.xxhash64("run_id", "idx"), F.lit(TIME_BUCKETS)).cast("int")
+    last = attempts.groupBy("run_id", "idx").agg(F.max("updated_at").alias("_t")).select(bucket.alias("_bucket"), "_t")
+    since = last.groupBy("_bucket").agg(F.when(F.count("*") == F.count("_t"), F.min("_t")).alias("_since"))
+    d = attempts.withColumn("_bucket", bucket).join(F.broadcast(since), "_bucket")  # TIME_BUCKETS rows at most
+    return d.where(F.col("_since").isNull() | (F.col("updated_at") >= F.col("_since"))).drop("_bucket", "_since")
+
+
+def latest_points(attempts: DataFrame, payload: Sequence[str], counted: bool = True) -> DataFrame:
+    """Last attempt per (run, cell) and, if ``counted``, the number of attempts.
 
     A maximum over (time, sequence, payload) instead of a window: the log is reduced before the
     shuffle, so a cell that was retried very often does not end up in one task as a pile of rows.
+    Spark sorts all rows for a maximum of structs, but not for one of times; so that one goes first, and few rows are left.
     """
     last = F.max(F.struct("updated_at", "seq", *payload)).alias("_last")
-    return (
-        attempts.groupBy("run_id", "idx")
-        .agg(last, F.count("*").alias("attempts"))
-        .select("run_id", "idx", "attempts", F.col("_last.updated_at").alias("updated_at"),
-                *[F.col(f"_last.{c}").alias(c) for c in payload])
-    )
+    d = late_attempts(attempts).groupBy("run_id", "idx").agg(last)
+    if counted:
+        n = attempts.groupBy(F.col("run_id").alias("_run"), F.col("idx").alias("_idx")).agg(F.count("*").alias("attempts"))
+        d = d.join(n, d["run_id"].eqNullSafe(n["_run"]) & d["idx"].eqNullSafe(n["_idx"]))
+    return d.select("run_id", "idx", *(["attempts"] if counted else []), F.col("_last.updated_at").alias("updated_at"),
+                    *[F.col(f"_last.{c}").alias(c) for c in payload])
 
 
 def comparison_members(saved: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def all_cells(spark: SparkSession) -> DataFrame:
 
 
 def latest_points(spark, sf):
-    p = tb.points(spark, sf, "p_land", "error")
+    p = tb.points(spark, sf, "p_land", "error", "attempts")
     return rounded(p.select("run_id", "idx", "attempts", "p_land", "error"))
 
 
@@ -136,7 +136,7 @@ def missing_points(spark, sf):
 
 
 def failed_points(spark, sf):
-    return pl.failed_points(tb.points(spark, sf, "error")).select("run_id", "idx", "error", "attempts")
+    return pl.failed_points(tb.points(spark, sf, "error", "attempts")).select("run_id", "idx", "error", "attempts")
 
 
 def retry_queue(spark, sf):

@@ -16,7 +16,7 @@ from cellscore.operators import uncertainty as un
 from cellscore.operators.regions import region_accuracy
 from cellscore.plans.masks import SHAPE, mask_rle
 from cellscore.plans.scoring import flags, kept_flags, kept_points
-from cellscore.session import cut_lineage
+from cellscore.session import cut_lineage, stored
 from cellscore.sources import masks as mk
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import cells_of, full_grid, with_cell
@@ -33,17 +33,17 @@ def run_list(spark: SparkSession) -> DataFrame:
     return tb.runs(spark).select("run_id").unionByName(extra).withColumn("mask_id", F.lit(MASK))
 
 
-def grids(spark: SparkSession, sf: str, f: DataFrame | None = None) -> DataFrame:
+def grids(spark: SparkSession, sf: str, f: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     """Dense grids (run_id, r, c, p, b) of the flags; the mask reduced to the grid is one more run."""
     cells = with_cell(cells_of(tb.runs(spark).select("run_id"), tb.STEP), tb.STEP).select("run_id", "idx", "r", "c")
     f = (flags(spark, sf) if f is None else f).select("run_id", "idx", F.col("p_land").alias("p"), F.col("pred_land").alias("b"))
     d = cells.join(f, ["run_id", "idx"], "left")
     d = d.select("run_id", "r", "c", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("b", F.lit(False)).alias("b"))
-    return d.unionByName(ceiling_grid(spark, sf))
+    return d.unionByName(ceiling_grid(spark, sf, mask))
 
 
-def ceiling_grid(spark: SparkSession, sf: str) -> DataFrame:
-    t = tr.truth_cell_center(full_grid(spark, tb.STEP), mask_rle(spark, sf), SHAPE)
+def ceiling_grid(spark: SparkSession, sf: str, mask: DataFrame | None = None) -> DataFrame:
+    t = tr.truth_cell_center(full_grid(spark, tb.STEP), mask_rle(spark, sf) if mask is None else mask, SHAPE)
     return t.select(F.lit(CEILING).alias("run_id"), "r", "c", F.col("truth").cast("double").alias("p"), (F.col("truth") == 1).alias("b"))
 
 
@@ -101,11 +101,11 @@ def coastline_error(spark, sf):
     return rounded(ra.coastline_error(kept_flags(spark, sf), tb.STEP))
 
 
-def _boundary_scores(spark, sf, pred=None, runs=None):
+def _boundary_scores(spark, sf, pred=None, runs=None, mask=None):
     """Boundary pixels of images and mask are written once, as several steps read them."""
-    pred = pred_runs(spark, sf) if pred is None else pred
+    pred, mask = pred_runs(spark, sf) if pred is None else pred, mask_rle(spark, sf) if mask is None else mask
     own = cut_lineage(rn.pixels(rn.boundary_runs(pred, ["run_id"], SHAPE)).select("run_id", "r", "c"))
-    true = cut_lineage(rn.pixels(rn.boundary_runs(mask_rle(spark, sf), ["mask_id"], SHAPE)).select("mask_id", "r", "c"))
+    true = cut_lineage(rn.pixels(rn.boundary_runs(mask, ["mask_id"], SHAPE)).select("mask_id", "r", "c"))
     return ra.boundary_scores(own.distinct(), true.distinct(), run_list(spark) if runs is None else runs, SHAPE)
 
 
@@ -123,11 +123,12 @@ def pixel_iou_dice(spark, sf):
     return rounded(ra.pixel_overlap(pred_runs(spark, sf), mask_rle(spark, sf), run_list(spark), SHAPE))
 
 
-def _tile_scores(spark, sf, g=None, runs=None):
+def _tile_scores(spark, sf, g=None, runs=None, mask=None, points=None):
     """ssim and prob_rmse; the latter only for runs with real probabilities (the ceiling has them)."""
-    g = grids(spark, sf) if g is None else g
-    d = ra.tile_scores(g, mask_rle(spark, sf), run_list(spark) if runs is None else runs, "p", tb.STEP, SHAPE)
-    prob = sc.is_probabilistic(tb.points(spark, sf, "n_samples"), tb.runs(spark)).select("run_id", "probabilistic")
+    g, mask = grids(spark, sf) if g is None else g, mask_rle(spark, sf) if mask is None else mask
+    d = ra.tile_scores(g, mask, run_list(spark) if runs is None else runs, "p", tb.STEP, SHAPE)
+    points = tb.points(spark, sf, "n_samples") if points is None else points
+    prob = sc.is_probabilistic(points, tb.runs(spark)).select("run_id", "probabilistic")
     keep = F.coalesce("probabilistic", F.lit(True))
     return d.join(prob, "run_id", "left").select("run_id", "ssim", F.when(keep, F.col("prob_rmse")).alias("prob_rmse"))
 
@@ -140,8 +141,8 @@ def prob_rmse(spark, sf):
     return rounded(_tile_scores(spark, sf).select("run_id", "prob_rmse"))
 
 
-def true_components(spark: SparkSession, sf: str) -> DataFrame:
-    return cc.label_components(mask_rle(spark, sf).drop("mask_id"), [], SHAPE[1])
+def true_components(spark: SparkSession, sf: str, mask: DataFrame | None = None) -> DataFrame:
+    return cc.label_components((mask_rle(spark, sf) if mask is None else mask).drop("mask_id"), [], SHAPE[1])
 
 
 def pred_components(spark: SparkSession, sf: str, pred: DataFrame | None = None) -> DataFrame:
@@ -195,23 +196,37 @@ def image_coverage(spark, sf):
     return rounded(n)
 
 
-def _image_scores(spark, sf, g=None, pred=None, runs=None):
+def _tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Land runs of the mask, points and grids, written once: for all its steps a job reads the log once for the mask and once
+    for the points."""
+    mask, points = stored(mask_rle(spark, sf)), kept_points(spark, sf, "n_samples")
+    return mask, points, stored(grids(spark, sf, sc.point_flags(points), mask))
+
+
+def _joined(first: DataFrame, *parts: DataFrame) -> DataFrame:
+    """``first`` with the columns of parts of one row a run, each made in a job of its own."""
+    for part in parts:
+        first = first.join(stored(part), "run_id", "left")
+    return first
+
+
+def _image_scores(spark, sf, mask, points, g, pred=None, runs=None):
     """All scores of the images of ``runs``; grids and land runs are made once and are far smaller than the images."""
     runs = run_list(spark) if runs is None else runs
-    g = cut_lineage(grids(spark, sf)) if g is None else g
-    pred = cut_lineage(pred_runs(spark, sf, g)) if pred is None else pred
-    return (
-        runs.select("run_id")
-        .join(ra.pixel_overlap(pred, mask_rle(spark, sf), runs, SHAPE), "run_id", "left")
-        .join(_tile_scores(spark, sf, g, runs), "run_id", "left")
-        .join(_boundary_scores(spark, sf, pred, runs), "run_id", "left")
+    pred = stored(pred_runs(spark, sf, g)) if pred is None else pred
+    return _joined(
+        runs.select("run_id"),
+        ra.pixel_overlap(pred, mask, runs, SHAPE),
+        _tile_scores(spark, sf, g, runs, mask, points),
+        _boundary_scores(spark, sf, pred, runs, mask),
     )
 
 
 def resolution_ceiling(spark, sf):
     """Only the grid made from the mask is rendered and scored."""
-    only = run_list(spark).where(F.col("run_id") == CEILING)
-    return rounded(_image_scores(spark, sf, cut_lineage(ceiling_grid(spark, sf)), None, only).drop("run_id"))
+    only, mask = run_list(spark).where(F.col("run_id") == CEILING), stored(mask_rle(spark, sf))
+    g = stored(ceiling_grid(spark, sf, mask))
+    return rounded(_image_scores(spark, sf, mask, tb.points(spark, sf, "n_samples"), g, None, only).drop("run_id"))
 
 
 def share_of_ceiling_columns() -> list:
@@ -233,7 +248,7 @@ def with_ceiling(scores: DataFrame) -> DataFrame:
 
 
 def share_of_ceiling(spark, sf):
-    return rounded(with_ceiling(_image_scores(spark, sf)).select("run_id", *share_of_ceiling_columns()))
+    return rounded(with_ceiling(_image_scores(spark, sf, *_tables(spark, sf))).select("run_id", *share_of_ceiling_columns()))
 
 
 BOUNDARY = ("boundary_p_2", "boundary_r_2", "boundary_p_4", "boundary_r_4")
@@ -241,16 +256,15 @@ BOUNDARY = ("boundary_p_2", "boundary_r_2", "boundary_p_4", "boundary_r_4")
 
 def image_metrics(spark, sf):
     """All scores of a run's image, of the grid's ceiling and their shares, components, landmasses and the work shape."""
-    g = cut_lineage(grids(spark, sf))
-    pred = cut_lineage(pred_runs(spark, sf, g))
-    true, areas = true_components(spark, sf), pred_components(spark, sf, pred)
-    cover = flags(spark, sf).groupBy("run_id").agg((F.sum(F.col("valid").cast("int")) / tb.N_CELLS).alias("coverage"))
+    mask, points, g = _tables(spark, sf)
+    pred = stored(pred_runs(spark, sf, g))
+    true, areas = stored(true_components(spark, sf, mask)), stored(pred_components(spark, sf, pred))
+    cover = sc.point_flags(points).groupBy("run_id").agg((F.sum(F.col("valid").cast("int")) / tb.N_CELLS).alias("coverage"))
     per = cc.landmass_iou(areas, true, cc.landmasses(true, SHAPE), run_list(spark).select("run_id"), SHAPE)
     per = per.groupBy("run_id").agg(F.sort_array(F.collect_list(F.concat("name", F.lit(" "), F.format_string("%.4f", "iou")))).alias("a"))  # MAX_LANDMASSES at most
-    d = with_ceiling(_image_scores(spark, sf, g, pred))
+    d = with_ceiling(_image_scores(spark, sf, mask, points, g, pred))
     d = d.select("run_id", *HIGHER, *LOWER, *BOUNDARY, *[f"ceil_{n}" for n in HIGHER + LOWER], *share_of_ceiling_columns())
-    d = d.join(_component_stats(spark, sf, areas, true).drop("largest_km2"), "run_id", "left").join(cover, "run_id", "left")
-    d = d.join(per.select("run_id", F.array_join("a", "; ").alias("landmass_iou")), "run_id", "left")
+    d = _joined(d, _component_stats(spark, sf, areas, true).drop("largest_km2"), cover, per.select("run_id", F.array_join("a", "; ").alias("landmass_iou")))
     return rounded(d.withColumns({"work_rows": F.lit(SHAPE[0]), "work_columns": F.lit(SHAPE[1])}))
 
 

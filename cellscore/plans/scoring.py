@@ -13,7 +13,7 @@ from cellscore.operators import regions as rg
 from cellscore.operators import score as sc
 from cellscore.operators.points_log import latest_points
 from cellscore.operators.score_store import ScoreStore
-from cellscore.session import checkpoint_dir, cut_lineage
+from cellscore.session import checkpoint_dir, cut_lineage, stored
 from cellscore.sources import testbed as tb
 from cellscore.sources.grid import cells_of
 
@@ -28,7 +28,7 @@ def flags(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
 
 def kept_points(spark: SparkSession, sf: str, *payload: str) -> DataFrame:
     """Points written once, for jobs that pass over them several times: the log is read once."""
-    return cut_lineage(tb.points(spark, sf, "p_land", *payload))
+    return stored(tb.points(spark, sf, "p_land", *payload))
 
 
 def kept_flags(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,8 +165,8 @@ def rescored_runs(spark, sf):
     store = ScoreStore(spark, f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}", (0.5, 0.7))
     a = tb.attempts(spark, sf)
     late = F.col("run_id").isin(*LATE_RUNS) & (F.col("updated_at") >= F.lit(LATE_FROM))
-    store.refresh(tb.place(latest_points(a.where(~late), ["p_land"])))
-    again = store.refresh(cut_lineage(tb.place(latest_points(a, ["p_land"]))))
+    store.refresh(tb.place(latest_points(a.where(~late), ["p_land"], counted=False)))
+    again = store.refresh(cut_lineage(tb.place(latest_points(a, ["p_land"], counted=False))))
     ci = store.intervals("acc_area").select("run_id", "threshold", F.col("lo").alias("acc_lo"), F.col("hi").alias("acc_hi"))
     d = store.scores(STORED_METRICS).join(ci, ["run_id", "threshold"]).join(again.withColumn("rescored", F.lit(True)), "run_id", "left")
     return rounded(d.withColumn("rescored", F.coalesce("rescored", F.lit(False))))

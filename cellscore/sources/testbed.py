@@ -133,11 +133,12 @@ def place(points: DataFrame) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str, *payload: str) -> DataFrame:
-    """Points table: the last attempt of every (run, cell). Only the named columns are carried."""
+    """Points table: the last attempt of every (run, cell). Only the named columns are carried; ``attempts``, the number of
+    attempts, is one that may be named."""
     from cellscore.operators.points_log import latest_points
 
-    cols = list(payload) or ["p_land"]
-    return place(latest_points(attempts(spark, sf_dir), cols))
+    cols = [c for c in payload if c != "attempts"] or ["p_land"]
+    return place(latest_points(attempts(spark, sf_dir), cols, "attempts" in payload))
 
 
 ALL_PAYLOAD = (

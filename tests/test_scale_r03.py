@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from cellscore.operators import extract as ex
+from cellscore.operators import points_log as pl
 from cellscore.operators import worklist as wl
+from cellscore.plans import raster
 from cellscore.sources import masks as mk
 from cellscore.sources import testbed as tb
 
@@ -74,3 +76,30 @@ def test_first_token_steps_stand_once(spark):
     optimized = d.select("logprobs")._jdf.queryExecution().optimizedPlan().toString()
     assert optimized.count("(?s)^(.*</think>)") == 1
     assert [(r.answer, r.thinking, r.logprobs) for r in d.collect()] == [("Land", "a", {"La": -0.5, "Land": -0.1}), ("", None, None), ("", None, None)]
+
+
+def test_latest_points_sort_only_late_attempts(spark, monkeypatch):
+    rows = [(f"r{k % 3}", k % 7, None if k % 11 == 0 or k % 7 == 4 else f"1998-01-{1 + k % 20:02d}", (k * 37) % 101, k, None if k % 5 == 0 else k / 10) for k in range(400)]
+    rows += [(None, 1, "1998-01-01", 1, 900, 0.5), (None, 1, "1998-01-03", 0, 901, 0.25), ("r0", None, None, 2, 902, None), ("r0", None, None, 1, 903, 1.0)]
+    d = spark.createDataFrame(rows, "run_id string, idx int, day string, s int, k int, p double").select("run_id", "idx", F.col("day").cast("date").alias("updated_at"), F.struct("s", "k").alias("seq"), "k", "p")
+    want, many = {}, {}
+    for run, idx, day, s, k, p in rows:
+        best = want.get((run, idx))
+        if best is None or (day or "", s, k) > best[:3]:
+            want[run, idx] = (day or "", s, k, p)
+        many[run, idx] = many.get((run, idx), 0) + 1
+    for buckets in (1, 4, pl.TIME_BUCKETS):  # also where several cells share a time
+        monkeypatch.setattr(pl, "TIME_BUCKETS", buckets)
+        got = {(x.run_id, x.idx): (x.k, x.p, x.attempts) for x in pl.latest_points(d, ["k", "p"]).collect()}
+        assert got == {at: (*v[2:], many[at]) for at, v in want.items()}
+    monkeypatch.undo()
+    text = plan(pl.latest_points(d, ["k", "p"], counted=False))
+    assert under(text, "SortAggregate") and all("BroadcastHashJoin" in x for x in under(text, "SortAggregate"))
+    assert pl.late_attempts(d.where("run_id is not null and idx < 4 and updated_at is not null")).count() < 40
+
+
+def test_image_metrics_reads_the_log_for_mask_and_points_only(spark, monkeypatch):
+    read, table = [], tb.table
+    monkeypatch.setattr(tb, "table", lambda *a: read.append(a[-1]) or table(*a))
+    d = raster.image_metrics(spark, "/root/testdata/sf0.001")
+    assert read == ["lineitem", "lineitem"] and d.count() == tb.N_RUNS
