@@ -271,31 +271,26 @@ def image_metrics(spark, sf):
 def score_all(spark, sf):
     """Stored record per run at two thresholds: context, cell scores, interval, regions, coast, image, and whether it is partial (by its
     points or its status). A run is held against the mask of its spec."""
-    p = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens")
-    marks = mk.mask_fingerprint(mask_rle(spark, sf), SHAPE, tb.masks(spark))
+    p, mask = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens"), stored(mask_rle(spark, sf))
+    marks = stored(mk.mask_fingerprint(mask, SHAPE, tb.masks(spark)))
     runs = run_list(spark).where(F.col("run_id") != CEILING)
-    context = tb.runs(spark).select("run_id", "variant", "thinking", "forced_thinking").join(tb.run_state(spark).select("run_id", "status"), "run_id").join(tb.run_costs(spark, sf), "run_id", "left")
-    tiles = _tile_scores(spark, sf, cut_lineage(grids(spark, sf, sc.point_flags(p))), runs)  # probabilities do not depend on the threshold
+    context = tb.runs(spark).select("run_id", "variant", "thinking", "forced_thinking").join(tb.run_state(spark).select("run_id", "status"), "run_id").join(stored(tb.run_costs(spark, sf)), "run_id", "left")
+    tiles = stored(_tile_scores(spark, sf, stored(grids(spark, sf, sc.point_flags(p), mask)), runs, mask, p))  # probabilities do not depend on the threshold
     out = None
     for t in (0.5, 0.7):
         f = sc.point_flags(p, t)
         regions = region_accuracy(f).groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("position", "region", "acc"))).alias("a"))  # at most one a region
         named = F.transform("a", lambda x: F.concat(x["region"], F.lit(" "), F.format_string("%.4f", x["acc"])))
         ci = un.block_bootstrap_ci(f).select("run_id", F.col("lo").alias("acc_lo"), F.col("hi").alias("acc_hi"))
-        pred = cut_lineage(pred_runs(spark, sf, grids(spark, sf, f).where(F.col("run_id") != CEILING)))
-        d = (
-            sc.cell_metrics(p, tb.runs(spark), t)
-            .drop("calibration_bins")
-            .join(regions.select("run_id", F.array_join(named, "; ").alias("regions")), "run_id", "left")
-            .join(ci, "run_id", "left")
-            .join(ra.coastline_error(f, tb.STEP), "run_id", "left")
-            .join(ra.pixel_overlap(pred, mask_rle(spark, sf), runs, SHAPE), "run_id", "left")
-            .join(tiles, "run_id", "left")
-            .join(_boundary_scores(spark, sf, pred, runs), "run_id", "left")
-            .join(context, "run_id", "left")
-            .join(runs, "run_id", "left")
-            .join(marks, "mask_id", "left")
-        )
+        pred = stored(pred_runs(spark, sf, grids(spark, sf, f, mask).where(F.col("run_id") != CEILING)))
+        d = _joined(
+            stored(sc.cell_metrics(p, tb.runs(spark), t).drop("calibration_bins")),
+            regions.select("run_id", F.array_join(named, "; ").alias("regions")),
+            ci,
+            ra.coastline_error(f, tb.STEP),
+            ra.pixel_overlap(pred, mask, runs, SHAPE),
+        ).join(tiles, "run_id", "left")
+        d = _joined(d, _boundary_scores(spark, sf, pred, runs, mask)).join(context, "run_id", "left").join(runs, "run_id", "left").join(marks, "mask_id", "left")
         unfinished = (F.col("n_points") < tb.N_CELLS) | (F.col("status") != "complete")
         d = d.withColumn("n_points_total", F.lit(tb.N_CELLS)).withColumn("partial", unfinished)
         out = d if out is None else out.unionByName(d)

@@ -103,3 +103,13 @@ def test_image_metrics_reads_the_log_for_mask_and_points_only(spark, monkeypatch
     monkeypatch.setattr(tb, "table", lambda *a: read.append(a[-1]) or table(*a))
     d = raster.image_metrics(spark, "/root/testdata/sf0.001")
     assert read == ["lineitem", "lineitem"] and d.count() == tb.N_RUNS
+
+
+def test_score_all_joins_its_parts_without_an_exchange(spark, monkeypatch):
+    read, table = [], tb.table
+    monkeypatch.setattr(tb, "table", lambda *a: read.append(a[-1]) or table(*a))
+    d = raster.score_all(spark, "/root/testdata/sf0.001")
+    text = plan(d)
+    assert len(read) == 3  # points, mask, costs
+    assert "BroadcastHashJoin" in text and not any(x in text for x in ("hashpartitioning", "Sort", "HashAggregate", "Window"))
+    assert d.count() == 2 * tb.N_RUNS
