@@ -274,7 +274,8 @@ def score_all(spark, sf):
     p, mask = kept_points(spark, sf, "n_samples", "latency_s", "input_tokens", "output_tokens", "thinking_tokens"), stored(mask_rle(spark, sf))
     marks = stored(mk.mask_fingerprint(mask, SHAPE, tb.masks(spark)))
     runs = run_list(spark).where(F.col("run_id") != CEILING)
-    context = tb.runs(spark).select("run_id", "variant", "thinking", "forced_thinking").join(tb.run_state(spark).select("run_id", "status"), "run_id").join(stored(tb.run_costs(spark, sf)), "run_id", "left")
+    context = tb.runs(spark).select("run_id", "variant", "thinking", "forced_thinking").join(tb.run_state(spark).select("run_id", "status"), "run_id").join(tb.run_costs(spark, sf), "run_id", "left")
+    context = stored(context)
     tiles = stored(_tile_scores(spark, sf, stored(grids(spark, sf, sc.point_flags(p), mask)), runs, mask, p))  # probabilities do not depend on the threshold
     out = None
     for t in (0.5, 0.7):
